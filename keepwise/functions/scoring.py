@@ -89,3 +89,15 @@ def linear_vector_score(features: Column, weights: list[float], intercept: float
         if w != 0.0:
             acc = acc + F.lit(float(w)) * F.get(features, j)
     return acc
+
+
+def sig_round(x: Column, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits (half-even on the scaled mantissa).
+
+    Used to report fitted floating parameters whose last bits depend on the
+    summation order."""
+    k = F.floor(F.log10(F.abs(x)))
+    p = F.pow(F.lit(10.0), F.abs(k))
+    m = F.when(k >= 0, x / p).otherwise(x * p)
+    mr = F.bround(m, digits - 1)
+    return F.when((x == 0) | x.isNull() | F.isnan(x), x).otherwise(F.when(k >= 0, mr * p).otherwise(mr / p))

@@ -454,9 +454,15 @@ def q_churn_counts(spark, sf):
     return profile.churn_counts(profile.with_label(df))
 
 
+def _register_all() -> None:
+    from keepwise.plans import catalog_model  # noqa: F401  (registers part 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _register_all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register_all()
     return dict(ORACLE)

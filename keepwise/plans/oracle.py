@@ -127,3 +127,12 @@ ranked AS (
 
 def w(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
+
+
+def sig_round(x: str, digits: int = 10) -> str:
+    k = f"floor(log10(abs({x})))"
+    p = f"pow(10.0::DOUBLE, abs({k}))"
+    m = f"(CASE WHEN {k} >= 0 THEN {x} / {p} ELSE {x} * {p} END)"
+    mr = f"round_even({m}, {digits - 1})"
+    return (f"(CASE WHEN {x} = 0 OR {x} IS NULL OR isnan({x}) THEN {x} "
+            f"WHEN {k} >= 0 THEN {mr} * {p} ELSE {mr} / {p} END)")
