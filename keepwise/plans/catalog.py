@@ -455,7 +455,7 @@ def q_churn_counts(spark, sf):
 
 
 def _register_all() -> None:
-    from keepwise.plans import catalog_model  # noqa: F401  (registers part 2)
+    from keepwise.plans import catalog_io, catalog_model  # noqa: F401  (registers parts 2 and 3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
