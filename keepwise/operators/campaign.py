@@ -30,10 +30,11 @@ def capacity_topn(ranked: DataFrame, capacities: list[int] | None = None, rank:
     of the N-th row), churners captured and monthly revenue covered
     (``sum(charge * y)``) among the top ``N``."""
     n = _n_rows(ranked)
-    caps = capacities if capacities is not None else [default_capacity(n)]
-    caps = [max(0, min(int(c), n)) for c in caps]
+    requested = capacities if capacities is not None else [default_capacity(n)]
+    caps = [max(0, min(int(c), n)) for c in requested]
     spark = ranked.sparkSession
-    schema = "capacity BIGINT, implied_threshold DOUBLE, churners_captured BIGINT, revenue_covered DOUBLE"
+    schema = ("request INT, requested BIGINT, capacity BIGINT, implied_threshold DOUBLE, "
+              "churners_captured BIGINT, revenue_covered DOUBLE")
     if not caps:
         return spark.createDataFrame([], schema)
     y = F.col(label).cast("bigint")
@@ -45,7 +46,9 @@ def capacity_topn(ranked: DataFrame, capacities: list[int] | None = None, rank:
                  F.coalesce(F.sum(F.when(top, y)), F.lit(0)).alias(f"c{i}"),
                  F.coalesce(F.sum(F.when(top, money)), F.lit(0)).alias(f"r{i}")]
     row = ranked.agg(*aggs)
-    stack = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("capacity"),
+    stack = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("request"),
+                                          F.lit(int(requested[i])).cast("bigint").alias("requested"),
+                                          F.lit(k).cast("bigint").alias("capacity"),
                                           F.coalesce(F.col(f"t{i}"), F.lit(0.0)).alias("implied_threshold"),
                                           F.col(f"c{i}").cast("bigint").alias("churners_captured"),
                                           F.col(f"r{i}").cast("double").alias("revenue_covered"))

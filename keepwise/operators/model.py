@@ -184,7 +184,7 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     _, cw = class_weight_column(data.filter("is_train").withColumn("_c", F.col("y").cast("int")), "_c")
     data = data.withColumn("w", F.when(F.col("is_train"), F.when(F.col("y") == 1.0, F.lit(cw.get(1, 1.0)))
                                        .otherwise(F.lit(cw.get(0, 1.0)))).otherwise(F.lit(1.0)))
-    data = materialize(data)        # one copy of the design; every epoch re-reads it
+    data = materialize(data, "design")   # one copy of the design; every epoch re-reads it
     counts = data.groupBy("is_train").count().collect()
     n_train = sum(r["count"] for r in counts if r["is_train"])
     n_val = sum(r["count"] for r in counts if not r["is_train"])

@@ -8,9 +8,9 @@ a single task. ``global_rank`` instead
    more than its share even when one score value covers a third of the rows;
 2. tags each row with its partition and its position inside the partition
    (``monotonically_increasing_id`` = partition << 33 | position);
-3. checkpoints that result to the shared checkpoint folder, so counts and rows
-   come from the same materialised order and a lost executor re-reads instead of
-   re-sorting;
+3. writes that result to the shared checkpoint folder (``materialize``), so
+   counts and rows come from the same materialised order and a lost executor
+   re-reads instead of re-sorting;
 4. adds the row counts of all earlier partitions: a table with one row per
    partition, so its broadcast is bounded by the partition count.
 
@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 from keepwise.plans.materialize import materialize
 
-# Broadcast a side only when its row count is known to be at most this.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -43,13 +39,13 @@ def global_rank(df: DataFrame, order_by: list, partition_by: list[str] | None =
     tagged = (df.orderBy(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = materialize(tagged)
+    tagged = materialize(tagged, "rank")
 
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    n_parts = tagged.rdd.getNumPartitions()
-    offsets = F.broadcast(offsets) if n_parts <= BROADCAST_MAX_ROWS else offsets
+    # one row per sort partition: bounded by the shuffle partition count
+    offsets = F.broadcast(offsets)
 
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     ranked = (tagged.join(offsets, "_pid")
@@ -61,8 +57,7 @@ def global_rank(df: DataFrame, order_by: list, partition_by: list[str] | None =
     if partition_by:
         starts = ranked.groupBy(*partition_by).agg(F.min(rank_col).alias("_g0"),
                                                    F.count(F.lit(1)).alias("_gn"))
-        n_groups = starts.count()
-        starts = F.broadcast(starts) if n_groups <= BROADCAST_MAX_ROWS else starts
+        # one row per group; AQE broadcasts it when its measured size is small
         out = ranked.join(starts, partition_by).withColumn(rank_col, F.col(rank_col) - F.col("_g0") + 1)
     else:
         # whole-table size: a scalar from the per-partition counts

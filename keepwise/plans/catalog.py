@@ -391,12 +391,13 @@ def q_decile_gain(spark, sf):
 
 @query("capacity_topn", O.w(O.TEST, """,
 nn AS (SELECT count(*) AS n FROM test),
-caps AS (SELECT least(n, least(100, greatest(1, n // 5))) AS capacity FROM nn
-         UNION ALL SELECT least(n, 50) FROM nn UNION ALL SELECT least(n, 300) FROM nn)
-SELECT CAST(capacity AS BIGINT) AS capacity, coalesce(min(score), 0.0::DOUBLE) AS implied_threshold,
+caps AS (SELECT 1 AS request, least(100, greatest(1, n // 5)) AS requested, least(n, least(100, greatest(1, n // 5))) AS capacity FROM nn
+         UNION ALL SELECT 2, 50, least(n, 50) FROM nn UNION ALL SELECT 3, 300, least(n, 300) FROM nn)
+SELECT request, CAST(requested AS BIGINT) AS requested, CAST(capacity AS BIGINT) AS capacity,
+       coalesce(min(score), 0.0::DOUBLE) AS implied_threshold,
        CAST(coalesce(sum(y), 0) AS BIGINT) AS churners_captured,
        CAST(coalesce(sum(CAST(charge * y AS DECIMAL(18,2))), 0) AS DOUBLE) AS revenue_covered
-FROM caps LEFT JOIN ranked ON ranked.rn <= caps.capacity GROUP BY capacity"""))
+FROM caps LEFT JOIN ranked ON ranked.rn <= caps.capacity GROUP BY request, requested, capacity"""))
 def q_capacity_topn(spark, sf):
     t = Tables(spark, sf)
     n = int(t.ranked.count())
