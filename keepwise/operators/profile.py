@@ -75,10 +75,8 @@ def column_profile(clean: DataFrame, columns=("tenure", "MonthlyCharges", "Total
     lower_bounds = {"TotalCharges": 0.0} if lower_bounds is None else lower_bounds
     out = None
     for c in columns:
-        mm = clean.agg(F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))
-        med = exact_quantiles(clean, c, [0.5], names=["median"])
-        # both sides are single aggregate rows
-        q = mm.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        # min and max are the 0 and 1 quantiles: one ranked pass, no join
+        q = exact_quantiles(clean, c, [0.0, 1.0, 0.5], names=["min", "max", "median"])
         lo = F.lit(float(lower_bounds[c])) if c in lower_bounds else F.col("min")
         q = q.select(F.lit(c).alias("column"), F.col("min"), lo.alias("slider_min"), "max", "median")
         out = q if out is None else out.unionByName(q)

@@ -14,7 +14,8 @@ a single task. ``global_rank`` instead
 4. adds the row counts of all earlier partitions: a table with one row per
    partition, so its broadcast is bounded by the partition count.
 
-Grouped ranks subtract the group's first global rank.
+Grouped ranks subtract the group's first global rank. The sort key should be
+unique (append an id): range partitions split between distinct keys only.
 """
 
 from __future__ import annotations
@@ -88,8 +89,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     """
     group_by = list(group_by or [])
     names = names or [f"q{i}" for i in range(len(probs))]
-    base = df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = global_rank(base, [F.col("_v").asc()], partition_by=group_by, rank_col="_r", size_col="_n")
+    base = (df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+            .withColumn("_u", F.monotonically_increasing_id()))
+    # the unique tiebreaker lets the range partitioner split a hot value over many tasks
+    ranked = global_rank(base, [F.col("_v").asc(), F.col("_u").asc()], partition_by=group_by,
+                         rank_col="_r", size_col="_n")
     pos = {}
     for q, nm in zip(probs, names):
         h = (F.col("_n") - 1).cast("double") * F.lit(float(q))

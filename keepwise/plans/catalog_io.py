@@ -9,6 +9,7 @@ from keepwise.functions.scoring import sig_round
 from keepwise.operators import encode, metrics, model, score
 from keepwise.plans import oracle as O
 from keepwise.plans.catalog import Tables, query
+from keepwise.plans.combine import side_by_side
 from keepwise.plans.catalog_model import CATS, ENC, NAMES, SCALER, TRAIN, _encoder, _test, _train
 from keepwise.schema import ID_COL, TARGET_COL
 from keepwise.session import scratch_path
@@ -133,7 +134,7 @@ _TRAINED: dict = {}
 
 def _one_row_join(a, b):
     """Side by side of two single-row aggregates."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(a, b)
 
 
 def _design(t: Tables, enc):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keepwise.operators import metrics
+from keepwise.plans.combine import side_by_side
 from keepwise.schema import ID_COL
 
 
@@ -63,9 +64,7 @@ def metrics_document(scores: DataFrame, ranked: DataFrame, threshold: float = 0.
     dec = metrics.decile_gain(ranked).agg(
         F.sort_array(F.collect_list(F.struct("decile", "pct_contacted", "churn_in_decile", "pct_churn_decile",
                                              "cumulative_pct_churn"))).alias("decile_gain"))
-    row = bm.withColumn("_k", F.lit(1))
-    for part in (auc, roc, top, dec):   # all single-row aggregates
-        row = row.join(part.withColumn("_k", F.lit(1)), "_k")
+    row = side_by_side(bm, auc, roc, top, dec)   # all single-row aggregates
     cm = F.array(F.array(F.col("tn"), F.col("fp")), F.array(F.col("fn"), F.col("tp")))
     return row.select("roc_auc", "precision", "recall", "f1_score", cm.alias("confusion_matrix"), "threshold",
                       F.transform("_r", lambda s: s["fpr"]).alias("fpr"),

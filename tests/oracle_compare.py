@@ -57,17 +57,20 @@ def rows_of(cols, rows):
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    nested = any(k in plan for k in ("NestedLoopJoin", "CartesianProduct"))
     srows = [tuple(r) for r in sdf.collect()]
     scols = sdf.columns
     t1 = time.time()
     if sql is None:
-        return {"name": name, "ok": None, "rows": len(srows), "spark_s": round(t1 - t0, 2)}
+        return {"name": name, "ok": None, "rows": len(srows), "spark_s": round(t1 - t0, 2), "nested_loop": nested}
     rel = con.execute(sql)
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     s_sorted, sc = rows_of(scols, srows)
     d_sorted, dc = rows_of(dcols, drows)
-    res = {"name": name, "rows": len(srows), "oracle_rows": len(drows), "spark_s": round(t1 - t0, 2)}
+    res = {"name": name, "rows": len(srows), "oracle_rows": len(drows), "spark_s": round(t1 - t0, 2),
+           "nested_loop": nested}
     if sc != dc:
         res.update(ok=False, why=f"columns {sc} vs {dc}")
         return res

@@ -18,6 +18,13 @@ def con():
 def test_query_matches_duckdb(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], SQL[name], SF_SMALL)
     assert r["ok"], r
+    assert not r["nested_loop"], r
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(SQL)))
+def test_rows_only_queries_run_without_nested_loops(spark, con, name):
+    r = compare(spark, con, name, E.queries()[name], None, SF_SMALL)
+    assert r["rows"] >= 1 and not r["nested_loop"], r
 
 
 def test_every_query_has_a_callable():
