@@ -71,34 +71,88 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
     """``(idx, feature, importance_mean, importance_std, baseline_auc)`` for each
     encoded column of ``design`` (``id, label, features ARRAY<DOUBLE>``)."""
     d = len(names)
+    idx, joined = _join_partners(design, n_repeats, seed, label, features)
+
+    x, xp = F.col("x"), F.col("xp")
+    perm_scores = F.array(*[score_fn(lambda j, f=f: F.get(xp, j) if j == f else F.get(x, j)) for f in range(d)])
+    long = joined.select("r", "y", F.posexplode(perm_scores).alias("f", "s"))
+    hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
+                                           F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
+    aucs = _auc_by(hist, ["r", "f"])
+
+    base_hist = (idx.select("y", score_fn(lambda j: F.get(x, j)).alias("s"))
+                 .groupBy("s").agg(F.sum("y").cast("bigint").alias("pos"),
+                                   F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
+                 .withColumn("_k", F.lit(0)))
+    base = _auc_by(base_hist, ["_k"]).select(F.col("auc").alias("baseline_auc"))
+    base_auc = base.first()["baseline_auc"]
+    drops = aucs.withColumn("drop", F.lit(base_auc).cast("double") - F.col("auc"))
+    names_df = design.sparkSession.createDataFrame(list(enumerate(names)), "f INT, feature STRING")
+    out = drops.groupBy("f").agg(F.avg("drop").alias("importance_mean"),
+                                 F.stddev_pop("drop").alias("importance_std"))
+    return (out.join(F.broadcast(names_df), "f")   # one row per encoded column
+            .select(F.col("f").cast("int").alias("idx"), "feature", "importance_mean", "importance_std",
+                    F.lit(base_auc).cast("double").alias("baseline_auc")))
+
+
+def _join_partners(design: DataFrame, n_repeats: int, seed: int, label: str, features: str):
+    """Rows with their shuffled partner's features for every repeat."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(ID_COL).cast("string")))
     idx = global_rank(design.select(ID_COL, label, features).withColumn("_h", h),
                       [F.col("_h").asc(), F.col(ID_COL).asc()], rank_col="_rn", size_col="_n")
     first = idx.select("_n").first()
     n = int(first[0]) if first else 0
     idx = idx.select((F.col("_rn") - 1).alias("i"), F.col(label).cast("int").alias("y"), F.col(features).alias("x"))
-    params = shuffle_params(n, n_repeats)
     pairs = F.array(*[F.struct(F.lit(r).alias("r"),
                                ((F.lit(a).cast("bigint") * F.col("i") + F.lit(b)) % F.lit(max(n, 1))).alias("j"))
-                      for r, a, b in params])
+                      for r, a, b in shuffle_params(n, n_repeats)])
     left = idx.select("i", "y", "x", F.explode(pairs).alias("_rj")).select(
         "i", "y", "x", F.col("_rj.r").alias("r"), F.col("_rj.j").alias("j"))
     right = idx.select(F.col("i").alias("j"), F.col("x").alias("xp"))
-    joined = left.join(right, "j")
+    return idx, left.join(right, "j")
 
-    x, xp = F.col("x"), F.col("xp")
-    perm_scores = F.array(*[score_fn(lambda j, f=f: F.get(xp, j) if j == f else F.get(x, j)) for f in range(d)])
-    long = joined.select("r", "y", F.posexplode(perm_scores).alias("f", "s"))
+
+def permutation_importance_arrow(design: DataFrame, forward, names: list[str],
+                                 n_repeats: int = fixed.N_REPEATS, seed: int = 42,
+                                 label: str = "y", features: str = "features", dp: int = 6) -> DataFrame:
+    """Permutation importance for a Python scorer ``forward(X ndarray) -> p``
+    (e.g. the neural model): each Arrow batch of (row, repeat) pairs is scored
+    once per feature with that column taken from the partner rows."""
+    import numpy as np
+    import pandas as pd
+
+    d = len(names)
+    idx, joined = _join_partners(design, n_repeats, seed, label, features)
+
+    def perm(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.vstack(pdf["x"].to_numpy())
+            XP = np.vstack(pdf["xp"].to_numpy())
+            outs = []
+            for f in range(d):
+                Xf = X.copy()
+                Xf[:, f] = XP[:, f]
+                outs.append(pd.DataFrame({"r": pdf["r"].to_numpy(), "f": f, "y": pdf["y"].to_numpy(),
+                                          "s": np.round(forward(Xf), dp)}))
+            yield pd.concat(outs, ignore_index=True)
+
+    def base(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.vstack(pdf["x"].to_numpy())
+            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "s": np.round(forward(X), dp)})
+
+    long = joined.select("r", "y", "x", "xp").mapInPandas(perm, "r INT, f INT, y INT, s DOUBLE")
     hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
                                            F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     aucs = _auc_by(hist, ["r", "f"])
-
-    base_hist = (idx.select("y", score_fn(lambda j: F.get(x, j)).alias("s"))
-                 .groupBy("s").agg(F.sum("y").cast("bigint").alias("pos"),
-                                   F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
+    base_hist = (idx.select("y", "x").mapInPandas(base, "y INT, s DOUBLE").groupBy("s")
+                 .agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
                  .withColumn("_k", F.lit(0)))
-    base = _auc_by(base_hist, ["_k"]).select(F.col("auc").alias("baseline_auc"))
-    base_auc = base.first()["baseline_auc"]
+    base_auc = _auc_by(base_hist, ["_k"]).first()["auc"]
     drops = aucs.withColumn("drop", F.lit(base_auc).cast("double") - F.col("auc"))
     names_df = design.sparkSession.createDataFrame(list(enumerate(names)), "f INT, feature STRING")
     out = drops.groupBy("f").agg(F.avg("drop").alias("importance_mean"),

@@ -27,8 +27,8 @@ def hero_kpis(clean: DataFrame) -> DataFrame:
                     F.count("MonthlyCharges").alias("nm"),
                     F.sum(F.when(y == 1, money)).alias("r"))
     return agg.select(
-        (F.lit(100.0) * F.col("c").cast("double") / F.col("n")).alias("churn_pct"),
-        (F.col("m").cast("double") / F.col("nm")).alias("avg_monthly_charge"),
+        F.when(F.col("n") > 0, F.lit(100.0) * F.col("c").cast("double") / F.col("n")).alias("churn_pct"),
+        F.when(F.col("nm") > 0, F.col("m").cast("double") / F.col("nm")).alias("avg_monthly_charge"),
         F.coalesce(F.col("r"), F.lit(0)).cast("double").alias("revenue_at_risk"),
         F.col("n").cast("bigint").alias("n_customers"))
 

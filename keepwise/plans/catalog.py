@@ -284,6 +284,30 @@ def q_precision_recall_f1(spark, sf):
     return metrics.binary_metrics(Tables(spark, sf).test_scores).select("threshold", "precision", "recall", "f1_score")
 
 
+@query("precision", O.w(O.TEST, f"SELECT {_rate('tp', 'tp + fp')} AS precision FROM ({_CM})"))
+def q_precision(spark, sf):
+    return metrics.binary_metrics(Tables(spark, sf).test_scores).select("precision")
+
+
+@query("recall", O.w(O.TEST, f"SELECT {_rate('tp', 'tp + fn')} AS recall FROM ({_CM})"))
+def q_recall(spark, sf):
+    return metrics.binary_metrics(Tables(spark, sf).test_scores).select("recall")
+
+
+@query("f1_score", O.w(O.TEST, f"SELECT {_rate('2 * tp', '2 * tp + fp + fn')} AS f1_score FROM ({_CM})"))
+def q_f1_score(spark, sf):
+    return metrics.binary_metrics(Tables(spark, sf).test_scores).select("f1_score")
+
+
+@query("score_histogram", O.w(O.TEST, """
+SELECT score, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM test GROUP BY score"""))
+def q_score_histogram(spark, sf):
+    from keepwise.operators.rank import score_histogram
+
+    h = score_histogram(Tables(spark, sf).test_scores)
+    return h.select("score", F.col("pos").cast("bigint"), F.col("neg").cast("bigint"))
+
+
 @query("accuracy", O.w(O.TEST, f"SELECT {_rate('tn + tp', 'tn + fp + fn + tp')} AS accuracy FROM ({_CM})"))
 def q_accuracy(spark, sf):
     return metrics.binary_metrics(Tables(spark, sf).test_scores).select("accuracy")

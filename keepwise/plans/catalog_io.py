@@ -177,6 +177,25 @@ def q_save_model(spark, sf):
     return spark.createDataFrame([(n, k, len(v)) for n, k, v in layers], "layer STRING, kind STRING, n_rows INT")
 
 
+@query("load_model")
+def q_load_model(spark, sf):
+    """The trained MLP saved as a parameter table, loaded back and used to score."""
+    scorer, _ = trained_mlp(spark, sf)
+    path = params.save_model(params.model_table(spark, scorer.params.layers()), scratch_path(spark, "model"))
+    loaded = model.MLPScorer(model.MLPParams.from_layers(params.load_model(spark, path)), scorer.encoder)
+    return score.predictions(Tables(spark, sf).clean, loaded)
+
+
+@query("mlp_permutation_importance")
+def q_mlp_permutation_importance(spark, sf):
+    from keepwise.operators import importance
+
+    scorer, _ = trained_mlp(spark, sf)
+    t = Tables(spark, sf)
+    design = scorer.encoder.transform(_test(t), keep=[TARGET_COL]).withColumnRenamed(TARGET_COL, "y")
+    return importance.permutation_importance_arrow(design, scorer.params.forward, scorer.encoder.feature_names)
+
+
 @query("train_mlp")
 def q_train_mlp(spark, sf):
     _, log = trained_mlp(spark, sf)
