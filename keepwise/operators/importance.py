@@ -3,7 +3,7 @@ AUC lost when one encoded column is shuffled.
 
 Distributed shape:
 
-* row index ``i`` in 0..n-1 from ``global_rank`` on ``md5(seed|id)``;
+* row index ``i`` in 0..n-1 from ``hash_rank`` on ``md5(seed|id)``;
 * each repeat ``r`` shuffles with the bijection ``i -> (a_r * i + b_r) mod n``
   (``gcd(a_r, n) = 1``), so "the shuffled value of row i" is an equi-join on
   that key: one join for all repeats, no row gathered anywhere;
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
 from keepwise.functions.scoring import sigmoid
-from keepwise.operators.rank import global_rank
+from keepwise.operators.rank import hash_rank
+from keepwise.plans.materialize import materialize
 from keepwise.schema import ID_COL
 
 A_STEP = 7919
@@ -98,11 +99,12 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
 def _join_partners(design: DataFrame, n_repeats: int, seed: int, label: str, features: str):
     """Rows with their shuffled partner's features for every repeat."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(ID_COL).cast("string")))
-    idx = global_rank(design.select(ID_COL, label, features).withColumn("_h", h),
-                      [F.col("_h").asc(), F.col(ID_COL).asc()], rank_col="_rn", size_col="_n")
-    first = idx.select("_n").first()
-    n = int(first[0]) if first else 0
-    idx = idx.select((F.col("_rn") - 1).alias("i"), F.col(label).cast("int").alias("y"), F.col(features).alias("x"))
+    idx = hash_rank(design.select(ID_COL, label, features).withColumn("_h", h), "_h", ID_COL,
+                    rank_col="_rn", size_col="_n")
+    # the index feeds both join sides and the baseline: write it once
+    idx = materialize(idx.select((F.col("_rn") - 1).alias("i"), F.col(label).cast("int").alias("y"),
+                                 F.col(features).alias("x")), "pi_index")
+    n = int(idx.count())
     pairs = F.array(*[F.struct(F.lit(r).alias("r"),
                                ((F.lit(a).cast("bigint") * F.col("i") + F.lit(b)) % F.lit(max(n, 1))).alias("j"))
                       for r, a, b in shuffle_params(n, n_repeats)])

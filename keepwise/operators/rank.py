@@ -114,3 +114,31 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
         lo, hi, d = F.col(f"{nm}__lo"), F.col(f"{nm}__hi"), F.col(f"{nm}__d")
         out.append(F.when(d == 0, lo).otherwise(lo + (hi - lo) * d).alias(nm))
     return agg.select(*out)
+
+
+def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str] | None = None,
+              rank_col: str = "rn", size_col: str | None = None, digits: int = 4) -> DataFrame:
+    """Exact rank by ``(hash_col, id_col)`` when ``hash_col`` is a uniform hex
+    digest (md5): no sort of the whole table.
+
+    Rows are bucketed by the first ``digits`` hex characters (16**digits buckets
+    per group, equally full because the digest is uniform, so no hot bucket),
+    ranked with ``row_number`` inside their bucket, and shifted by the rows of
+    all earlier buckets (a count table of at most groups x 16**digits rows).
+    The order by bucket then digest equals the order by digest, so the rank is
+    the same as a global ``row_number``. Deterministic, hence no lineage cut.
+    """
+    from pyspark.sql import Window as W
+
+    partition_by = list(partition_by or [])
+    b = df.withColumn("_b", F.substring(F.col(hash_col), 1, digits))
+    counts = b.groupBy(*partition_by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*partition_by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offs = counts.select(*partition_by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_c").over(W.partitionBy(*partition_by)).alias("_gn"))
+    within = W.partitionBy(*partition_by, "_b").orderBy(F.col(hash_col).asc(), F.col(id_col).asc())
+    out = (b.join(offs, [*partition_by, "_b"])   # AQE broadcasts the count table when small
+           .withColumn(rank_col, F.col("_off") + F.row_number().over(within)))
+    if size_col:
+        out = out.withColumnRenamed("_gn", size_col)
+    return out.drop("_b", "_off", "_gn")

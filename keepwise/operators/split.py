@@ -3,8 +3,8 @@
 Within each class, rows are ordered by ``md5(seed | id)`` (then id) and cut at
 fixed per-class counts, so the class ratio is the same in every split up to one
 row, and the same seed always gives the same split in any engine. The per-class
-order is a ``global_rank`` with the class as leading key: a range-partitioned
-sort, never a one-task window per class.
+order is a ``hash_rank``: digest-prefix buckets ranked in parallel plus bucket
+offsets, never a one-task window per class and no global sort.
 
 Per class with ``n_c`` rows: ``train_c = floor(n_c * train_ratio)``, the rest is
 split ``test_c = ceil(rest_c * test / (val + test))``, ``val_c = rest_c - test_c``
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
-from keepwise.operators.rank import global_rank
+from keepwise.operators.rank import hash_rank
 from keepwise.schema import ID_COL, TARGET_COL
 
 
@@ -43,8 +43,7 @@ def stratified_split(df: DataFrame, target: str = TARGET_COL,
     if target not in df.columns:
         raise ValueError(f"Target column missing: {target}")
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    ranked = global_rank(df.withColumn("_h", h), [F.col("_h").asc(), F.col(id_col).asc()],
-                         partition_by=[target], rank_col="_r", size_col="_nc")
+    ranked = hash_rank(df.withColumn("_h", h), "_h", id_col, partition_by=[target], rank_col="_r", size_col="_nc")
     n_train = F.floor(F.col("_nc") * F.lit(tr))
     rest = F.col("_nc") - n_train
     n_test = F.ceil(rest * F.lit(te))

@@ -17,6 +17,7 @@ from keepwise.functions import fixed
 from keepwise.functions.scoring import high_risk_flag, label_name, predict_label
 from keepwise.operators import campaign, clean, metrics, profile, score, split
 from keepwise.plans import oracle as O
+from keepwise.plans.materialize import materialize
 from keepwise.schema import FEATURES, ID_COL, TARGET_COL
 from keepwise.sources import fixture, readers
 
@@ -34,7 +35,14 @@ def query(name: str, sql: str | None = None):
 
 
 class Tables:
-    """The derived tables one query needs, built lazily from ``sf_dir``."""
+    """The derived tables one query needs, built from ``sf_dir``.
+
+    The customer table is an aggregate of ``orders``; a query that makes
+    several passes (fitting parameters, counting, then the result) must not
+    re-scan ``orders`` for each, so ``clean`` and ``split`` are written once to
+    the shared checkpoint folder (``materialize``) and every later pass reads
+    that compact table.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -44,12 +52,16 @@ class Tables:
         return fixture.raw_customers(self.spark, self.sf_dir)
 
     @cached_property
-    def clean(self) -> DataFrame:
+    def clean_lazy(self) -> DataFrame:
         return clean.clean_customers(self.raw)
 
+    @cached_property
+    def clean(self) -> DataFrame:
+        return materialize(self.clean_lazy, "customers")
+
     @cached_property
     def split(self) -> DataFrame:
-        return split.stratified_split(self.clean)
+        return materialize(split.stratified_split(self.clean_lazy), "customers_split")
 
     @cached_property
     def test_scores(self) -> DataFrame:
@@ -61,7 +73,7 @@ class Tables:
 
     @cached_property
     def preds(self) -> DataFrame:
-        return score.predictions(self.clean)
+        return score.predictions(self.clean_lazy)   # one pass; the rank materialises
 
 
 # Report parameters used by the registered queries.
@@ -112,7 +124,7 @@ _MA_SQL = O.w(O.CLEAN, "SELECT * FROM (" + " UNION ALL ".join(
 
 @query("missing_after", _MA_SQL)
 def q_missing_after(spark, sf):
-    return clean.missing_after(Tables(spark, sf).clean)
+    return clean.missing_after(Tables(spark, sf).clean_lazy)
 
 
 @query("coerce_total_charges", O.w(O.CLEAN, "SELECT customerID, TotalCharges FROM clean"))
@@ -123,7 +135,7 @@ def q_coerce_total_charges(spark, sf):
 
 @query("coerce_numeric", O.w(O.CLEAN, "SELECT customerID, tenure, SeniorCitizen, MonthlyCharges FROM clean"))
 def q_coerce_numeric(spark, sf):
-    return Tables(spark, sf).clean.select(ID_COL, "tenure", "SeniorCitizen", "MonthlyCharges")
+    return Tables(spark, sf).clean_lazy.select(ID_COL, "tenure", "SeniorCitizen", "MonthlyCharges")
 
 
 @query("encode_target", O.w(O.CLEAN, "SELECT customerID, Churn FROM clean"))
@@ -142,19 +154,19 @@ def q_invalid_target_values(spark, sf):
 @query("invalid_numeric_target", O.w(O.CLEAN,
        "SELECT DISTINCT Churn AS value FROM clean WHERE Churn IS NOT NULL AND Churn NOT IN (0, 1)"))
 def q_invalid_numeric_target(spark, sf):
-    return clean.invalid_numeric_target(Tables(spark, sf).clean)
+    return clean.invalid_numeric_target(Tables(spark, sf).clean_lazy)
 
 
 @query("negative_values", O.w(O.CLEAN, " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count_if({c} < 0) AS BIGINT) AS n_negative FROM clean"
     for c in ["tenure", "MonthlyCharges", "TotalCharges", "SeniorCitizen"])))
 def q_negative_values(spark, sf):
-    return clean.negative_values(Tables(spark, sf).clean)
+    return clean.negative_values(Tables(spark, sf).clean_lazy)
 
 
 @query("project_features", O.w(O.CLEAN, f"SELECT customerID, {', '.join(FEATURES)} FROM clean"))
 def q_project_features(spark, sf):
-    return clean.project_features(Tables(spark, sf).clean)
+    return clean.project_features(Tables(spark, sf).clean_lazy)
 
 
 @query("cleaning_summary", O.w(O.CLEAN, f"""
@@ -171,20 +183,20 @@ def q_cleaning_summary(spark, sf):
 @query("label_name", O.w(O.CLEAN, """
 SELECT customerID, Churn, CASE Churn WHEN 0 THEN 'Sem churn' WHEN 1 THEN 'Churn' END AS ChurnLabel FROM clean"""))
 def q_label_name(spark, sf):
-    return Tables(spark, sf).clean.select(ID_COL, TARGET_COL, label_name(F.col(TARGET_COL)).alias("ChurnLabel"))
+    return Tables(spark, sf).clean_lazy.select(ID_COL, TARGET_COL, label_name(F.col(TARGET_COL)).alias("ChurnLabel"))
 
 
 @query("filter_segments", O.w(O.CLEAN, """
 SELECT customerID, Contract, PaymentMethod FROM clean WHERE Contract IN ('Month-to-month', 'One year')"""))
 def q_filter_segments(spark, sf):
-    df = profile.filter_segments(Tables(spark, sf).clean, FILTER_CONTRACTS, FILTER_PAYMENTS)
+    df = profile.filter_segments(Tables(spark, sf).clean_lazy, FILTER_CONTRACTS, FILTER_PAYMENTS)
     return df.select(ID_COL, "Contract", "PaymentMethod")
 
 
 @query("filtered_count", O.w(O.CLEAN, """
 SELECT CAST(count(*) AS BIGINT) AS n_rows FROM clean WHERE Contract IN ('Month-to-month', 'One year')"""))
 def q_filtered_count(spark, sf):
-    return profile.filtered_count(profile.filter_segments(Tables(spark, sf).clean, FILTER_CONTRACTS, FILTER_PAYMENTS))
+    return profile.filtered_count(profile.filter_segments(Tables(spark, sf).clean_lazy, FILTER_CONTRACTS, FILTER_PAYMENTS))
 
 
 @query("predict_label", O.w(O.TEST, f"""
@@ -201,7 +213,7 @@ def q_risk_band(spark, sf):
 @query("high_risk_flag", O.w(O.SCORED, f"""
 SELECT customerID, p_raw >= {O.dbl(0.3)} AS is_high_risk FROM scored"""))
 def q_high_risk_flag(spark, sf):
-    s = score.score_customers(Tables(spark, sf).clean)
+    s = score.score_customers(Tables(spark, sf).clean_lazy)
     return s.select(ID_COL, high_risk_flag(F.col("p_raw")).alias("is_high_risk"))
 
 
@@ -468,14 +480,14 @@ SELECT 100.0::DOUBLE * CAST(sum(Churn) AS DOUBLE) / count(*) AS churn_pct,
        CAST(coalesce(sum(CASE WHEN Churn = 1 THEN CAST(MonthlyCharges AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS revenue_at_risk,
        CAST(count(*) AS BIGINT) AS n_customers FROM clean"""))
 def q_hero_kpis(spark, sf):
-    return profile.hero_kpis(Tables(spark, sf).clean)
+    return profile.hero_kpis(Tables(spark, sf).clean_lazy)
 
 
 @query("churn_counts", O.w(O.CLEAN, """
 SELECT CASE Churn WHEN 0 THEN 'Sem churn' WHEN 1 THEN 'Churn' END AS ChurnLabel, CAST(count(*) AS BIGINT) AS n
 FROM clean WHERE Contract IN ('Month-to-month', 'One year') GROUP BY 1 ORDER BY 1"""))
 def q_churn_counts(spark, sf):
-    df = profile.filter_segments(Tables(spark, sf).clean, FILTER_CONTRACTS, FILTER_PAYMENTS)
+    df = profile.filter_segments(Tables(spark, sf).clean_lazy, FILTER_CONTRACTS, FILTER_PAYMENTS)
     return profile.churn_counts(profile.with_label(df))
 
 

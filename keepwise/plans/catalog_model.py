@@ -307,7 +307,7 @@ def _whatif_sql() -> str:
 
 @query("whatif_scores", _whatif_sql())
 def q_whatif_scores(spark, sf):
-    return explain.whatif_scores(Tables(spark, sf).clean, WHATIF)
+    return explain.whatif_scores(Tables(spark, sf).clean_lazy, WHATIF)
 
 
 # ---------------------------------------------------------------------------
@@ -342,14 +342,14 @@ SELECT "column", value AS mode, CAST(n AS BIGINT) AS n FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS k
   FROM (SELECT "column", value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE k = 1"""))
 def q_column_mode(spark, sf):
-    return profile.column_mode(Tables(spark, sf).clean)
+    return profile.column_mode(Tables(spark, sf).clean_lazy)
 
 
 @query("distinct_options", O.w(O.CLEAN, f"""
 SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY value) AS INTEGER) AS position
 FROM (SELECT DISTINCT "column", value FROM ({_LONG}) WHERE value IS NOT NULL)"""))
 def q_distinct_options(spark, sf):
-    return profile.distinct_options(Tables(spark, sf).clean)
+    return profile.distinct_options(Tables(spark, sf).clean_lazy)
 
 
 # ---------------------------------------------------------------------------
