@@ -14,6 +14,7 @@ import math
 RISK_LOW_MAX = 0.3       # p < 0.3 -> Low
 RISK_MEDIUM_MAX = 0.6    # p <= 0.6 -> Medium, else High
 RISK_LABELS = ("Low", "Medium", "High")
+RISK_LABELS_DASHBOARD = ("Baixo", "Médio", "Alto")   # same cuts, dashboard wording
 HIGH_RISK_MIN = 0.3      # p >= 0.3 shows the driver list
 
 DEFAULT_THRESHOLD = 0.5

@@ -22,9 +22,9 @@ def relu(z: Column) -> Column:
     return F.greatest(z, F.lit(0.0))
 
 
-def risk_band(p: Column) -> Column:
+def risk_band(p: Column, labels: tuple[str, str, str] = fixed.RISK_LABELS) -> Column:
     """Low below 0.3, Medium up to and including 0.6, High above."""
-    low, med, high = fixed.RISK_LABELS
+    low, med, high = labels
     return (F.when(p < fixed.RISK_LOW_MAX, F.lit(low))
             .when(p <= fixed.RISK_MEDIUM_MAX, F.lit(med))
             .when(p.isNotNull(), F.lit(high)))

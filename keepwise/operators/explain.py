@@ -144,4 +144,5 @@ def whatif_scores(clean: DataFrame, overrides: list[dict], scorer: TermLogit | N
     b6, n6 = F.round("_base", 6), F.round("_new", 6)
     return x.select(ID_COL, "scenario", b6.alias("base_probability"), n6.alias("whatif_probability"),
                     (n6 - b6).alias("delta"), risk_band(F.col("_base")).alias("base_risk"),
-                    risk_band(F.col("_new")).alias("whatif_risk"))
+                    risk_band(F.col("_new")).alias("whatif_risk"),
+                    risk_band(F.col("_new"), fixed.RISK_LABELS_DASHBOARD).alias("whatif_label"))

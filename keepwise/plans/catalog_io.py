@@ -242,7 +242,7 @@ def q_logit_test_metrics(spark, sf):
 @query("stream_scores", O.w(O.SCORED, "SELECT customerID, churn_probability, risk_level FROM scored"))
 def q_stream_scores(spark, sf):
     src, out, ck = (scratch_path(spark, n) for n in ("stream_in", "stream_out", "stream_ck"))
-    Tables(spark, sf).raw.repartition(4).write.mode("overwrite").parquet(src)
-    q = streaming.start_scoring(spark, src, out, ck)
+    Tables(spark, sf).raw.write.mode("overwrite").parquet(src)     # the arriving customer files
+    q = streaming.start_scoring(spark, src, out, ck, max_files_per_trigger=2)
     q.awaitTermination()
     return spark.read.parquet(out)

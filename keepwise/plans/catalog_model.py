@@ -302,7 +302,9 @@ def _whatif_sql() -> str:
     return O.w(O.SCORED + ",\nwi AS (" + " UNION ALL ".join(parts) + ")",
                f"""SELECT customerID, scenario, round(base_p, 6) AS base_probability, round({z}, 6) AS whatif_probability,
   round({z}, 6) - round(base_p, 6) AS delta,
-  {O.BAND.replace('p_raw', 'base_p')} AS base_risk, {O.BAND.replace('p_raw', z)} AS whatif_risk FROM wi""")
+  {O.BAND.replace('p_raw', 'base_p')} AS base_risk, {O.BAND.replace('p_raw', z)} AS whatif_risk,
+  {O.BAND.replace('p_raw', z).replace("'Low'", "'Baixo'").replace("'Medium'", "'Médio'").replace("'High'", "'Alto'")} AS whatif_label
+FROM wi""")
 
 
 @query("whatif_scores", _whatif_sql())

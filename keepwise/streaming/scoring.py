@@ -30,9 +30,11 @@ def scored_stream(spark: SparkSession, input_dir: str, fmt: str = "parquet", sco
 
 
 def start_scoring(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str,
-                  fmt: str = "parquet", scorer=None, available_now: bool = True) -> StreamingQuery:
+                  fmt: str = "parquet", scorer=None, available_now: bool = True,
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Append scored rows to parquet under ``output_dir``."""
-    writer = (scored_stream(spark, input_dir, fmt, scorer).writeStream.format("parquet")
+    writer = (scored_stream(spark, input_dir, fmt, scorer, max_files_per_trigger=max_files_per_trigger)
+              .writeStream.format("parquet")
               .option("path", output_dir).option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,7 +13,9 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from keepwise.session import build_session
 
+    from keepwise.session import checkpoint_dir
+
     s = build_session("local[4]", app="keepwise-tests", shuffle_partitions=8)
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keepwise-test-ckpt-"))
+    checkpoint_dir(s)   # the session's spark.checkpoint.dir, or a scratch folder when unset
     yield s
     s.stop()
