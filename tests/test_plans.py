@@ -34,3 +34,18 @@ def test_sort_is_range_partitioned(spark):
         lambda d: __import__("keepwise.operators.clean", fromlist=["x"]).clean_customers(d)))
     plan = _plan(preds.orderBy(F.col("churn_probability").desc(), "customerID"))
     assert "rangepartitioning" in plan
+
+
+def test_range_partitions_balanced_under_hot_score(spark):
+    """A third of the rows share one score; the unique (score, id) key still
+    spreads them over the range partitions."""
+    df = spark.range(300_000).select(
+        F.col("id").cast("string").alias("customerID"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(1)).alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in df.orderBy(F.col("p").desc(), F.col("customerID").asc())
+                 .select(F.spark_partition_id().alias("pid")).groupBy("pid").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 2 * (300_000 / 8)
