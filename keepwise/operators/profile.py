@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwise.functions import fixed
 from keepwise.functions.scoring import label_name
 from keepwise.operators.rank import exact_quantiles
 from keepwise.schema import CATEGORICAL_FEATURES, TARGET_COL

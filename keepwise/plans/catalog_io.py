@@ -6,18 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwise.functions.scoring import sig_round
-from keepwise.operators import encode, metrics, model, score
+from keepwise.operators import metrics, model, score
 from keepwise.plans import oracle as O
 from keepwise.plans.catalog import Tables, query
 from keepwise.plans.combine import side_by_side
-from keepwise.plans.catalog_model import CATS, ENC, NAMES, SCALER, TRAIN, _encoder, _test, _train
+from keepwise.plans.catalog_model import ENC, _encoder, _test
 from keepwise.schema import ID_COL, TARGET_COL
 from keepwise.session import scratch_path
 from keepwise.sources import params, sinks
 from keepwise.streaming import scoring as streaming
 
-_ = (CATS, NAMES, SCALER, TRAIN)
-
 
 # ---------------------------------------------------------------------------
 # sinks, read back
