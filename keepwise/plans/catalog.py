@@ -17,7 +17,7 @@ from keepwise.functions import fixed
 from keepwise.functions.scoring import high_risk_flag, label_name, predict_label
 from keepwise.operators import campaign, clean, metrics, profile, score, split
 from keepwise.plans import oracle as O
-from keepwise.plans.materialize import materialize
+from keepwise.plans.reuse import reuse_or_write, reused
 from keepwise.schema import FEATURES, ID_COL, TARGET_COL
 from keepwise.sources import fixture, readers
 
@@ -39,13 +39,19 @@ class Tables:
 
     The customer table is an aggregate of ``orders``; a query that makes
     several passes (fitting parameters, counting, then the result) must not
-    re-scan ``orders`` for each, so ``clean`` and ``split`` are written once to
-    the shared checkpoint folder (``materialize``) and every later pass reads
-    that compact table.
+    re-scan ``orders`` for each, and neither should the next report. So
+    ``clean``, ``split`` and the risk ranking are written once to the shared
+    checkpoint folder and reused while the input files are unchanged
+    (``plans.reuse``); every later pass reads those compact tables.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        base = sf_dir.rstrip("/")
+        self.inputs = [f"{base}/customer.parquet", f"{base}/orders.parquet"]
+
+    def _reuse(self, name: str, build) -> DataFrame:
+        return reuse_or_write(self.spark, name, self.inputs, build)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -53,15 +59,18 @@ class Tables:
 
     @cached_property
     def clean_lazy(self) -> DataFrame:
-        return clean.clean_customers(self.raw)
+        """The cleaned table for one-pass reports: the written copy when one
+        exists, else derived on the fly."""
+        hit = reused(self.spark, "customers", self.inputs)
+        return hit if hit is not None else clean.clean_customers(self.raw)
 
     @cached_property
     def clean(self) -> DataFrame:
-        return materialize(self.clean_lazy, "customers")
+        return self._reuse("customers", lambda: clean.clean_customers(self.raw))
 
     @cached_property
     def split(self) -> DataFrame:
-        return materialize(split.stratified_split(self.clean_lazy), "customers_split")
+        return self._reuse("customers_split", lambda: split.stratified_split(self.clean))
 
     @cached_property
     def test_scores(self) -> DataFrame:
@@ -69,7 +78,7 @@ class Tables:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return score.rank_by_risk(self.test_scores)
+        return self._reuse("test_ranked_fixed", lambda: score.rank_by_risk(self.test_scores))
 
     @cached_property
     def preds(self) -> DataFrame:

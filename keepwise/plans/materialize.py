@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame
 from keepwise.session import scratch_path
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return the re-read table."""
+def materialize_at(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared checkpoint folder; return the re-read table and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and return the re-read table."""
+    return materialize_at(df, name)[0]
