@@ -79,41 +79,93 @@ def score_histogram(scored: DataFrame, score: str = "score", label: str = "y") -
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
-                    group_by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
-    """Linear-interpolation quantiles, exact, without gathering a group's values.
+                    group_by: list[str] | None = None, names: list[str] | None = None,
+                    accuracy: int = 10000) -> DataFrame:
+    """Linear-interpolation quantiles, exact, without sorting the whole column.
 
     For a group of ``n`` sorted values ``v1..vn`` and probability ``q``:
     ``h = (n-1) q``, result ``v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h)``
-    (0-based positions). Only the rows at the needed positions survive the filter
-    before the final per-group aggregate.
+    (0-based positions).
+
+    1. one aggregate: group sizes and ``percentile_approx`` brackets at
+       ``q -/+ 3/accuracy`` (a sketch; one row per group to the driver);
+    2. one aggregate: rows below each bracket and inside it - a bracket that
+       does not contain both needed positions widens to the group's range, so
+       the result is exact whatever the sketch returns;
+    3. only the rows inside a bracket (about ``6 n / accuracy`` per quantile)
+       are ranked (``global_rank``), and the needed positions picked.
+    Groups are few (labels); their brackets travel as literals.
     """
     group_by = list(group_by or [])
     names = names or [f"q{i}" for i in range(len(probs))]
-    base = (df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
+    eps = 3.0 / accuracy
+    edges = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps)})
+    gcols = [F.col(g) for g in group_by]
+    stats_df = base.groupBy(*gcols) if group_by else base.groupBy()
+    stats = stats_df.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                         F.percentile_approx("_v", edges, accuracy).alias("_ap")).collect()
+    if not stats:
+        return base.sparkSession.createDataFrame([], ", ".join(
+            [f"`{g}` {t}" for g, t in df.select(*group_by).dtypes] + [f"`{nm}` DOUBLE" for nm in names]))
+
+    def gkey(row):
+        return tuple(row[g] for g in group_by)
+
+    def in_group(key):
+        cond = F.lit(True)
+        for g, v in zip(group_by, key):
+            cond = cond & (F.col(g).isNull() if v is None else (F.col(g) == F.lit(v)))
+        return cond
+
+    # positions (1-based) and brackets per (group, quantile)
+    plan = []
+    for row in stats:
+        n, ap = row["_n"], dict(zip(edges, row["_ap"]))
+        for qi, q in enumerate(probs):
+            h = (n - 1) * float(q)
+            lo_pos, hi_pos = int(h // 1) + 1, int(-(-h // 1)) + 1
+            a = ap[min(1.0, max(0.0, q - eps))]
+            b = ap[min(1.0, max(0.0, q + eps))]
+            plan.append({"key": gkey(row), "qi": qi, "h": h, "lo_pos": lo_pos, "hi_pos": hi_pos,
+                         "a": a, "b": b, "min": row["_lo"], "max": row["_hi"]})
+    # verify brackets with exact counts; widen the ones that miss
+    checks = []
+    for k, p in enumerate(plan):
+        g = in_group(p["key"])
+        checks += [F.count_if(g & (F.col("_v") < F.lit(p["a"]))).alias(f"b{k}"),
+                   F.count_if(g & (F.col("_v") >= F.lit(p["a"])) & (F.col("_v") <= F.lit(p["b"]))).alias(f"i{k}")]
+    counted = base.agg(*checks).first()
+    for k, p in enumerate(plan):
+        below, inside = counted[f"b{k}"], counted[f"i{k}"]
+        if not (below < p["lo_pos"] and below + inside >= p["hi_pos"]):
+            p["a"], p["b"], below = p["min"], p["max"], 0
+        p["below"] = below
+    # rank only the bracketed rows, per (group, quantile)
+    tags = [F.when(in_group(p["key"]) & (F.col("_v") >= F.lit(p["a"])) & (F.col("_v") <= F.lit(p["b"])), F.lit(k))
+            for k, p in enumerate(plan)]
+    band = (base.select(*group_by, "_v", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("_k"))
             .withColumn("_u", F.monotonically_increasing_id()))
-    # the unique tiebreaker lets the range partitioner split a hot value over many tasks
-    ranked = global_rank(base, [F.col("_v").asc(), F.col("_u").asc()], partition_by=group_by,
-                         rank_col="_r", size_col="_n")
-    pos = {}
-    for q, nm in zip(probs, names):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        pos[nm] = (h, F.floor(h) + 1, F.ceil(h) + 1)
-    keep = None
-    for h, lo, hi in pos.values():
-        cond = (F.col("_r") == lo) | (F.col("_r") == hi)
-        keep = cond if keep is None else keep | cond
-    picked = ranked.filter(keep)
-    aggs = []
-    for nm, (h, lo, hi) in pos.items():
-        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"{nm}__lo"),
-                 F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"{nm}__hi"),
-                 F.max(h - F.floor(h)).alias(f"{nm}__d")]
-    agg = picked.groupBy(*group_by).agg(*aggs) if group_by else picked.agg(*aggs)
-    out = [F.col(g) for g in group_by]
-    for nm in names:
-        lo, hi, d = F.col(f"{nm}__lo"), F.col(f"{nm}__hi"), F.col(f"{nm}__d")
-        out.append(F.when(d == 0, lo).otherwise(lo + (hi - lo) * d).alias(nm))
-    return agg.select(*out)
+    ranked = global_rank(band, [F.col("_v").asc(), F.col("_u").asc()], partition_by=["_k"], rank_col="_r")
+    below_of = F.element_at(F.array(*[F.lit(int(p["below"])) for p in plan]), F.col("_k") + 1)
+    lo_of = F.element_at(F.array(*[F.lit(p["lo_pos"]) for p in plan]), F.col("_k") + 1)
+    hi_of = F.element_at(F.array(*[F.lit(p["hi_pos"]) for p in plan]), F.col("_k") + 1)
+    pos = F.col("_r") + below_of
+    picked = ranked.filter((pos == lo_of) | (pos == hi_of))
+    vals = picked.groupBy("_k").agg(F.max(F.when(pos == lo_of, F.col("_v"))).alias("_vlo"),
+                                    F.max(F.when(pos == hi_of, F.col("_v"))).alias("_vhi"))
+    frac = F.element_at(F.array(*[F.lit(p["h"] - (p["h"] // 1)) for p in plan]), F.col("_k") + 1)
+    gq = vals.select("_k", F.when(frac == 0, F.col("_vlo"))
+                     .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("_q"))
+    # back to one row per group: the (group, quantile) index decodes to literals
+    out_cols = []
+    for gi, g in enumerate(group_by):
+        out_cols.append(F.element_at(F.array(*[F.lit(p["key"][gi]) for p in plan]), F.col("_k") + 1).alias(g))
+    qi_of = F.element_at(F.array(*[F.lit(p["qi"]) for p in plan]), F.col("_k") + 1)
+    long = gq.select(*out_cols, qi_of.alias("_qi"), "_q")
+    return long.groupBy(*group_by).agg(*[F.max(F.when(F.col("_qi") == qi, F.col("_q"))).alias(nm)
+                                         for qi, nm in enumerate(names)])
 
 
 def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str] | None = None,

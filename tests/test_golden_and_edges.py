@@ -207,3 +207,17 @@ def test_split_is_disjoint_complete_and_stratified(spark):
     assert counts[("test", 1)] == 45 and counts[("validation", 1)] == 45
     with pytest.raises(ValueError):
         split.stratified_split(df, train_ratio=0.8)
+
+
+@pytest.mark.parametrize("accuracy", [1, 50, 10000])
+def test_exact_quantiles_bracketing_any_accuracy(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    vals = np.concatenate([np.full(4000, 7.0), rng.integers(0, 50, 8000).astype(float), rng.normal(size=3000)])
+    groups = rng.integers(0, 3, len(vals))
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g INT, v DOUBLE")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.g: r for r in rank.exact_quantiles(df, "v", probs, ["g"], [f"p{i}" for i in range(7)],
+                                                accuracy=accuracy).collect()}
+    for g in range(3):
+        ref = np.percentile(vals[groups == g], [p * 100 for p in probs])
+        assert np.allclose([got[g][f"p{i}"] for i in range(7)], ref, rtol=0, atol=1e-9)
