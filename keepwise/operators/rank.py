@@ -78,6 +78,37 @@ def score_histogram(scored: DataFrame, score: str = "score", label: str = "y") -
                                      F.sum(F.lit(1) - y).alias("neg"))
 
 
+MAX_BRACKET_GROUPS = 1000
+
+
+def _exact_quantiles_sorted(base: DataFrame, probs: list[float], group_by: list[str],
+                            names: list[str]) -> DataFrame:
+    """Same result by ranking every value (``global_rank`` per group)."""
+    base = base.withColumn("_u", F.monotonically_increasing_id())
+    ranked = global_rank(base, [F.col("_v").asc(), F.col("_u").asc()], partition_by=group_by,
+                         rank_col="_r", size_col="_n")
+    pos = {}
+    for q, nm in zip(probs, names):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        pos[nm] = (h, F.floor(h) + 1, F.ceil(h) + 1)
+    keep = None
+    for h, lo, hi in pos.values():
+        cond = (F.col("_r") == lo) | (F.col("_r") == hi)
+        keep = cond if keep is None else keep | cond
+    picked = ranked.filter(keep)
+    aggs = []
+    for nm, (h, lo, hi) in pos.items():
+        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"{nm}__lo"),
+                 F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"{nm}__hi"),
+                 F.max(h - F.floor(h)).alias(f"{nm}__d")]
+    agg = picked.groupBy(*group_by).agg(*aggs) if group_by else picked.agg(*aggs)
+    out = [F.col(g) for g in group_by]
+    for nm in names:
+        lo, hi, d = F.col(f"{nm}__lo"), F.col(f"{nm}__hi"), F.col(f"{nm}__d")
+        out.append(F.when(d == 0, lo).otherwise(lo + (hi - lo) * d).alias(nm))
+    return agg.select(*out)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
                     group_by: list[str] | None = None, names: list[str] | None = None,
                     accuracy: int = 10000) -> DataFrame:
@@ -105,7 +136,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     gcols = [F.col(g) for g in group_by]
     stats_df = base.groupBy(*gcols) if group_by else base.groupBy()
     stats = stats_df.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                         F.percentile_approx("_v", edges, accuracy).alias("_ap")).collect()
+                         F.percentile_approx("_v", edges, accuracy).alias("_ap")).limit(MAX_BRACKET_GROUPS + 1).collect()
+    if len(stats) > MAX_BRACKET_GROUPS:
+        # many groups: their brackets would not be literals any more; rank by sort
+        return _exact_quantiles_sorted(base, probs, group_by, names)
     if not stats:
         return base.sparkSession.createDataFrame([], ", ".join(
             [f"`{g}` {t}" for g, t in df.select(*group_by).dtypes] + [f"`{nm}` DOUBLE" for nm in names]))

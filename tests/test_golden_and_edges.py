@@ -221,3 +221,14 @@ def test_exact_quantiles_bracketing_any_accuracy(spark, accuracy):
     for g in range(3):
         ref = np.percentile(vals[groups == g], [p * 100 for p in probs])
         assert np.allclose([got[g][f"p{i}"] for i in range(7)], ref, rtol=0, atol=1e-9)
+
+
+def test_exact_quantiles_many_groups_uses_sort_path(spark, monkeypatch):
+    monkeypatch.setattr(rank, "MAX_BRACKET_GROUPS", 2)
+    rng = np.random.default_rng(9)
+    vals = rng.integers(0, 30, 3000).astype(float)
+    groups = rng.integers(0, 5, len(vals))
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g INT, v DOUBLE")
+    got = {r.g: r for r in rank.exact_quantiles(df, "v", [0.3, 0.5], ["g"], ["a", "b"]).collect()}
+    for g in range(5):
+        assert np.allclose([got[g].a, got[g].b], np.percentile(vals[groups == g], [30, 50]), atol=1e-12)
