@@ -43,17 +43,24 @@ def shuffle_params(n: int, n_repeats: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def linear_scorer(weights: list[float], intercept: float, dp: int | None = 6):
-    """Score builder ``get(j) -> Column`` => probability, folded in index order
-    over the non-zero weights."""
-    def fn(get) -> Column:
-        z = F.lit(float(intercept))
-        for j, w in enumerate(weights):
-            if w != 0.0:
-                z = z + F.lit(float(w)) * get(j)
+class LinearArrayScorer:
+    """``p = round(sigmoid(intercept + sum_j w_j x_j), dp)`` over an
+    ``ARRAY<DOUBLE>``, as higher-order functions: the expression stays the same
+    size whatever the number of features. The fold runs left to right from the
+    intercept; zero weights add +-0.0, so the result equals the sparse fold."""
+
+    def __init__(self, weights: list[float], intercept: float, dp: int | None = 6):
+        self.weights, self.intercept, self.dp = [float(w) for w in weights], float(intercept), dp
+
+    def score(self, arr: Column) -> Column:
+        w = F.array(*[F.lit(v) for v in self.weights])
+        z = F.aggregate(F.zip_with(arr, w, lambda a, b: a * b), F.lit(self.intercept), lambda acc, v: acc + v)
         p = sigmoid(z)
-        return F.round(p, dp) if dp is not None else p
-    return fn
+        return F.round(p, self.dp) if self.dp is not None else p
+
+
+def linear_scorer(weights: list[float], intercept: float, dp: int | None = 6) -> LinearArrayScorer:
+    return LinearArrayScorer(weights, intercept, dp)
 
 
 def _auc_by(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,13 +82,15 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
     idx, joined = _join_partners(design, n_repeats, seed, label, features)
 
     x, xp = F.col("x"), F.col("xp")
-    perm_scores = F.array(*[score_fn(lambda j, f=f: F.get(xp, j) if j == f else F.get(x, j)) for f in range(d)])
+    # one permuted score per feature f: x with position f taken from the partner row
+    perm_scores = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda f: score_fn.score(
+        F.transform(x, lambda v, j: F.when(j == f, F.get(xp, j)).otherwise(v))))
     long = joined.select("r", "y", F.posexplode(perm_scores).alias("f", "s"))
     hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
                                            F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     aucs = _auc_by(hist, ["r", "f"])
 
-    base_hist = (idx.select("y", score_fn(lambda j: F.get(x, j)).alias("s"))
+    base_hist = (idx.select("y", score_fn.score(x).alias("s"))
                  .groupBy("s").agg(F.sum("y").cast("bigint").alias("pos"),
                                    F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
                  .withColumn("_k", F.lit(0)))
