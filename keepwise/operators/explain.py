@@ -49,8 +49,8 @@ def _fmt_one_decimal(x: Column) -> Column:
     return F.regexp_replace(F.format_number(x, 1), ",", "")
 
 
-def driver_array(median_charge: float | None) -> Column:
-    """Ordered rule hits per row as ARRAY<STRUCT<rule, segment, driver, why, action>>."""
+def _driver_rules(median_charge: float | None) -> list[tuple[Column, Column]]:
+    """(hit, driver text) per rule, in rule order."""
     texts = fixed.DRIVER_TEXTS
     contract, tenure = F.col("Contract"), F.col("tenure")
     pay, inet, charge = F.col("PaymentMethod").cast("string"), F.col("InternetService").cast("string"), F.col("MonthlyCharges")
@@ -75,21 +75,30 @@ def driver_array(median_charge: float | None) -> Column:
             return F.concat(F.lit(a), _fmt_one_decimal(charge), F.lit(b))
         return F.lit(label)
 
-    items = []
-    for i, cond in enumerate(conds):
-        s = F.struct(F.lit(i + 1).alias("rule"), F.lit(fixed.DRIVER_SEGMENTS[i]).alias("segment"),
-                     driver_text(i).alias("driver"), F.lit(texts[i][1]).alias("why"),
-                     F.lit(texts[i][2]).alias("action"))
-        items.append(F.when(F.coalesce(cond, F.lit(False)), s))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return [(F.coalesce(c, F.lit(False)), driver_text(i)) for i, c in enumerate(conds)]
+
+
+def _driver_rows(df: DataFrame, median_charge: float | None, keep: list[str] | None = None) -> DataFrame:
+    """One row per (customer, matched rule). A rule's position is one plus the
+    number of earlier rules matched: column arithmetic, then ``explode`` of the
+    five candidates and a filter - no per-row lambda, no window."""
+    rules = _driver_rules(median_charge)
+    texts = fixed.DRIVER_TEXTS
+    items, seen = [], F.lit(0)
+    for i, (hit, text) in enumerate(rules):
+        items.append(F.struct(hit.alias("hit"), (seen + 1).cast("int").alias("position"),
+                              F.lit(i + 1).alias("rule"), F.lit(fixed.DRIVER_SEGMENTS[i]).alias("segment"),
+                              text.alias("driver"), F.lit(texts[i][1]).alias("why"),
+                              F.lit(texts[i][2]).alias("action")))
+        seen = seen + hit.cast("int")
+    keep = keep or []
+    return (df.select(ID_COL, *keep, F.explode(F.array(*items)).alias("_s")).filter("_s.hit")
+            .select(ID_COL, *keep, "_s.position", "_s.rule", "_s.segment", "_s.driver", "_s.why", "_s.action"))
 
 
 def risk_drivers(clean: DataFrame, median_charge: float | None) -> DataFrame:
     """One row per (customer, matched rule) with its 1-based position."""
-    arr = clean.select(ID_COL, driver_array(median_charge).alias("_d"))
-    return arr.select(ID_COL, F.posexplode("_d").alias("_p", "_s")).select(
-        ID_COL, (F.col("_p") + 1).cast("int").alias("position"), "_s.rule", "_s.segment", "_s.driver",
-        "_s.why", "_s.action")
+    return _driver_rows(clean, median_charge)
 
 
 def top3_drivers(clean: DataFrame, median_charge: float | None, scorer: TermLogit | None = None,
@@ -97,12 +106,11 @@ def top3_drivers(clean: DataFrame, median_charge: float | None, scorer: TermLogi
     """First three rules per customer; with ``gate`` only customers whose
     probability is at least 0.3 (the others get no list)."""
     scorer = scorer or fixed_logit()
-    df = clean.withColumn("_p", scorer.probability())
+    df = clean
     if gate:
-        df = df.filter(high_risk_flag(F.col("_p")))
-    arr = df.select(ID_COL, F.slice(driver_array(median_charge), 1, 3).alias("_d"))
-    return arr.select(ID_COL, F.posexplode("_d").alias("_p", "_s")).select(
-        ID_COL, (F.col("_p") + 1).cast("int").alias("position"), "_s.driver", "_s.action")
+        df = df.filter(high_risk_flag(scorer.probability()))
+    return _driver_rows(df, median_charge).filter(F.col("position") <= 3).select(
+        ID_COL, "position", "driver", "action")
 
 
 def playbook_table(spark) -> DataFrame:
