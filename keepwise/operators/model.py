@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,7 +185,9 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     _, cw = class_weight_column(data.filter("is_train").withColumn("_c", F.col("y").cast("int")), "_c")
     data = data.withColumn("w", F.when(F.col("is_train"), F.when(F.col("y") == 1.0, F.lit(cw.get(1, 1.0)))
                                        .otherwise(F.lit(cw.get(0, 1.0)))).otherwise(F.lit(1.0)))
-    data = materialize(data, "design")   # one copy of the design; every epoch re-reads it
+    # written once (lineage cut), then kept in executor memory/disk for the epochs;
+    # a lost executor re-reads its part of the written table
+    data = materialize(data, "design").persist(StorageLevel.MEMORY_AND_DISK)
     counts = data.groupBy("is_train").count().collect()
     n_train = sum(r["count"] for r in counts if r["is_train"])
     n_val = sum(r["count"] for r in counts if not r["is_train"])
@@ -247,6 +250,7 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
         mh, vh = m / (1 - beta1 ** epoch), v / (1 - beta2 ** epoch)
         theta = theta - lr * mh / (np.sqrt(vh) + 1e-7)
     log.epochs_run = len(log.history)
+    data.unpersist()
     return MLPParams.unflat(best, shapes, dropout), log
 
 
