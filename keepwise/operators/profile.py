@@ -57,29 +57,31 @@ def churn_counts(labelled: DataFrame) -> DataFrame:
             .orderBy("ChurnLabel"))
 
 
+def _long_numeric(df: DataFrame, columns, keep: list[str]) -> DataFrame:
+    cols = list(columns)
+    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        keep, cols, "column", "value")
+
+
 def box_stats(labelled: DataFrame, columns=("tenure", "MonthlyCharges"), by: str = "ChurnLabel") -> DataFrame:
-    """Per label and column: min, q1, median, q3, max (linear interpolation)."""
-    out = None
-    for c in columns:
-        q = exact_quantiles(labelled, c, [0.0, 0.25, 0.5, 0.75, 1.0], group_by=[by],
-                            names=["min", "q1", "median", "q3", "max"])
-        q = q.select(by, F.lit(c).alias("column"), "min", "q1", "median", "q3", "max")
-        out = q if out is None else out.unionByName(q)
-    return out
+    """Per label and column: min, q1, median, q3, max (linear interpolation);
+    all columns in one quantile pass over the unpivoted values."""
+    long = _long_numeric(labelled, columns, [by])
+    return exact_quantiles(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], group_by=[by, "column"],
+                           names=["min", "q1", "median", "q3", "max"])
 
 
 def column_profile(clean: DataFrame, columns=("tenure", "MonthlyCharges", "TotalCharges"),
                    lower_bounds: dict | None = None) -> DataFrame:
-    """Per column: min, max, median (the form pins the TotalCharges minimum at 0)."""
+    """Per column: min, max, median (the form pins the TotalCharges minimum at 0);
+    min and max are the 0 and 1 quantiles of the same single pass."""
     lower_bounds = {"TotalCharges": 0.0} if lower_bounds is None else lower_bounds
-    out = None
-    for c in columns:
-        # min and max are the 0 and 1 quantiles: one ranked pass, no join
-        q = exact_quantiles(clean, c, [0.0, 1.0, 0.5], names=["min", "max", "median"])
-        lo = F.lit(float(lower_bounds[c])) if c in lower_bounds else F.col("min")
-        q = q.select(F.lit(c).alias("column"), F.col("min"), lo.alias("slider_min"), "max", "median")
-        out = q if out is None else out.unionByName(q)
-    return out
+    q = exact_quantiles(_long_numeric(clean, columns, []), "value", [0.0, 1.0, 0.5], group_by=["column"],
+                        names=["min", "max", "median"])
+    lo = F.col("min")
+    for c, v in lower_bounds.items():
+        lo = F.when(F.col("column") == c, F.lit(float(v))).otherwise(lo)
+    return q.select("column", "min", lo.alias("slider_min"), "max", "median")
 
 
 def _long_values(df: DataFrame, columns) -> DataFrame:
