@@ -203,14 +203,19 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     schema = "part ARRAY<DOUBLE>"
     n_theta = len(theta)
 
-    for epoch in range(1, epochs + 1):
+    # Job j computes, at the current weights, the training gradient and loss
+    # and the validation loss. The validation loss belongs to the end of epoch
+    # j-1 (as in Keras: after that epoch's update), so history rows trail by one
+    # job and a last job only closes the final epoch.
+    pending = None                       # (epoch, training loss) awaiting its validation loss
+    for job in range(1, epochs + 2):
         cur = MLPParams.unflat(theta, shapes, dropout)
 
-        def partials(it, cur=cur, epoch=epoch):
+        def partials(it, cur=cur, job=job):
             from pyspark import TaskContext
 
             ctx = TaskContext.get()
-            rng = np.random.default_rng([seed, epoch, ctx.partitionId() if ctx else 0])
+            rng = np.random.default_rng([seed, job, ctx.partitionId() if ctx else 0])
             g = np.zeros(n_theta)
             tl, vl = 0.0, 0.0
             for pdf in it:
@@ -237,17 +242,22 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
         grad = vec[:n_theta]
         loss = vec[n_theta] / max(1, n_train)
         val_loss = vec[n_theta + 1] / max(1, n_val)
-        log.history.append((epoch, loss, val_loss))
-        if val_loss < best_loss:
-            best, best_loss, wait, log.best_epoch = theta.copy(), val_loss, 0, epoch
-        else:
-            wait += 1
-            if wait >= patience:
-                break
+        if pending is not None:
+            epoch, train_loss = pending
+            log.history.append((epoch, train_loss, val_loss))
+            if val_loss < best_loss:
+                best, best_loss, wait, log.best_epoch = theta.copy(), val_loss, 0, epoch
+            else:
+                wait += 1
+                if wait >= patience:
+                    break
+        if job == epochs + 1:
+            break
+        pending = (job, loss)
         g = grad / max(1, n_train)
         m = beta1 * m + (1 - beta1) * g
         v = beta2 * v + (1 - beta2) * g * g
-        mh, vh = m / (1 - beta1 ** epoch), v / (1 - beta2 ** epoch)
+        mh, vh = m / (1 - beta1 ** job), v / (1 - beta2 ** job)
         theta = theta - lr * mh / (np.sqrt(vh) + 1e-7)
     log.epochs_run = len(log.history)
     data.unpersist()
