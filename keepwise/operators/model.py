@@ -175,10 +175,25 @@ class TrainLog:
         return spark.createDataFrame(rows, "epoch INT, loss DOUBLE, val_loss DOUBLE, is_best BOOLEAN")
 
 
+def _adam(theta, m, v, g, t, lr, beta1, beta2):
+    m = beta1 * m + (1 - beta1) * g
+    v = beta2 * v + (1 - beta2) * g * g
+    mh, vh = m / (1 - beta1 ** t), v / (1 - beta2 ** t)
+    return theta - lr * mh / (np.sqrt(vh) + 1e-7), m, v
+
+
 def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hidden=(64, 32),
-              dropout: float = 0.3, lr: float = 0.01, epochs: int = 200, patience: int = 10,
-              seed: int = 42, beta1: float = 0.9, beta2: float = 0.999) -> tuple[MLPParams, TrainLog]:
-    """Train on rows with ``split == 'train'``; stop on the validation rows."""
+              dropout: float = 0.3, lr: float | None = None, epochs: int = 200, patience: int = 10,
+              seed: int = 42, beta1: float = 0.9, beta2: float = 0.999,
+              batch_size: int | None = None) -> tuple[MLPParams, TrainLog]:
+    """Train on rows with ``split == 'train'``; stop on the validation rows.
+
+    ``batch_size=None``: one full-batch Adam step per epoch (learning rate 0.01).
+    ``batch_size=32``: every task runs mini-batch Adam over its rows from the
+    epoch's starting weights and optimiser state, and the driver averages the
+    resulting weights and moments by row count (learning rate 0.001) - still one
+    job per epoch."""
+    lr = lr if lr is not None else (0.01 if batch_size is None else 0.001)
     data = design.filter(F.col(split_col).isin("train", "validation")).select(
         F.col("features"), F.col(label).cast("double").alias("y"),
         (F.col(split_col) == "train").alias("is_train"))
@@ -202,6 +217,7 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     log = TrainLog()
     schema = "part ARRAY<DOUBLE>"
     n_theta = len(theta)
+    t_global = 0
 
     # Job j computes, at the current weights, the training gradient and loss
     # and the validation loss. The validation loss belongs to the end of epoch
@@ -210,38 +226,58 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     pending = None                       # (epoch, training loss) awaiting its validation loss
     for job in range(1, epochs + 2):
         cur = MLPParams.unflat(theta, shapes, dropout)
+        local = batch_size is not None
 
-        def partials(it, cur=cur, job=job):
+        def partials(it, cur=cur, job=job, theta0=theta, m0=m, v0=v, t0=t_global):
             from pyspark import TaskContext
 
             ctx = TaskContext.get()
             rng = np.random.default_rng([seed, job, ctx.partitionId() if ctx else 0])
             g = np.zeros(n_theta)
-            tl, vl = 0.0, 0.0
+            th, mm, vv, t = theta0.copy(), m0.copy(), v0.copy(), t0
+            tl, vl, nt, steps = 0.0, 0.0, 0, 0
             for pdf in it:
                 if pdf.empty:
                     continue
                 X = np.vstack(pdf["features"].to_numpy())
                 y, w, tr = pdf["y"].to_numpy(), pdf["w"].to_numpy(), pdf["is_train"].to_numpy()
-                if tr.any():
-                    gi, li = _grad_sums(cur, X[tr], y[tr], w[tr], rng)
-                    g += gi
-                    tl += li
                 if (~tr).any():
                     vl += float(np.sum(_bce(cur.forward(X[~tr]), y[~tr])))
-            # gradient sums, then train loss sum and validation loss sum
-            yield pd.DataFrame({"part": [np.concatenate([g, [tl, vl]]).tolist()]})
+                if not tr.any():
+                    continue
+                Xt, yt, wt = X[tr], y[tr], w[tr]
+                nt += len(yt)
+                if not local:
+                    gi, li = _grad_sums(cur, Xt, yt, wt, rng)
+                    g += gi
+                    tl += li
+                    continue
+                order = rng.permutation(len(yt))
+                for b in range(0, len(order), batch_size):
+                    sel = order[b:b + batch_size]
+                    gi, li = _grad_sums(MLPParams.unflat(th, shapes, dropout), Xt[sel], yt[sel], wt[sel], rng)
+                    t += 1
+                    steps += 1
+                    th, mm, vv = _adam(th, mm, vv, gi / len(sel), t, lr, beta1, beta2)
+                    tl += li
+            if local:   # row-weighted sums of the local end states
+                body = np.concatenate([th * nt, mm * nt, vv * nt])
+                tail = [tl, vl, float(nt), float(steps * nt)]
+            else:       # gradient sums
+                body, tail = g, [tl, vl, float(nt), 0.0]
+            yield pd.DataFrame({"part": [np.concatenate([body, tail]).tolist()]})
 
         # element-wise sum across tasks on the executors; the driver gets one vector
+        width = 3 * n_theta if local else n_theta
         summed = (data.mapInPandas(partials, schema)
                   .select(F.posexplode("part").alias("i", "v"))
                   .groupBy("i").agg(F.sum("v").alias("v")).collect())
-        vec = np.zeros(n_theta + 2)
+        vec = np.zeros(width + 4)
         for r in summed:
             vec[r["i"]] = r["v"]
-        grad = vec[:n_theta]
-        loss = vec[n_theta] / max(1, n_train)
-        val_loss = vec[n_theta + 1] / max(1, n_val)
+        loss = vec[width] / max(1, n_train)
+        val_loss = vec[width + 1] / max(1, n_val)
+        rows = max(1.0, vec[width + 2])
         if pending is not None:
             epoch, train_loss = pending
             log.history.append((epoch, train_loss, val_loss))
@@ -254,11 +290,12 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
         if job == epochs + 1:
             break
         pending = (job, loss)
-        g = grad / max(1, n_train)
-        m = beta1 * m + (1 - beta1) * g
-        v = beta2 * v + (1 - beta2) * g * g
-        mh, vh = m / (1 - beta1 ** job), v / (1 - beta2 ** job)
-        theta = theta - lr * mh / (np.sqrt(vh) + 1e-7)
+        if local:        # row-weighted average of the tasks' end states
+            theta, m, v = (vec[k * n_theta:(k + 1) * n_theta] / rows for k in range(3))
+            t_global += int(round(vec[width + 3] / rows))
+        else:
+            t_global += 1
+            theta, m, v = _adam(theta, m, v, vec[:n_theta] / max(1, n_train), t_global, lr, beta1, beta2)
     log.epochs_run = len(log.history)
     data.unpersist()
     return MLPParams.unflat(best, shapes, dropout), log

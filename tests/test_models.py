@@ -51,3 +51,13 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([(0,)] * 75 + [(1,)] * 25, "y INT")
     _, w = model.class_weight_column(df, "y")
     assert w == {0: 100 / 150, 1: 100 / 50}
+
+
+def test_mlp_local_minibatch_mode_learns(spark):
+    t = Tables(spark, SF_MID)
+    enc = _encoder(t)
+    p, log = model.train_mlp(_design(t, enc), epochs=8, patience=3, batch_size=32)
+    assert log.epochs_run >= 1 and log.history[-1][1] < log.history[0][1] * 1.5
+    test = t.split.filter(F.col("split") == "test")
+    auc = metrics.roc_auc(score.scored_outcomes(test, model.MLPScorer(p, enc))).first().roc_auc
+    assert auc > 0.6
