@@ -43,6 +43,9 @@ def fit_onehot(train: DataFrame, categorical: list[str] | None = None) -> DataFr
     return long.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
 
 
+MAX_CATEGORIES = 10_000   # per feature; one 0/1 column each
+
+
 @dataclass
 class Encoder:
     """Fitted parameters, small enough to live in the driver and in closures."""
@@ -60,6 +63,12 @@ class Encoder:
     @classmethod
     def from_tables(cls, scaler: DataFrame, onehot: DataFrame, numeric: list[str],
                     categorical: list[str]) -> "Encoder":
+        # the categories become literals in every task: check their number first
+        wide = (onehot.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
+                .filter(F.col("k") > MAX_CATEGORIES).limit(5).collect())
+        if wide:
+            raise ValueError(f"too many categories for one-hot encoding (>{MAX_CATEGORIES}): "
+                             f"{sorted(r['feature'] for r in wide)}")
         sc = {r["feature"]: (r["mean"], r["scale"]) for r in scaler.collect()}
         cats: dict[str, list] = {c: [] for c in categorical}
         for r in onehot.orderBy("feature", "position").collect():

@@ -232,3 +232,16 @@ def test_exact_quantiles_many_groups_uses_sort_path(spark, monkeypatch):
     got = {r.g: r for r in rank.exact_quantiles(df, "v", [0.3, 0.5], ["g"], ["a", "b"]).collect()}
     for g in range(5):
         assert np.allclose([got[g].a, got[g].b], np.percentile(vals[groups == g], [30, 50]), atol=1e-12)
+
+
+def test_encoder_rejects_huge_cardinality(spark, monkeypatch):
+    from keepwise.operators import encode
+
+    monkeypatch.setattr(encode, "MAX_CATEGORIES", 3)
+    cols = NUMERIC_FEATURES + CATEGORICAL_FEATURES
+    rows = [tuple([1, 1.0, 1.0, 0] + [f"v{i}" if c == "gender" else "x" for c in CATEGORICAL_FEATURES])
+            for i in range(5)]
+    schema = ", ".join(f"{c} {'INT' if c in ('tenure', 'SeniorCitizen') else 'DOUBLE' if c in NUMERIC_FEATURES else 'STRING'}"
+                       for c in cols)
+    with pytest.raises(ValueError, match="gender"):
+        Encoder.fit(spark.createDataFrame(rows, schema))
