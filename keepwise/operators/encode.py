@@ -131,7 +131,7 @@ def encode_onehot_long(df: DataFrame, onehot: DataFrame) -> DataFrame:
     feats = [r["feature"] for r in onehot.select("feature").distinct().collect()]
     long = df.select(ID_COL, *[F.col(c).cast("string").alias(c) for c in feats]).unpivot(
         [ID_COL], feats, "feature", "_v")
-    return (long.join(F.broadcast(onehot), "feature")   # categories: a fitted, small table
+    return (long.join(onehot, "feature")   # AQE broadcasts the fitted categories when small
             .select(ID_COL, "feature", "category",
                     F.coalesce(F.col("_v") == F.col("category"), F.col("_v").isNull() & F.col("category").isNull())
                     .cast("double").alias("value")))
