@@ -61,16 +61,18 @@ class Tables:
     def clean_lazy(self) -> DataFrame:
         """The cleaned table for one-pass reports: the written copy when one
         exists, else derived on the fly."""
-        hit = reused(self.spark, "customers", self.inputs)
-        return hit if hit is not None else clean.clean_customers(self.raw)
+        hit = reused(self.spark, "customers_split", self.inputs)
+        return hit.drop("split") if hit is not None else clean.clean_customers(self.raw)
 
     @cached_property
-    def clean(self) -> DataFrame:
-        return self._reuse("customers", lambda: clean.clean_customers(self.raw))
+    def split(self) -> DataFrame:
+        """Cleaned customers with their split label: the one written table."""
+        return self._reuse("customers_split",
+                           lambda: split.stratified_split(clean.clean_customers(self.raw)))
 
     @cached_property
-    def split(self) -> DataFrame:
-        return self._reuse("customers_split", lambda: split.stratified_split(self.clean))
+    def clean(self) -> DataFrame:
+        return self.split.drop("split")
 
     @cached_property
     def test_scores(self) -> DataFrame:
