@@ -53,12 +53,39 @@ def binary_metrics(scores: DataFrame, threshold: float = fixed.DEFAULT_THRESHOLD
                      "tn", "fp", "fn", "tp")
 
 
-def roc_auc(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
+HISTOGRAM_SINGLE_TASK_ROWS = 1_000_000   # 6-dp scores in [0, 1] never exceed 1,000,001 distinct values
+
+
+def _neg_below_distributed(hist: DataFrame, score: str) -> DataFrame:
+    """``neg_below`` for a histogram too large for one task: sort by score
+    (range partitions), then each partition's running sum plus the negatives of
+    all earlier partitions (a table with one row per partition)."""
+    from keepwise.plans.materialize import materialize
+
+    tagged = materialize(hist.orderBy(F.col(score).asc()).withColumn("_pid", F.spark_partition_id()), "hist")
+    tot = tagged.groupBy("_pid").agg(F.sum("neg").alias("_t"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_pid").orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.join(F.broadcast(offs), "_pid")   # one row per sort partition
+            .withColumn("neg_below", F.col("_off") + F.coalesce(F.sum("neg").over(within), F.lit(0)))
+            .drop("_pid", "_off"))
+
+
+def roc_auc(scores: DataFrame, score: str = "score", label: str = "y",
+            single_task_rows: int = HISTOGRAM_SINGLE_TASK_ROWS) -> DataFrame:
     """Exact AUC with ties counted half: sum over distinct scores of
-    ``pos * (neg below + neg/2)`` / (P * N). NULL when a class is absent."""
+    ``pos * (neg below + neg/2)`` / (P * N). NULL when a class is absent.
+
+    The running sum of negatives is an ordered window over the score
+    histogram; when the histogram has more than ``single_task_rows`` rows (raw,
+    unrounded scores) it is computed per range partition instead."""
     hist = score_histogram(scores, score, label)
-    below = Window.orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    if hist.limit(single_task_rows + 1).count() > single_task_rows:
+        h = _neg_below_distributed(hist, score)
+    else:
+        below = Window.orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
+        h = hist.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     term = (F.col("pos").cast("decimal(38,0)")
             * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)"))
     agg = h.agg(F.sum(term).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -245,3 +245,13 @@ def test_encoder_rejects_huge_cardinality(spark, monkeypatch):
                        for c in cols)
     with pytest.raises(ValueError, match="gender"):
         Encoder.fit(spark.createDataFrame(rows, schema))
+
+
+def test_auc_distributed_path_equals_single_task(spark):
+    rng = np.random.default_rng(21)
+    rows = [(f"c{i}", float(rng.random()), int(rng.random() < 0.3), 1.0) for i in range(20000)]
+    rows += [(f"t{i}", 0.5, i % 2, 1.0) for i in range(3000)]          # a hot tie
+    df = spark.createDataFrame(rows, "customerID STRING, score DOUBLE, y INT, charge DOUBLE")
+    a = metrics.roc_auc(df).first()
+    b = metrics.roc_auc(df, single_task_rows=10).first()
+    assert a.roc_auc == b.roc_auc and (a.n_pos, a.n_neg) == (b.n_pos, b.n_neg)
