@@ -98,8 +98,14 @@ def roc_curve(scores: DataFrame, score: str = "score", label: str = "y") -> Data
     """``(point, fpr, tpr, threshold)``: cumulative rates at each distinct score,
     highest first; points on a straight segment are dropped (non-zero second
     difference of fp or tp kept, plus both ends); ``(0, 0)`` is prepended with
-    an infinite threshold."""
+    an infinite threshold.
+
+    The windows run over the score histogram in one task; a histogram above
+    ``HISTOGRAM_SINGLE_TASK_ROWS`` (raw scores) is built on scores rounded to
+    6 dp, the resolution every scorer here exports (``roc_auc`` stays exact)."""
     hist = score_histogram(scores, score, label)
+    if hist.limit(HISTOGRAM_SINGLE_TASK_ROWS + 1).count() > HISTOGRAM_SINGLE_TASK_ROWS:
+        hist = score_histogram(scores.withColumn(score, F.round(F.col(score), 6)), score, label)
     w = Window.orderBy(F.col(score).desc())
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
     h = (hist.withColumn("tps", F.sum("pos").over(cum)).withColumn("fps", F.sum("neg").over(cum))
