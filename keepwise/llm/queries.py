@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepwise.llm import quality_rules, sql, url_reputation
+from keepwise.llm import bitplane, packing, quality_rules, sql, url_reputation
 from keepwise.llm.common import read_table
+from keepwise.llm.files import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,14 @@ def op1(spark, sf_dir):
 @query("op9_url_reputation", sql.URL_REPUTATION)
 def op9(spark, sf_dir):
     return url_reputation.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op4_concat_and_cut")
+def op4(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op10_bit_planes")
+def op10(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return bitplane.token_files(docs, shared_folder(spark, "token-planes")).drop("ids")
