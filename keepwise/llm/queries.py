@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, packing, quality_rules, sql, url_reputation
+from keepwise.llm import bitplane, packing, quality_rules, sql, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -34,6 +35,13 @@ def op9(spark, sf_dir):
     return url_reputation.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op3_seekable_warc", sql.WARC)
+def op3(spark, sf_dir):
+    index = warc.write_archive(read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return warc.read_archive(index).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+                                           "record_type", "refers_to")
+
+
 @query("op4_concat_and_cut")
 def op4(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")

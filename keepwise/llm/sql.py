@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from keepwise.llm import quality_rules as Q
 from keepwise.llm import url_reputation as U
+from keepwise.llm import warc as W
 
 WS = r"[\x20\x09-\x0D]"
 
@@ -93,3 +94,10 @@ SELECT page_id, host, path, {rule('rule')} AS rule,
 
 
 URL_REPUTATION = _url_reputation()
+
+WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    k AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+    r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM k)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {W.MIN_REVISIT} AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {W.MIN_REVISIT} AND page_id > first_id THEN first_id END AS refers_to FROM r"""
