@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, packing, quality_rules, sql, url_reputation, warc
+from keepwise.llm import bitplane, minhash_cps, packing, quality_rules, sql, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -35,6 +35,11 @@ def op9(spark, sf_dir):
     return url_reputation.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op2_chosen_path")
+def op2(spark, sf_dir):
+    return minhash_cps.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_seekable_warc", sql.WARC)
 def op3(spark, sf_dir):
     index = warc.write_archive(read_table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
