@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, minhash_cps, packing, quality_rules, sql, url_reputation, warc
+from keepwise.llm import bitplane, minhash_cps, mixing, packing, quality_rules, sql, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -30,6 +30,11 @@ def op1(spark, sf_dir):
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op5_block_mixing")
+def op5(spark, sf_dir):
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_url_reputation", sql.URL_REPUTATION)
 def op9(spark, sf_dir):
     return url_reputation.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
