@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, embed_dedup, minhash_cps, mixing, packing, quality_rules, sql, toxicity, url_reputation, warc
+from keepwise.llm import bitplane, embed_dedup, minhash_cps, mixing, packing, pii, quality_rules, sql, toxicity, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -45,6 +45,11 @@ def op7(spark, sf_dir):
     return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+@query("op8_context_bootstrap")
+def op8(spark, sf_dir):
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_url_reputation", sql.URL_REPUTATION)
 def op9(spark, sf_dir):
     return url_reputation.url_filter(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
