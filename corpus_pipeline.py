@@ -1,22 +1,46 @@
-"""Corpus pipeline: each stage reads all that its predecessor kept, written as
-Parquet in between, and all but the last return the columns of ``documents``."""
+"""Corpus pipeline: quality rules, near-duplicates, personal data, mixing, packing.
+
+Each stage reads all that its predecessor kept, written as Parquet in between, and
+all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepwise.llm import minhash_cps, mixing, packing, pii
 from keepwise.llm import quality_rules as quality
 from keepwise.llm.common import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
-    verdict = quality.quality_rules(docs, read_table(spark, sf_dir, "labels"))
-    kept = verdict.where("kept").select(verdict["doc_id"].alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    return quality.kept_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return minhash_cps.drop_near_duplicates(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the kind in brackets where personal data stood."""
+    return pii.masked(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bring the sources to their target weights."""
+    return mixing.mixed_rows(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenize and cut into full sequences, one row per piece with its ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [("quality_rules", quality_stage), ("near_duplicates", near_duplicate_stage), ("personal_data", personal_data_stage),
+          ("mixing", mixing_stage), ("packing", packing_stage)]
+#: Minwise trees, mixing permutations and the tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

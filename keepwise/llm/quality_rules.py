@@ -68,18 +68,19 @@ def _repeat_words(w: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts every rule is built from."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), text.alias("t"))
+    """doc_id, key (hash of the text), stratum and the counts every rule is built from."""
+    text = F.col("text").cast("string")
+    base = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(stratum).cast("string").alias("stratum"),
+                       F.coalesce(text, F.lit("")).alias("t"))
     lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: F.translate(x, ASCII_SPACE, "") != "")
     return (base.withColumn("w", words(F.col("t")))
-            .select("doc_id", "stratum", F.size("w").cast("long").alias("n_words"),
+            .select("doc_id", "key", "stratum", F.size("w").cast("long").alias("n_words"),
                     F.length(F.translate("t", ASCII_SPACE, "")).cast("long").alias("word_chars"),
                     (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
                     let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"),
                                                   F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("l"),
                     _repeat_words(F.col("w")).alias("n_repeat_words"))
-            .select("doc_id", "stratum", "n_words", "word_chars", "n_symbols",
+            .select("doc_id", "key", "stratum", "n_words", "word_chars", "n_symbols",
                     F.col("l.n").alias("n_lines"), (F.col("l.n") - F.col("l.d")).alias("n_dup_lines"), "n_repeat_words")
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))))
@@ -140,9 +141,9 @@ def calibrate(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
             .select("stratum", "rule", "b.cutoff", "b.n_good", "b.n_rejected"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
-                  alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Per document: the counts, ``base_failed``, ``kept`` and the rules that reject it.
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
+           alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Per row of ``docs``: doc_id, key, the counts, ``base_failed``, ``kept`` and the rules that reject it.
 
     The counts are written once to the checkpoint folder (numbers only, no
     texts); calibration and judgement both read them.
@@ -153,7 +154,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     wide = cut.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
     wide = wide.select(F.col("stratum").alias("s"), *[f"cut_{r}" for r in RULES])
     hit = F.array_compact(F.array(*[F.when(_passes(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]))
-    judged = counts.join(wide, F.col("stratum").eqNullSafe(F.col("s")), "left").withColumn("rejected_by", hit)
-    return judged.select("doc_id", *COUNTS, "base_failed",
-                         (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
-                         F.array_join("rejected_by", ",").alias("rejected_by"))
+    found = counts.join(wide, F.col("stratum").eqNullSafe(F.col("s")), "left").withColumn("rejected_by", hit)
+    return found.select("doc_id", "key", *COUNTS, "base_failed",
+                        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
+                        F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """doc_id, the counts, ``base_failed``, ``kept`` and the rules that reject it, per document."""
+    return judged(docs, labels, **params).drop("key")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    bad = (judged(docs, labels, **params).where(~F.col("kept"))
+           .select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+    whole = docs.select(F.struct("*").alias("doc"))
+    key = F.xxhash64(F.col("doc.text").cast("string"))
+    kept = whole.join(materialize(bad, "quality-rejected"), F.col("doc.doc_id").eqNullSafe(F.col("bad_id"))
+                      & (key == F.col("bad_key")), "left_anti")
+    return kept.select("doc.*")

@@ -30,17 +30,17 @@ def texts(spark):
 
 
 def test_chunkwise_ids_are_the_ids_of_whole_texts(texts):
-    memo = tokens.chunk_ids(tokens.vocabulary_path())
+    memo = tokens.tokens_of(tokens.vocabulary_path())
     for _, t in texts:
         assert tokens.text_ids(t, memo) == whole(t).tobytes(), repr(t)[:80]
 
 
 def test_memo_stays_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_WORDS", 5)
-    memo = tokens.ChunkIds(tokens.vocabulary_path())
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 5)
+    memo = tokens.Tokens(tokens.vocabulary_path())
     for i in range(50):
-        assert tokens.text_ids(f"w{i} tail", memo, None) == whole(f"w{i} tail")[:-1].tobytes()
-        assert len(memo) <= 5
+        assert tokens.text_ids(f"w{i} Tail.", memo) == whole(f"w{i} tail.").tobytes()
+        assert len(memo.young) + len(memo.young.older) <= 20 and not getattr(memo.young.older, "older", None)
 
 
 def test_pack_cuts_every_id_once_and_fills_sequences(spark, make_docs, texts):
