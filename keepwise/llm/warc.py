@@ -10,11 +10,12 @@ frame, length), so one record costs one seek and one frame.
 Equal payloads of at least MIN_REVISIT bytes are stored once: the record with
 the smallest id is the response, the others are revisit records without payload
 that name it. Which payloads repeat is an aggregation of digests with map-side
-combine; the payloads themselves are shuffled once, by id and digest.
+combine; the payloads are written where they are read, unless the list of repeated
+records is too long to broadcast (then they are shuffled once, by id and digest).
 
 Edge cases: a null payload is empty; a null url gives a record without target; a
-null id is kept as such; rows repeated under one id keep one
-record each (the first becomes the response, the rest revisits of the same id);
+null id is kept as such; rows repeated under one id keep one record each, of the
+same type;
 an empty table writes no bundle; extra columns are not read; a payload of any
 length becomes a frame of its own.
 """
@@ -153,8 +154,7 @@ def with_revisits(pages: DataFrame, record_id: str, url: str, payload: str) -> D
     repeated = (keys.join(groups, "digest").distinct()
                 .select(F.col("record_id").alias("rid"), F.col("digest").alias("rdigest"), "first_id"))
     return (rows.join(repeated, F.col("record_id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
-            .select("record_id", "url", "payload", "digest", "first_id", F.col("rdigest").isNotNull().alias("is_repeated"))
-            .repartition("record_id", "digest"))
+            .select("record_id", "url", "payload", "digest", "first_id", F.col("rdigest").isNotNull().alias("is_repeated")))
 
 
 def write_archive(pages: DataFrame, folder: str, record_id: str = "page_id", url: str = "url", payload: str = "html",
@@ -168,15 +168,14 @@ def write_archive(pages: DataFrame, folder: str, record_id: str = "page_id", url
         if first is None:
             return
         with files.writing(name) as out:
-            writer, pdf, seen = BundleWriter(out, frame_bytes), first, (object(), "")
+            writer, pdf = BundleWriter(out, frame_bytes), first
             while pdf is not None:
                 for rid, target, body, digest, first_id, repeated in zip(
                         pdf["record_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["first_id"], pdf["is_repeated"]):
                     rid = None if pd.isna(rid) else int(rid)
                     first_id = None if pd.isna(first_id) else int(first_id)
-                    # rows of one id and payload are neighbours: the first one of the first id is the response
-                    revisit = bool(repeated) and (rid != first_id or (rid, digest) == seen)
-                    seen, refers = (rid, digest), first_id if revisit else None
+                    revisit = bool(repeated) and rid != first_id
+                    refers = first_id if revisit else None
                     writer.add(make_record(rid, target, body, digest, refers, revisit))
                     rows.append((rid, "revisit" if revisit else "response", refers, digest, len(body)))
                 pdf = next(frames, None)
@@ -186,8 +185,7 @@ def write_archive(pages: DataFrame, folder: str, record_id: str = "page_id", url
         index.insert(5, "file", name)
         yield pd.concat([index.astype({"record_id": "Int64", "refers_to": "Int64"}), place], axis=1)
 
-    laid_out = with_revisits(pages, record_id, url, payload).sortWithinPartitions("record_id", "digest")
-    return materialize(laid_out.mapInPandas(run, INDEX), "warc-index")
+    return materialize(with_revisits(pages, record_id, url, payload).mapInPandas(run, INDEX), "warc-index")
 
 
 def read_archive(index: DataFrame) -> DataFrame:
