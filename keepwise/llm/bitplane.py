@@ -26,13 +26,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.llm import files, tokens
-from keepwise.llm.common import materialize
+from keepwise.llm.common import materialize, small_batches
 
 MAGIC = b"BPLANE01"
 BLOCK = 1 << 16
@@ -89,11 +89,11 @@ class PlaneWriter:
     def close(self) -> None:
         if self.held:
             self._flush(np.concatenate(self.pending))
-        ids = pd.array([d for d, _ in self.docs], dtype="Int64")
+        null = np.array([d is None for d, _ in self.docs], dtype=np.uint8)
         index = b"".join([
             len(self.chunks).to_bytes(8, "little"), np.array(self.chunks, dtype="<u4").tobytes(),
-            len(self.docs).to_bytes(8, "little"), np.asarray(ids.isna(), dtype=np.uint8).tobytes(),
-            np.array(ids.fillna(0).astype("int64"), dtype="<i8").tobytes(),
+            len(self.docs).to_bytes(8, "little"), null.tobytes(),
+            np.array([d or 0 for d, _ in self.docs], dtype="<i8").tobytes(),
             np.array([n for _, n in self.docs], dtype="<i8").tobytes()])
         packed = self.zstd.compress(index)
         self.out.write(packed)
@@ -115,9 +115,8 @@ class PlaneReader:
         self.chunks = np.frombuffer(raw, "<u4", n * width, 8).reshape(n, width)
         p = 8 + 4 * n * width
         m = int.from_bytes(raw[p:p + 8], "little")
-        nulls = np.frombuffer(raw, np.uint8, m, p + 8).astype(bool)
-        self.doc_ids = pd.array(np.frombuffer(raw, "<i8", m, p + 8 + m), dtype="Int64")
-        self.doc_ids[nulls] = pd.NA
+        null = np.frombuffer(raw, np.uint8, m, p + 8)
+        self.doc_ids = [None if gone else d for d, gone in zip(np.frombuffer(raw, "<i8", m, p + 8 + m).tolist(), null)]
         self.n_tokens = np.frombuffer(raw, "<i8", m, p + 8 + 9 * m)
         self.offsets = len(MAGIC) + np.concatenate([[0], np.cumsum(self.chunks[:, 1:].sum(axis=1, dtype=np.int64))])
 
@@ -126,7 +125,7 @@ class PlaneReader:
         zstd, n = zstandard.ZstdDecompressor(), int(self.chunks[k, 0])
         return from_planes([zstd.decompress(self.source.read(int(s))) for s in self.chunks[k, 1:]], n, self.bits)
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         held, k = np.zeros(0, dtype="<u4"), 0
         for i, n in enumerate(self.n_tokens):
             parts, have = [held], len(held)
@@ -144,32 +143,30 @@ def write_planes(docs: DataFrame, folder: str, vocabulary: str | None = None, bl
     """Tokenize and write; returns the manifest (file_no, file, n_docs, n_tokens), written beside the files."""
     path = vocabulary or tokens.vocabulary_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file_no, memo = TaskContext.get().partitionId(), tokens.chunk_ids(path)
-        name = f"{folder}/ids-{file_no:06d}.bpl"
-        first = next(frames, None)
-        while first is not None and not len(first):
-            first = next(frames, None)
-        if first is None:
+        file_no, memo = TaskContext.get().partitionId(), tokens.tokens_of(path)
+        name, parts = f"{folder}/ids-{file_no:06d}.bpl", small_batches(batches)
+        part = next(parts, None)
+        if part is None:
             return
         n_docs = n_tokens = 0
         with files.writing(name) as out:
             writer = PlaneWriter(out, block, bits)
-            pdf = first
-            while pdf is not None:
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            while part is not None:
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = np.frombuffer(tokens.text_ids(text, memo), dtype="<u4")
-                    writer.add(pd.NA if pd.isna(doc_id) else int(doc_id), ids)
+                    writer.add(doc_id, ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
-                pdf = next(frames, None)
+                part = next(parts, None)
             writer.close()
-        yield pd.DataFrame({"file_no": [file_no], "file": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+        yield pa.RecordBatch.from_arrays([pa.array([file_no], pa.int32()), pa.array([name]), pa.array([n_docs], pa.int64()),
+                                          pa.array([n_tokens], pa.int64())], ["file_no", "file", "n_docs", "n_tokens"])
 
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    return materialize(ordered.mapInPandas(run, "file_no int, file string, n_docs long, n_tokens long"), "plane-manifest")
+    return materialize(ordered.mapInArrow(run, "file_no int, file string, n_docs long, n_tokens long"), "plane-manifest")
 
 
 def read_planes(manifest: DataFrame) -> DataFrame:
@@ -180,27 +177,29 @@ def read_planes(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("file_no", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for name, at in zip(pdf["file"], pdf["base"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 rows = []
                 with files.reading(name) as source:
                     for doc_id, ids in PlaneReader(source).documents():
                         raw = np.ascontiguousarray(ids, dtype="<u4").tobytes()
                         rows.append((doc_id, at, len(ids), zlib.crc32(raw), raw))
                         at += len(ids)
-                        if len(rows) >= 1000:
-                            yield _frame(rows)
+                        if len(rows) >= 512:
+                            yield _batch(rows)
                             rows = []
                 if rows:
-                    yield _frame(rows)
+                    yield _batch(rows)
 
     tasks = max(1, based.sparkSession.sparkContext.defaultParallelism * 4)
-    return based.repartition(tasks).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return based.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
 
 def token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, block: int = BLOCK, bits: int = 8) -> DataFrame:

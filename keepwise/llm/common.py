@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise.plans.materialize import materialize  # noqa: F401  (re-exported)
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Words are maximal runs of anything but these six ASCII characters.
 ASCII_SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -35,10 +38,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(batches, size: int = 512):
+    """Arrow record batches cut into views of a few rows, so that Python objects of
+    only those rows are alive at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Re-cut batches of a key-sorted partition so that no group is divided.
     Callers bound the size of a group, so a carried tail stays small."""
-    tail: pd.DataFrame | None = None
+    import pandas as pd
+
+    tail = None
     for pdf in frames:
         if tail is not None and len(tail):
             pdf = pd.concat([tail, pdf], ignore_index=True)

@@ -18,13 +18,16 @@ gives no pieces; a text of any length is cut into as many pieces as it needs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.llm import tokens
-from keepwise.llm.common import materialize
+from keepwise.llm.common import materialize, small_batches
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 SEQUENCE = 4096
 IDS_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids binary"
@@ -37,20 +40,25 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     the vocabulary allows it; ids below 65,536)."""
     path = vocabulary or tokens.vocabulary_path()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        part, at, memo = TaskContext.get().partitionId(), 0, tokens.chunk_ids(path)
-        for pdf in frames:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.frombuffer(tokens.text_ids(text, memo), dtype="<u4")
-                rows.append((part, doc_id, at, len(ids), ids.astype("<u2").tobytes()))
+        part, at, memo = TaskContext.get().partitionId(), 0, tokens.tokens_of(path)
+        for batch in small_batches(batches):
+            starts, counts, packed = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = np.frombuffer(tokens.text_ids(text, memo), dtype="<u4").astype("<u2")
+                starts.append(at)
+                counts.append(len(ids))
+                packed.append(ids.tobytes())
                 at += len(ids)
-            yield pd.DataFrame(rows, columns=["part", "doc_id", "local_start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * batch.num_rows, pa.int32()), batch.column("doc_id"), pa.array(starts, pa.int64()),
+                 pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["part", "doc_id", "local_start", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, IDS_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, IDS_SCHEMA)
 
 
 def partition_offsets(ids: DataFrame) -> DataFrame:
@@ -67,14 +75,15 @@ def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None) -
     placed = ids.join(F.broadcast(partition_offsets(ids)), "part").select(
         "doc_id", "n_tokens", "ids", (F.col("base") + F.col("local_start")).alias("global_start"))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         import numpy as np
+        import pyarrow as pa
 
-        for pdf in frames:
+        for batch in small_batches(batches):
             rows = []
-            for doc_id, n, raw, g in zip(pdf["doc_id"], pdf["n_tokens"], pdf["ids"], pdf["global_start"]):
+            for doc_id, n, raw, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "global_start"))):
                 a = np.frombuffer(raw, dtype="<u2")
                 at = 0
                 while at < n:
@@ -82,7 +91,8 @@ def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None) -
                     piece = a[at:at + min(size - off, n - at)]
                     rows.append((doc_id, at, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), n, seq, off, piece.tobytes()))
                     at += len(piece)
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                              "sequence_id", "offset", "ids"]).astype({"doc_id": "Int64"})
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+            types = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return placed.mapInPandas(cut, PIECE_SCHEMA)
+    return placed.mapInArrow(cut, PIECE_SCHEMA)

@@ -18,9 +18,9 @@ import re
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Two generations of at most this many chunks are remembered; longer chunks never.
-MEMO_CHUNKS, MEMO_LENGTH = 250_000, 48
-_WORD_THEN_MARKS = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,|!#%$*&;:?]+)", re.DOTALL)
+#: Two generations of about this many chunks are remembered; longer chunks never.
+MEMO_CHUNKS, MEMO_LENGTH = 150_000, 48
+_MARKS = b".,|!#%$*&;:?"
 _LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -35,50 +35,61 @@ def _pack(ids: list[int]) -> bytes:
 
 
 class ChunkIds(dict):
-    """chunk (UTF-8 bytes) -> its ids as <u4 bytes. When full, the dictionary
-    becomes the older generation, from which what is still used comes back."""
+    """chunk (UTF-8 bytes) -> its ids as <u4 bytes; what is not there is looked up
+    in the older generation or encoded."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.older: dict[bytes, bytes] = {}
-        # how the byte-level step spells each letter: it is the same character by character
-        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [c for c in map(chr, range(256)) if _LATIN_WORD.fullmatch(c)]
-        self.spelled = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in letters}
+    def __init__(self, tools: "Tokens", older: dict[bytes, bytes]):
+        self.tools, self.older = tools, older
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.older.get(chunk)
         if out is None:
             out = self._encode(chunk)
         if len(chunk) <= MEMO_LENGTH:
-            if len(self) >= MEMO_CHUNKS:
-                self.older = dict(self)
-                self.clear()
             self[chunk] = out
         return out
 
     def _encode(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():   # ASCII letters only
+            return _pack([t.id for t in self.tools.model.tokenize(chunk.decode().lower())])
         if b"<|" not in chunk:
-            cut = _WORD_THEN_MARKS.fullmatch(chunk)
-            if cut:
-                return self[cut[1]] + self[cut[2]]
+            core = chunk.rstrip(_MARKS)
+            if core and len(core) < len(chunk) and _LATIN_WORD.fullmatch(core[-2:].decode("utf-8", "ignore")):
+                return self[core] + self[chunk[len(core):]]
             text = chunk.decode("utf-8", "replace")
             if _LATIN_WORD.fullmatch(text):
-                return _pack([t.id for t in self.model.tokenize(text.lower().translate(self.spelled))])
+                return _pack([t.id for t in self.tools.model.tokenize(text.lower().translate(self.tools.spelled))])
         text = chunk.decode("utf-8", "replace")
-        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return _pack(self.tools.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+class Tokens:
+    """The tokenizer of a file and its memo: a young generation and the one before it."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # how the byte-level step spells each letter: it is the same character by character
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(256)) if _LATIN_WORD.fullmatch(c)]
+        self.spelled = {ord(c): spell.pre_tokenize_str(c)[0][0] for c in letters}
+        self.young = ChunkIds(self, {})
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text (null: none) as <u4 bytes."""
+        if len(self.young) >= MEMO_CHUNKS:
+            previous, self.young.older = self.young, {}
+            self.young = ChunkIds(self, previous)
+        return b"".join(map(self.young.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
-@functools.lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+@functools.lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
 
 
-def text_ids(text: str | None, memo: ChunkIds, end_id: int | None = END_ID) -> bytes:
-    """Ids of a whole text (null: none) and the end id, as <u4 bytes."""
-    chunks = (text or "").encode("utf-8", "replace").split()
-    out = b"".join(map(memo.__getitem__, chunks))
-    return out if end_id is None else out + end_id.to_bytes(4, "little")
+def text_ids(text: str | None, tokens: Tokens, end_id: int = END_ID) -> bytes:
+    """Ids of a whole text and the end id, as <u4 bytes."""
+    return tokens.encode(text) + end_id.to_bytes(4, "little")
