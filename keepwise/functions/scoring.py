@@ -6,9 +6,10 @@ only the neural scorer needs Python (Arrow batches, see ``operators.model``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
@@ -18,8 +19,10 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def relu(z: Column) -> Column:
-    return F.greatest(z, F.lit(0.0))
+def rational_share(z: Column) -> Column:
+    """``1/2 + z / (2 (1 + |z|))``: a sigmoid-shaped link of basic operations only, so
+    that every engine computes the same bits (``exp`` may differ in the last one)."""
+    return F.lit(0.5) + F.lit(0.5) * (z / (F.lit(1.0) + F.abs(z)))
 
 
 def risk_band(p: Column, labels: tuple[str, str, str] = fixed.RISK_LABELS) -> Column:
@@ -50,10 +53,11 @@ def label_name(y: Column, labels: dict[int, str] | None = None) -> Column:
 @dataclass(frozen=True)
 class TermLogit:
     """``z = intercept + w1*t1 + w2*t2 + ...`` over named column terms, summed
-    left to right in the given order; ``p = sigmoid(z)``."""
+    left to right in the given order; ``p = link(z)``."""
 
     intercept: float
     terms: list = field(default_factory=list)   # [(name, Column-builder, weight)]
+    link: Callable[[Column], Column] = sigmoid
 
     def z(self) -> Column:
         acc = F.lit(float(self.intercept))
@@ -62,21 +66,25 @@ class TermLogit:
         return acc
 
     def probability(self) -> Column:
-        return sigmoid(self.z())
+        return self.link(self.z())
 
+    def transform(self, clean: DataFrame) -> DataFrame:
+        return clean.withColumn("p_raw", self.probability())
 
-def fixed_logit() -> TermLogit:
-    """The fixed-weight scorer the oracle can recompute exactly in SQL.
 
-    ``z = 2.0 - 0.05*tenure + 0.4*[Contract = Month-to-month]
-        + 0.3*[PaymentMethod is a manual check] + 0.2*[InternetService = Fiber optic]``
+def fixed_scorer() -> TermLogit:
+    """The fixed-weight scorer the oracle recomputes to the last bit: weights are
+    multiples of 1/64 and the link is rational, so no operation rounds differently.
+
+    ``z = 2 - 3/64 tenure + 26/64 [Contract = Month-to-month]
+        + 19/64 [PaymentMethod is a manual check] + 13/64 [InternetService = Fiber optic]``
     """
     return TermLogit(2.0, [
-        ("tenure", lambda: F.col("tenure"), -0.05),
-        ("month_to_month", lambda: F.col("Contract") == "Month-to-month", 0.4),
-        ("manual_payment", lambda: F.col("PaymentMethod").isin("Electronic check", "Mailed check"), 0.3),
-        ("fiber", lambda: F.col("InternetService") == "Fiber optic", 0.2),
-    ])
+        ("tenure", lambda: F.col("tenure"), -3 / 64),
+        ("month_to_month", lambda: F.col("Contract") == "Month-to-month", 26 / 64),
+        ("manual_payment", lambda: F.col("PaymentMethod").isin("Electronic check", "Mailed check"), 19 / 64),
+        ("fiber", lambda: F.col("InternetService") == "Fiber optic", 13 / 64),
+    ], rational_share)
 
 
 def linear_vector_score(features: Column, weights: list[float], intercept: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,16 @@ def humanize_feature(c: Column) -> Column:
 def hint_key(c: Column) -> Column:
     """Lower-case and drop spaces, hyphens and underscores."""
     return F.translate(F.lower(c), " -_", "")
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A sentence with its ``{name}`` placeholders replaced by string columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
+def fill_sql(template: str, values: dict[str, str]) -> str:
+    """The same as a SQL expression."""
+    parts = re.split(r"\{(\w+)\}", template)
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    return " || ".join(values[p] if i % 2 else quoted(p) for i, p in enumerate(parts) if i % 2 or p)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(28,10)"   # exact sums that do not depend on the order
 
 
 def default_capacity(n: int) -> int:

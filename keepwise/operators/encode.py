@@ -87,12 +87,14 @@ class Encoder:
         return len(self.feature_names)
 
     def scaled(self, c: str, mean: float, scale: float) -> Column:
+        """A missing number stands at the training mean, in fitting, training and scoring alike."""
         m = F.lit(0.0 if mean is None else float(mean))
-        return (F.col(c).cast("double") - m) / F.lit(float(scale))
+        return (F.coalesce(F.nanvl(F.col(c).cast("double"), m), m) - m) / F.lit(float(scale))
 
     def columns(self, scale: bool = True) -> list[Column]:
         """One Column per encoded feature, in layout order."""
-        out = [self.scaled(c, m, s) if scale else F.col(c).cast("double") for c, m, s in self.numeric]
+        raw = lambda c, m: F.coalesce(F.col(c).cast("double"), F.lit(0.0 if m is None else float(m)))
+        out = [self.scaled(c, m, s) if scale else raw(c, m) for c, m, s in self.numeric]
         for c, values in self.categories:
             x = F.col(c).cast("string")
             for v in values:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
-from keepwise.functions.scoring import TermLogit, fixed_logit, high_risk_flag, risk_band
+from keepwise.functions.scoring import fixed_scorer, high_risk_flag, risk_band
 from keepwise.functions.text import hint_key, humanize_feature
 from keepwise.schema import ID_COL
 
@@ -101,14 +101,13 @@ def risk_drivers(clean: DataFrame, median_charge: float | None) -> DataFrame:
     return _driver_rows(clean, median_charge)
 
 
-def top3_drivers(clean: DataFrame, median_charge: float | None, scorer: TermLogit | None = None,
+def top3_drivers(clean: DataFrame, median_charge: float | None, scorer=None,
                  gate: bool = True) -> DataFrame:
     """First three rules per customer; with ``gate`` only customers whose
     probability is at least 0.3 (the others get no list)."""
-    scorer = scorer or fixed_logit()
     df = clean
     if gate:
-        df = df.filter(high_risk_flag(scorer.probability()))
+        df = (scorer or fixed_scorer()).transform(df).filter(high_risk_flag(F.col("p_raw"))).select(*clean.columns)
     return _driver_rows(df, median_charge).filter(F.col("position") <= 3).select(
         ID_COL, "position", "driver", "action")
 
@@ -130,26 +129,26 @@ def median_compare(clean: DataFrame, median_charge: float | None) -> DataFrame:
                         (F.col("MonthlyCharges") > med * F.lit(fixed.DRIVER_HIGH_CHARGE_FACTOR)).alias("high_charge"))
 
 
-def whatif_scores(clean: DataFrame, overrides: list[dict], scorer: TermLogit | None = None) -> DataFrame:
+def whatif_scores(clean: DataFrame, overrides: list[dict], scorer=None) -> DataFrame:
     """Re-score every customer under each override profile.
 
     ``overrides`` is a short parameter list such as ``[{"Contract": "Two year"}]``;
     the rows x profiles expansion is a generator (``explode`` of a literal array),
     not a join. Output: base and altered probability (6 dp), delta, both bands.
     """
-    scorer = scorer or fixed_logit()
+    scorer = scorer or fixed_scorer()
     cols = sorted({c for o in overrides for c in o})
     types = dict(clean.dtypes)
     profiles = F.array(*[F.struct(F.lit(i + 1).alias("scenario"),
                                   *[F.lit(o.get(c)).cast(types[c]).alias(c) for c in cols])
                          for i, o in enumerate(overrides)])
-    base = clean.withColumn("_base", scorer.probability())
+    base = scorer.transform(clean).withColumnRenamed("p_raw", "_base")
     x = base.withColumn("_o", F.explode(profiles))
     x = x.select(ID_COL, "_base", F.col("_o.scenario").alias("scenario"),
                  *[c for c in clean.columns if c not in cols and c != ID_COL],
                  *[F.coalesce(F.col(f"_o.{c}"), F.col(c)).alias(c) for c in cols])
-    x = x.withColumn("_new", scorer.probability())
-    b6, n6 = F.round("_base", 6), F.round("_new", 6)
+    x = scorer.transform(x).withColumnRenamed("p_raw", "_new")
+    b6, n6 = F.bround("_base", 6), F.bround("_new", 6)
     return x.select(ID_COL, "scenario", b6.alias("base_probability"), n6.alias("whatif_probability"),
                     (n6 - b6).alias("delta"), risk_band(F.col("_base")).alias("base_risk"),
                     risk_band(F.col("_new")).alias("whatif_risk"),

@@ -19,12 +19,12 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
 from keepwise.functions.scoring import sigmoid
-from keepwise.operators.rank import hash_rank
+from keepwise.operators.rank import hash_rank, running_sums
 from keepwise.plans.materialize import materialize
 from keepwise.schema import ID_COL
 
@@ -44,17 +44,15 @@ def shuffle_params(n: int, n_repeats: int) -> list[tuple[int, int, int]]:
 
 
 class LinearArrayScorer:
-    """``p = round(sigmoid(intercept + sum_j w_j x_j), dp)`` over an
-    ``ARRAY<DOUBLE>``.
+    """``p = link(intercept + sum_j w_j x_j)`` over an ``ARRAY<DOUBLE>``.
 
     The logit is folded left to right from the intercept over the non-zero
     weights (codegen'd column arithmetic). For a permuted feature ``f`` the
-    logit is exactly ``z + w_f (x'_f - x_f)``, so each permuted score costs O(1)
-    instead of a new O(d) fold (the rounding to 6 dp absorbs last-bit
-    differences to a full recomputation)."""
+    logit is ``z + w_f (x'_f - x_f)``, so each permuted score costs O(1) instead
+    of a new O(d) fold; a feature of weight zero changes no score at all."""
 
-    def __init__(self, weights: list[float], intercept: float, dp: int | None = 6):
-        self.weights, self.intercept, self.dp = [float(w) for w in weights], float(intercept), dp
+    def __init__(self, weights: list[float], intercept: float, link=sigmoid):
+        self.weights, self.intercept, self.link = [float(w) for w in weights], float(intercept), link
 
     def logit(self, arr: Column) -> Column:
         z = F.lit(self.intercept)
@@ -63,31 +61,29 @@ class LinearArrayScorer:
                 z = z + F.lit(w) * F.get(arr, j)
         return z
 
-    def prob(self, z: Column) -> Column:
-        p = sigmoid(z)
-        return F.round(p, self.dp) if self.dp is not None else p
-
     def score(self, arr: Column) -> Column:
-        return self.prob(self.logit(arr))
+        return self.link(self.logit(arr))
 
-    def permuted(self, z: Column, x: Column, xp: Column, f: Column) -> Column:
-        w = F.array(*[F.lit(v) for v in self.weights])
-        k = f + 1
-        return self.prob(z + F.element_at(w, k) * (F.element_at(xp, k) - F.element_at(x, k)))
+    def permuted(self, z: Column, x: Column, xp: Column) -> Column:
+        """[(f, s)]: the score with feature f taken from ``xp``, for every weight that is not zero."""
+        return F.array(*[F.struct(F.lit(j).alias("f"), self.link(z + F.lit(w) * (F.get(xp, j) - F.get(x, j))).alias("s"))
+                         for j, w in enumerate(self.weights) if w != 0.0]).cast("array<struct<f:int,s:double>>")
 
 
-def linear_scorer(weights: list[float], intercept: float, dp: int | None = 6) -> LinearArrayScorer:
-    return LinearArrayScorer(weights, intercept, dp)
+def linear_scorer(weights: list[float], intercept: float, link=sigmoid) -> LinearArrayScorer:
+    return LinearArrayScorer(weights, intercept, link)
 
 
 def _auc_by(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """AUC per key group from ``(keys..., s, pos, neg)``."""
-    below = Window.partitionBy(*keys).orderBy(F.col("s").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = hist.withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    term = F.col("pos").cast("decimal(38,0)") * (2 * F.col("nb") + F.col("neg")).cast("decimal(38,0)")
-    agg = h.groupBy(*keys).agg(F.sum(term).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    """AUC per key group from ``(keys..., s, pos, neg)``: running sums over all
+    groups in order, from which each group takes off what lies before it."""
+    h = running_sums(hist, [*keys, F.col("s").asc()], ["neg"])
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    agg = h.groupBy(*keys).agg(F.sum(wide("pos") * (2 * wide("neg_before") + wide("neg"))).alias("num"),
+                               F.min("neg_before").alias("b"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    num = F.col("num") - 2 * wide("b") * wide("P")
     den = F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")
-    return agg.select(*keys, F.when(den > 0, F.col("num").cast("double") / den).alias("auc"))
+    return agg.select(*keys, F.when(den > 0, num.cast("double") / den).alias("auc"))
 
 
 def permutation_importance(design: DataFrame, score_fn, names: list[str],
@@ -99,10 +95,9 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
     idx, joined = _join_partners(design, n_repeats, seed, label, features)
 
     x, xp = F.col("x"), F.col("xp")
-    # one row per (row, repeat, feature f): x with position f taken from the partner row
-    long = (joined.select("r", "y", "x", "xp", score_fn.logit(x).alias("z"),
-                          F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("f"))
-            .select("r", "f", "y", score_fn.permuted(F.col("z"), x, xp, F.col("f")).alias("s")))
+    # scores first: what is expanded and shuffled is (repeat, label, feature, score), never the arrays
+    scores = joined.select("r", "y", score_fn.permuted(score_fn.logit(x), x, xp).alias("fs"))
+    long = scores.select("r", "y", F.explode("fs").alias("p")).select("r", F.col("p.f").alias("f"), "y", F.col("p.s").alias("s"))
     hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
                                            F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     aucs = _auc_by(hist, ["r", "f"])
@@ -117,8 +112,10 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
     names_df = design.sparkSession.createDataFrame(list(enumerate(names)), "f INT, feature STRING")
     out = drops.groupBy("f").agg(F.avg("drop").alias("importance_mean"),
                                  F.stddev_pop("drop").alias("importance_std"))
-    return (out.join(F.broadcast(names_df), "f")   # one row per encoded column
-            .select(F.col("f").cast("int").alias("idx"), "feature", "importance_mean", "importance_std",
+    unused = F.col("f").isin([j for j, w in enumerate(score_fn.weights) if w == 0.0])
+    still = lambda c: F.when(unused & F.lit(base_auc is not None), F.lit(0.0)).otherwise(F.col(c)).alias(c)
+    return (names_df.join(out, "f", "left")   # one row per encoded column; a weight of zero moves nothing
+            .select(F.col("f").cast("int").alias("idx"), "feature", still("importance_mean"), still("importance_std"),
                     F.lit(base_auc).cast("double").alias("baseline_auc")))
 
 
@@ -142,7 +139,7 @@ def _join_partners(design: DataFrame, n_repeats: int, seed: int, label: str, fea
 
 def permutation_importance_arrow(design: DataFrame, forward, names: list[str],
                                  n_repeats: int = fixed.N_REPEATS, seed: int = 42,
-                                 label: str = "y", features: str = "features", dp: int = 6) -> DataFrame:
+                                 label: str = "y", features: str = "features") -> DataFrame:
     """Permutation importance for a Python scorer ``forward(X ndarray) -> p``
     (e.g. the neural model): each Arrow batch of (row, repeat) pairs is scored
     once per feature with that column taken from the partner rows."""
@@ -163,7 +160,7 @@ def permutation_importance_arrow(design: DataFrame, forward, names: list[str],
                 Xf = X.copy()
                 Xf[:, f] = XP[:, f]
                 outs.append(pd.DataFrame({"r": pdf["r"].to_numpy(), "f": f, "y": pdf["y"].to_numpy(),
-                                          "s": np.round(forward(Xf), dp)}))
+                                          "s": forward(Xf)}))
             yield pd.concat(outs, ignore_index=True)
 
     def base(it):
@@ -171,7 +168,7 @@ def permutation_importance_arrow(design: DataFrame, forward, names: list[str],
             if pdf.empty:
                 continue
             X = np.vstack(pdf["x"].to_numpy())
-            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "s": np.round(forward(X), dp)})
+            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "s": forward(X)})
 
     long = joined.select("r", "y", "x", "xp").mapInPandas(perm, "r INT, f INT, y INT, s DOUBLE")
     hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),

@@ -5,8 +5,8 @@ Shapes used for scale:
 * threshold metrics: one aggregate pass; the sweep assigns each row the number
   of thresholds it clears (an expression), aggregates 14 groups, then takes
   suffix sums - no cross join with the threshold list;
-* AUC and ROC: the score histogram (bounded by the 6-dp score grid), with
-  ordered windows over that small table only;
+* AUC and ROC: the histogram of unrounded scores, with running sums carried
+  from range partition to range partition (one path at every size);
 * top-N, deciles: one aggregate of conditional sums over the global rank.
 
 Ratios that are reported rounded use half-even rounding (``bround``).
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
-from keepwise.operators.rank import score_histogram
+from keepwise.functions.text import fill
+from keepwise.operators.rank import running_sums, score_histogram
+from keepwise.plans.materialize import materialize
 
 
 def _safe_div(num, den):
@@ -53,41 +55,13 @@ def binary_metrics(scores: DataFrame, threshold: float = fixed.DEFAULT_THRESHOLD
                      "tn", "fp", "fn", "tp")
 
 
-HISTOGRAM_SINGLE_TASK_ROWS = 1_000_000   # 6-dp scores in [0, 1] never exceed 1,000,001 distinct values
-
-
-def _neg_below_distributed(hist: DataFrame, score: str) -> DataFrame:
-    """``neg_below`` for a histogram too large for one task: sort by score
-    (range partitions), then each partition's running sum plus the negatives of
-    all earlier partitions (a table with one row per partition)."""
-    from keepwise.plans.materialize import materialize
-
-    tagged = materialize(hist.orderBy(F.col(score).asc()).withColumn("_pid", F.spark_partition_id()), "hist")
-    tot = tagged.groupBy("_pid").agg(F.sum("neg").alias("_t"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_pid").orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    return (tagged.join(F.broadcast(offs), "_pid")   # one row per sort partition
-            .withColumn("neg_below", F.col("_off") + F.coalesce(F.sum("neg").over(within), F.lit(0)))
-            .drop("_pid", "_off"))
-
-
-def roc_auc(scores: DataFrame, score: str = "score", label: str = "y",
-            single_task_rows: int = HISTOGRAM_SINGLE_TASK_ROWS) -> DataFrame:
+def roc_auc(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
     """Exact AUC with ties counted half: sum over distinct scores of
-    ``pos * (neg below + neg/2)`` / (P * N). NULL when a class is absent.
-
-    The running sum of negatives is an ordered window over the score
-    histogram; when the histogram has more than ``single_task_rows`` rows (raw,
-    unrounded scores) it is computed per range partition instead."""
-    hist = score_histogram(scores, score, label)
-    if hist.limit(single_task_rows + 1).count() > single_task_rows:
-        h = _neg_below_distributed(hist, score)
-    else:
-        below = Window.orderBy(F.col(score).asc()).rowsBetween(Window.unboundedPreceding, -1)
-        h = hist.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    ``pos * (neg below + neg/2)`` / (P * N). NULL when a class is absent; rows
+    without a score are left out, as in every threshold metric."""
+    h = running_sums(score_histogram(scores, score, label), [F.col(score).asc()], ["neg"])
     term = (F.col("pos").cast("decimal(38,0)")
-            * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)"))
+            * (F.lit(2) * F.col("neg_before") + F.col("neg")).cast("decimal(38,0)"))
     agg = h.agg(F.sum(term).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     den = F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")
     return agg.select(F.when(den > 0, F.col("num").cast("double") / den).alias("roc_auc"),
@@ -96,35 +70,22 @@ def roc_auc(scores: DataFrame, score: str = "score", label: str = "y",
 
 def roc_curve(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
     """``(point, fpr, tpr, threshold)``: cumulative rates at each distinct score,
-    highest first; points on a straight segment are dropped (non-zero second
-    difference of fp or tp kept, plus both ends); ``(0, 0)`` is prepended with
-    an infinite threshold.
-
-    The windows run over the score histogram in one task; a histogram above
-    ``HISTOGRAM_SINGLE_TASK_ROWS`` (raw scores) is built on scores rounded to
-    6 dp, the resolution every scorer here exports (``roc_auc`` stays exact)."""
-    hist = score_histogram(scores, score, label)
-    if hist.limit(HISTOGRAM_SINGLE_TASK_ROWS + 1).count() > HISTOGRAM_SINGLE_TASK_ROWS:
-        hist = score_histogram(scores.withColumn(score, F.round(F.col(score), 6)), score, label)
-    w = Window.orderBy(F.col(score).desc())
-    cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    h = (hist.withColumn("tps", F.sum("pos").over(cum)).withColumn("fps", F.sum("neg").over(cum))
-         .withColumn("_i", F.row_number().over(w)))
-    d2 = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    keep = (F.lag("tps").over(w).isNull() | F.lead("tps").over(w).isNull()
-            | (d2("fps") != 0) | (d2("tps") != 0))
-    pts = h.withColumn("_keep", keep).filter("_keep")
-    totals = h.agg(F.max("tps").alias("P"), F.max("fps").alias("N")).first()
+    highest first; points on a straight segment are dropped (kept are both ends
+    and every score whose counts differ from the next one's); ``(0, 0)`` is
+    prepended with an infinite threshold. Exact and distributed at every size."""
+    h = running_sums(score_histogram(scores, score, label), [F.col(score).desc()], ["pos", "neg"], ["pos", "neg"])
+    h = materialize(h, "roc")
+    totals = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = int(totals["P"] or 0), int(totals["N"] or 0)
-    body = pts.select(F.col("_i").cast("bigint").alias("_i"),
-                      (F.col("fps") / F.lit(N)).alias("fpr") if N else F.lit(None).cast("double").alias("fpr"),
-                      (F.col("tps") / F.lit(P)).alias("tpr") if P else F.lit(None).cast("double").alias("tpr"),
-                      F.col(score).cast("double").alias("threshold"))
-    origin = scores.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_i"), F.lit(0.0).alias("fpr"),
+    bend = (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
+    kept = h.filter((F.col("index") == 1) | F.col("pos_next").isNull() | bend)
+    rate = lambda c, n: (F.col(f"{c}_before") + F.col(c)) / F.lit(n) if n else F.lit(None).cast("double")
+    body = running_sums(kept.select("index", score, "pos", "neg", "pos_before", "neg_before").withColumnRenamed("index", "_i"),
+                        ["_i"], []).select(F.col("index").cast("int").alias("point"), rate("neg", N).alias("fpr"),
+                                           rate("pos", P).alias("tpr"), F.col(score).cast("double").alias("threshold"))
+    origin = scores.sparkSession.range(1).select(F.lit(0).alias("point"), F.lit(0.0).alias("fpr"),
                                                  F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
-    out = origin.unionByName(body)
-    return out.select((F.row_number().over(Window.orderBy("_i")) - 1).cast("int").alias("point"),
-                      "fpr", "tpr", "threshold")
+    return origin.unionByName(body)
 
 
 def threshold_sweep(scores: DataFrame, thresholds: list[float] | None = None,
@@ -164,26 +125,17 @@ def recommend_threshold(sweep: DataFrame, min_recall: float = fixed.MIN_RECALL)
     ranked = (sweep.withColumn("eligible", elig).withColumn("_any", any_elig)
               .filter(F.col("eligible") | (F.col("_any") == 0))
               .orderBy(k1.desc(), k2.desc(), F.col("threshold").asc()).limit(1))
-    pct = f"{min_recall:.0%}"
-    th = F.format_string("%.2f", F.col("threshold"))
     four = lambda c: F.format_string("%.4f", F.col(c))
-    yes = F.concat(
-        F.lit("For churn prevention, missing churners (FN) is usually costlier than wasted retention (FP). "
-              f"Among thresholds with recall >= {pct}, "), th,
-        F.lit(" gives the best F1 ("), four("f1_score"), F.lit(") while keeping recall "), four("recall"),
-        F.lit(" and precision "), four("precision"), F.lit(". Recommended threshold: "), th, F.lit("."))
-    no = F.concat(
-        F.lit(f"No threshold reached recall >= {pct}. Using "), th, F.lit(" (recall "), four("recall"),
-        F.lit(", precision "), four("precision"),
-        F.lit(") to prioritize catching churners. Consider lowering the threshold if retention "
-              "capacity allows more outreach."))
+    values = {"recall_min": F.lit(f"{min_recall:.0%}"), "threshold": F.format_string("%.2f", F.col("threshold")),
+              "f1": four("f1_score"), "recall": four("recall"), "precision": four("precision")}
+    yes, no = fill(fixed.RECOMMEND_BEST, values), fill(fixed.RECOMMEND_NONE, values)
     rec = ranked.select("threshold", "precision", "recall", "f1_score", "eligible",
                         F.when(F.col("eligible"), yes).otherwise(no).alias("justification"))
     spark = sweep.sparkSession
     fallback = spark.range(1).select(
         F.lit(fixed.DEFAULT_THRESHOLD).alias("threshold"), F.lit(None).cast("double").alias("precision"),
         F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("f1_score"),
-        F.lit(False).alias("eligible"), F.lit("Insufficient data for recommendation.").alias("justification"))
+        F.lit(False).alias("eligible"), F.lit(fixed.RECOMMEND_EMPTY).alias("justification"))
     has_rows = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     both = rec.withColumn("_pri", F.lit(0)).unionByName(fallback.withColumn("_pri", F.lit(1)))
     return (both.withColumn("_rows", F.sum(1 - F.col("_pri")).over(Window.partitionBy(F.lit(1))))

@@ -277,6 +277,8 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
             vec[r["i"]] = r["v"]
         loss = vec[width] / max(1, n_train)
         val_loss = vec[width + 1] / max(1, n_val)
+        if not np.isfinite(loss) or not np.isfinite(val_loss):
+            raise ValueError(f"training loss {loss} and validation loss {val_loss} have to be finite")
         rows = max(1.0, vec[width + 2])
         if pending is not None:
             epoch, train_loss = pending
@@ -323,7 +325,7 @@ class MLPScorer:
                     continue
                 X = np.vstack(pdf["features"].to_numpy())
                 out = pdf.drop(columns=["features"])
-                out["p_raw"] = params.forward(np.nan_to_num(X))
+                out["p_raw"] = params.forward(X)
                 yield out
 
         return x.mapInPandas(score, out_schema)

@@ -14,7 +14,7 @@ from keepwise.functions.scoring import label_name
 from keepwise.operators.rank import exact_quantiles
 from keepwise.schema import CATEGORICAL_FEATURES, TARGET_COL
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(28,10)"   # exact sums that do not depend on the order
 
 
 def hero_kpis(clean: DataFrame) -> DataFrame:

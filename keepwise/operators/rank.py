@@ -59,7 +59,9 @@ def global_rank(df: DataFrame, order_by: list, partition_by: list[str] | None =
         starts = ranked.groupBy(*partition_by).agg(F.min(rank_col).alias("_g0"),
                                                    F.count(F.lit(1)).alias("_gn"))
         # one row per group; AQE broadcasts it when its measured size is small
-        out = ranked.join(starts, partition_by).withColumn(rank_col, F.col(rank_col) - F.col("_g0") + 1)
+        starts = starts.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(partition_by)], "_g0", "_gn")
+        same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(partition_by)]
+        out = ranked.join(starts, same).drop(*[f"_s{i}" for i in range(len(partition_by))]).withColumn(rank_col, F.col(rank_col) - F.col("_g0") + 1)
     else:
         # whole-table size: a scalar from the per-partition counts
         total = sizes.agg(F.sum("_n")).first()[0] or 0
@@ -70,136 +72,79 @@ def global_rank(df: DataFrame, order_by: list, partition_by: list[str] | None =
 
 
 def score_histogram(scored: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
-    """``(score, pos, neg)`` per distinct score. On 6-dp scores in [0, 1] it has at
-    most 1,000,001 rows whatever the input size, so ordered windows over it are
-    cheap."""
+    """``(score, pos, neg)`` per distinct non-NULL score (at most one row per input row)."""
     y = F.col(label).cast("bigint")
-    return scored.groupBy(score).agg(F.sum(y).alias("pos"),
-                                     F.sum(F.lit(1) - y).alias("neg"))
+    return (scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score)
+            .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-MAX_BRACKET_GROUPS = 1000
+def running_sums(df: DataFrame, order_by: list, sums: list[str], following: list[str] | None = None) -> DataFrame:
+    """Add ``index`` (1-based place in ``order_by`` order) and, per column ``c`` of
+    ``sums``, ``c_before`` (its sum over all earlier rows); per column ``c`` of
+    ``following`` also ``c_next`` (its value in the next row, NULL in the last).
 
-
-def _exact_quantiles_sorted(base: DataFrame, probs: list[float], group_by: list[str],
-                            names: list[str]) -> DataFrame:
-    """Same result by ranking every value (``global_rank`` per group)."""
-    base = base.withColumn("_u", F.monotonically_increasing_id())
-    ranked = global_rank(base, [F.col("_v").asc(), F.col("_u").asc()], partition_by=group_by,
-                         rank_col="_r", size_col="_n")
-    pos = {}
-    for q, nm in zip(probs, names):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        pos[nm] = (h, F.floor(h) + 1, F.ceil(h) + 1)
-    keep = None
-    for h, lo, hi in pos.values():
-        cond = (F.col("_r") == lo) | (F.col("_r") == hi)
-        keep = cond if keep is None else keep | cond
-    picked = ranked.filter(keep)
-    aggs = []
-    for nm, (h, lo, hi) in pos.items():
-        aggs += [F.max(F.when(F.col("_r") == lo, F.col("_v"))).alias(f"{nm}__lo"),
-                 F.max(F.when(F.col("_r") == hi, F.col("_v"))).alias(f"{nm}__hi"),
-                 F.max(h - F.floor(h)).alias(f"{nm}__d")]
-    agg = picked.groupBy(*group_by).agg(*aggs) if group_by else picked.agg(*aggs)
-    out = [F.col(g) for g in group_by]
-    for nm in names:
-        lo, hi, d = F.col(f"{nm}__lo"), F.col(f"{nm}__hi"), F.col(f"{nm}__d")
-        out.append(F.when(d == 0, lo).otherwise(lo + (hi - lo) * d).alias(nm))
-    return agg.select(*out)
+    One path at every size: a range-partitioned sort, written once; inside a
+    partition a window, and from partition to partition the totals of a table with
+    one row per partition. Pass a unique key.
+    """
+    following = list(following or [])
+    tagged = materialize(df.orderBy(*[_as_col(c) for c in order_by]).withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "running")
+    ones = F.count(F.lit(1)).alias("_n")
+    per = tagged.groupBy("_pid").agg(ones, *[F.sum(c).alias(f"_s_{c}") for c in sums],
+                                     F.min_by(F.struct(F.lit(0).alias("_0"), *following), "_mid").alias("_first"))
+    parts = Window.orderBy("_pid")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows"),
+                         *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                         F.lead("_first").over(parts).alias("_after"))
+    inside = Window.partitionBy("_pid").orderBy("_mid")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.join(F.broadcast(offsets), "_pid")   # one row per sort partition
+            .select(*df.columns, (F.col("_rows") + F.row_number().over(inside)).alias("index"),
+                    *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"{c}_before") for c in sums],
+                    *[F.when(F.lead("_mid").over(inside).isNotNull(), F.lead(c).over(inside))
+                      .otherwise(F.col(f"_after.{c}")).alias(f"{c}_next") for c in following]))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float],
-                    group_by: list[str] | None = None, names: list[str] | None = None,
-                    accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolation quantiles, exact, without sorting the whole column.
+                    group_by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """Linear-interpolation quantiles, exact, per group.
 
     For a group of ``n`` sorted values ``v1..vn`` and probability ``q``:
     ``h = (n-1) q``, result ``v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h)``
-    (0-based positions).
-
-    1. one aggregate: group sizes and ``percentile_approx`` brackets at
-       ``q -/+ 3/accuracy`` (a sketch; one row per group to the driver);
-    2. one aggregate: rows below each bracket and inside it - a bracket that
-       does not contain both needed positions widens to the group's range, so
-       the result is exact whatever the sketch returns;
-    3. only the rows inside a bracket (about ``6 n / accuracy`` per quantile)
-       are ranked (``global_rank``), and the needed positions picked.
-    Groups are few (labels); their brackets travel as literals.
+    (0-based positions). Equal values are counted first (map-side), so a column of
+    few values stays small however often they repeat; the counts are summed up in
+    value order and the rows that hold the needed positions are picked. NULL is a
+    group like any other; NULL and NaN values are left out.
     """
     group_by = list(group_by or [])
     names = names or [f"q{i}" for i in range(len(probs))]
-    base = df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan(F.col("_v")))
-    eps = 3.0 / accuracy
-    edges = sorted({min(1.0, max(0.0, q + d)) for q in probs for d in (-eps, eps)})
-    gcols = [F.col(g) for g in group_by]
-    stats_df = base.groupBy(*gcols) if group_by else base.groupBy()
-    stats = stats_df.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                         F.percentile_approx("_v", edges, accuracy).alias("_ap")).limit(MAX_BRACKET_GROUPS + 1).collect()
-    if len(stats) > MAX_BRACKET_GROUPS:
-        # many groups: their brackets would not be literals any more; rank by sort
-        return _exact_quantiles_sorted(base, probs, group_by, names)
-    if not stats:
-        return base.sparkSession.createDataFrame([], ", ".join(
-            [f"`{g}` {t}" for g, t in df.select(*group_by).dtypes] + [f"`{nm}` DOUBLE" for nm in names]))
-
-    def gkey(row):
-        return tuple(row[g] for g in group_by)
-
-    def in_group(key):
-        cond = F.lit(True)
-        for g, v in zip(group_by, key):
-            cond = cond & (F.col(g).isNull() if v is None else (F.col(g) == F.lit(v)))
-        return cond
-
-    # positions (1-based) and brackets per (group, quantile)
-    plan = []
-    for row in stats:
-        n, ap = row["_n"], dict(zip(edges, row["_ap"]))
-        for qi, q in enumerate(probs):
-            h = (n - 1) * float(q)
-            lo_pos, hi_pos = int(h // 1) + 1, int(-(-h // 1)) + 1
-            a = ap[min(1.0, max(0.0, q - eps))]
-            b = ap[min(1.0, max(0.0, q + eps))]
-            plan.append({"key": gkey(row), "qi": qi, "h": h, "lo_pos": lo_pos, "hi_pos": hi_pos,
-                         "a": a, "b": b, "min": row["_lo"], "max": row["_hi"]})
-    # verify brackets with exact counts; widen the ones that miss
-    checks = []
-    for k, p in enumerate(plan):
-        g = in_group(p["key"])
-        checks += [F.count_if(g & (F.col("_v") < F.lit(p["a"]))).alias(f"b{k}"),
-                   F.count_if(g & (F.col("_v") >= F.lit(p["a"])) & (F.col("_v") <= F.lit(p["b"]))).alias(f"i{k}")]
-    counted = base.agg(*checks).first()
-    for k, p in enumerate(plan):
-        below, inside = counted[f"b{k}"], counted[f"i{k}"]
-        if not (below < p["lo_pos"] and below + inside >= p["hi_pos"]):
-            p["a"], p["b"], below = p["min"], p["max"], 0
-        p["below"] = below
-    # rank only the bracketed rows, per (group, quantile)
-    tags = [F.when(in_group(p["key"]) & (F.col("_v") >= F.lit(p["a"])) & (F.col("_v") <= F.lit(p["b"])), F.lit(k))
-            for k, p in enumerate(plan)]
-    band = (base.select(*group_by, "_v", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("_k"))
-            .withColumn("_u", F.monotonically_increasing_id()))
-    ranked = global_rank(band, [F.col("_v").asc(), F.col("_u").asc()], partition_by=["_k"], rank_col="_r")
-    below_of = F.element_at(F.array(*[F.lit(int(p["below"])) for p in plan]), F.col("_k") + 1)
-    lo_of = F.element_at(F.array(*[F.lit(p["lo_pos"]) for p in plan]), F.col("_k") + 1)
-    hi_of = F.element_at(F.array(*[F.lit(p["hi_pos"]) for p in plan]), F.col("_k") + 1)
-    pos = F.col("_r") + below_of
-    picked = ranked.filter((pos == lo_of) | (pos == hi_of))
-    vals = picked.groupBy("_k").agg(F.max(F.when(pos == lo_of, F.col("_v"))).alias("_vlo"),
-                                    F.max(F.when(pos == hi_of, F.col("_v"))).alias("_vhi"))
-    frac = F.element_at(F.array(*[F.lit(p["h"] - (p["h"] // 1)) for p in plan]), F.col("_k") + 1)
-    gq = vals.select("_k", F.when(frac == 0, F.col("_vlo"))
-                     .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("_q"))
-    # back to one row per group: the (group, quantile) index decodes to literals
-    out_cols = []
-    for gi, g in enumerate(group_by):
-        out_cols.append(F.element_at(F.array(*[F.lit(p["key"][gi]) for p in plan]), F.col("_k") + 1).alias(g))
-    qi_of = F.element_at(F.array(*[F.lit(p["qi"]) for p in plan]), F.col("_k") + 1)
-    long = gq.select(*out_cols, qi_of.alias("_qi"), "_q")
-    return long.groupBy(*group_by).agg(*[F.max(F.when(F.col("_qi") == qi, F.col("_q"))).alias(nm)
-                                         for qi, nm in enumerate(names)])
+    hist = (df.select(*group_by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            .groupBy(*group_by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ordered = running_sums(hist, [*[F.col(g).asc() for g in group_by], F.col("_v").asc()], ["_c"])
+    ordered = ordered.select(*group_by, "_v", "_c", F.col("_c_before").alias("_b"))
+    spans = (ordered.groupBy(*group_by) if group_by else ordered.groupBy()).agg(F.min("_b").alias("_g0"), F.sum("_c").alias("_n"))
+    if group_by:
+        same = [F.col(f"_k{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group_by)]
+        spans = spans.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group_by)], "_g0", "_n")
+        placed = ordered.join(spans, same)
+    else:
+        first = spans.first()
+        placed = ordered.withColumn("_g0", F.lit(first["_g0"] or 0)).withColumn("_n", F.lit(first["_n"] or 0))
+    start = F.col("_b") - F.col("_g0")
+    aggs, needed = [], F.lit(False)
+    for q, nm in zip(probs, names):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+        for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            here = (start <= pos) & (pos < start + F.col("_c"))
+            needed = needed | here
+            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"{nm}__{side}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"{nm}__d"))
+    picked = placed.filter(needed)
+    agg = picked.groupBy(*group_by).agg(*aggs) if group_by else picked.agg(*aggs)
+    lo, hi, d = (lambda nm, k=k: F.col(f"{nm}__{k}") for k in ("lo", "hi", "d"))
+    return agg.select(*group_by, *[F.when(d(nm) == 0, lo(nm)).otherwise(lo(nm) + (hi(nm) - lo(nm)) * d(nm)).alias(nm) for nm in names])
 
 
 def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str] | None = None,
@@ -212,7 +157,8 @@ def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str]
     ranked with ``row_number`` inside their bucket, and shifted by the rows of
     all earlier buckets (a count table of at most groups x 16**digits rows).
     The order by bucket then digest equals the order by digest, so the rank is
-    the same as a global ``row_number``. Deterministic, hence no lineage cut.
+    the same as a global ``row_number``. Deterministic, hence no lineage cut. NULL
+    groups and NULL ids are ranked too (the bucket join is NULL-safe).
     """
     from pyspark.sql import Window as W
 
@@ -223,7 +169,11 @@ def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str]
     offs = counts.select(*partition_by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                          F.sum("_c").over(W.partitionBy(*partition_by)).alias("_gn"))
     within = W.partitionBy(*partition_by, "_b").orderBy(F.col(hash_col).asc(), F.col(id_col).asc())
-    out = (b.join(offs, [*partition_by, "_b"])   # AQE broadcasts the count table when small
+    keys = [*partition_by, "_b"]
+    offs = offs.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_off", "_gn")
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    out = (b.join(offs, same)   # AQE broadcasts the count table when small
+           .drop(*[f"_o{i}" for i in range(len(keys))])
            .withColumn(rank_col, F.col("_off") + F.row_number().over(within)))
     if size_col:
         out = out.withColumnRenamed("_gn", size_col)

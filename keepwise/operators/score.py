@@ -19,19 +19,15 @@ PROB_DP = 6
 def score_customers(clean: DataFrame, scorer=None, keep: list[str] | None = None) -> DataFrame:
     """``(id, p_raw, churn_probability, risk_level, *keep)``.
 
-    ``scorer`` is a ``TermLogit``/Column builder (JVM side) or an object with a
-    ``transform(df) -> df`` adding ``p_raw`` (Arrow-batched models). The band is
-    taken from the unrounded probability, the exported value is rounded to 6 dp.
+    ``scorer`` is a Column or any object whose ``transform(df)`` adds ``p_raw``
+    (fixed weights, linear, neural). The band is taken from the unrounded
+    probability, the exported value is rounded half-even to 6 dp.
     """
-    scorer = scorer or scoring.fixed_logit()
+    scorer = scorer if scorer is not None else scoring.fixed_scorer()
     keep = [c for c in (keep or []) if c != ID_COL]
-    if hasattr(scorer, "transform"):
-        df = scorer.transform(clean)
-    else:
-        p: Column = scorer.probability() if hasattr(scorer, "probability") else scorer
-        df = clean.withColumn("p_raw", p)
+    df = clean.withColumn("p_raw", scorer) if isinstance(scorer, Column) else scorer.transform(clean)
     return df.select(ID_COL, "p_raw",
-                     F.round(F.col("p_raw"), PROB_DP).alias("churn_probability"),
+                     F.bround(F.col("p_raw"), PROB_DP).alias("churn_probability"),
                      scoring.risk_band(F.col("p_raw")).alias("risk_level"), *keep)
 
 
@@ -47,9 +43,9 @@ def ranked_predictions(preds: DataFrame) -> DataFrame:
 
 def scored_outcomes(clean: DataFrame, scorer=None) -> DataFrame:
     """``(customerID, score, y, charge)``: the table every ranking metric reads.
-    ``score`` is the 6-dp probability, so the score histogram is bounded."""
+    ``score`` is the unrounded probability."""
     s = score_customers(clean, scorer, keep=[TARGET_COL, "MonthlyCharges"])
-    return s.select(ID_COL, F.col("churn_probability").alias("score"),
+    return s.select(ID_COL, F.col("p_raw").alias("score"),
                     F.col(TARGET_COL).cast("int").alias("y"),
                     F.col("MonthlyCharges").alias("charge"))
 

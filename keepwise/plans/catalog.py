@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
+from keepwise.functions.text import fill_sql
 from keepwise.functions.scoring import high_risk_flag, label_name, predict_label
 from keepwise.operators import campaign, clean, metrics, profile, score, split
 from keepwise.plans import oracle as O
-from keepwise.plans.reuse import reuse_or_write, reused
+from keepwise.plans.reuse import reuse_or_write
 from keepwise.schema import FEATURES, ID_COL, TARGET_COL
 from keepwise.sources import fixture, readers
 
@@ -59,10 +60,8 @@ class Tables:
 
     @cached_property
     def clean_lazy(self) -> DataFrame:
-        """The cleaned table for one-pass reports: the written copy when one
-        exists, else derived on the fly."""
-        hit = reused(self.spark, "customers_split", self.inputs)
-        return hit.drop("split") if hit is not None else clean.clean_customers(self.raw)
+        """The cleaned table for one-pass reports, derived on the fly."""
+        return clean.clean_customers(self.raw)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -386,20 +385,18 @@ def q_threshold_cross(spark, sf):
     return metrics.threshold_sweep(Tables(spark, sf).test_scores).select("threshold", "tp", "fp", "n_pred_pos")
 
 
+_REC = {"recall_min": "'60%'", "threshold": "printf('%.2f', threshold)", "f1": "printf('%.4f', f1_score)",
+        "recall": "printf('%.4f', recall)", "precision": "printf('%.4f', precision)"}
+
+
 @query("recommend_threshold", O.w(O.TEST + _sweep_sql() + """,
 rec_e AS (SELECT *, recall >= 0.6::DOUBLE AS eligible, max(CAST(recall >= 0.6::DOUBLE AS INTEGER)) OVER () AS any_e FROM sw),
 rec_b AS (SELECT * FROM rec_e WHERE eligible OR any_e = 0
       ORDER BY CASE WHEN eligible THEN f1_score ELSE recall END DESC,
                CASE WHEN eligible THEN recall ELSE f1_score END DESC, threshold LIMIT 1)""",
        """SELECT threshold, precision, recall, f1_score, eligible,
-  CASE WHEN eligible THEN
-    'For churn prevention, missing churners (FN) is usually costlier than wasted retention (FP). Among thresholds with recall >= 60%, '
-    || printf('%.2f', threshold) || ' gives the best F1 (' || printf('%.4f', f1_score) || ') while keeping recall '
-    || printf('%.4f', recall) || ' and precision ' || printf('%.4f', precision) || '. Recommended threshold: '
-    || printf('%.2f', threshold) || '.'
-  ELSE
-    'No threshold reached recall >= 60%. Using ' || printf('%.2f', threshold) || ' (recall ' || printf('%.4f', recall)
-    || ', precision ' || printf('%.4f', precision) || ') to prioritize catching churners. Consider lowering the threshold if retention capacity allows more outreach.'
+  CASE WHEN eligible THEN """ + fill_sql(fixed.RECOMMEND_BEST, _REC) + """
+  ELSE """ + fill_sql(fixed.RECOMMEND_NONE, _REC) + """
   END AS justification,
   printf('%.2f', threshold) AS threshold_label
 FROM rec_b"""))
@@ -443,7 +440,7 @@ caps AS (SELECT 1 AS request, least(100, greatest(1, n // 5)) AS requested, leas
 SELECT request, CAST(requested AS BIGINT) AS requested, CAST(capacity AS BIGINT) AS capacity,
        coalesce(min(score), 0.0::DOUBLE) AS implied_threshold,
        CAST(coalesce(sum(y), 0) AS BIGINT) AS churners_captured,
-       CAST(coalesce(sum(CAST(charge * y AS DECIMAL(18,2))), 0) AS DOUBLE) AS revenue_covered
+       CAST(coalesce(sum(CAST(charge * y AS DECIMAL(28,10))), 0) AS DOUBLE) AS revenue_covered
 FROM caps LEFT JOIN ranked ON ranked.rn <= caps.capacity GROUP BY request, requested, capacity"""))
 def q_capacity_topn(spark, sf):
     t = Tables(spark, sf)
@@ -462,7 +459,7 @@ sc AS ({rows}),
 pl AS (SELECT sc.*, greatest(1, CAST(round_even(n * 20 / 100, 0) AS BIGINT)) AS pool_size FROM sc, (SELECT count(*) AS n FROM test)),
 pk AS (SELECT *, greatest(0, CAST(round_even(pct_contacted / 100 * pool_size, 0) AS BIGINT)) AS n_contacted FROM pl),
 ag AS (SELECT pk.scenario, CAST(coalesce(sum(ranked.y), 0) AS BIGINT) AS ch,
-              CAST(coalesce(sum(CAST(ranked.charge * ranked.y AS DECIMAL(18,2))), 0) AS DOUBLE) AS m
+              CAST(coalesce(sum(CAST(ranked.charge * ranked.y AS DECIMAL(28,10))), 0) AS DOUBLE) AS m
        FROM pk LEFT JOIN ranked ON ranked.rn <= pk.n_contacted GROUP BY pk.scenario),
 v AS (SELECT pk.*, ag.ch, ch * (success_rate / 100) AS avoided, m / greatest(1, ch) AS avg_c,
              greatest(0.0::DOUBLE, m / greatest(1, ch) - avg_discount) AS monthly FROM pk JOIN ag USING (scenario))
@@ -487,8 +484,8 @@ def q_campaign_roi(spark, sf):
 # ---------------------------------------------------------------------------
 @query("hero_kpis", O.w(O.CLEAN, """
 SELECT 100.0::DOUBLE * CAST(sum(Churn) AS DOUBLE) / count(*) AS churn_pct,
-       CAST(sum(CAST(MonthlyCharges AS DECIMAL(18,2))) AS DOUBLE) / count(MonthlyCharges) AS avg_monthly_charge,
-       CAST(coalesce(sum(CASE WHEN Churn = 1 THEN CAST(MonthlyCharges AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS revenue_at_risk,
+       CAST(sum(CAST(MonthlyCharges AS DECIMAL(28,10))) AS DOUBLE) / count(MonthlyCharges) AS avg_monthly_charge,
+       CAST(coalesce(sum(CASE WHEN Churn = 1 THEN CAST(MonthlyCharges AS DECIMAL(28,10)) END), 0) AS DOUBLE) AS revenue_at_risk,
        CAST(count(*) AS BIGINT) AS n_customers FROM clean"""))
 def q_hero_kpis(spark, sf):
     return profile.hero_kpis(Tables(spark, sf).clean_lazy)

@@ -9,8 +9,9 @@ from keepwise.functions.scoring import sig_round
 from keepwise.operators import metrics, model, score
 from keepwise.plans import oracle as O
 from keepwise.plans.catalog import Tables, query
-from keepwise.plans.combine import side_by_side
 from keepwise.plans.catalog_model import ENC, _encoder, _test
+from keepwise.plans.combine import side_by_side
+from keepwise.plans.reuse import input_signature
 from keepwise.schema import ID_COL, TARGET_COL
 from keepwise.session import scratch_path
 from keepwise.sources import params, sinks
@@ -127,12 +128,12 @@ def q_load_encoder(spark, sf):
 # ---------------------------------------------------------------------------
 # trained models (rows-only checks: results depend on the optimiser)
 # ---------------------------------------------------------------------------
-_TRAINED: dict = {}
+_TRAINED: dict = {}   # by application, kind and the state of every input file
+
 
+def _model_key(spark, sf, kind):
+    return spark.sparkContext.applicationId, kind, input_signature(spark, Tables(spark, sf).inputs)
 
-def _one_row_join(a, b):
-    """Side by side of two single-row aggregates."""
-    return side_by_side(a, b)
 
 
 def _design(t: Tables, enc):
@@ -140,7 +141,7 @@ def _design(t: Tables, enc):
 
 
 def trained_logit(spark, sf):
-    key = ("logit", sf)
+    key = _model_key(spark, sf, "logit")
     if key not in _TRAINED:
         t = Tables(spark, sf)
         enc = _encoder(t)
@@ -152,7 +153,7 @@ def trained_logit(spark, sf):
 
 
 def trained_mlp(spark, sf):
-    key = ("mlp", sf)
+    key = _model_key(spark, sf, "mlp")
     if key not in _TRAINED:
         t = Tables(spark, sf)
         enc = _encoder(t)
@@ -224,14 +225,14 @@ def q_mlp_scores(spark, sf):
 def q_mlp_test_metrics(spark, sf):
     scorer, _ = trained_mlp(spark, sf)
     scores = score.scored_outcomes(_test(Tables(spark, sf)), scorer)
-    return _one_row_join(metrics.roc_auc(scores), metrics.binary_metrics(scores))
+    return side_by_side(metrics.roc_auc(scores), metrics.binary_metrics(scores))
 
 
 @query("logit_test_metrics")
 def q_logit_test_metrics(spark, sf):
     m = trained_logit(spark, sf)
     scores = score.scored_outcomes(_test(Tables(spark, sf)), m)
-    return _one_row_join(metrics.roc_auc(scores), metrics.binary_metrics(scores))
+    return side_by_side(metrics.roc_auc(scores), metrics.binary_metrics(scores))
 
 
 # ---------------------------------------------------------------------------

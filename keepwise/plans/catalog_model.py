@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keepwise.functions import fixed
-from keepwise.functions.scoring import sig_round
+from keepwise.functions.scoring import rational_share, sig_round
 from keepwise.functions.text import humanize_feature
 from keepwise.operators import clean as clean_ops
 from keepwise.operators import encode, explain, importance, profile, score
@@ -147,8 +147,8 @@ def q_hint_lookup(spark, sf):
 # ---------------------------------------------------------------------------
 # 2.4 permutation importance (fixed weights on the unscaled design)
 # ---------------------------------------------------------------------------
-PI_WEIGHTS = {"tenure": -0.05, "InternetService_Fiber optic": 0.2, "Contract_Month-to-month": 0.4,
-              "PaymentMethod_Electronic check": 0.3, "PaymentMethod_Mailed check": 0.3}
+PI_WEIGHTS = {"tenure": -3 / 64, "InternetService_Fiber optic": 13 / 64, "Contract_Month-to-month": 26 / 64,
+              "PaymentMethod_Electronic check": 19 / 64, "PaymentMethod_Mailed check": 19 / 64}
 PI_INTERCEPT = 2.0
 
 
@@ -156,7 +156,7 @@ def importance_table(t: Tables):
     enc = _encoder(t)
     design = enc.transform(_test(t), keep=[TARGET_COL], scale=False).withColumnRenamed(TARGET_COL, "y")
     w = [PI_WEIGHTS.get(nm, 0.0) for nm in enc.feature_names]
-    pi = importance.permutation_importance(design, importance.linear_scorer(w, PI_INTERCEPT), enc.feature_names,
+    pi = importance.permutation_importance(design, importance.linear_scorer(w, PI_INTERCEPT, rational_share), enc.feature_names,
                                            n_repeats=fixed.N_REPEATS, seed=fixed.SPLIT_SEED)
     return pi.select("idx", "feature", *[F.bround(c, DP).alias(c)
                                          for c in ("importance_mean", "importance_std", "baseline_auc")])
@@ -170,11 +170,11 @@ def _pi_sql() -> str:
             "mc": "CAST(coalesce(CAST(PaymentMethod AS VARCHAR) = 'Mailed check', false) AS DOUBLE)"}
     feat = {"t": "tenure", "fib": "InternetService_Fiber optic", "m2m": "Contract_Month-to-month",
             "ec": "PaymentMethod_Electronic check", "mc": "PaymentMethod_Mailed check"}
-    wts = {"t": -0.05, "fib": 0.2, "m2m": 0.4, "ec": 0.3, "mc": 0.3}
+    wts = {"t": -3 / 64, "fib": 13 / 64, "m2m": 26 / 64, "ec": 19 / 64, "mc": 19 / 64}
 
     def score(src) -> str:
         z = O.dbl(PI_INTERCEPT) + "".join(f" + {O.dbl(wts[k])} * {src(k)}" for k in ["t", "fib", "m2m", "ec", "mc"])
-        return f"round({O.dbl(1.0)} / ({O.dbl(1.0)} + exp(-({z}))), 6)"
+        return f"({O.dbl(0.5)} + {O.dbl(0.5)} * (({z}) / ({O.dbl(1.0)} + abs({z}))))"
 
     perm = score(lambda k: f"(CASE WHEN nm.name = '{feat[k]}' THEN b.{k} ELSE a.{k} END)")
     return O.w(ENC + f""",
@@ -300,8 +300,8 @@ def _whatif_sql() -> str:
         parts.append(f"SELECT {i + 1} AS scenario, * REPLACE ({cols}), p_raw AS base_p FROM scored")
     z = O.P_RAW
     return O.w(O.SCORED + ",\nwi AS (" + " UNION ALL ".join(parts) + ")",
-               f"""SELECT customerID, scenario, round(base_p, 6) AS base_probability, round({z}, 6) AS whatif_probability,
-  round({z}, 6) - round(base_p, 6) AS delta,
+               f"""SELECT customerID, scenario, round_even(base_p, 6) AS base_probability, round_even({z}, 6) AS whatif_probability,
+  round_even({z}, 6) - round_even(base_p, 6) AS delta,
   {O.BAND.replace('p_raw', 'base_p')} AS base_risk, {O.BAND.replace('p_raw', z)} AS whatif_risk,
   {O.BAND.replace('p_raw', z).replace("'Low'", "'Baixo'").replace("'Medium'", "'Médio'").replace("'High'", "'Alto'")} AS whatif_label
 FROM wi""")
@@ -360,16 +360,11 @@ def q_distinct_options(spark, sf):
 @query("attach_ids", O.w(O.SCORED, "SELECT customerID, churn_probability FROM scored"))
 def q_attach_ids(spark, sf):
     t = Tables(spark, sf)
-    ids = t.clean.select(ID_COL)
-    scores = score.predictions(clean_ops.project_features(t.clean)).select(ID_COL, "churn_probability")
-    return ids.join(scores, ID_COL, "inner")
+    # the id rides along with the features, so the scores already carry it
+    return score.predictions(clean_ops.project_features(t.clean)).select(ID_COL, "churn_probability")
 
 
 @query("attach_outcomes", O.w(O.TEST, "SELECT customerID, score, y, charge FROM test"))
 def q_attach_outcomes(spark, sf):
     t = Tables(spark, sf)
-    tst = _test(t)
-    scores = score.predictions(clean_ops.project_features(tst)).select(
-        ID_COL, F.col("churn_probability").alias("score"))
-    outcomes = tst.select(ID_COL, F.col(TARGET_COL).cast("int").alias("y"), F.col("MonthlyCharges").alias("charge"))
-    return scores.join(outcomes, ID_COL, "inner")
+    return score.scored_outcomes(_test(t))   # outcomes are columns of the scored rows

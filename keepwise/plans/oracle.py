@@ -42,11 +42,12 @@ o AS (
          sum(CASE WHEN o_orderpriority='5-LOW' THEN 1 ELSE 0 END) AS p5
   FROM orders GROUP BY o_custkey),
 b AS (
-  SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey, o.*, CAST(tot*100 AS BIGINT) AS cents,
-         CAST(floor(date_diff('day', f, l)/30) AS INTEGER) AS ten,
+  SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey, o.* EXCLUDE (tot), coalesce(o.tot, 0::DECIMAL(18,2)) AS tot,
+         CAST(coalesce(o.tot, 0)*100 AS BIGINT) AS cents,
+         CAST(coalesce(floor(date_diff('day', f, l)/30), 0) AS INTEGER) AS ten,
          CASE c_nationkey % 3 WHEN 0 THEN 'Fiber optic' WHEN 1 THEN 'DSL' ELSE 'No' END AS inet,
          CASE WHEN nf >= 2 THEN 'Yes' ELSE 'No' END AS phone
-  FROM customer JOIN o ON c_custkey = o_custkey),
+  FROM customer LEFT JOIN o ON c_custkey = o_custkey),
 base AS (
   SELECT CAST(c_custkey AS VARCHAR) AS customerID, ten AS tenure,
     (cents - cents % (ten+1)) / (ten+1) / 100 AS MonthlyCharges,
@@ -87,19 +88,19 @@ clean AS (
     CAST(coalesce(lower({strip('Churn')}) = 'yes', false) AS INTEGER) AS Churn
   FROM raw)"""
 
-# z = 2.0 - 0.05*tenure + 0.4*[m2m] + 0.3*[manual check] + 0.2*[fiber], summed left to right
-Z = (f"{dbl(2.0)} + {dbl(-0.05)} * CAST(tenure AS DOUBLE)"
-     f" + {dbl(0.4)} * CAST(Contract = 'Month-to-month' AS DOUBLE)"
-     f" + {dbl(0.3)} * CAST(PaymentMethod IN ('Electronic check', 'Mailed check') AS DOUBLE)"
-     f" + {dbl(0.2)} * CAST(InternetService = 'Fiber optic' AS DOUBLE)")
-P_RAW = f"({dbl(1.0)} / ({dbl(1.0)} + exp(-({Z}))))"
+# z = 2 - 3/64 tenure + 26/64 [m2m] + 19/64 [manual check] + 13/64 [fiber]: exact in doubles
+Z = (f"{dbl(2.0)} + {dbl(-3 / 64)} * CAST(tenure AS DOUBLE)"
+     f" + {dbl(26 / 64)} * CAST(Contract = 'Month-to-month' AS DOUBLE)"
+     f" + {dbl(19 / 64)} * CAST(PaymentMethod IN ('Electronic check', 'Mailed check') AS DOUBLE)"
+     f" + {dbl(13 / 64)} * CAST(InternetService = 'Fiber optic' AS DOUBLE)")
+P_RAW = f"({dbl(0.5)} + {dbl(0.5)} * (({Z}) / ({dbl(1.0)} + abs({Z}))))"
 BAND = (f"CASE WHEN p_raw < {dbl(fixed.RISK_LOW_MAX)} THEN 'Low' "
         f"WHEN p_raw <= {dbl(fixed.RISK_MEDIUM_MAX)} THEN 'Medium' "
         f"WHEN p_raw IS NOT NULL THEN 'High' END")
 
 SCORED = CLEAN + f""",
 scored AS (
-  SELECT *, round(p_raw, 6) AS churn_probability, {BAND} AS risk_level
+  SELECT *, round_even(p_raw, 6) AS churn_probability, {BAND} AS risk_level
   FROM (SELECT *, {P_RAW} AS p_raw FROM clean))"""
 
 SPLIT = SCORED + """,
@@ -117,7 +118,7 @@ split AS (
 
 TEST = SPLIT + """,
 test AS (
-  SELECT customerID, churn_probability AS score, Churn AS y, MonthlyCharges AS charge
+  SELECT customerID, p_raw AS score, Churn AS y, MonthlyCharges AS charge
   FROM split WHERE split = 'test'),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY score DESC, customerID) AS rn,

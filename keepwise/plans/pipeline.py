@@ -26,11 +26,10 @@ def load_customers(spark: SparkSession, path: str, fmt: str = "csv", with_target
     return readers.scan_customers(spark, path, fmt=fmt, with_target=with_target)
 
 
-def _prepared(raw: DataFrame, strict: bool = True) -> DataFrame:
-    clean = clean_ops.clean_customers(raw)
+def _prepared(raw: DataFrame, fill: float = 0.0) -> DataFrame:
+    clean = clean_ops.clean_customers(raw, fill=fill)
     clean = materialize(clean, "customers")           # several passes follow
-    if strict:
-        clean_ops.validate(raw, clean)
+    clean_ops.validate(raw, clean)
     return materialize(stratified_split(clean), "customers_split")
 
 
@@ -39,15 +38,16 @@ def _design(enc: Encoder, split_df: DataFrame) -> DataFrame:
 
 
 def run_training(spark: SparkSession, raw: DataFrame, out_dir: str, kind: str = "mlp",
-                 epochs: int = 200, patience: int = 10, seed: int = 42) -> dict:
+                 epochs: int = 200, patience: int = 10, seed: int = 42, batch_size: int | None = None,
+                 total_charges_fill: float = 0.0) -> dict:
     """Clean, validate, split, fit the encoder on train, train, save."""
-    split_df = _prepared(raw)
+    split_df = _prepared(raw, total_charges_fill)
     sinks.write_customer_ids(split_df, f"{out_dir}/customer_ids")
     enc = Encoder.fit(split_df.filter(F.col("split") == "train"))
     params.save_encoder(enc, spark, f"{out_dir}/encoder")
     design = _design(enc, split_df)
     if kind == "mlp":
-        p, log = model.train_mlp(design, epochs=epochs, patience=patience, seed=seed)
+        p, log = model.train_mlp(design, epochs=epochs, patience=patience, seed=seed, batch_size=batch_size)
         layers = p.layers()
         log.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/history")
         info = {"best_epoch": log.best_epoch, "epochs_run": log.epochs_run}
@@ -72,9 +72,11 @@ def load_scorer(spark: SparkSession, model_dir: str):
     return model.MLPScorer(p, enc)
 
 
-def run_scoring(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: str) -> DataFrame:
-    """Score new customers: ranked CSV and JSON Lines; returns the band counts."""
-    clean = readers.scan_inference(raw)
+def run_scoring(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: str,
+                total_charges_fill: float = 0.0) -> DataFrame:
+    """Score new customers (no negative amounts): ranked CSV and JSON Lines; returns the band counts."""
+    clean = materialize(readers.scan_inference(raw, total_charges_fill), "customers")
+    clean_ops.validate(raw.drop(TARGET_COL), clean)
     preds = score.predictions(clean, load_scorer(spark, model_dir))
     preds = materialize(preds, "predictions")
     sinks.write_predictions_csv(preds, f"{out_dir}/predictions_csv")
@@ -83,9 +85,9 @@ def run_scoring(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: st
 
 
 def run_evaluation(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: str,
-                   threshold: float = fixed.DEFAULT_THRESHOLD) -> DataFrame:
+                   threshold: float = fixed.DEFAULT_THRESHOLD, total_charges_fill: float = 0.0) -> DataFrame:
     """Metrics document, threshold table and recommendation on the test split."""
-    split_df = _prepared(raw, strict=False)
+    split_df = _prepared(raw, total_charges_fill)
     test = split_df.filter(F.col("split") == "test")
     scores = materialize(score.scored_outcomes(test, load_scorer(spark, model_dir)), "test_scores")
     ranked = score.rank_by_risk(scores)
@@ -97,9 +99,10 @@ def run_evaluation(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir:
 
 
 def run_explain(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: str,
-                top_k: int = fixed.TOP_K, n_repeats: int = fixed.N_REPEATS, seed: int = 42) -> DataFrame:
+                top_k: int = fixed.TOP_K, n_repeats: int = fixed.N_REPEATS, seed: int = 42,
+                total_charges_fill: float = 0.0) -> DataFrame:
     """Permutation importance on the test split, top features with labels and hints."""
-    split_df = _prepared(raw, strict=False)
+    split_df = _prepared(raw, total_charges_fill)
     scorer = load_scorer(spark, model_dir)
     enc = scorer.encoder
     design = enc.transform(split_df.filter(F.col("split") == "test"), keep=[TARGET_COL]).withColumnRenamed(

@@ -3,10 +3,9 @@
 The customer table is an aggregate of ``orders``; deriving it again for every
 report would re-scan the largest table each time. A derived table is written
 once under the shared checkpoint folder and reused while its inputs are
-unchanged: the key holds the application id and, per input path, the total
-size, the file count and the modification time (read through the Hadoop
-FileSystem API, so it works on HDFS/S3/ABFS alike). A missing table (a cleaned
-folder) is simply derived again.
+unchanged: the key holds the application id and path, length and modification
+time of every input file (read through the Hadoop FileSystem API, so it works on
+HDFS/S3/ABFS alike). A missing table (a cleaned folder) is simply derived again.
 """
 
 from __future__ import annotations
@@ -27,16 +26,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def input_signature(spark: SparkSession, paths: list[str]) -> tuple:
+    """Path, length and modification time of every file below the inputs."""
     sig = []
     for p in paths:
         jpath, fs = _fs(spark, p)
         if not fs.exists(jpath):
-            sig.append((p, -1, -1, -1))
+            sig.append((p, -1, -1))
             continue
-        cs = fs.getContentSummary(jpath)
-        sig.append((p, int(cs.getLength()), int(cs.getFileCount()),
-                    int(fs.getFileStatus(jpath).getModificationTime())))
-    return tuple(sig)
+        files = fs.listFiles(jpath, True)
+        while files.hasNext():
+            f = files.next()
+            sig.append((f.getPath().toString(), int(f.getLen()), int(f.getModificationTime())))
+    return tuple(sorted(sig))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -56,12 +57,5 @@ def reuse_or_write(spark: SparkSession, name: str, inputs: list[str],
     return df
 
 
-def reused(spark: SparkSession, name: str, inputs: list[str]) -> DataFrame | None:
-    """The written table if it exists for these inputs, else None (no write)."""
-    key = (spark.sparkContext.applicationId, name, input_signature(spark, inputs))
-    path = _REGISTRY.get(key)
-    return spark.read.parquet(path) if path and _exists(spark, path) else None
-
-
 def clear() -> None:
     _REGISTRY.clear()

@@ -26,18 +26,6 @@ CATEGORICAL_FEATURES = [
     "PaperlessBilling",
     "PaymentMethod",
 ]
-SERVICE_USAGE_COLS = [
-    "PhoneService",
-    "MultipleLines",
-    "InternetService",
-    "OnlineSecurity",
-    "OnlineBackup",
-    "DeviceProtection",
-    "TechSupport",
-    "StreamingTV",
-    "StreamingMovies",
-]
-PAYMENT_BEHAVIOUR_COLS = ["Contract", "PaperlessBilling", "PaymentMethod"]
 # End of fixed values.
 
 FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES

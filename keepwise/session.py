@@ -71,3 +71,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the executors: a zip of its sources, added
+    once per context (a cluster where it is installed just gets the same code again)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_keepwise_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="keepwise-src-"), "keepwise_src.zip")   # read by the driver only
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("keepwise", os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    sc._keepwise_shipped = True

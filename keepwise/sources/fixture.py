@@ -6,7 +6,8 @@ the target is derived from a customer's own row and the aggregate of their
 orders. One partial+final aggregation of ``orders`` on ``o_custkey`` (map-side
 combine, so a hot customer costs one row per task), then an equi-join with
 ``customer``; the aggregate is already hash-partitioned on the key, so only
-``customer`` is shuffled. Customers without orders drop out (inner join).
+``customer`` is shuffled. A customer without orders has no months, no charges and
+no services that orders stand for, and has not churned.
 """
 
 from __future__ import annotations
@@ -48,9 +49,10 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         _count_if(pr == "4-NOT SPECIFIED").alias("p4"),
         _count_if(pr == "5-LOW").alias("p5"),
     )
-    b = (cust.join(o, cust.c_custkey == o.o_custkey, "inner")
+    b = (cust.join(o, cust.c_custkey == o.o_custkey, "left")
+         .withColumn("tot", F.coalesce("tot", F.lit(0).cast("decimal(18,2)")))
          .withColumn("cents", (F.col("tot") * 100).cast("bigint"))
-         .withColumn("ten", F.floor(F.datediff(F.col("l"), F.col("f")) / 30).cast("int"))
+         .withColumn("ten", F.coalesce(F.floor(F.datediff(F.col("l"), F.col("f")) / 30), F.lit(0)).cast("int"))
          .withColumn("inet", F.when(F.col("c_nationkey") % 3 == 0, "Fiber optic")
                      .when(F.col("c_nationkey") % 3 == 1, "DSL").otherwise("No"))
          .withColumn("phone", F.when(F.col("nf") >= 2, "Yes").otherwise("No")))

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from keepwise.schema import FEATURES, ID_COL, TARGET_COL, raw_schema
 
 
+#: Text that stands for a missing cell in a CSV file.
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+                  "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def require_columns(df: DataFrame, required) -> None:
     """Raise with the sorted list of absent names (schema only, no job)."""
-    missing = set(required) - set(df.columns)
-    if missing:
-        raise ValueError(f"Missing required columns: {sorted(missing)}")
+    _require(df.columns, required)
+
+
+def _require(present, required) -> None:
+    absent = sorted(set(required) - set(present))
+    if absent:
+        raise ValueError(f"the customer table lacks {absent}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -33,13 +42,12 @@ def scan_customers(spark: SparkSession, path: str, fmt: str = "csv",
         raise FileNotFoundError(f"customer table not found: {path}")
     if fmt == "csv":
         head = spark.read.option("header", True).csv(path).columns
-        require_columns_list = [ID_COL] + FEATURES + ([TARGET_COL] if with_target else [])
-        missing = set(require_columns_list) - set(head)
-        if missing:
-            raise ValueError(f"Missing required columns: {sorted(missing)}")
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+        _require(head, [ID_COL] + FEATURES + ([TARGET_COL] if with_target else []))
+        df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')   # "" inside quotes is one quote
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .csv(path))
+        # cells that a CSV reader of data frames takes for missing
+        df = df.select(*[F.when(F.col(f"`{c}`").isin(MISSING_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
     else:
         df = spark.read.format(fmt).load(path)
     schema = raw_schema(with_target and TARGET_COL in df.columns)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keepwise.functions import fixed
+from keepwise.functions.text import fill
 from keepwise.operators import metrics
 from keepwise.plans.combine import side_by_side
 from keepwise.schema import ID_COL
@@ -118,9 +120,8 @@ def write_threshold_table(sweep: DataFrame, path: str) -> str:
 
 def recommendation_text(rec: DataFrame) -> DataFrame:
     """The recommendation file body as one STRING column ``value``."""
-    return rec.select(F.concat(F.lit("Recommended threshold (churn prevention): "),
-                               F.format_string("%.2f", F.col("threshold")), F.lit("\n\n"),
-                               F.col("justification")).alias("value"))
+    header = fill(fixed.RECOMMEND_HEADER, {"threshold": F.format_string("%.2f", F.col("threshold"))})
+    return rec.select(F.concat(header, F.lit("\n\n"), F.col("justification")).alias("value"))
 
 
 def write_recommendation(rec: DataFrame, path: str) -> str:
