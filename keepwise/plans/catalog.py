@@ -20,6 +20,7 @@ from keepwise.operators import campaign, clean, metrics, profile, score, split
 from keepwise.plans import oracle as O
 from keepwise.plans.reuse import reuse_or_write
 from keepwise.schema import FEATURES, ID_COL, TARGET_COL
+from keepwise.session import scratch_path
 from keepwise.sources import fixture, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,15 @@ class Tables:
     def raw(self) -> DataFrame:
         return fixture.raw_customers(self.spark, self.sf_dir)
 
+    @cached_property
+    def file(self) -> DataFrame:
+        """The customers as a CSV file with cells that need cleaning, through the reader."""
+        cells = {c: F.when(F.col(ID_COL).endswith(d), F.lit(text)).otherwise(F.col(c)) for c, d, text, _ in O.DIRTY}
+        path = scratch_path(self.spark, "customers_csv")
+        (self.raw.withColumns(cells).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        return readers.scan_customers(self.spark, path)
+
     @cached_property
     def clean_lazy(self) -> DataFrame:
         """The cleaned table for one-pass reports, derived on the fly."""
@@ -100,9 +110,23 @@ SCENARIOS = [
 # ---------------------------------------------------------------------------
 # 2.1 sources
 # ---------------------------------------------------------------------------
-@query("scan_customers", O.w(O.RAW, "SELECT * FROM raw"))
+@query("scan_customers", O.w(O.FILE, "SELECT * FROM file"))
 def q_scan_customers(spark, sf):
-    return Tables(spark, sf).raw
+    """Written as CSV (quotes, missing tokens, bad cells), read through the reader."""
+    return Tables(spark, sf).file
+
+
+@query("require_columns", O.w(O.FILE, "SELECT customerID FROM file"))
+def q_require_columns(spark, sf):
+    """The check passes on the file and names what a narrower table lacks."""
+    df = Tables(spark, sf).file
+    readers.require_columns(df, [ID_COL, TARGET_COL, *FEATURES])
+    try:
+        readers.require_columns(df.drop("tenure", "gender"), [ID_COL, *FEATURES])
+    except ValueError as err:
+        if "['gender', 'tenure']" in str(err):
+            return df.select(ID_COL)
+    raise AssertionError("absent columns were not reported")
 
 
 @query("scan_inference", O.w(O.CLEAN, f"SELECT customerID, {', '.join(FEATURES)} FROM clean"))
@@ -121,12 +145,12 @@ def _missing_sql(src: str, cols: list[str], blank: bool) -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_missing > 0"
 
 
-@query("missing_before", O.w(O.RAW, _missing_sql("raw", O.RAW_COLS, True)))
+@query("missing_before", O.w(O.FILE, _missing_sql("file", O.RAW_COLS, True)))
 def q_missing_before(spark, sf):
-    return clean.missing_before(Tables(spark, sf).raw)
+    return clean.missing_before(Tables(spark, sf).file)
 
 
-_MA_SQL = O.w(O.CLEAN, "SELECT * FROM (" + " UNION ALL ".join(
+_MA_SQL = O.w(O.FILE_CLEAN, "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NULL"
     + (f" OR isnan({c})" if c in ("MonthlyCharges", "TotalCharges") else "")
     + f") AS BIGINT) AS n_missing FROM clean" for c in O.RAW_COLS) + ") WHERE n_missing > 0")
@@ -134,7 +158,7 @@ _MA_SQL = O.w(O.CLEAN, "SELECT * FROM (" + " UNION ALL ".join(
 
 @query("missing_after", _MA_SQL)
 def q_missing_after(spark, sf):
-    return clean.missing_after(Tables(spark, sf).clean_lazy)
+    return clean.missing_after(clean.clean_customers(Tables(spark, sf).file))
 
 
 @query("coerce_total_charges", O.w(O.CLEAN, "SELECT customerID, TotalCharges FROM clean"))
@@ -154,24 +178,27 @@ def q_encode_target(spark, sf):
     return t.raw.select(ID_COL, clean.encode_target(F.col(TARGET_COL)).alias(TARGET_COL))
 
 
-@query("invalid_target_values", O.w(O.RAW, f"""
-SELECT DISTINCT lower({O.strip('Churn')}) AS value FROM raw
+@query("invalid_target_values", O.w(O.FILE, f"""
+SELECT DISTINCT lower({O.strip('Churn')}) AS value FROM file
 WHERE Churn IS NULL OR lower({O.strip('Churn')}) NOT IN ('yes', 'no')"""))
 def q_invalid_target_values(spark, sf):
-    return clean.invalid_target_values(Tables(spark, sf).raw)
+    return clean.invalid_target_values(Tables(spark, sf).file)
 
 
-@query("invalid_numeric_target", O.w(O.CLEAN,
-       "SELECT DISTINCT Churn AS value FROM clean WHERE Churn IS NOT NULL AND Churn NOT IN (0, 1)"))
+# a numeric target column: how often a customer's charges fill a thousand
+@query("invalid_numeric_target", O.w(O.CLEAN, """
+SELECT DISTINCT CAST(floor(MonthlyCharges / 1000) AS INTEGER) AS value FROM clean
+WHERE CAST(floor(MonthlyCharges / 1000) AS INTEGER) NOT IN (0, 1)"""))
 def q_invalid_numeric_target(spark, sf):
-    return clean.invalid_numeric_target(Tables(spark, sf).clean_lazy)
+    numeric = F.floor(F.col("MonthlyCharges") / 1000).cast("int")
+    return clean.invalid_numeric_target(Tables(spark, sf).clean_lazy.withColumn(TARGET_COL, numeric))
 
 
-@query("negative_values", O.w(O.CLEAN, " UNION ALL ".join(
+@query("negative_values", O.w(O.FILE_CLEAN, " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count_if({c} < 0) AS BIGINT) AS n_negative FROM clean"
     for c in ["tenure", "MonthlyCharges", "TotalCharges", "SeniorCitizen"])))
 def q_negative_values(spark, sf):
-    return clean.negative_values(Tables(spark, sf).clean_lazy)
+    return clean.negative_values(clean.clean_customers(Tables(spark, sf).file))
 
 
 @query("project_features", O.w(O.CLEAN, f"SELECT customerID, {', '.join(FEATURES)} FROM clean"))

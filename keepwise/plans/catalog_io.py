@@ -62,17 +62,34 @@ FROM cm, au, t10, cum""")
 @query("read_metrics", _READ_METRICS_SQL)
 def q_read_metrics(spark, sf):
     t = Tables(spark, sf)
-    doc = sinks.metrics_document(t.test_scores, t.ranked)
-    path = sinks.write_metrics(doc, scratch_path(spark, "metrics"))
-    return sinks.read_metrics(spark, path)
+    return sinks.read_metrics(spark, sinks.write_metrics(t.test_scores, t.ranked, scratch_path(spark, "metrics")))
 
 
-@query("write_metrics", None)
+def _write_metrics_sql() -> str:
+    """The rows of the document from the SQL of its parts."""
+    from keepwise.plans.catalog import ORACLE
+
+    head = f"WITH {O.TEST}"
+    body = lambda name: ORACLE[name][len(head):] if ORACLE[name].startswith(head) else None
+    parts = {name: body(name) for name in ("roc_auc", "precision_recall_f1", "accuracy", "confusion_matrix", "topn_capture", "decile_gain", "roc_curve")}
+    # each part is ", more AS (...) SELECT ..." or "\nSELECT ...": a subquery of its own over the same CTEs
+    nested = {k: f"(WITH {v.lstrip(chr(10)).lstrip(',').lstrip()})" if v.lstrip().startswith(",") else f"({v})" for k, v in parts.items()}
+    wide = lambda src, section, pos, names: [
+        f"SELECT '{section}' AS section, CAST({pos if isinstance(pos, str) else pos[i]} AS INTEGER) AS position, '{n}' AS name, "
+        f"CAST({n} AS DOUBLE) AS value FROM {nested[src]}" for i, n in enumerate(names)]
+    rows = (wide("roc_auc", "summary", "0", ["roc_auc"]) + wide("precision_recall_f1", "summary", "0", ["precision", "recall", "f1_score", "threshold"])
+            + wide("accuracy", "summary", "0", ["accuracy"]) + wide("confusion_matrix", "confusion_matrix", [0, 1, 2, 3], ["tn", "fp", "fn", "tp"])
+            + wide("topn_capture", "top_n_capture", "top_pct", ["capture_pct", "n_captured"])
+            + wide("decile_gain", "decile_gain", "decile", ["pct_contacted", "churn_in_decile", "pct_churn_decile", "cumulative_pct_churn"])
+            + wide("roc_curve", "roc", "point", ["fpr", "tpr"]))
+    return O.w(O.TEST, " UNION ALL ".join(rows))
+
+
+@query("write_metrics", _write_metrics_sql())
 def q_write_metrics(spark, sf):
-    """The whole metrics document (nested arrays), written and read back."""
+    """The whole metrics document and its ROC points, written, read back and listed."""
     t = Tables(spark, sf)
-    path = sinks.write_metrics(sinks.metrics_document(t.test_scores, t.ranked), scratch_path(spark, "metrics_doc"))
-    return spark.read.schema(sinks.METRICS_SCHEMA).json(path)
+    return sinks.metrics_rows(spark, sinks.write_metrics(t.test_scores, t.ranked, scratch_path(spark, "metrics_doc")))
 
 
 def _sweep_readback_sql() -> str:

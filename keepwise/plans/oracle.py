@@ -77,6 +77,13 @@ RAW_COLS = ["customerID", "tenure", "MonthlyCharges", "TotalCharges", "SeniorCit
 
 RAW = BASE + ",\nraw AS (SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in RAW_COLS) + " FROM base)"
 
+# cells that need cleaning, by the last digits of the id: (column, digits, text in the file, value read)
+DIRTY = [("gender", "7", "NA", None), ("Churn", "13", "maybe", "maybe"), ("MonthlyCharges", "21", "-5.25", "-5.25"),
+         ("tenure", "5", "abc", "abc"), ("PaymentMethod", "9", 'Mailed "check"', 'Mailed "check"')]
+FILE = RAW + ",\nfile AS (SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN ends_with(customerID, '{d}') THEN " + ("NULL" if v is None else f"'{v}'") + f" ELSE {c} END AS {c}"
+    for c, d, _, v in DIRTY) + ") FROM raw)"
+
 CLEAN = RAW + f""",
 clean AS (
   SELECT customerID,
@@ -88,6 +95,8 @@ clean AS (
     CAST(coalesce(lower({strip('Churn')}) = 'yes', false) AS INTEGER) AS Churn
   FROM raw)"""
 
+FILE_CLEAN = FILE + CLEAN[len(RAW):].replace("FROM raw)", "FROM file)")
+
 # z = 2 - 3/64 tenure + 26/64 [m2m] + 19/64 [manual check] + 13/64 [fiber]: exact in doubles
 Z = (f"{dbl(2.0)} + {dbl(-3 / 64)} * CAST(tenure AS DOUBLE)"
      f" + {dbl(26 / 64)} * CAST(Contract = 'Month-to-month' AS DOUBLE)"

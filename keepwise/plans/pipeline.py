@@ -91,7 +91,7 @@ def run_evaluation(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir:
     test = split_df.filter(F.col("split") == "test")
     scores = materialize(score.scored_outcomes(test, load_scorer(spark, model_dir)), "test_scores")
     ranked = score.rank_by_risk(scores)
-    sinks.write_metrics(sinks.metrics_document(scores, ranked, threshold), f"{out_dir}/metrics")
+    sinks.write_metrics(scores, ranked, f"{out_dir}/metrics", threshold)
     sweep = materialize(metrics.threshold_sweep(scores), "sweep")
     sinks.write_threshold_table(sweep, f"{out_dir}/threshold_analysis")
     sinks.write_recommendation(metrics.recommend_threshold(sweep), f"{out_dir}/threshold_recommendation")

@@ -52,42 +52,54 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
 
 def metrics_document(scores: DataFrame, ranked: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: ``roc_auc, precision, recall, f1_score, confusion_matrix,
-    threshold, fpr, tpr, accuracy, top_n_capture, decile_gain``.
-
-    The ROC arrays come from the score histogram, so their length is bounded by
-    the distinct 6-dp scores, not by the row count."""
+    """One row: ``roc_auc, precision, recall, f1_score, confusion_matrix, threshold,
+    accuracy, top_n_capture, decile_gain``: report tables of fixed length only."""
     bm = metrics.binary_metrics(scores, threshold)
     auc = metrics.roc_auc(scores).select("roc_auc")
-    roc = metrics.roc_curve(scores).agg(
-        F.sort_array(F.collect_list(F.struct("point", "fpr", "tpr"))).alias("_r"))
     top = metrics.topn_capture(ranked).agg(
         F.sort_array(F.collect_list(F.struct("top_pct", "capture_pct", "n_captured"))).alias("top_n_capture"))
     dec = metrics.decile_gain(ranked).agg(
         F.sort_array(F.collect_list(F.struct("decile", "pct_contacted", "churn_in_decile", "pct_churn_decile",
                                              "cumulative_pct_churn"))).alias("decile_gain"))
-    row = side_by_side(bm, auc, roc, top, dec)   # all single-row aggregates
+    row = side_by_side(bm, auc, top, dec)   # all single-row aggregates
     cm = F.array(F.array(F.col("tn"), F.col("fp")), F.array(F.col("fn"), F.col("tp")))
-    return row.select("roc_auc", "precision", "recall", "f1_score", cm.alias("confusion_matrix"), "threshold",
-                      F.transform("_r", lambda s: s["fpr"]).alias("fpr"),
-                      F.transform("_r", lambda s: s["tpr"]).alias("tpr"), "accuracy",
+    return row.select("roc_auc", "precision", "recall", "f1_score", cm.alias("confusion_matrix"), "threshold", "accuracy",
                       F.coalesce("top_n_capture", F.array().cast("array<struct<top_pct:int,capture_pct:double,n_captured:bigint>>")).alias("top_n_capture"),
                       F.coalesce("decile_gain", F.array().cast(
                           "array<struct<decile:int,pct_contacted:int,churn_in_decile:bigint,"
                           "pct_churn_decile:double,cumulative_pct_churn:double>>")).alias("decile_gain"))
 
 
-def write_metrics(doc: DataFrame, path: str) -> str:
-    doc.coalesce(1).write.mode("overwrite").json(path)
+def write_metrics(scores: DataFrame, ranked: DataFrame, path: str, threshold: float = 0.5) -> str:
+    """The document as one JSON record under ``path/document``, the ROC points (as
+    many as the scores need) as JSON Lines under ``path/roc``."""
+    metrics_document(scores, ranked, threshold).coalesce(1).write.mode("overwrite").json(f"{path}/document")
+    metrics.roc_curve(scores).select("point", "fpr", "tpr").write.mode("overwrite").json(f"{path}/roc")
     return path
 
 
+def metrics_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_metrics`` wrote, one number per row: section, position, name, value."""
+    doc = spark.read.schema(METRICS_SCHEMA).json(f"{path}/document")
+    num = lambda section, position, name, value: F.struct(
+        F.lit(section).alias("section"), position.cast("int").alias("position"), F.lit(name).alias("name"), value.cast("double").alias("value"))
+    scalars = [num("summary", F.lit(0), c, F.col(c)) for c in ("roc_auc", "precision", "recall", "f1_score", "accuracy", "threshold")]
+    cells = [num("confusion_matrix", F.lit(2 * i + j), n, F.col("confusion_matrix")[i][j])
+             for n, i, j in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+    listed = lambda column, key, fields: F.flatten(F.transform(column, lambda r: F.array(
+        *[num(column, r[key], f, r[f]) for f in fields])))
+    every = F.concat(F.array(*scalars, *cells), listed("top_n_capture", "top_pct", ["capture_pct", "n_captured"]),
+                     listed("decile_gain", "decile", ["pct_contacted", "churn_in_decile", "pct_churn_decile", "cumulative_pct_churn"]))
+    roc = spark.read.schema("point INT, fpr DOUBLE, tpr DOUBLE").json(f"{path}/roc")
+    points = roc.select(F.explode(F.array(num("roc", F.col("point"), "fpr", F.col("fpr")), num("roc", F.col("point"), "tpr", F.col("tpr")))).alias("x"))
+    return doc.select(F.explode(every).alias("x")).unionByName(points).select("x.*")
+
+
 METRICS_SCHEMA = T.StructType([
     T.StructField("roc_auc", T.DoubleType()), T.StructField("precision", T.DoubleType()),
     T.StructField("recall", T.DoubleType()), T.StructField("f1_score", T.DoubleType()),
     T.StructField("confusion_matrix", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("threshold", T.DoubleType()),
-    T.StructField("fpr", T.ArrayType(T.DoubleType())), T.StructField("tpr", T.ArrayType(T.DoubleType())),
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("top_n_capture", T.ArrayType(T.StructType([
         T.StructField("top_pct", T.IntegerType()), T.StructField("capture_pct", T.DoubleType()),
@@ -102,7 +114,7 @@ METRICS_SCHEMA = T.StructType([
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Headline numbers from a metrics document: scalars (absent -> 0), the
     top-10 % capture and the cumulative churn at 20 % and 30 % contacted."""
-    doc = spark.read.schema(METRICS_SCHEMA).json(path)
+    doc = spark.read.schema(METRICS_SCHEMA).json(f"{path}/document")
     top10 = F.filter("top_n_capture", lambda r: r["top_pct"] == 10)
     at = lambda pct: F.filter("decile_gain", lambda r: r["pct_contacted"] == pct)
     first = lambda arr, field: F.when(F.size(arr) > 0, F.element_at(arr, 1)[field])
