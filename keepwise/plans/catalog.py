@@ -43,7 +43,7 @@ class Tables:
     several passes (fitting parameters, counting, then the result) must not
     re-scan ``orders`` for each, and neither should the next report. So
     ``clean``, ``split`` and the risk ranking are written once to the shared
-    checkpoint folder and reused while the input files are unchanged
+    checkpoint folder and reused while every input file is unchanged
     (``plans.reuse``); every later pass reads those compact tables.
     """
 
@@ -75,13 +75,14 @@ class Tables:
 
     @cached_property
     def split(self) -> DataFrame:
-        """Cleaned customers with their split label: the one written table."""
-        return self._reuse("customers_split",
-                           lambda: split.stratified_split(clean.clean_customers(self.raw)))
+        """Cleaned customers with their split label, from the written cleaned table
+        (the split counts rows and then labels them: two passes, neither over orders)."""
+        return self._reuse("customers_split", lambda: split.stratified_split(self.clean))
 
     @cached_property
     def clean(self) -> DataFrame:
-        return self.split.drop("split")
+        """Cleaned customers, written: for reports that make several passes."""
+        return self._reuse("customers_clean", lambda: clean.clean_customers(self.raw))
 
     @cached_property
     def test_scores(self) -> DataFrame:

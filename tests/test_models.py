@@ -61,3 +61,28 @@ def test_mlp_local_minibatch_mode_learns(spark):
     test = t.split.filter(F.col("split") == "test")
     auc = metrics.roc_auc(score.scored_outcomes(test, model.MLPScorer(p, enc))).first().roc_auc
     assert auc > 0.6
+
+
+def test_every_scorer_serves_whatif_drivers_and_scoring(spark):
+    """Fixed, linear and neural scorers share one contract: ``transform`` adds ``p_raw``."""
+    from keepwise.functions.scoring import fixed_scorer
+    from keepwise.operators import explain, profile
+
+    t = Tables(spark, SF_MID)
+    enc = _encoder(t)
+    linear = model.LinearModel([0.0] * enc.width, 0.25, enc)
+    linear.weights[enc.feature_names.index("tenure")] = -1.0
+    neural = model.MLPScorer(model.MLPParams.init(enc.width, (4, 2), 1, 0.0), enc)
+    clean = t.clean.limit(60)
+    median = profile.global_median(clean, "MonthlyCharges")
+    for scorer in (fixed_scorer(), linear, neural):
+        p = {r.customerID: r.p_raw for r in score.score_customers(clean, scorer).collect()}
+        rows = explain.whatif_scores(clean, [{"tenure": 0}, {"Contract": "Two year"}], scorer).collect()
+        assert len(rows) == 120
+        for r in rows:
+            assert abs(r.base_probability - p[r.customerID]) <= 1e-6
+            assert abs(r.delta - (r.whatif_probability - r.base_probability)) < 1e-12
+        if scorer is linear:
+            assert all(r.delta >= 0 if r.scenario == 1 else r.delta == 0 for r in rows)
+        ids = {r.customerID for r in explain.top3_drivers(clean, median, scorer).collect()}
+        assert all(p[i] >= 0.3 for i in ids)
