@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepwise.plans.materialize import materialize  # noqa: F401  (re-exported)
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 #: Words are maximal runs of anything but these six ASCII characters.
 ASCII_SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -46,22 +42,57 @@ def small_batches(batches, size: int = 512):
             yield batch.slice(at, size)
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+_ARROW = {"long": "int64", "int": "int32", "double": "float64", "boolean": "bool_", "binary": "binary", "string": "string"}
+
+
+def map_columns(df: DataFrame, fn, schema: str, size: int | None = None) -> DataFrame:
+    """``mapInArrow`` with batches as plain columns: ``fn`` takes an iterator of
+    {name: values} (a NumPy array for numbers without nulls, else a list) and yields
+    {name: values} in the columns of ``schema``. No data frame library is loaded in
+    the workers, which stay small. ``size`` cuts the batches first."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+
+    def columns(batch):
+        import pyarrow as pa
+
+        return {n: c.to_numpy(zero_copy_only=False) if c.null_count == 0
+                and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type) or pa.types.is_boolean(c.type)) else c.to_pylist()
+                for n, c in zip(batch.schema.names, batch.columns)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = [getattr(pa, _ARROW[k])() for k in kinds]
+        parts = small_batches(batches, size) if size else (b for b in batches if b.num_rows)
+        for out in fn(map(columns, parts)):
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], list(names))
+
+    return df.mapInArrow(run, schema)
+
+
+def rows_of(cols: dict, at) -> dict:
+    """The rows of a slice or of an index array or mask."""
+    if isinstance(at, slice):
+        return {k: v[at] for k, v in cols.items()}
+    import numpy as np
+
+    at = np.flatnonzero(at) if at.dtype == bool else at
+    return {k: v[at] if isinstance(v, np.ndarray) else [v[i] for i in at] for k, v in cols.items()}
+
+
+def whole_groups(frames: Iterator[dict], keys: list[str]) -> Iterator[dict]:
     """Re-cut batches of a key-sorted partition so that no group is divided.
     Callers bound the size of a group, so a carried tail stays small."""
-    import pandas as pd
+    import numpy as np
 
     tail = None
-    for pdf in frames:
-        if tail is not None and len(tail):
-            pdf = pd.concat([tail, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        last = pdf[keys].iloc[-1]
-        same = (pdf[keys] == last).all(axis=1).to_numpy()
-        cut = len(pdf) - int(same[::-1].argmin()) if not same.all() else 0
-        tail = pdf.iloc[cut:]
+    for cols in frames:
+        if tail is not None:
+            cols = {k: np.concatenate([tail[k], v]) if isinstance(v, np.ndarray) else tail[k] + v for k, v in cols.items()}
+        same = np.logical_and.reduce([cols[k] == cols[k][-1] for k in keys])
+        cut = 0 if same.all() else len(same) - int(same[::-1].argmin())
+        tail = rows_of(cols, slice(cut, None))
         if cut:
-            yield pdf.iloc[:cut].reset_index(drop=True)
-    if tail is not None and len(tail):
-        yield tail.reset_index(drop=True)
+            yield rows_of(cols, slice(0, cut))
+    if tail is not None:
+        yield tail

@@ -2,24 +2,27 @@
 
 Documents with the same shingle set are one class. Every class has a sketch of
 minwise values. A tree node is a set of classes that agree on the minwise tokens
-chosen along a path: the node picks ``BRANCH`` of the sketch's coordinates (by a
+chosen along a path: the node picks one or two of the sketch's coordinates (by a
 hash of its own key), and sends a class to one child per picked coordinate, named
 by the class's value there. Nodes of at most ``NODE`` classes are compared
-exhaustively; larger ones branch on, to ``DEPTH`` levels. ``TREES`` independent
+exhaustively; larger ones branch on, down to the last of ``BRANCHES``. ``TREES`` independent
 trees bring the chance to miss a pair at similarity 0.75 below 1e-5.
 
 Inside a node all members are compared by sketch; what looks similar is confirmed
 on full shingle sets. Links only matter as far as they join components, so this is
-done in two rounds: (1) every class is confirmed against one partner, the smallest
-it resembles in any node, and components are formed; (2) in nodes that still hold
-more than one component, all resembling pairs across components are confirmed.
-Pairs inside one component need no confirmation, which keeps a group of n copies
-at about n comparisons.
+done in rounds: (1) every class is confirmed against the one it resembles most and
+components are formed; (2) the same in every node (or block of a large one) that still holds
+several components, with the most similar class of another component; (3) in the nodes still
+mixed, all resembling pairs across components are confirmed inside the node, each
+only if nothing has joined the two by then. No round gives back more rows than there
+are members, and pairs inside one component are never confirmed, which keeps a group
+of n copies at about n confirmations.
 
 A node that is still larger than ``NODE`` at the last level (a large group of near
-copies) is dealt into blocks; members outside its largest component go into all of
-its blocks, the others into one, so each pair across components meets in a block
-and no task holds more than a block of them. Nothing is dropped at any size.
+copies) is dealt into blocks. In round 1 every block also holds the node's smallest
+class; in round 3 members outside the node's largest component go into all of its blocks
+and the others into one, so each pair across components meets in a block and no task
+holds more than a block of the largest. Nothing is dropped at any size.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing;
 under five words the whole sequence is the one shingle; repeated rows are one
@@ -33,22 +36,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwise.llm.common import materialize, whole_groups
-from keepwise.llm.graph import components
+from keepwise.llm.common import map_columns, materialize, rows_of, whole_groups
+from keepwise.llm.graph import components, joined
 from keepwise.llm.shingles import fingerprint, intersection, mix, shingle_sets
 
 COORDS = 64
-TREES, BRANCH, DEPTH, NODE = 6, 2, 3, 128
+TREES, NODE = 6, 128
+BRANCHES = (2, 2, 2, 1, 1)   # children of a node, by level: no class is in more than 48 nodes at a time
 PERCENT = 75          # 100 * intersection >= PERCENT * union
 SKETCH_FLOOR = 34     # of 64 coordinates: a pair at 0.75 shows fewer with probability 5e-5
 _RNG = np.random.Generator(np.random.PCG64(40_1729))
 _KEY = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64)
 _ODD = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64) | np.uint64(1)
-GROUP_CHUNK = 200_000
+BATCH = 512
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -61,15 +64,12 @@ def sketch_of(s: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, fp_a, fp_b, sketch; the last three null without words."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for s in shingle_sets(pdf["text"].tolist()):
-                rows.append((len(s), *fingerprint(s), sketch_of(s)) if len(s) else (0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "fp_a", "fp_b", "sketch"]).astype({"fp_a": "Int64", "fp_b": "Int64"})
-            yield pd.concat([pdf[["doc_id", "key"]].reset_index(drop=True), out], axis=1)
+    def run(frames: Iterator[dict]) -> Iterator[dict]:
+        for rows in frames:
+            found = [(len(s), *fingerprint(s), sketch_of(s)) if len(s) else (0, None, None, None) for s in shingle_sets(rows["text"])]
+            yield {"doc_id": rows["doc_id"], "key": rows["key"], **dict(zip(("n_shingles", "fp_a", "fp_b", "sketch"), zip(*found)))}
 
-    return _keyed(docs).mapInPandas(run, "doc_id long, key long, n_shingles long, fp_a long, fp_b long, sketch binary")
+    return map_columns(_keyed(docs), run, "doc_id long, key long, n_shingles long, fp_a long, fp_b long, sketch binary", BATCH)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -77,8 +77,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _sketch_matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x) for x in column), dtype="<u4").reshape(-1, COORDS)
+def _sketch_matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<u4").reshape(-1, COORDS)
 
 
 def _child(pick: np.ndarray, sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -87,47 +87,45 @@ def _child(pick: np.ndarray, sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(value + pick.astype(np.uint64) * np.uint64(2**33)))
 
 
-def _spread(pdf: pd.DataFrame, keys: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"cls": np.tile(pdf["cls"].to_numpy(), len(keys)), "node": np.concatenate(keys).view(np.int64)})
+def _spread(cls: np.ndarray, keys: list[np.ndarray]) -> dict:
+    return {"cls": np.tile(cls, len(keys)), "node": np.concatenate(keys).view(np.int64)}
 
 
 def _roots(classes: DataFrame) -> DataFrame:
-    """(cls, node) of the first level: BRANCH children of each tree's root, every one by a coordinate of its own."""
+    """(cls, node) of the first level: the children of each tree's root, every one by a coordinate of its own."""
     def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                m = _sketch_matrix(pdf["sketch"])
-                yield _spread(pdf, [_child(np.full(len(m), 5 * k % COORDS), m, np.full(len(m), k + 1, dtype=np.uint64))
-                                    for k in range(TREES * BRANCH)])
+        for rows in frames:
+            m = _sketch_matrix(rows["sketch"])
+            yield _spread(rows["cls"], [_child(np.full(len(m), 5 * k % COORDS), m, np.full(len(m), k + 1, dtype=np.uint64))
+                                        for k in range(TREES * BRANCHES[0])])
 
-    return classes.select("cls", "sketch").mapInPandas(run, "cls long, node long")
+    return map_columns(classes.select("cls", "sketch"), run, "cls long, node long")
 
 
 def _branch(members: DataFrame, level: int) -> DataFrame:
     """(cls, node) of the children of every member's node: the node's hash picks the coordinates."""
-    half = COORDS // BRANCH
+    picks = BRANCHES[level]
+    share = COORDS // picks
 
     def run(frames):
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            m, node, keys = _sketch_matrix(pdf["sketch"]), pdf["node"].to_numpy().view(np.uint64), []
-            for k in range(BRANCH):
-                h = mix(node + np.uint64(level * BRANCH + k + 1))
-                keys.append(_child((h % np.uint64(half)).astype(np.int64) + k * half, m, h))
-            yield _spread(pdf, keys)
+        for rows in frames:
+            m, node, keys = _sketch_matrix(rows["sketch"]), rows["node"].view(np.uint64), []
+            for k in range(picks):
+                h = mix(node + np.uint64(level * picks + k + 1))
+                keys.append(_child((h % np.uint64(share)).astype(np.int64) + k * share, m, h))
+            yield _spread(rows["cls"], keys)
 
-    return members.select("cls", "node", "sketch").mapInPandas(run, "cls long, node long")
+    return map_columns(members.select("cls", "node", "sketch"), run, "cls long, node long")
 
 
 def leaves(classes: DataFrame) -> DataFrame:
     """(cls, node, size) of all leaf nodes with at least two members."""
     level, out = _roots(classes), []
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, len(BRANCHES) + 1):
         level = materialize(level, "cps-level")
         sizes = materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cps-sizes")
         sized = level.join(sizes, "node")
-        if depth == DEPTH:
+        if depth == len(BRANCHES):
             out.append(sized)
             break
         out.append(sized.where(F.col("size") <= NODE))
@@ -139,105 +137,185 @@ def leaves(classes: DataFrame) -> DataFrame:
     return materialize(leaf.select("cls", "node", "size"), "cps-leaves")
 
 
-def _resembling(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (i < j) of the same group whose sketches agree often enough. The
-    rows are sorted by group, so partners are compared at distance 1, 2, ..."""
-    group = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))[0]
-    m = _sketch_matrix(pdf["sketch"])
-    i = np.arange(len(pdf))
-    for d in range(1, len(pdf)):
-        i = i[i + d < len(pdf)]
+def _resembling(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row pairs (i < j, every row at most once on each side) of the same block whose
+    sketches agree often enough, and how often. The rows are sorted by block, so
+    partners are compared at distance 1, 2, ..."""
+    group, m = _blocks(rows), _sketch_matrix(rows["sketch"])
+    i = np.arange(len(m))
+    for d in range(1, len(m)):
+        i = i[i + d < len(m)]
         i = i[group[i] == group[i + d]]
         if not len(i):
             return
         for part in np.array_split(i, 1 + len(i) // 50_000):
-            hit = part[(m[part] == m[part + d]).sum(axis=1) >= SKETCH_FLOOR]
-            if len(hit):
-                yield hit, hit + d
+            agree = (m[part] == m[part + d]).sum(axis=1)
+            hit = agree >= SKETCH_FLOOR
+            if hit.any():
+                yield part[hit], part[hit] + d, agree[hit]
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Blocks of one node next to each other, whole, in one task each."""
-    return members.repartition("node", "block").sortWithinPartitions("node", "block", "cls")
+def _blocks(rows: dict) -> np.ndarray:
+    """A running number per block of sorted rows."""
+    node, block = rows["node"], rows["block"]
+    return np.concatenate([[0], np.cumsum((node[1:] != node[:-1]) | (block[1:] != block[:-1]))])
 
 
-def _partners(leaf: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the smallest one it resembles in a node or block.
+class _Best:
+    """The partner of each row with the most agreement, the smallest class among equals."""
 
-    Blocks of a large node all hold the node's smallest class as well, so that
-    one group of copies forms one star across its blocks.
-    """
-    blocks = F.ceil(F.col("size") / NODE).cast("int")
-    low = leaf.where(F.col("size") > NODE).groupBy("node", "size").agg(F.min("cls").alias("cls"))
-    own = leaf.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    lead = low.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = own.unionByName(lead.select("cls", "node", "size", "block")).select("cls", "node", "block").distinct()
+    def __init__(self, n: int):
+        self.agree, self.cls = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+
+    def offer(self, rows: np.ndarray, cls: np.ndarray, agree: np.ndarray) -> None:
+        better = (agree > self.agree[rows]) | ((agree == self.agree[rows]) & (cls < self.cls[rows]))
+        self.agree[rows[better]], self.cls[rows[better]] = agree[better], cls[better]
 
-    def run(frames):
-        for pdf in whole_groups(frames, ["node", "block"]):
-            best = np.full(len(pdf), np.iinfo(np.int64).max)
-            cls = pdf["cls"].to_numpy()
-            for i, j in _resembling(pdf, ["node", "block"]):
-                np.minimum.at(best, j, cls[i])
-            hit = best < cls
-            yield pd.DataFrame({"a": cls[hit], "b": best[hit]})
 
-    found = _dealt(rows.join(classes.select("cls", "sketch"), "cls")).mapInPandas(run, "a long, b long")
-    return materialize(found.groupBy("a").agg(F.min("b").alias("b")), "cps-partners")
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """With sketches, blocks of one node next to each other, whole, in one task each."""
+    return (members.join(classes.select("cls", "sketch"), "cls")
+            .repartition("node", "block").sortWithinPartitions("node", "block", "cls"))
 
 
-def _across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b): resembling pairs of different components that meet in a node."""
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _closest(leaf: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): each class with the one it resembles most in any node, and with the
+    smallest class of a large node it is in if it resembles that."""
+    blocks = F.ceil(F.col("size") / NODE).cast("int")
+    large = F.col("size") > NODE
+    own = leaf.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    low = materialize(leaf.where(large).groupBy("node", "size").agg(F.min("cls").alias("cls")), "cps-lead")
+    lead = low.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("leads", F.lit(True))
+    rows = (own.withColumn("leads", F.lit(False)).unionByName(lead.select("cls", "node", "size", "block", "leads"))
+            .select("cls", "node", "block", "leads"))
+
+    def run(frames):
+        for rows in whole_groups(frames, ["node", "block"]):
+            cls, leads, best = rows["cls"], rows["leads"], _Best(len(rows["cls"]))
+            for i, j, agree in _resembling(rows):
+                x = cls[i] != cls[j]
+                best.offer(i[x], cls[j[x]], agree[x])
+                best.offer(j[x], cls[i[x]], agree[x])
+                to_lead = x & (leads[i] | leads[j])
+                if to_lead.any():
+                    a, b = np.where(leads[i], cls[j], cls[i])[to_lead], np.where(leads[i], cls[i], cls[j])[to_lead]
+                    yield {"a": a, "b": b, "agree": np.zeros(len(a), dtype=np.int64)}
+            hit = best.agree > 0
+            yield {"a": cls[hit], "b": best.cls[hit], "agree": best.agree[hit]}
+
+    found = map_columns(_dealt(rows, classes), run, "a long, b long, agree long")
+    top = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("best"),
+                                 F.min(F.when(F.col("agree") == 0, F.col("b"))).alias("lead"))
+    both = top.select("a", F.explode(F.array("best", "lead")).alias("b")).where("b is not null")
+    return materialize(_pairs(both), "cps-closest")
+
+
+def _mixed(leaf: DataFrame, comp: DataFrame, complete: bool) -> DataFrame:
+    """cls, node, block, component of the nodes that hold more than one component;
+    ``complete``: so dealt into blocks that every pair across components meets."""
     known = comp.select(F.col("id").alias("cls"), "component")
     placed = materialize(leaf.join(known, "cls", "left")
                          .select("cls", "node", "size", F.coalesce("component", "cls").alias("component")), "cps-placed")
-    counts = placed.groupBy("node", "size", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialize(counts.groupBy("node", "size").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("top"))
-                        .where("k > 1").select("node", "top.component").withColumnRenamed("component", "main"), "cps-mixed")
-    rows = placed.join(mixed, "node")
+    counts = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = materialize(counts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("top"))
+                        .where("k > 1").select("node", F.col("top.component").alias("main")), "cps-mixed")
+    rows = materialize(placed.join(mixed, "node"), "cps-rows")
     blocks = F.ceil(F.col("size") / NODE).cast("int")
+    if not complete:
+        return rows.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).select("cls", "node", "block", "component")
     inside = rows.where("component = main").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     outside = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = inside.unionByName(outside).select("cls", "node", "block", "component")
+    return inside.unionByName(outside).select("cls", "node", "block", "component")
 
+
+def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b): per node, each class with the class of another component it resembles most."""
     def run(frames):
-        for pdf in whole_groups(frames, ["node", "block"]):
-            cls, c = pdf["cls"].to_numpy(), pdf["component"].to_numpy()
-            for i, j in _resembling(pdf, ["node", "block"]):
+        for rows in whole_groups(frames, ["node", "block"]):
+            cls, c, best = rows["cls"], rows["component"], _Best(len(rows["cls"]))
+            for i, j, agree in _resembling(rows):
                 x = c[i] != c[j]
-                if x.any():
-                    yield pd.DataFrame({"a": cls[j[x]], "b": cls[i[x]]})
+                best.offer(i[x], cls[j[x]], agree[x])
+                best.offer(j[x], cls[i[x]], agree[x])
+            hit = best.agree > 0
+            yield {"a": cls[hit], "b": best.cls[hit]}
+
+    return materialize(_pairs(map_columns(_dealt(_mixed(leaf, comp, False), classes), run, "a long, b long")), "cps-across")
 
-    return materialize(_dealt(rows.join(classes.select("cls", "sketch"), "cls")).mapInPandas(run, "a long, b long").distinct(), "cps-across")
+
+def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links across components that meet in a node, as many as join them."""
+    members = materialize(_mixed(leaf, comp, True), "cps-still-mixed")
+
+    def needed(frames):
+        for rows in whole_groups(frames, ["node", "block"]):
+            c = rows["component"]
+            hit = np.zeros(len(c), dtype=bool)
+            for i, j, _ in _resembling(rows):
+                x = c[i] != c[j]
+                hit[i[x]] = hit[j[x]] = True
+            yield rows_of(rows, hit)
+
+    def confirm(frames):
+        for rows in whole_groups(frames, ["node", "block"]):
+            cls, c, place, root = rows["cls"].tolist(), rows["component"].tolist(), _blocks(rows).tolist(), {}
+            full = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+
+            def find(k):
+                while root.get(k, k) != k:
+                    root[k] = root.get(root[k], root[k])
+                    k = root[k]
+                return k
+
+            links = []
+            for i, j, _ in _resembling(rows):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = find((place[x], c[x])), find((place[y], c[y]))   # what this block has joined
+                    if p != q and similar(full[x], full[y]):
+                        root[max(p, q)] = min(p, q)
+                        links.append((cls[x], cls[y]))
+            if links:
+                yield dict(zip(("a", "b"), zip(*links)))
+
+    schema = "cls long, node long, block int, component long, sketch binary"
+    rows = materialize(map_columns(_dealt(members, classes), needed, schema), "cps-needed")
+    dealt = rows.join(sets, "cls").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
+    return materialize(_pairs(map_columns(dealt, confirm, "a long, b long")), "cps-links")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = intersection(a, b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, hashes): the full shingle sets of the wanted classes (cls, lead)."""
     def run(frames):
-        for pdf in frames:
-            sets = [s.tobytes() for s in shingle_sets(pdf["text"].tolist())]
-            yield pd.DataFrame({"cls": pdf["cls"].to_numpy(), "hashes": sets})
+        for rows in frames:
+            yield {"cls": rows["cls"], "hashes": [s.tobytes() for s in shingle_sets(rows["text"])]}
 
     lead = wanted.select("cls", F.col("lead.doc_id").alias("lead_id"), F.col("lead.key").alias("lead_key"))
     rows = _keyed(docs).join(lead, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key")))
-    found = rows.select("cls", "text").mapInPandas(run, "cls long, hashes binary")
+    found = map_columns(rows.select("cls", "text"), run, "cls long, hashes binary", BATCH)
     return found.groupBy("cls").agg(F.first("hashes").alias("hashes"))   # a row may stand there more than once
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     def run(frames):
-        for pdf in frames:
-            ok = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = intersection(p, q)
-                ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
+        for rows in frames:
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(rows["sa"], rows["sb"])]
+            yield rows_of({"a": rows["a"], "b": rows["b"]}, np.array(ok, dtype=bool))
 
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return map_columns(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long", BATCH)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -249,12 +327,13 @@ def labelled(docs: DataFrame) -> DataFrame:
                           .groupBy("fp_a", "fp_b")
                           .agg(F.min("row").alias("cls"), F.min(lead).alias("lead"), F.min("sketch").alias("sketch")), "cps-classes")
     leaf = leaves(classes)
-    stars = _partners(leaf, classes)
-    ends = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).distinct()
+    pairs = _closest(leaf, classes)
+    # a class that resembles none has no link: only the others' full sets are needed
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = materialize(_sets(docs, classes.join(ends, "cls", "left_semi")), "cps-sets")
-    links = materialize(_confirm(stars, sets), "cps-links")
-    more = materialize(_confirm(_across(leaf, classes, components(links)), sets), "cps-links")
-    comp = components(links.unionByName(more))
+    comp = components(_confirm(pairs, sets))
+    comp = joined(comp, _confirm(_closest_across(leaf, classes, comp), sets))
+    comp = joined(comp, _links_across(leaf, classes, comp, sets))
     rooted = materialize(classes.drop("sketch").join(comp, F.col("cls") == F.col("id"), "left")
                          .select("fp_a", "fp_b", "lead", F.coalesce("component", "cls").alias("root")), "cps-rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "cps-heads")

@@ -26,11 +26,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwise.llm.common import let, materialize, words
+from keepwise.llm.common import let, map_columns, materialize, words
 from keepwise.llm.shingles import mix
 
 BLOCK, SHARD_SLOTS, SEED = 64, 4096, 20_24
@@ -74,23 +73,25 @@ def positions(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """row, sid, doc_id, key, size, start: every document's place in its source."""
     placed = sizes.join(plan.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        part, row, carried = TaskContext.get().partitionId(), 0, {}
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            at = pdf.groupby("sid")["size"].cumsum() - pdf["size"] + pdf["sid"].map(carried).fillna(0).astype("int64")
-            ends = (at + pdf["size"]).groupby(pdf["sid"]).max()
-            carried = {int(s): int(e) for s, e in ends.tail(1).items()}   # rows are sorted by source
-            yield pdf.assign(part=part, row=(part << 33) + row + np.arange(len(pdf)), local=at)
-            row += len(pdf)
-
-    local = (placed.select("sid", "doc_id", "key", "size").repartitionByRange("sid", "doc_id", "key")
-             .sortWithinPartitions("sid", "doc_id", "key")
-             .mapInPandas(run, "sid long, doc_id long, key long, size long, part int, row long, local long"))
-    local = materialize(local, "mix-local")
+        part, row, last, used = TaskContext.get().partitionId(), 0, None, 0
+        for rows in frames:
+            sid, size = rows["sid"], rows["size"]
+            before = np.cumsum(size) - size
+            new = np.concatenate([[sid[0] != last], sid[1:] != sid[:-1]])     # rows are sorted by source
+            start = np.where(new, before, 0)
+            local = before - np.maximum.accumulate(start)
+            first = np.cumsum(new) == 0                                       # still the source of the batch before
+            local[first] += used
+            yield {**rows, "part": np.full(len(sid), part, dtype=np.int32), "row": (part << 33) + row + np.arange(len(sid)), "local": local}
+            last, used, row = sid[-1], int(local[-1] + size[-1]), row + len(sid)
+
+    ordered = (placed.select("sid", "doc_id", "key", "size").repartitionByRange("sid", "doc_id", "key")
+               .sortWithinPartitions("sid", "doc_id", "key"))
+    local = materialize(map_columns(ordered, run, "sid long, doc_id long, key long, size long, part int, row long, local long"),
+                        "mix-local")
     totals = local.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = materialize(totals.select("sid", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "mix-bases")
@@ -121,30 +122,28 @@ def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEE
     n_shards = max(1, -(-int(plan.agg(F.sum("n_slots")).first()[0] or 0) // shard_slots))
 
     def draw(frames):
-        for pdf in frames:
-            for sid, n, slots in zip(pdf["sid"], pdf["n_blocks"], pdf["n_slots"]):
-                counts = np.random.default_rng([seed, int(sid)]).multinomial(int(slots), np.full(n_shards, 1 / n_shards))
+        for rows in frames:
+            for sid, n, slots in zip(*(np.asarray(rows[c]).tolist() for c in ("sid", "n_blocks", "n_slots"))):
+                counts = np.random.default_rng([seed, sid]).multinomial(slots, np.full(n_shards, 1 / n_shards))
                 first = np.cumsum(counts) - counts
                 held = np.flatnonzero(counts)
                 for part in np.array_split(held, 1 + len(held) // 100_000):
-                    yield pd.DataFrame({"sid": sid, "n": n, "shard": part, "first": first[part], "count": counts[part]})
+                    yield {"sid": np.full(len(part), sid), "n": np.full(len(part), n), "shard": part, "first": first[part],
+                           "count": counts[part]}
 
     def fill(frames):
-        for pdf in frames:
-            for at in range(0, len(pdf), 64):
-                p = pdf.iloc[at:at + 64]
-                count = p["count"].to_numpy()
-                rep = lambda c: np.repeat(p[c].to_numpy(), count)
-                ahead = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                sid, n, slot = rep("sid"), rep("n"), rep("first") + ahead
-                turn = slot // np.maximum(n, 1)
-                key = mix(sid.astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(seed))
-                yield pd.DataFrame({"shard": rep("shard"), "sid": sid, "slot": slot, "turn": turn,
-                                    "block": permuted(slot - turn * n, n, key)})
-
-    counts = plan.select("sid", "n_blocks", "n_slots").where("n_slots > 0").mapInPandas(
-        draw, "sid long, n long, shard long, first long, count long")
-    return counts.repartition("sid", "shard").mapInPandas(fill, "shard long, sid long, slot long, turn long, block long")
+        for rows in frames:
+            count = rows["count"]
+            rep = lambda c: np.repeat(rows[c], count)
+            ahead = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            sid, n, slot = rep("sid"), rep("n"), rep("first") + ahead
+            turn = slot // np.maximum(n, 1)
+            key = mix(sid.astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(seed))
+            yield {"shard": rep("shard"), "sid": sid, "slot": slot, "turn": turn, "block": permuted(slot - turn * n, n, key)}
+
+    counts = map_columns(plan.select("sid", "n_blocks", "n_slots").where("n_slots > 0"), draw,
+                         "sid long, n long, shard long, first long, count long")
+    return map_columns(counts.repartition("sid", "shard"), fill, "shard long, sid long, slot long, turn long, block long", 64)
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 SHINGLE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(51_9141))
 _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _WEIGHT = _RNG.integers(1, 2**64 - 1, SHINGLE, dtype=np.uint64) | np.uint64(1)
