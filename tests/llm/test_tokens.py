@@ -105,3 +105,11 @@ def test_random_access_to_blocks(spark, make_docs, tmp_path):
 def test_empty_tables(spark, make_docs):
     assert packing.pack(make_docs([])).count() == 0
     assert bitplane.token_files(make_docs([]), files.shared_folder(spark, "e")).count() == 0
+
+
+def test_clashing_columns_are_not_read(spark, make_docs):
+    docs = make_docs([(1, "one two", "en", "s"), (2, None, None, None)])
+    odd = docs.selectExpr("*", "doc_id AS part", "text AS ids", "lang AS n_tokens", "source AS base", "text AS file")
+    assert sorted(packing.pack(odd).collect()) == sorted(packing.pack(docs).collect())
+    a, b = (bitplane.token_files(d, files.shared_folder(spark, "c")).collect() for d in (odd, docs))
+    assert sorted(a) == sorted(b)
