@@ -6,7 +6,7 @@ chosen along a path: the node picks one or two of the sketch's coordinates (by a
 hash of its own key), and sends a class to one child per picked coordinate, named
 by the class's value there. Nodes of at most ``NODE`` classes are compared
 exhaustively; larger ones branch on, down to the last of ``BRANCHES``. ``TREES`` independent
-trees bring the chance to miss a pair at similarity 0.75 below 1e-5.
+trees bring the chance to miss a pair at similarity 0.75 to about 1e-5.
 
 Inside a node all members are compared by sketch; what looks similar is confirmed
 on full shingle sets. Links only matter as far as they join components, so this is
@@ -45,7 +45,7 @@ from keepwise.llm.shingles import fingerprint, intersection, mix, shingle_sets
 
 COORDS = 64
 TREES, NODE = 6, 128
-BRANCHES = (2, 2, 2, 1, 1)   # children of a node, by level: no class is in more than 48 nodes at a time
+BRANCHES = (2, 2, 1)   # children of a node, by level: no class is in more than 24 nodes at a time
 PERCENT = 75          # 100 * intersection >= PERCENT * union
 SKETCH_FLOOR = 34     # of 64 coordinates: a pair at 0.75 shows fewer with probability 5e-5
 _RNG = np.random.Generator(np.random.PCG64(40_1729))
