@@ -247,8 +247,9 @@ def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> Dat
     return materialize(_pairs(map_columns(_dealt(_mixed(leaf, comp, False), classes), run, "a long, b long")), "cps-across")
 
 
-def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links across components that meet in a node, as many as join them."""
+def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for) -> DataFrame:
+    """(a, b): links across components that meet in a node, as many as join them;
+    ``sets_for`` gives the full sets of at least the classes (cls) it is asked for."""
     members = materialize(_mixed(leaf, comp, True), "cps-still-mixed")
 
     def needed(frames):
@@ -283,7 +284,7 @@ def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets: Da
 
     schema = "cls long, node long, block int, component long, sketch binary"
     rows = materialize(map_columns(_dealt(members, classes), needed, schema), "cps-needed")
-    dealt = rows.join(sets, "cls").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
+    dealt = rows.join(sets_for(rows.select("cls")), "cls").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
     return materialize(_pairs(map_columns(dealt, confirm, "a long, b long")), "cps-links")
 
 
@@ -306,6 +307,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("cls").agg(F.first("hashes").alias("hashes"))   # a row may stand there more than once
 
 
+def _with_sets(sets: DataFrame, docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sets`` and those of the wanted classes (cls) that are not among them yet."""
+    lacking = materialize(wanted.distinct().join(sets.select("cls"), "cls", "left_anti"), "cps-lacking")
+    if lacking.isEmpty():
+        return sets
+    return sets.unionByName(materialize(_sets(docs, classes.join(lacking, "cls", "left_semi")), "cps-more-sets"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     def run(frames):
@@ -328,12 +341,14 @@ def labelled(docs: DataFrame) -> DataFrame:
                           .agg(F.min("row").alias("cls"), F.min(lead).alias("lead"), F.min("sketch").alias("sketch")), "cps-classes")
     leaf = leaves(classes)
     pairs = _closest(leaf, classes)
-    # a class that resembles none has no link: only the others' full sets are needed
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = materialize(_sets(docs, classes.join(ends, "cls", "left_semi")), "cps-sets")
+    # full sets of what resembled a class in round 1; a class whose partners are all in other
+    # blocks of its nodes comes up only later, so every round adds the sets it asks for
+    sets = materialize(_sets(docs, classes.join(_ends(pairs), "cls", "left_semi")), "cps-sets")
     comp = components(_confirm(pairs, sets))
-    comp = joined(comp, _confirm(_closest_across(leaf, classes, comp), sets))
-    comp = joined(comp, _links_across(leaf, classes, comp, sets))
+    across = _closest_across(leaf, classes, comp)
+    sets = _with_sets(sets, docs, classes, _ends(across))
+    comp = joined(comp, _confirm(across, sets))
+    comp = joined(comp, _links_across(leaf, classes, comp, lambda wanted: _with_sets(sets, docs, classes, wanted)))
     rooted = materialize(classes.drop("sketch").join(comp, F.col("cls") == F.col("id"), "left")
                          .select("fp_a", "fp_b", "lead", F.coalesce("component", "cls").alias("root")), "cps-rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "cps-heads")

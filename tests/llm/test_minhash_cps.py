@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keepwise.llm import minhash_cps as M
 from keepwise.llm import shingles
@@ -88,6 +89,25 @@ def test_large_groups_and_pairs_near_the_threshold(spark, make_docs, monkeypatch
     check(spark, make_docs, list(enumerate(texts)))
 
 
+def one_node(classes):
+    """All classes in one node, in place of the trees."""
+    return classes.select("cls", F.lit(1).cast("long").alias("node"), F.lit(classes.count()).alias("size"))
+
+
+def unlike_with_pairs(rng, unlike, pairs):
+    texts = [" ".join(f"u{k}_{i}" for i in range(60)) for k in range(unlike)]
+    for _ in range(pairs):
+        texts += near_copies(rng, 2, 60, 1)
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_pairs_that_meet_only_across_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(M, "NODE", 4)
+    monkeypatch.setattr(M, "leaves", one_node)
+    check(spark, make_docs, unlike_with_pairs(random.Random(5), 20, 8))
+
+
 def test_odd_rows(spark, make_docs):
     t = " ".join(f"w{i}" for i in range(50))
     rows = [(5, t, "en", "s"), (5, t, "en", "s"), (3, t + " more", None, None), (None, t, "en", "s"), (None, None, None, None),
