@@ -14,15 +14,16 @@ done in rounds: (1) every class is confirmed against the one it resembles most a
 components are formed; (2) the same in every node (or block of a large one) that still holds
 several components, with the most similar class of another component; (3) in the nodes still
 mixed, all resembling pairs across components are confirmed inside the node, each
-only if nothing has joined the two by then. No round gives back more rows than there
-are members, and pairs inside one component are never confirmed, which keeps a group
+only if its pair of blocks has not joined the two by then. Pairs inside one component are never confirmed, which keeps a group
 of n copies at about n confirmations.
 
 A node that is still larger than ``NODE`` at the last level (a large group of near
-copies) is dealt into blocks. In round 1 every block also holds the node's smallest
-class; in round 3 members outside the node's largest component go into all of its blocks
-and the others into one, so each pair across components meets in a block and no task
-holds more than a block of the largest. Nothing is dropped at any size.
+copies, or of texts with a passage in common) is dealt into blocks. In rounds 1 and 2 a
+block is compared for itself; in round 1 it also holds the node's smallest class. In
+round 3 a node with very many classes outside its largest component branches on first,
+and what stays large is dealt into pairs of blocks: each pair of classes across
+components meets once, and no group of a task holds more than two blocks. The cost of
+that still grows with the square of a node that branching does not make smaller.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing;
 under five words the whole sequence is the one shingle; repeated rows are one
@@ -46,6 +47,9 @@ from keepwise.llm.shingles import fingerprint, intersection, mix, shingle_sets
 COORDS = 64
 TREES, NODE = 6, 128
 BRANCHES = (2, 2, 1)   # children of a node, by level: no class is in more than 24 nodes at a time
+DEALS = 64            # a mixed node that takes more pairs of blocks than this branches on in round 3
+DEEPER = (6, *[2] * 15)   # its children, by further level
+STUCK, SHRINK = 2, 0.7    # it stops where two levels each left more than this share of a node
 PERCENT = 75          # 100 * intersection >= PERCENT * union
 SKETCH_FLOOR = 34     # of 64 coordinates: a pair at 0.75 shows fewer with probability 5e-5
 _RNG = np.random.Generator(np.random.PCG64(40_1729))
@@ -118,6 +122,37 @@ def _branch(members: DataFrame, level: int) -> DataFrame:
     return map_columns(members.select("cls", "node", "sketch"), run, "cls long, node long")
 
 
+def _unused(h: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A coordinate per row, by its hash, that is not among the bits of ``used``."""
+    while True:
+        pick = h % np.uint64(COORDS)
+        taken = (used >> pick) & np.uint64(1) == 1
+        if not taken.any():
+            return pick
+        h = np.where(taken, mix(h + np.uint64(1)), h)
+
+
+def _deeper(members: DataFrame, picks: int) -> DataFrame:
+    """cls, node, component, used, stuck, above (the parent's size) of the children
+    of every member's node, each by a coordinate that the path has not used."""
+    def run(frames):
+        for rows in frames:
+            m, node, path, keys, used = _sketch_matrix(rows["sketch"]), rows["node"].view(np.uint64), rows["used"].view(np.uint64), [], []
+            taken = path
+            for k in range(picks):
+                h = mix(node + np.uint64(k + 1))
+                pick = _unused(h, taken)
+                bit = np.uint64(1) << pick
+                taken = taken | bit
+                keys.append(_child(pick.astype(np.int64), m, h))
+                used.append(path | bit)
+            yield {**_spread(rows["cls"], keys), "used": np.concatenate(used).view(np.int64),
+                   **{n: np.tile(rows[c], picks) for n, c in (("component", "component"), ("stuck", "stuck"), ("above", "size"))}}
+
+    return map_columns(members.select("cls", "node", "component", "used", "stuck", "size", "sketch"), run,
+                       "cls long, node long, component long, used long, stuck int, above long")
+
+
 def leaves(classes: DataFrame) -> DataFrame:
     """(cls, node, size) of all leaf nodes with at least two members."""
     level, out = _roots(classes), []
@@ -214,22 +249,74 @@ def _closest(leaf: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(_pairs(both), "cps-closest")
 
 
-def _mixed(leaf: DataFrame, comp: DataFrame, complete: bool) -> DataFrame:
-    """cls, node, block, component of the nodes that hold more than one component;
-    ``complete``: so dealt into blocks that every pair across components meets."""
-    known = comp.select(F.col("id").alias("cls"), "component")
-    placed = materialize(leaf.join(known, "cls", "left")
-                         .select("cls", "node", "size", F.coalesce("component", "cls").alias("component")), "cps-placed")
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (cls, node, component, ...) of nodes that hold more than one component,
+    with the node's size, its largest component ``main`` and how many classes that has."""
     counts = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialize(counts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("top"))
-                        .where("k > 1").select("node", F.col("top.component").alias("main")), "cps-mixed")
-    rows = materialize(placed.join(mixed, "node"), "cps-rows")
-    blocks = F.ceil(F.col("size") / NODE).cast("int")
-    if not complete:
-        return rows.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).select("cls", "node", "block", "component")
-    inside = rows.where("component = main").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    outside = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return inside.unionByName(outside).select("cls", "node", "block", "component")
+    mixed = materialize(counts.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"),
+                                                   F.max(F.struct("n", "component")).alias("top")).where("k > 1")
+                        .select("node", "size", F.col("top.component").alias("main"), F.col("top.n").alias("n_main")), "cps-mixed")
+    return materialize(placed.join(mixed, "node"), "cps-rows")
+
+
+def _placed(leaf: DataFrame, comp: DataFrame) -> DataFrame:
+    known = comp.select(F.col("id").alias("cls"), "component")
+    return materialize(leaf.join(known, "cls", "left").select("cls", "node", F.coalesce("component", "cls").alias("component")), "cps-placed")
+
+
+def _narrowed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Mixed nodes, those that take many pairs of blocks replaced by their mixed
+    descendants. Two children keep a pair's chance to stay together; nodes that hold
+    a share of at most 0.7 of their parent cost fewer pairs than it, the others (near
+    copies) are not branched on again and again."""
+    rows, out = rows.withColumn("used", F.lit(0).cast("long")).withColumn("stuck", F.lit(0)), None
+    main, outside = F.ceil(F.col("n_main") / NODE), F.ceil((F.col("size") - F.col("n_main")) / NODE)
+    many = (F.col("size") > NODE) & (outside * (main + (outside + 1) / 2) > DEALS) & (F.col("stuck") < STUCK)
+    for picks in DEEPER:
+        done, wide = rows.where(~many), rows.where(many)
+        out = done if out is None else out.unionByName(done)
+        if wide.isEmpty():
+            return out
+        level = materialize(_deeper(wide.join(classes.select("cls", "sketch"), "cls"), picks), "cps-deeper")
+        rows = _mixed(level).withColumn("stuck", F.col("stuck") + (F.col("size") > SHRINK * F.col("above")).cast("int")).drop("above")
+    return out.unionByName(rows)
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """cls, node, block, component, right, own: mixed nodes dealt into pairs of blocks, so that
+    two classes of different components meet in exactly one of a node's pairs.
+
+    Blocks have about ``NODE`` classes, those of the largest component first. ``block``
+    names the pair, ``right`` its second block, ``own`` the pair of a block with itself.
+    A block of the largest component is paired with those of other classes only."""
+    part = lambda n: F.ceil(n / NODE).cast("int")
+    inside, large = F.col("component") == F.col("main"), F.col("size") > NODE
+    n_in, n_out = part(F.col("n_main")), part(F.col("size") - F.col("n_main"))
+    at = F.when(~large, 0).when(inside, F.pmod(F.xxhash64("cls"), n_in)).otherwise(n_in + F.pmod(F.xxhash64("cls"), n_out)).cast("int")
+    others = F.when(~large, F.array(F.lit(0))).otherwise(F.sequence(F.when(inside, n_in).otherwise(F.lit(0)), n_in + n_out - 1))
+    met = rows.select("cls", "node", "component", at.alias("at"), F.explode(others).alias("other"))
+    pair = F.least("at", "other").cast("long") * 2**31 + F.greatest("at", "other")
+    return met.select("cls", "node", pair.alias("block"), "component", (F.col("at") > F.col("other")).alias("right"),
+                      (F.col("at") == F.col("other")).alias("own"))
+
+
+def _meeting(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs across components whose sketches agree often enough, each in the one pair of blocks it meets in."""
+    c, m, own = rows["component"], _sketch_matrix(rows["sketch"]), rows["own"]
+    if own.any():
+        at = np.flatnonzero(own)
+        for i, j, _ in _resembling(rows_of(rows, own)):
+            i, j = at[i], at[j]
+            x = c[i] != c[j]
+            yield i[x], j[x]
+    two = np.flatnonzero(~own)
+    group = _blocks(rows)[two]
+    for part in np.split(two, np.flatnonzero(np.diff(group)) + 1):
+        left, right = part[~rows["right"][part]], part[rows["right"][part]]
+        for some in np.array_split(left, 1 + len(left) // NODE):
+            hit = (c[some][:, None] != c[right]) & ((m[some][:, None] == m[right]).sum(axis=2) >= SKETCH_FLOOR)
+            i, j = np.nonzero(hit)
+            yield some[i], right[j]
 
 
 def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -244,21 +331,22 @@ def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> Dat
             hit = best.agree > 0
             yield {"a": cls[hit], "b": best.cls[hit]}
 
-    return materialize(_pairs(map_columns(_dealt(_mixed(leaf, comp, False), classes), run, "a long, b long")), "cps-across")
+    blocks = F.ceil(F.col("size") / NODE).cast("int")   # the blocks of round 1
+    rows = (_mixed(_placed(leaf, comp)).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+            .select("cls", "node", "block", "component"))
+    return materialize(_pairs(map_columns(_dealt(rows, classes), run, "a long, b long")), "cps-across")
 
 
 def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for) -> DataFrame:
     """(a, b): links across components that meet in a node, as many as join them;
     ``sets_for`` gives the full sets of at least the classes (cls) it is asked for."""
-    members = materialize(_mixed(leaf, comp, True), "cps-still-mixed")
+    members = _block_pairs(_narrowed(_mixed(_placed(leaf, comp)), classes))
 
     def needed(frames):
         for rows in whole_groups(frames, ["node", "block"]):
-            c = rows["component"]
-            hit = np.zeros(len(c), dtype=bool)
-            for i, j, _ in _resembling(rows):
-                x = c[i] != c[j]
-                hit[i[x]] = hit[j[x]] = True
+            hit = np.zeros(len(rows["cls"]), dtype=bool)
+            for i, j in _meeting(rows):
+                hit[i] = hit[j] = True
             yield rows_of(rows, hit)
 
     def confirm(frames):
@@ -273,7 +361,7 @@ def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for
                 return k
 
             links = []
-            for i, j, _ in _resembling(rows):
+            for i, j in _meeting(rows):
                 for x, y in zip(i.tolist(), j.tolist()):
                     p, q = find((place[x], c[x])), find((place[y], c[y]))   # what this block has joined
                     if p != q and similar(full[x], full[y]):
@@ -282,7 +370,7 @@ def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for
             if links:
                 yield dict(zip(("a", "b"), zip(*links)))
 
-    schema = "cls long, node long, block int, component long, sketch binary"
+    schema = "cls long, node long, block long, component long, right boolean, own boolean, sketch binary"
     rows = materialize(map_columns(_dealt(members, classes), needed, schema), "cps-needed")
     dealt = rows.join(sets_for(rows.select("cls")), "cls").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
     return materialize(_pairs(map_columns(dealt, confirm, "a long, b long")), "cps-links")

@@ -108,6 +108,44 @@ def test_pairs_that_meet_only_across_blocks(spark, make_docs, monkeypatch):
     check(spark, make_docs, unlike_with_pairs(random.Random(5), 20, 8))
 
 
+def test_large_mixed_nodes_are_dealt_as_pairs_of_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(M, "NODE", 16)
+    monkeypatch.setattr(M, "leaves", one_node)
+    held, dealt = [], M._dealt
+
+    def spy(members, classes):
+        held.extend(members.groupBy("node", "block").agg(F.count("*").alias("n"), F.collect_list("cls").alias("cls")).collect())
+        return dealt(members, classes)
+
+    monkeypatch.setattr(M, "_dealt", spy)
+    check(spark, make_docs, unlike_with_pairs(random.Random(6), 120, 8))
+    assert max(r.n for r in held) <= 2 * 2 * 16   # two blocks, which vary about NODE
+
+
+def test_block_pairs_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "NODE", 4)
+    rows = [(k, 9, 0 if k < 30 else k // 2) for k in range(60)] + [(k, 8, k) for k in range(3)]
+    mixed = M._mixed(spark.createDataFrame(rows, "cls long, node long, component long"))
+    groups = {}
+    for r in M._block_pairs(mixed).collect():
+        groups.setdefault((r.node, r.block), []).append(r)
+    met = [(n, *sorted((a.cls, b.cls))) for (n, _), g in groups.items() for k, a in enumerate(g) for b in g[k + 1:]
+           if a.component != b.component and (a.own or a.right != b.right)]
+    want = [(n, a, b) for a, n, c in rows for b, o, d in rows if n == o and a < b and c != d]
+    assert sorted(met) == sorted(want)
+
+
+def test_very_large_mixed_nodes_branch_on(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(M, "NODE", 4)
+    monkeypatch.setattr(M, "DEALS", 8)
+    monkeypatch.setattr(M, "leaves", one_node)
+    held, pairs = [], M._block_pairs
+    monkeypatch.setattr(M, "_block_pairs", lambda rows: held.extend(rows.select("node", "size").distinct().collect()) or pairs(rows))
+    rows = unlike_with_pairs(random.Random(7), 60, 8)
+    check(spark, make_docs, rows)
+    assert held and max(r.size for r in held) < 20
+
+
 def test_odd_rows(spark, make_docs):
     t = " ".join(f"w{i}" for i in range(50))
     rows = [(5, t, "en", "s"), (5, t, "en", "s"), (3, t + " more", None, None), (None, t, "en", "s"), (None, None, None, None),
