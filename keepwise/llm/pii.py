@@ -6,14 +6,18 @@ no quadratic search on long runs. Starts are code points, summed up from the pie
 between the matches.
 
 The extension is a pattern-instance graph. Mentions are the base matches (seeds)
-and every other run of at least seven digits with separators. An instance is a
+and every other run of at least seven digits with separators; besides, the parts of
+such runs between base spans, and between blanks if all of them have seven digits, and words with '@', '(at)', an inner
+dot or letters next to digits. An instance is a
 mention's normalised value; a pattern is the word before it, the word after it, or
 both. A pattern's score for a kind is the smoothed share of its instances that are
 of that kind, an instance's score the noisy-or of its patterns (1 for a seed); they
 are computed in turn for a few rounds. An unseen instance is taken for a kind if
 its score is high and its patterns are borne by enough seeds, or if its digits are
 those of a seed of that kind. All mentions of it become spans of that kind unless they touch a
-base span.
+base span. Parts and words are judged in a second graph, which has them besides the
+others, so that they do not change what whole runs are taken for; where accepted spans
+overlap, a whole run goes before them, and then the first and longest.
 
 Everything is DataFrame expressions, aggregations and equi-joins. The graph is
 aggregated to distinct (pattern, instance) edges before anything is joined to it, and
@@ -40,7 +44,13 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+{JOINT}[A-Za-z0-9{JOI
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = rf"[0-9{JOINT}]{{13,}}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NUMBER = r"[0-9][0-9().\x20-]{5,38}[0-9]"
+NUMBER = r"[0-9][0-9().\x20-]{5,}[0-9]"
+PART = r"[0-9][0-9().-]{5,}[0-9]"
+#: Words with '@', '(at)', an inner dot or letters next to digits.
+WORD = (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*(?:@|\(at\)|[A-Za-z0-9]\.[A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]))"
+        r"[^\x20\x09-\x0D]+")
+#: Mentions that are no seeds: digit runs; what is left of runs cut at base spans or blanks; words.
+RUN, CUT, TOKEN = -1, -2, -3
 MIN_DIGITS, REACH = 7, 64
 ROUNDS, MIN_SEEDS, SMOOTH, MIN_PATTERN, ACCEPT = 3, 5, 2.0, 0.6, 0.9
 _FOUND = "array<struct<m:string,s:int,e:int>>"
@@ -118,14 +128,38 @@ def mentions(docs: DataFrame) -> DataFrame:
         runs = F.when(F.col("t").rlike(NUMBER), find(F.col("t"), NUMBER)).otherwise(F.array().cast(_FOUND))
         free = F.filter(runs, lambda x: (F.length(_digits(x["m"])) >= MIN_DIGITS)
                         & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-        return F.transform(free, lambda x: F.struct(F.lit(-1).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _digits(x["m"]).alias("instance")))
+        return F.transform(free, lambda x: F.struct(F.lit(RUN).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _digits(x["m"]).alias("instance")))
+
+    def cuts(base: Column, whole: Column) -> Column:
+        """Runs between base spans, and between blanks, that are no whole run; words that touch neither."""
+        hidden = F.aggregate(base, F.col("t"), lambda t, b: F.overlay(t, F.repeat(F.lit(NOT_JOINT), b["e"] - b["s"]), b["s"] + 1, b["e"] - b["s"]))
+
+        def among(t: Column) -> Column:
+            none = F.array().cast(_FOUND)
+            # a blank may also stand inside a value: runs are cut there only if every part is a number
+            alone = lambda r: F.forall(F.split(r["m"], r"\x20+"), lambda w: F.length(_digits(w)) >= MIN_DIGITS)
+            parted = lambda r: F.concat(F.array(r), F.when(alone(r), F.transform(find(r["m"], PART), lambda x: F.struct(
+                x["m"].alias("m"), (x["s"] + r["s"]).alias("s"), (x["e"] + r["s"]).alias("e")))).otherwise(none))
+            runs = F.when(t.rlike(NUMBER), F.flatten(F.transform(find(t, NUMBER), parted))).otherwise(none)
+            parts = F.filter(runs, lambda x: (F.length(_digits(x["m"])) >= MIN_DIGITS)
+                             & ~F.exists(whole, lambda w: (w["s"] == x["s"]) & (w["e"] == x["e"])))
+            parts = F.array_distinct(F.transform(parts, lambda x: F.struct(F.lit(CUT).alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
+                                                                           _digits(x["m"]).alias("instance"))))
+            trim = lambda m, side: F.length(F.regexp_extract(m, side, 0))
+            tokens = F.transform(F.when(t.rlike(WORD), find(t, WORD)).otherwise(none), lambda x: F.struct(
+                F.lit(TOKEN).alias("kind"), (x["s"] + trim(x["m"], r"^[^A-Za-z0-9+]*")).alias("s"),
+                (x["e"] - trim(x["m"], r"[^A-Za-z0-9]*+$")).alias("e"),
+                F.translate(F.regexp_replace(x["m"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]++$", ""), UPPER, LOWER).alias("instance")))
+            return F.concat(parts, F.filter(tokens, lambda x: (x["s"] < x["e"]) & ~F.contains(x["instance"], F.lit(NOT_JOINT))))
+
+        return let(hidden, among)
 
     def in_context(x: Column) -> Column:
         left, right = _context(F.col("t"), x["s"], x["e"])
         return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["instance"].alias("instance"),
                         left.alias("left"), right.alias("right"))
 
-    found = let(base_spans(F.col("t")), lambda b: F.concat(b, others(b)))
+    found = let(base_spans(F.col("t")), lambda b: let(others(b), lambda o: F.concat(b, o, cuts(b, o))))
     return (start.select("doc_id", "key", F.transform(found, in_context).alias("mentions"))
             .withColumn("row", F.monotonically_increasing_id()))
 
@@ -159,9 +193,20 @@ def found_spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, key, base and spans (arrays of kind, s, e, in order) of every row."""
     rows = materialize(mentions(docs), "pii-mentions")
     each = rows.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("x")).select("row", "x.*")
-    taken = materialize(accepted_instances(each), "pii-accepted")
-    more = (each.where("kind < 0").drop("kind").join(taken, "instance")
-            .groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("more")))   # spans of one text
+    # the graph takes unseen mentions as one kind
+    as_unseen = lambda x: x.withColumn("kind", F.greatest("kind", F.lit(RUN)))
+    taken = materialize(accepted_instances(each.where(F.col("kind") >= RUN)), "pii-accepted")
+    taken_cuts = materialize(accepted_instances(as_unseen(each)), "pii-accepted-cuts")
+    runs = each.where(F.col("kind") == RUN).drop("kind").join(taken, "instance").select("row", F.lit(0).alias("late"), "s", "e", "kind")
+    late = each.where(F.col("kind") < RUN).drop("kind").join(taken_cuts, "instance").select("row", F.lit(1).alias("late"), "s", "e", "kind")
+    clear = lambda out, x: ~F.exists(out, lambda o: (o["s"] < -x["till"]) & (x["s"] < o["e"]))
+    spans = F.array().cast("array<struct<kind:int,s:int,e:int>>")
+    chosen = F.aggregate(F.sort_array("more"), spans, lambda out, x: F.when(clear(out, x), F.concat(out, F.array(
+        F.struct(x["kind"].alias("kind"), x["s"].alias("s"), (-x["till"]).alias("e"))))).otherwise(out))
+    # the key of the order: whole runs first, then by start, the longest first
+    keyed = F.struct("late", "s", (-F.col("e")).alias("till"), "kind")
+    more = (runs.unionByName(late).groupBy("row").agg(F.collect_list(keyed).alias("more"))   # spans of one text
+            .select("row", chosen.alias("more")))
     base = F.transform(F.filter("mentions", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     return (rows.select("row", "doc_id", "key", base.alias("base")).join(materialize(more, "pii-more"), "row", "left")
             .select("row", "doc_id", "key", "base", F.sort_array(F.concat("base", F.coalesce(

@@ -142,6 +142,18 @@ def test_contexts_discover_what_the_patterns_miss(spark, make_docs):
     assert out[42].spans == "" and all(out[i].spans == "" for i in range(20, 40))
 
 
+def test_contexts_discover_words_and_parts_of_runs(spark, make_docs):
+    texts = [f"call me at +1 212 555 {i:04d} tonight" for i in range(20)] + [f"write to user{i}@mail{i}.example please" for i in range(20)]
+    odd = ["write to jane@localhost please", "write to jane(at)host.org please", "lines 12125550003 12125550004 both",
+           "from 10.0.0.1 1 212 555 0005 again", "the file a.b@c is x9y, see it"]
+    out = P.personal_data(make_docs([(n, t, "en", "s") for n, t in enumerate(texts + odd)])).collect()
+    got = {r.doc_id: r.spans for r in out}
+    assert got[40] == "email:9:23" and got[41] == "email:9:25"
+    assert got[42] == "phone:6:17,phone:18:29"
+    assert got[43] == "ip:5:13,phone:14:28"
+    assert got[44] == ""
+
+
 def test_masking_and_odd_rows(spark, make_docs):
     rows = [(1, "write a@b.com or 4111111111111111!", "en", "s"), (1, "write a@b.com or 4111111111111111!", "en", "s"),
             (None, "x 1.2.3.4", None, None), (2, None, "en", "s"), (3, "nothing here", "en", "s"), (4, "+12345678901234 5", "en", "s")]
