@@ -64,18 +64,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _url_reputation() -> str:
-    levels = []
+    levels, up = [], "CROSS JOIN (SELECT sum(n) AS n_up, sum(x) AS x_up, 0.5::DOUBLE AS m_up FROM hosts) CROSS JOIN (SELECT 1.0::DOUBLE AS k)"
     for i, level in enumerate(U.LEVELS):
         keys = ", ".join(U.LEVELS[: i + 1])
-        src = (f"SELECT {keys}, n, x, m FROM (SELECT {keys}, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY {keys}) "
-               + (f"JOIN post_{U.LEVELS[i-1]} USING ({', '.join(U.LEVELS[:i])})" if i else "CROSS JOIN prior"))
+        if i:
+            parent = U.LEVELS[i - 1]
+            up = (f"JOIN (SELECT {', '.join(U.LEVELS[:i])}, n AS n_up, x AS x_up, m AS m_up FROM g_{parent}) "
+                  f"USING ({', '.join(U.LEVELS[:i])}) CROSS JOIN k_{parent}")
         levels.append(f"""
-    g_{level} AS ({src}),
+    g_{level} AS (SELECT {keys}, n, x, n_up, (m_up * k + x_up - x) / (k + n_up - n) AS m
+        FROM (SELECT {keys}, sum(n)::DOUBLE AS n, sum(x)::DOUBLE AS x FROM hosts GROUP BY {keys}) {up}),
     s_{level} AS (SELECT sum((x - n * m) ** 2 / n) AS s, sum(m * (1 - m)) AS v, sum(n * m * (1 - m)) AS nv FROM g_{level} WHERE n > 0),
-    k_{level} AS (SELECT CASE WHEN nv IS NULL OR nv <= 0 THEN 100.0 ELSE (1 - rho) / rho END AS k FROM (
-        SELECT nv, least(greatest(CASE WHEN nv - v > 0 THEN (s - v) / (nv - v) ELSE 0.0 END, 1e-4), 0.99) AS rho FROM s_{level})),
-    ab_{level} AS (SELECT *, m * k + x AS a, (1 - m) * k + n - x AS b FROM g_{level}, k_{level}),
-    post_{level} AS (SELECT {keys}, a / (a + b) AS m FROM ab_{level})""")
+    k_{level} AS (SELECT CASE WHEN nv IS NULL OR nv <= 0 THEN 100.0 WHEN rho > 1e-4 THEN greatest((1 - rho) / rho, {U.MIN_STRENGTH!r})
+        ELSE 9999.0 END::DOUBLE AS k FROM (SELECT nv, CASE WHEN nv - v > 0 THEN (s - v) / (nv - v) ELSE 0.0 END AS rho FROM s_{level}))""")
+    x, terms, seconds = repr(U.MAX_BAD), U.TERMS, ", ".join(f"'{w}'" for w in U.SECOND_LEVELS)
+    term = lambda n: (f"exp(lgamma(a + b + {n}) - lgamma(a + 1 + {n}) - lgamma(b) + (a + {n}) * ln({x}) + b * ln(1 - {x}))")
     rule = lambda what: "CASE " + " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'"
         for v, h, p in sorted(U.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
@@ -84,13 +87,19 @@ def _url_reputation() -> str:
     p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
     o AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-    hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+    c AS (SELECT page_id, regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\.$', '') AS host FROM p),
+    l AS (SELECT *, string_split(host, '.') AS w, regexp_matches(host, '^[0-9.]+$|^\[') AS digits FROM c),
+    t AS (SELECT *, len(w) > 2 AND length(w[-1]) = 2 AND w[-2] IN ({seconds}) AS two FROM l),
+    hosts AS (SELECT CASE WHEN digits THEN host ELSE array_to_string(CASE WHEN two THEN w[-2:] ELSE w[-1:] END, '.') END AS suffix,
+                     CASE WHEN digits THEN host ELSE array_to_string(CASE WHEN two THEN w[-3:] ELSE w[-2:] END, '.') END AS domain, host,
                      count(quality) AS n, coalesce(sum(1 - quality), 0) AS x
-              FROM p LEFT JOIN o ON page_id = doc_id GROUP BY host),
-    prior AS (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) AS m FROM hosts), {','.join(levels)},
-    bad AS (SELECT host FROM ab_host WHERE a / (a + b) - {U.Z!r} * sqrt(a * b / (a + b + 1)) / (a + b) > {U.MAX_BAD!r})
+              FROM t LEFT JOIN o ON page_id = doc_id GROUP BY ALL),{','.join(levels)},
+    ab AS (SELECT host, n_up, m * k + x AS a, (1 - m) * k + n - x AS b FROM g_host, k_host),
+    bad AS (SELECT host FROM ab WHERE n_up > 0 AND {x} * (a + b) < a
+            AND round(list_sum(list_transform(range(0, {terms}), lambda n: {term('n')}))
+                      + {term(terms)} / (1 - greatest({x} * (a + b + {terms}) / (a + 1 + {terms}), {x})), 9) <= {U.RISK!r})
 SELECT page_id, host, path, {rule('rule')} AS rule,
-       coalesce({rule('verdict')}, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
+       coalesce({rule('verdict')}, CASE WHEN regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\.$', '') IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
 
 
 URL_REPUTATION = _url_reputation()

@@ -88,3 +88,95 @@ def test_reputation_needs_evidence(spark):
     out = {r.page_id: r.verdict for r in U.url_filter(spark.createDataFrame(rows, PAGES), labels).collect()}
     assert all(out[i] == "block" for i in range(60)) and all(out[100 + i] == "allow" for i in range(200))
     assert out[401] == "allow"      # one bad page is not enough
+
+
+def plain_blocked(rows, labels, max_bad=U.MAX_BAD, risk=U.RISK):
+    """The reputation in plain Python, its beta probability by numeric integration."""
+    import re
+    from collections import defaultdict
+
+    outcome = {}
+    for i, q, _ in labels:
+        if q is not None and i is not None:
+            outcome[i] = min(q, outcome.get(i, 1))
+    counts = defaultdict(lambda: [0, 0])
+    tree = {}
+    for i, url, _ in rows:
+        host = re.split(r"[/?#]", url.split("://", 1)[1])[0].lower()
+        host = re.sub(r"\.$", "", re.sub(r":[0-9]*$", "", host))
+        w = host.split(".")
+        two = len(w) > 2 and len(w[-1]) == 2 and w[-2] in U.SECOND_LEVELS
+        key = (host,) * 3 if re.fullmatch(r"[0-9.]+", host) else (".".join(w[-1 - two:]), ".".join(w[-2 - two:]), host)
+        tree[host] = key
+        for depth in range(4):
+            c = counts[key[:depth]]
+            if i in outcome:
+                c[0] += 1
+                c[1] += 1 - outcome[i]
+    mean, k = {(): 0.5}, 1.0
+    for depth in (1, 2, 3):
+        groups = {key[:depth] for key in tree.values()}
+        for g in groups:
+            (n, x), (nu, xu) = counts[g], counts[g[:-1]]
+            mean[g] = (mean[g[:-1]] * k + xu - x) / (k + nu - n)
+        seen = [(counts[g], mean[g]) for g in groups if counts[g][0]]
+        s, v, nv = (sum(f(n, x, m) for (n, x), m in seen) for f in (
+            lambda n, x, m: (x - n * m) ** 2 / n, lambda n, x, m: m * (1 - m), lambda n, x, m: n * m * (1 - m)))
+        rho = (s - v) / (nv - v) if nv > v else 0
+        k = 100.0 if not nv else max((1 - rho) / rho, U.MIN_STRENGTH) if rho > 1e-4 else 9999.0
+    out = set()
+    for host, key in tree.items():
+        (n, x), m = counts[key], mean[key]
+        a, b = m * k + x, (1 - m) * k + n - x
+        lg = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        # substituting t = u^(1/a) takes the pole at zero away
+        steps = 20_000
+        top = max_bad ** a
+        mass = sum(math.exp(lg + (b - 1) * math.log1p(-(((j + 0.5) / steps * top) ** (1 / a)))) / a for j in range(steps)) * top / steps
+        if counts[key[:2]][0] and mass <= risk:
+            out.add(host)
+    return out
+
+
+def test_reputation_against_plain_python(spark):
+    hosts = ([("bad.one.com", 60, 0.95), ("alsobad.one.com", 12, 0.9), ("x.shop.co.uk", 30, 0.9), ("y.shop.co.uk", 4, 1.0), ("fine.co.uk", 50, 0.1),
+              ("10.1.2.3", 25, 1.0), ("10.9.2.3", 25, 0.0), ("edge.org:8080", 40, 0.5), ("edge2.org.", 40, 0.3), ("one.page.info", 1, 1.0)]
+             + [(f"h{j}.good{j % 7}.com", 10 + j, 0.05) for j in range(30)])
+    rows, labels, at = [], [], 0
+    for host, n, bad in hosts:
+        for j in range(n):
+            rows.append((at, f"http://{host}/p{j}", None))
+            labels.append((at, int(j >= n * bad), 0))
+            at += 1
+    rows += [(at, "http://new.one.com/", None), (at + 1, "http://never.seen.se/", None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    out = U.url_filter(pages, spark.createDataFrame(labels, LABELS), rules=[]).collect()
+    got = {r.host for r in out if r.verdict == "block"}
+    want = plain_blocked(rows, labels)
+    clean = {h: h.rstrip(".").split(":")[0] for h in {r.host for r in out}}
+    assert {clean[h] for h in got} == want
+    assert {"bad.one.com", "alsobad.one.com", "x.shop.co.uk", "10.1.2.3"} <= got
+    assert not got & {"10.9.2.3", "fine.co.uk", "edge2.org.", "one.page.info", "never.seen.se"} and not any("good" in h for h in got)
+    # without labels nothing is judged; a host outside every labelled domain is not either
+    none = U.url_filter(pages, spark.createDataFrame([], LABELS), rules=[]).collect()
+    assert {r.verdict for r in none} == {"allow"}
+
+
+@pytest.mark.parametrize("a,b", [(1.46, 1.54), (0.97, 0.03), (60.5, 3.0), (31.0, 69.0), (500.0, 1000.0), (2e6, 4e6), (2.0, 0.001), (4000.0, 9000.0)])
+def test_beta_probability(spark, a, b):
+    got = spark.range(1).select(U.beta_cdf(0.3, F.lit(a), F.lit(b))).first()[0]
+    lg = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    steps = 40_000
+    lo = max(0.0, a / (a + b) - 40 * math.sqrt(a * b / (a + b + 1)) / (a + b)) if a > 50 else 0.0
+    if lo >= 0.3:
+        assert got < 1e-12
+        return
+    if a > 1:
+        want = sum(math.exp(lg + (a - 1) * math.log(t) + (b - 1) * math.log1p(-t)) for t in
+                   (lo + (j + 0.5) / steps * (0.3 - lo) for j in range(steps)) if t > 0) * (0.3 - lo) / steps
+    else:
+        top = 0.3 ** a
+        want = sum(math.exp(lg + (b - 1) * math.log1p(-(((j + 0.5) / steps * top) ** (1 / a)))) / a for j in range(steps)) * top / steps
+    if a < 100_000:
+        assert got == pytest.approx(want, rel=2e-3, abs=1e-12)
+    assert got >= want * (1 - 1e-3) - 1e-12        # never too small
