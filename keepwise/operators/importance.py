@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +45,132 @@ def shuffle_params(n: int, n_repeats: int) -> list[tuple[int, int, int]]:
     return out
 
 
-class LinearArrayScorer:
-    """``p = link(intercept + sum_j w_j x_j)`` over an ``ARRAY<DOUBLE>``.
+class ArrayScorer:
+    """What importance, scoring and what-if ask of a scorer of encoded rows.
 
-    The logit is folded left to right from the intercept over the non-zero
-    weights (codegen'd column arithmetic). For a permuted feature ``f`` the
-    logit is ``z + w_f (x'_f - x_f)``, so each permuted score costs O(1) instead
-    of a new O(d) fold; a feature of weight zero changes no score at all."""
+    ``score(arr)`` is the probability as a Column over an ``ARRAY<DOUBLE>``;
+    ``permuted(x, xp)`` is ``[(f, s)]``, the scores with one feature at a time taken
+    from the partner row; ``still`` names the features that change no score."""
+
+    still: frozenset = frozenset()
+
+    def score(self, arr: Column) -> Column:
+        raise NotImplementedError
+
+    def permuted(self, x: Column, xp: Column) -> Column:
+        raise NotImplementedError
+
+
+class LinearArrayScorer(ArrayScorer):
+    """``p = link(intercept + sum_j w_j x_j)``.
+
+    The weights are one array literal, so the expression has the same size for any
+    number of features. The logit is summed left to right from the intercept over
+    the weights that are not zero and bound once; the score with feature ``f``
+    permuted is then ``link(z + w_f (x'_f - x_f))``, O(1) instead of a new sum."""
 
     def __init__(self, weights: list[float], intercept: float, link=sigmoid):
         self.weights, self.intercept, self.link = [float(w) for w in weights], float(intercept), link
+        self.still = frozenset(j for j, w in enumerate(self.weights) if w == 0.0)
+        self._used = [(j, w) for j, w in enumerate(self.weights) if w != 0.0]
+
+    def _literal(self) -> Column:
+        return F.array(*[F.struct(F.lit(j).alias("f"), F.lit(w).alias("w")) for j, w in self._used])
 
     def logit(self, arr: Column) -> Column:
-        z = F.lit(self.intercept)
-        for j, w in enumerate(self.weights):
-            if w != 0.0:
-                z = z + F.lit(w) * F.get(arr, j)
-        return z
+        if not self._used:
+            return F.lit(self.intercept)
+        return F.aggregate(self._literal(), F.lit(self.intercept), lambda z, t: z + t["w"] * F.get(arr, t["f"]))
 
     def score(self, arr: Column) -> Column:
         return self.link(self.logit(arr))
 
-    def permuted(self, z: Column, x: Column, xp: Column) -> Column:
-        """[(f, s)]: the score with feature f taken from ``xp``, for every weight that is not zero."""
-        return F.array(*[F.struct(F.lit(j).alias("f"), self.link(z + F.lit(w) * (F.get(xp, j) - F.get(x, j))).alias("s"))
-                         for j, w in enumerate(self.weights) if w != 0.0]).cast("array<struct<f:int,s:double>>")
+    def permuted(self, x: Column, xp: Column) -> Column:
+        if not self._used:
+            return F.array().cast("array<struct<f:int,s:double>>")
+        each = lambda z: F.transform(self._literal(), lambda t: F.struct(
+            t["f"].alias("f"), self.link(z + t["w"] * (F.get(xp, t["f"]) - F.get(x, t["f"]))).alias("s")))
+        return F.element_at(F.transform(F.array(self.logit(x)), each), 1)
+
+
+class ColumnArrayScorer(ArrayScorer):
+    """Any Column function of the array, built from functions that Spark evaluates itself."""
+
+    def __init__(self, fn, width: int):
+        self.fn, self.width = fn, width
+
+    def score(self, arr: Column) -> Column:
+        return self.fn(arr)
+
+    def permuted(self, x: Column, xp: Column) -> Column:
+        swapped = lambda f: F.transform(x, lambda v, i: F.when(i == f, F.get(xp, i)).otherwise(v))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.width - 1)),
+                           lambda f: F.struct(f.alias("f"), self.fn(swapped(f)).alias("s")))
+
+
+class ForwardScorer(ArrayScorer):
+    """A NumPy function ``forward(X) -> p``, in Arrow batches: each batch of
+    (row, partner) pairs is scored once per feature with that column swapped."""
+
+    def __init__(self, forward, width: int):
+        self.forward, self.width = forward, width
+
+    def _matrix(self, arrays):
+        return np.vstack(arrays.to_numpy()) if len(arrays) else np.zeros((0, self.width))
+
+    def score(self, arr: Column) -> Column:
+        def scored(x: pd.Series) -> pd.Series:
+            return pd.Series(self.forward(self._matrix(x)), dtype="float64")
+
+        return F.pandas_udf(scored, "double")(arr)
+
+    def permuted(self, x: Column, xp: Column) -> Column:
+        def swapped(x: pd.Series, xp: pd.Series) -> pd.Series:
+            at, to = self._matrix(x), self._matrix(xp)
+            out = np.empty((len(at), self.width))
+            for f in range(self.width):
+                held = at[:, f].copy()
+                at[:, f] = to[:, f]
+                out[:, f] = self.forward(at)
+                at[:, f] = held
+            return pd.Series(list(out))
+
+        return F.transform(F.pandas_udf(swapped, "array<double>")(x, xp),
+                           lambda s, f: F.struct(f.alias("f"), s.alias("s")))
+
+
+class PandasUdfScorer(ArrayScorer):
+    """A ``pandas_udf`` from ``ARRAY<DOUBLE>`` to the probability. Spark cannot call
+    one inside a lambda, so the permuted rows are scored by its plain function."""
+
+    def __init__(self, udf, width: int):
+        self.udf, self.width = udf, width
+        inner = udf.func
+
+        def forward(X):
+            return np.asarray(inner(pd.Series(list(X))), dtype="float64")
+
+        self._rows = ForwardScorer(forward, width)
+
+    def score(self, arr: Column) -> Column:
+        return self.udf(arr)
+
+    def permuted(self, x: Column, xp: Column) -> Column:
+        return self._rows.permuted(x, xp)
+
+
+def as_scorer(fn, width: int) -> ArrayScorer:
+    """A scorer from whatever a caller has: an ``ArrayScorer``, a ``pandas_udf``, an
+    object with ``forward(X)`` (the neural model) or a Column function of the array."""
+    if isinstance(fn, ArrayScorer):
+        return fn
+    if hasattr(fn, "evalType"):
+        return PandasUdfScorer(fn, width)
+    if hasattr(fn, "forward"):
+        return ForwardScorer(fn.forward, width)
+    if callable(fn):
+        return ColumnArrayScorer(fn, width)
+    raise TypeError(f"no scorer: {fn!r}")
 
 
 def linear_scorer(weights: list[float], intercept: float, link=sigmoid) -> LinearArrayScorer:
@@ -90,30 +193,29 @@ def permutation_importance(design: DataFrame, score_fn, names: list[str],
                            n_repeats: int = fixed.N_REPEATS, seed: int = 42,
                            label: str = "y", features: str = "features") -> DataFrame:
     """``(idx, feature, importance_mean, importance_std, baseline_auc)`` for each
-    encoded column of ``design`` (``id, label, features ARRAY<DOUBLE>``)."""
-    d = len(names)
+    encoded column of ``design`` (``id, label, features ARRAY<DOUBLE>``).
+
+    ``score_fn`` is anything :func:`as_scorer` takes. The unpermuted scores are one
+    more group (repeat -1) of the same histogram: one sort, one written table."""
+    scorer = as_scorer(score_fn, len(names))
     idx, joined = _join_partners(design, n_repeats, seed, label, features)
 
     x, xp = F.col("x"), F.col("xp")
-    # scores first: what is expanded and shuffled is (repeat, label, feature, score), never the arrays
-    scores = joined.select("r", "y", score_fn.permuted(score_fn.logit(x), x, xp).alias("fs"))
+    # scores first: what is expanded and shuffled is (repeat, feature, label, score), never the arrays
+    scores = joined.select("r", "y", scorer.permuted(x, xp).alias("fs"))
     long = scores.select("r", "y", F.explode("fs").alias("p")).select("r", F.col("p.f").alias("f"), "y", F.col("p.s").alias("s"))
-    hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
-                                           F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    aucs = _auc_by(hist, ["r", "f"])
-
-    base_hist = (idx.select("y", score_fn.score(x).alias("s"))
-                 .groupBy("s").agg(F.sum("y").cast("bigint").alias("pos"),
-                                   F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-                 .withColumn("_k", F.lit(0)))
-    base = _auc_by(base_hist, ["_k"]).select(F.col("auc").alias("baseline_auc"))
-    base_auc = base.first()["baseline_auc"]
-    drops = aucs.withColumn("drop", F.lit(base_auc).cast("double") - F.col("auc"))
-    names_df = design.sparkSession.createDataFrame(list(enumerate(names)), "f INT, feature STRING")
+    base = idx.select(F.lit(-1).alias("r"), F.lit(-1).alias("f"), "y", scorer.score(x).alias("s"))
+    hist = (long.unionByName(base).groupBy("r", "f", "s")
+            .agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg")))
+    aucs = materialize(_auc_by(hist, ["r", "f"]), "aucs")     # a row per feature and repeat
+    first = aucs.where("r = -1").first()
+    base_auc = first["auc"] if first else None
+    drops = aucs.where("r >= 0").withColumn("drop", F.lit(base_auc).cast("double") - F.col("auc"))
+    names_df = design.sparkSession.createDataFrame(
+        [(j, n, j in scorer.still) for j, n in enumerate(names)], "f INT, feature STRING, still BOOLEAN")
     out = drops.groupBy("f").agg(F.avg("drop").alias("importance_mean"),
                                  F.stddev_pop("drop").alias("importance_std"))
-    unused = F.col("f").isin([j for j, w in enumerate(score_fn.weights) if w == 0.0])
-    still = lambda c: F.when(unused & F.lit(base_auc is not None), F.lit(0.0)).otherwise(F.col(c)).alias(c)
+    still = lambda c: F.when(F.col("still") & F.lit(base_auc is not None), F.lit(0.0)).otherwise(F.col(c)).alias(c)
     return (names_df.join(out, "f", "left")   # one row per encoded column; a weight of zero moves nothing
             .select(F.col("f").cast("int").alias("idx"), "feature", still("importance_mean"), still("importance_std"),
                     F.lit(base_auc).cast("double").alias("baseline_auc")))
@@ -135,53 +237,3 @@ def _join_partners(design: DataFrame, n_repeats: int, seed: int, label: str, fea
         "i", "y", "x", F.col("_rj.r").alias("r"), F.col("_rj.j").alias("j"))
     right = idx.select(F.col("i").alias("j"), F.col("x").alias("xp"))
     return idx, left.join(right, "j")
-
-
-def permutation_importance_arrow(design: DataFrame, forward, names: list[str],
-                                 n_repeats: int = fixed.N_REPEATS, seed: int = 42,
-                                 label: str = "y", features: str = "features") -> DataFrame:
-    """Permutation importance for a Python scorer ``forward(X ndarray) -> p``
-    (e.g. the neural model): each Arrow batch of (row, repeat) pairs is scored
-    once per feature with that column taken from the partner rows."""
-    import numpy as np
-    import pandas as pd
-
-    d = len(names)
-    idx, joined = _join_partners(design, n_repeats, seed, label, features)
-
-    def perm(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.vstack(pdf["x"].to_numpy())
-            XP = np.vstack(pdf["xp"].to_numpy())
-            outs = []
-            for f in range(d):
-                Xf = X.copy()
-                Xf[:, f] = XP[:, f]
-                outs.append(pd.DataFrame({"r": pdf["r"].to_numpy(), "f": f, "y": pdf["y"].to_numpy(),
-                                          "s": forward(Xf)}))
-            yield pd.concat(outs, ignore_index=True)
-
-    def base(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = np.vstack(pdf["x"].to_numpy())
-            yield pd.DataFrame({"y": pdf["y"].to_numpy(), "s": forward(X)})
-
-    long = joined.select("r", "y", "x", "xp").mapInPandas(perm, "r INT, f INT, y INT, s DOUBLE")
-    hist = long.groupBy("r", "f", "s").agg(F.sum("y").cast("bigint").alias("pos"),
-                                           F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    aucs = _auc_by(hist, ["r", "f"])
-    base_hist = (idx.select("y", "x").mapInPandas(base, "y INT, s DOUBLE").groupBy("s")
-                 .agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-                 .withColumn("_k", F.lit(0)))
-    base_auc = _auc_by(base_hist, ["_k"]).first()["auc"]
-    drops = aucs.withColumn("drop", F.lit(base_auc).cast("double") - F.col("auc"))
-    names_df = design.sparkSession.createDataFrame(list(enumerate(names)), "f INT, feature STRING")
-    out = drops.groupBy("f").agg(F.avg("drop").alias("importance_mean"),
-                                 F.stddev_pop("drop").alias("importance_std"))
-    return (out.join(F.broadcast(names_df), "f")   # one row per encoded column
-            .select(F.col("f").cast("int").alias("idx"), "feature", "importance_mean", "importance_std",
-                    F.lit(base_auc).cast("double").alias("baseline_auc")))

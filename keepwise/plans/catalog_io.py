@@ -209,7 +209,7 @@ def q_mlp_permutation_importance(spark, sf):
     scorer, _ = trained_mlp(spark, sf)
     t = Tables(spark, sf)
     design = scorer.encoder.transform(_test(t), keep=[TARGET_COL]).withColumnRenamed(TARGET_COL, "y")
-    return importance.permutation_importance_arrow(design, scorer.params.forward, scorer.encoder.feature_names)
+    return importance.permutation_importance(design, scorer.params, scorer.encoder.feature_names)
 
 
 @query("train_mlp")

@@ -107,12 +107,9 @@ def run_explain(spark: SparkSession, raw: DataFrame, model_dir: str, out_dir: st
     enc = scorer.encoder
     design = enc.transform(split_df.filter(F.col("split") == "test"), keep=[TARGET_COL]).withColumnRenamed(
         TARGET_COL, "y")
-    if isinstance(scorer, model.LinearModel):
-        fn = importance.linear_scorer(scorer.weights, scorer.intercept)
-        pi = importance.permutation_importance(design, fn, enc.feature_names, n_repeats, seed)
-    else:
-        pi = importance.permutation_importance_arrow(design, scorer.params.forward, enc.feature_names,
-                                                     n_repeats, seed)
+    fn = (importance.linear_scorer(scorer.weights, scorer.intercept) if isinstance(scorer, model.LinearModel)
+          else scorer.params)
+    pi = importance.permutation_importance(design, fn, enc.feature_names, n_repeats, seed)
     pi = materialize(pi, "importance")
     pi.write.mode("overwrite").parquet(f"{out_dir}/importance")
     hints = explain.business_hints(explain.top_k_features(pi, top_k))

@@ -86,3 +86,39 @@ def test_every_scorer_serves_whatif_drivers_and_scoring(spark):
             assert all(r.delta >= 0 if r.scenario == 1 else r.delta == 0 for r in rows)
         ids = {r.customerID for r in explain.top3_drivers(clean, median, scorer).collect()}
         assert all(p[i] >= 0.3 for i in ids)
+
+
+def test_importance_takes_any_scorer(spark):
+    """One result from a linear scorer, a NumPy model, a ``pandas_udf`` and a Column function of the array."""
+    import numpy as np
+    import pandas as pd
+    import pytest
+    from pyspark.sql import functions as F
+
+    from keepwise.functions.scoring import sigmoid
+    from keepwise.operators import importance
+
+    d, rng = 45, np.random.default_rng(3)      # as wide as a trained model: the expression must not grow with d * d
+    rows = [(str(i), int(rng.random() < 0.3), [float(v) for v in rng.integers(0, 5, d)]) for i in range(120)]
+    design = spark.createDataFrame(rows, "customerID string, y int, features array<double>")
+    w = [float(v or 7) / 64 for v in rng.integers(-20, 20, d)]
+
+    class Plain:
+        def forward(self, X):
+            return 1 / (1 + np.exp(-(X @ np.array(w) + 0.5)))
+
+    @F.pandas_udf("double")
+    def batch(x: pd.Series) -> pd.Series:
+        return pd.Series(1 / (1 + np.exp(-(np.vstack(x.to_numpy()) @ np.array(w) + 0.5))))
+
+    column = lambda x: sigmoid(F.aggregate(F.arrays_zip(x.alias("x"), F.array(*[F.lit(v) for v in w]).alias("w")),
+                                           F.lit(0.5), lambda z, t: z + t["x"] * t["w"]))
+    names = [f"f{j}" for j in range(d)]
+    results = [{r.idx: (r.importance_mean, r.importance_std, r.baseline_auc)
+                for r in importance.permutation_importance(design, s, names, n_repeats=2).collect()}
+               for s in (importance.linear_scorer(w, 0.5), Plain(), batch, column)]
+    assert len(results[0]) == d and any(v[0] != 0 for v in results[0].values())
+    for other in results[1:]:
+        assert all(other[j] == pytest.approx(results[0][j], abs=1e-12) for j in range(d))
+    with pytest.raises(TypeError):
+        importance.as_scorer(3, d)
