@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, embed_dedup, minhash_cps, mixing, packing, pii, quality_rules, sql, toxicity, url_reputation, warc
+from keepwise.llm import bitplane, embed_dedup, minhash_cps, mixing, packing, pii, quality_rules, ranked_search, sql, toxicity, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -76,3 +76,8 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return bitplane.token_files(docs, shared_folder(spark, "token-planes")).drop("ids")
+
+
+@query("op11_range_maximum", sql.RANKED_SEARCH)
+def op11(spark, sf_dir):
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -110,3 +110,20 @@ WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {W.MIN_REVISIT} AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= {W.MIN_REVISIT} AND page_id > first_id THEN first_id END AS refers_to FROM r"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED_SEARCH = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    tok AS (SELECT k, unnest(regexp_extract_all(t, '{TERM}')) AS term FROM d),
+    tfs AS (SELECT k, term, count(*) AS tf FROM tok GROUP BY ALL),
+    len AS (SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY k),
+    tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+    wts AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM tfs, (SELECT docs FROM tot) GROUP BY term),
+    imp AS (SELECT k, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS v
+            FROM tfs JOIN len USING (k) JOIN wts USING (term), tot),
+    b AS (SELECT row_number() OVER () AS q, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+    ask AS (SELECT q, item_id, unnest(regexp_extract_all(t, '{TERM}')) AS term FROM b),
+    s AS (SELECT q, item_id, k, CAST(sum(v) AS BIGINT) AS score FROM ask JOIN imp USING (term) GROUP BY ALL HAVING sum(v) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s JOIN d USING (k))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
