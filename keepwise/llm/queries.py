@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepwise.llm import bitplane, embed_dedup, minhash_cps, mixing, packing, pii, quality_rules, ranked_search, sql, toxicity, url_reputation, warc
+from keepwise.llm import bitplane, conversation_repair, embed_dedup, minhash_cps, mixing, packing, pii, quality_rules, ranked_search, rendezvous, sql, toxicity, url_reputation, warc
 from keepwise.llm.common import read_table
 from keepwise.llm.files import shared_folder
 
@@ -81,3 +81,13 @@ def op10(spark, sf_dir):
 @query("op11_range_maximum", sql.RANKED_SEARCH)
 def op11(spark, sf_dir):
     return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_rendezvous", sql.RENDEZVOUS)
+def op12(spark, sf_dir):
+    return rendezvous.sharded(read_table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+
+
+@query("op13_deepening_repair")
+def op13(spark, sf_dir):
+    return conversation_repair.repair_conversations(read_table(spark, sf_dir, "conversations"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from keepwise.llm import quality_rules as Q
+from keepwise.llm import rendezvous as R
 from keepwise.llm import url_reputation as U
 from keepwise.llm import warc as W
 
@@ -127,3 +128,32 @@ RANKED_SEARCH = rf"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, transl
     s AS (SELECT q, item_id, k, CAST(sum(v) AS BIGINT) AS score FROM ask JOIN imp USING (term) GROUP BY ALL HAVING sum(v) > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s JOIN d USING (k))
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 (reflected polynomial 0xEDB88320), by its rule."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a UTF-8 text, byte by byte."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    table = f"CAST({_crc_table()} AS BIGINT[])"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), "
+            f"lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)")
+
+
+def _rendezvous() -> str:
+    def winner(shards: dict) -> str:
+        waits = ", ".join(f"{{'wait': -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|{s}'), 1, {R.DRAW_BITS // 4}) AS BIGINT) + 0.5) "
+                          f"/ {float(1 << R.DRAW_BITS)!r}) / {w!r}, 'shard': {s}}}" for s, w in sorted(shards.items()))
+        return f"list_min([{waits}]).shard"
+
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {winner(R.SHARDS)} AS shard, {winner({**R.SHARDS, max(R.SHARDS) + 1: 1.0})} AS grown_shard FROM documents)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc32_sql('t')} AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM d"""
+
+
+RENDEZVOUS = _rendezvous()
