@@ -13,7 +13,7 @@ used twice before all were used once. Blocks and documents meet in an equi-join
 Only word counts travel: positions inside a source are prefix sums over a range
 partitioning on (source, doc_id), one total per partition and source, so a source
 with a third of all rows is spread over many tasks. Results do not depend on the
-partitioning, and reruns agree.
+partitioning (but for which of several rows alike in id, text and source is which), and reruns agree.
 
 Edge cases: null or empty text has size 0 and is never taken; a null source is a
 source of its own, the last one; repeated rows are separate documents; a source
@@ -33,14 +33,16 @@ from keepwise.llm.common import let, map_columns, materialize, words
 from keepwise.llm.shingles import mix
 
 BLOCK, SHARD_SLOTS, SEED = 64, 4096, 20_24
+#: shards drawn together, and slots that a task fills
+RANGE, TASK_SLOTS = 64, 250_000
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), source, size in words."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), F.col("source").cast("string"),
-                       F.size(words(text)).cast("long").alias("size"))
+def document_sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row (a number of its own, or the column named), doc_id, key (hash of the text), source, size in words."""
+    text, number = F.col("text").cast("string"), F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"),
+                       F.col("source").cast("string"), F.size(words(text)).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
@@ -76,7 +78,7 @@ def positions(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     def run(frames: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        part, row, last, used = TaskContext.get().partitionId(), 0, None, 0
+        part, last, used = TaskContext.get().partitionId(), None, 0
         for rows in frames:
             sid, size = rows["sid"], rows["size"]
             before = np.cumsum(size) - size
@@ -85,12 +87,12 @@ def positions(sizes: DataFrame, plan: DataFrame) -> DataFrame:
             local = before - np.maximum.accumulate(start)
             first = np.cumsum(new) == 0                                       # still the source of the batch before
             local[first] += used
-            yield {**rows, "part": np.full(len(sid), part, dtype=np.int32), "row": (part << 33) + row + np.arange(len(sid)), "local": local}
-            last, used, row = sid[-1], int(local[-1] + size[-1]), row + len(sid)
+            yield {**rows, "part": np.full(len(sid), part, dtype=np.int32), "local": local}
+            last, used = sid[-1], int(local[-1] + size[-1])
 
-    ordered = (placed.select("sid", "doc_id", "key", "size").repartitionByRange("sid", "doc_id", "key")
-               .sortWithinPartitions("sid", "doc_id", "key"))
-    local = materialize(map_columns(ordered, run, "sid long, doc_id long, key long, size long, part int, row long, local long"),
+    order = ["sid", "doc_id", "key", "row"]     # the row last: it parts rows that agree in all else
+    ordered = placed.select(*order, "size").repartitionByRange(*order).sortWithinPartitions(*order)
+    local = materialize(map_columns(ordered, run, "row long, sid long, doc_id long, key long, size long, part int, local long"),
                         "mix-local")
     totals = local.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,33 +119,44 @@ def permuted(pos: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """shard, sid, slot, pass, block: what every slot of the mix holds."""
-    n_shards = max(1, -(-int(plan.agg(F.sum("n_slots")).first()[0] or 0) // shard_slots))
+def _range_counts(seed: int, sid: int, slots: int, n_shards: int, at: int) -> tuple[int, np.ndarray]:
+    """Slots of a source before a range of ``RANGE`` shards and in each shard of it.
+
+    The multinomial draw over all shards by halving: each half of a range gets a binomial share of
+    its slots, from a generator seeded by source and range. Any range is reached from the top in a
+    logarithm of steps, alike in every task, so no task draws for all shards."""
+    lo, hi, before = 0, n_shards, 0
+    while hi - lo > RANGE:
+        mid = lo + RANGE * (-(-(hi - lo) // RANGE) // 2)
+        left = int(np.random.default_rng([seed, sid, lo, hi]).binomial(slots, (mid - lo) / (hi - lo)))
+        if at < mid:
+            hi, slots = mid, left
+        else:
+            lo, slots, before = mid, slots - left, before + left
+    return before, np.random.default_rng([seed, sid, lo, hi]).multinomial(slots, np.full(hi - lo, 1 / (hi - lo)))
 
-    def draw(frames):
-        for rows in frames:
-            for sid, n, slots in zip(*(np.asarray(rows[c]).tolist() for c in ("sid", "n_blocks", "n_slots"))):
-                counts = np.random.default_rng([seed, sid]).multinomial(slots, np.full(n_shards, 1 / n_shards))
-                first = np.cumsum(counts) - counts
-                held = np.flatnonzero(counts)
-                for part in np.array_split(held, 1 + len(held) // 100_000):
-                    yield {"sid": np.full(len(part), sid), "n": np.full(len(part), n), "shard": part, "first": first[part],
-                           "count": counts[part]}
+
+def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """shard, sid, slot, turn, block: what every slot of the mix holds. Written once: its size is known only then."""
+    total = int(plan.agg(F.sum("n_slots")).first()[0] or 0)
+    n_shards = max(1, -(-total // shard_slots))
 
     def fill(frames):
         for rows in frames:
-            count = rows["count"]
-            rep = lambda c: np.repeat(rows[c], count)
-            ahead = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            sid, n, slot = rep("sid"), rep("n"), rep("first") + ahead
-            turn = slot // np.maximum(n, 1)
-            key = mix(sid.astype(np.uint64) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(seed))
-            yield {"shard": rep("shard"), "sid": sid, "slot": slot, "turn": turn, "block": permuted(slot - turn * n, n, key)}
-
-    counts = map_columns(plan.select("sid", "n_blocks", "n_slots").where("n_slots > 0"), draw,
-                         "sid long, n long, shard long, first long, count long")
-    return map_columns(counts.repartition("sid", "shard"), fill, "shard long, sid long, slot long, turn long, block long", 64)
+            for sid, n, slots, at in zip(*(np.asarray(rows[c]).tolist() for c in ("sid", "n_blocks", "n_slots", "range"))):
+                before, counts = _range_counts(seed, sid, slots, n_shards, at)
+                slot = before + np.arange(counts.sum())
+                turn = slot // n
+                key = mix(np.uint64(sid) * np.uint64(1_000_003) + turn.astype(np.uint64) + np.uint64(seed))
+                size = np.full(len(slot), n)
+                yield {"shard": np.repeat(at + np.arange(len(counts)), counts), "sid": np.full(len(slot), sid), "slot": slot, "turn": turn,
+                       "block": permuted(slot - turn * n, size, key)}
+
+    ranges = (plan.select("sid", "n_blocks", "n_slots").where("n_slots > 0")
+              .withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1), F.lit(RANGE)))))
+    tasks = max(1, -(-total // TASK_SLOTS))
+    return materialize(map_columns(ranges.repartition(tasks, "sid", "range"), fill, "shard long, sid long, slot long, turn long, block long", 64),
+                       "mix-slots")
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -156,8 +169,8 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
                     F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("word_to")))
 
 
-def _prepared(docs: DataFrame, block: int, seed: int, targets: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sizes = materialize(document_sizes(docs), "mix-sizes")
+def _prepared(docs: DataFrame, block: int, seed: int, targets: dict, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = materialize(document_sizes(docs, row), "mix-sizes")
     plan = materialize(source_targets(sizes, block=block, **targets), "mix-plan")
     return plan, materialize(positions(sizes, plan), "mix-places"), drawn_slots(plan, seed=seed)
 
@@ -179,18 +192,17 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **targe
 def mixed_rows(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **targets) -> DataFrame:
     """The mix as documents: one row per document and pass that takes words of it,
     with the columns of ``docs``; ``text`` holds the words taken (the text as it
-    was where all are), ``n_chars`` their length."""
-    _, placed, slots = _prepared(docs, block, seed, targets)
-    runs = (pieces(placed, slots, block).groupBy("row", "doc_id", "key", "turn")
+    was where all are), ``n_chars`` their length.
+
+    The documents are written once with a row number, so that texts and runs meet by
+    a unique key: the texts are shuffled once, and no repeated row makes a hot key."""
+    whole = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    kept = whole.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source"))
+    _, placed, slots = _prepared(kept, block, seed, targets, "row")
+    runs = (pieces(placed, slots, block).groupBy("row", "turn")
             .agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"),   # at most words / block + 2
                  F.sum(F.col("word_to") - F.col("word_from")).alias("taken")))
-    # rows that agree in id and text are told apart by number, so each meets its own runs
-    number = F.dense_rank().over(Window.partitionBy("doc_id", "key").orderBy("row"))
-    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), number.alias("run_copy"), "runs", "taken")
-    text = F.col("text").cast("string")
-    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
-    whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0))))
-    met = whole.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("key") == F.col("run_key")) & (F.col("copy") == F.col("run_copy")))
+    met = whole.join(runs.hint("merge"), "row")
     cut = let(words(F.col("doc.text").cast("string")), lambda w: F.when(F.col("taken") < F.size(w), F.array_join(F.transform(
         "runs", lambda x: F.array_join(F.slice(w, x["word_from"].cast("int") + 1, (x["word_to"] - x["word_from"]).cast("int")), " ")), " ")))
     new = met.withColumn("new_text", F.coalesce(cut, F.col("doc.text").cast("string")))
