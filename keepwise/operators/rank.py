@@ -148,33 +148,56 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
 
 
 def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str] | None = None,
-              rank_col: str = "rn", size_col: str | None = None, digits: int = 4) -> DataFrame:
-    """Exact rank by ``(hash_col, id_col)`` when ``hash_col`` is a uniform hex
+              rank_col: str = "rn", size_col: str | None = None, digits: int = 4,
+              then: list[str] | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
+    """Exact rank by ``(hash_col, id_col, *then)`` when ``hash_col`` is a uniform hex
     digest (md5): no sort of the whole table.
 
     Rows are bucketed by the first ``digits`` hex characters (16**digits buckets
-    per group, equally full because the digest is uniform, so no hot bucket),
-    ranked with ``row_number`` inside their bucket, and shifted by the rows of
-    all earlier buckets (a count table of at most groups x 16**digits rows).
-    The order by bucket then digest equals the order by digest, so the rank is
-    the same as a global ``row_number``. Deterministic, hence no lineage cut. NULL
-    groups and NULL ids are ranked too (the bucket join is NULL-safe).
+    per group, equally full where ids differ), ranked with ``row_number`` inside
+    their bucket, and shifted by the rows of all earlier buckets (a count table).
+    The order by bucket then digest equals the order by digest, so the rank is the
+    same as a global ``row_number``. A bucket of more than ``bucket_rows`` rows (a
+    very large table, or an id that very many rows share) is split by more digits
+    and, where one digest alone is that frequent, by row position: rows of one
+    digest are a tie, so any order of its parts is exact. NULL groups and NULL ids
+    are ranked too (all joins are NULL-safe).
     """
-    from pyspark.sql import Window as W
-
     partition_by = list(partition_by or [])
-    b = df.withColumn("_b", F.substring(F.col(hash_col), 1, digits))
-    counts = b.groupBy(*partition_by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy(*partition_by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offs = counts.select(*partition_by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_c").over(W.partitionBy(*partition_by)).alias("_gn"))
-    within = W.partitionBy(*partition_by, "_b").orderBy(F.col(hash_col).asc(), F.col(id_col).asc())
-    keys = [*partition_by, "_b"]
-    offs = offs.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_off", "_gn")
-    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
-    out = (b.join(offs, same)   # AQE broadcasts the count table when small
-           .drop(*[f"_o{i}" for i in range(len(keys))])
+    keys = [*partition_by, "_b", "_part"]
+    b = df.withColumn("_b", F.substring(F.col(hash_col), 1, digits)).withColumn("_part", F.lit(0))
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+
+    def beside(rows: DataFrame, table: DataFrame, columns: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+        table = table.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], *columns)
+        same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+        return rows.join(F.broadcast(table) if small else table, same, how).drop(*[f"_o{i}" for i in range(len(keys))])
+
+    for step, length in enumerate((2 * digits, 32, None)):
+        over = sizes(b).where(F.col("_c") > bucket_rows)
+        if over.isEmpty():
+            break
+        if step == 0:       # row positions have to stay the same from here on
+            b = materialize(b.withColumn("_row", F.monotonically_increasing_id()), "hash-rank")
+        # a row per bucket_rows rows at most
+        b = beside(b, materialize(over, "overfull"), ["_c"], "left", small=True)
+        full = F.col("_c").isNotNull()
+        if length:
+            b = b.withColumn("_b", F.when(full, F.substring(F.col(hash_col), 1, length)).otherwise(F.col("_b")))
+        else:
+            share = F.pmod(F.xxhash64("_row"), F.ceil(F.col("_c") / bucket_rows)).cast("int")
+            b = b.withColumn("_part", F.when(full, share).otherwise(F.col("_part")))
+        b = b.drop("_c")
+
+    counts = sizes(b)
+    before = Window.partitionBy(*partition_by).orderBy("_b", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_c").over(Window.partitionBy(*partition_by)).alias("_gn"))
+    within = Window.partitionBy(*keys).orderBy(F.col(hash_col).asc(), F.col(id_col).asc(), *[F.col(c).asc() for c in then or []])
+    out = (beside(b, offs, ["_off", "_gn"])   # AQE broadcasts the count table when small
            .withColumn(rank_col, F.col("_off") + F.row_number().over(within)))
     if size_col:
         out = out.withColumnRenamed("_gn", size_col)
-    return out.drop("_b", "_off", "_gn")
+    return out.drop("_b", "_part", "_row", "_off", "_gn")

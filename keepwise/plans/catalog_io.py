@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keepwise.functions.scoring import sig_round
-from keepwise.operators import metrics, model, score
+from keepwise.functions import fixed
+from keepwise.functions.scoring import fixed_scorer, rational_share, sig_round
+from keepwise.operators import importance, metrics, model, score
 from keepwise.plans import oracle as O
 from keepwise.plans.catalog import Tables, query
-from keepwise.plans.catalog_model import ENC, _encoder, _test
+from keepwise.plans.catalog_model import ENC, PI_INTERCEPT, PI_WEIGHTS, _encoder, _test
 from keepwise.plans.combine import side_by_side
 from keepwise.plans.reuse import input_signature
 from keepwise.schema import ID_COL, TARGET_COL
@@ -111,7 +112,7 @@ def _rec_text_sql() -> str:
     rec = ORACLE["recommend_threshold"]
     head, tail = rec.rsplit("\nSELECT threshold, precision, recall, f1_score, eligible,", 1)
     inner = "SELECT threshold, precision, recall, f1_score, eligible," + tail
-    return f"{head}\nSELECT 'Recommended threshold (churn prevention): ' || printf('%.2f', threshold) || chr(10) || chr(10) || justification AS value FROM ({inner})"
+    return f"{head}\nSELECT '{fixed.RECOMMEND_HEADER.split('{threshold}')[0]}' || printf('%.2f', threshold) || chr(10) || chr(10) || justification AS value FROM ({inner})"
 
 
 @query("write_recommendation", _rec_text_sql())
@@ -185,27 +186,39 @@ def q_train_logit(spark, sf):
     return m.table(m.encoder.feature_names, spark)
 
 
-@query("save_model")
+def _weights_sql() -> str:
+    cases = " ".join(f"WHEN '{n}' THEN {O.dbl(w)}" for n, w in PI_WEIGHTS.items())
+    return f"CASE name {cases} ELSE {O.dbl(0.0)} END"
+
+
+def _saved_literal(spark, sf) -> tuple[str, list[str]]:
+    """The fixed weights as a one-layer network over this table's encoded columns, saved; its path and the column names."""
+    names = _encoder(Tables(spark, sf)).feature_names
+    layers = [("dense_0_kernel", "matrix", [[PI_WEIGHTS.get(n, 0.0)] for n in names]), ("dense_0_bias", "vector", [PI_INTERCEPT])]
+    return params.save_model(params.model_table(spark, layers), scratch_path(spark, "model")), names
+
+
+@query("save_model", O.w(ENC, f"""SELECT 'dense_0_kernel' AS layer, 'matrix' AS kind, CAST(idx AS INTEGER) AS idx, {_weights_sql()} AS value FROM names
+UNION ALL SELECT 'dense_0_bias', 'vector', 0, {O.dbl(PI_INTERCEPT)}"""))
 def q_save_model(spark, sf):
-    scorer, _ = trained_mlp(spark, sf)
-    path = params.save_model(params.model_table(spark, scorer.params.layers()), scratch_path(spark, "model"))
-    layers = params.load_model(spark, path)
-    return spark.createDataFrame([(n, k, len(v)) for n, k, v in layers], "layer STRING, kind STRING, n_rows INT")
+    path, _ = _saved_literal(spark, sf)
+    table = spark.read.parquet(path)
+    return table.select("layer", "kind", F.posexplode("values").alias("idx", "value"))
 
 
-@query("load_model")
+@query("load_model", O.w(O.TEST, "SELECT customerID, score FROM test"))
 def q_load_model(spark, sf):
-    """The trained MLP saved as a parameter table, loaded back and used to score."""
-    scorer, _ = trained_mlp(spark, sf)
-    path = params.save_model(params.model_table(spark, scorer.params.layers()), scratch_path(spark, "model"))
-    loaded = model.MLPScorer(model.MLPParams.from_layers(params.load_model(spark, path)), scorer.encoder)
-    return score.predictions(Tables(spark, sf).clean, loaded)
+    """A saved model loaded back and scored over the encoded test rows, numbers unscaled."""
+    path, _ = _saved_literal(spark, sf)
+    net = model.MLPParams.from_layers(params.load_model(spark, path))
+    scorer = importance.linear_scorer(net.mats[0][:, 0].tolist(), float(net.biases[0][0]), rational_share)
+    t = Tables(spark, sf)
+    design = _encoder(t).transform(_test(t), scale=False)
+    return design.select(ID_COL, scorer.score(F.col("features")).alias("score"))
 
 
 @query("mlp_permutation_importance")
 def q_mlp_permutation_importance(spark, sf):
-    from keepwise.operators import importance
-
     scorer, _ = trained_mlp(spark, sf)
     t = Tables(spark, sf)
     design = scorer.encoder.transform(_test(t), keep=[TARGET_COL]).withColumnRenamed(TARGET_COL, "y")
@@ -224,12 +237,27 @@ def q_early_stopping(spark, sf):
     return log.table(spark).filter("is_best")
 
 
-@query("best_epoch")
+PATH_EPOCHS, PATH_PATIENCE = 12, 3
+_PATH_Z = f"z + ({O.dbl(9.0)} - CAST(epoch AS DOUBLE)) / {O.dbl(4.0)}"
+
+
+@query("best_epoch", O.w(O.SPLIT, f"""SELECT best_epoch, best_val_loss, epochs_run FROM (
+  SELECT *, max(CASE WHEN epoch <= epochs_run THEN epoch END) OVER () AS last FROM (
+    SELECT *, coalesce(min(CASE WHEN epoch - best_epoch >= {PATH_PATIENCE} THEN epoch END) OVER (), max(epoch) OVER ()) AS epochs_run FROM (
+      SELECT epoch, val_loss, min(val_loss) OVER so_far AS best_val_loss, arg_min(epoch, (val_loss, epoch)) OVER so_far AS best_epoch FROM (
+        SELECT epoch, round_even(avg(pow(y - (0.5::DOUBLE + 0.5::DOUBLE * (s / (1.0::DOUBLE + abs(s))))  , 2)), 10) AS val_loss
+        FROM (SELECT CAST(epoch AS INTEGER) AS epoch, y, {_PATH_Z} AS s
+              FROM (SELECT CAST(Churn AS DOUBLE) AS y, {O.Z} AS z FROM split WHERE split = 'validation'), range(1, {PATH_EPOCHS + 1}) r(epoch))
+        GROUP BY epoch)
+      WINDOW so_far AS (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))) WHERE epoch = last"""))
 def q_best_epoch(spark, sf):
-    _, log = trained_mlp(spark, sf)
-    h = log.table(spark)
-    return h.agg(F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"),
-                 F.max("epoch").alias("epochs_run"))
+    """Early stopping over the validation losses of a path of scorers whose intercept falls from epoch to epoch."""
+    val = Tables(spark, sf).split.filter(F.col("split") == "validation")
+    rows = val.select(F.col(TARGET_COL).cast("double").alias("y"), fixed_scorer().z().alias("z"),
+                      F.explode(F.sequence(F.lit(1), F.lit(PATH_EPOCHS))).alias("epoch"))
+    p = rational_share(F.col("z") + (F.lit(9.0) - F.col("epoch")) / F.lit(4.0))
+    losses = rows.groupBy("epoch").agg(F.bround(F.avg(F.pow(F.col("y") - p, 2)), 10).alias("val_loss"))
+    return model.early_stopping(losses, PATH_PATIENCE)
 
 
 @query("mlp_scores")

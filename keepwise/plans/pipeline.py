@@ -38,16 +38,20 @@ def _design(enc: Encoder, split_df: DataFrame) -> DataFrame:
 
 
 def run_training(spark: SparkSession, raw: DataFrame, out_dir: str, kind: str = "mlp",
-                 epochs: int = 200, patience: int = 10, seed: int = 42, batch_size: int | None = None,
-                 total_charges_fill: float = 0.0) -> dict:
-    """Clean, validate, split, fit the encoder on train, train, save."""
+                 epochs: int = 200, patience: int = 10, seed: int = 42, batch_size: int | None = 32,
+                 total_charges_fill: float = 0.0, resume: bool = False) -> dict:
+    """Clean, validate, split, fit the encoder on train, train, save.
+
+    The network leaves a committed version at every better epoch under
+    ``checkpoints``; ``resume`` goes on from the last one."""
     split_df = _prepared(raw, total_charges_fill)
     sinks.write_customer_ids(split_df, f"{out_dir}/customer_ids")
     enc = Encoder.fit(split_df.filter(F.col("split") == "train"))
     params.save_encoder(enc, spark, f"{out_dir}/encoder")
     design = _design(enc, split_df)
     if kind == "mlp":
-        p, log = model.train_mlp(design, epochs=epochs, patience=patience, seed=seed, batch_size=batch_size)
+        p, log = model.train_mlp(design, epochs=epochs, patience=patience, seed=seed, batch_size=batch_size,
+                                 checkpoint=f"{out_dir}/checkpoints", resume=resume)
         layers = p.layers()
         log.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/history")
         info = {"best_epoch": log.best_epoch, "epochs_run": log.epochs_run}

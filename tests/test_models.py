@@ -2,6 +2,7 @@
 numbers are never compared bit for bit)."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from keepwise.operators import metrics, model, score
@@ -18,7 +19,8 @@ def test_mlp_learns_and_round_trips(spark):
     enc = _encoder(t)
     design = _design(t, enc)
     p, log = model.train_mlp(design, epochs=25, patience=5)
-    losses = [l for _, l, _ in log.history]
+    losses = [h[1] for h in log.history]
+    assert all(0 < acc <= 1 and 0 < val_acc <= 1 for _, _, acc, _, val_acc in log.history)
     assert losses[-1] < losses[0]
     assert 1 <= log.best_epoch <= log.epochs_run <= 25
     scorer = model.MLPScorer(p, enc)
@@ -53,16 +55,72 @@ def test_class_weights_balanced(spark):
     assert w == {0: 100 / 150, 1: 100 / 50}
 
 
-def test_mlp_local_minibatch_mode_learns(spark):
+def test_mlp_full_batch_mode_learns(spark):
     t = Tables(spark, SF_MID)
     enc = _encoder(t)
-    p, log = model.train_mlp(_design(t, enc), epochs=8, patience=3, batch_size=32)
+    p, log = model.train_mlp(_design(t, enc), epochs=8, patience=3, batch_size=None)
     assert log.epochs_run >= 1 and log.history[-1][1] < log.history[0][1] * 1.5
     test = t.split.filter(F.col("split") == "test")
     auc = metrics.roc_auc(score.scored_outcomes(test, model.MLPScorer(p, enc))).first().roc_auc
     assert auc > 0.6
 
 
+def test_fitted_weights_do_not_depend_on_partitions(spark):
+    t = Tables(spark, SF_MID)
+    design = _design(t, _encoder(t))
+    for rows, batch in ((100_000, 32), (300, 32), (300, None)):       # one worker, five workers, full batch over five
+        two, eight = (model.train_mlp(design.repartition(n), epochs=3, worker_rows=rows, batch_size=batch)[0].flat() for n in (2, 8))
+        assert np.array_equal(two, eight), (rows, batch)
+
+
+def test_training_resumes_where_it_was_cut(spark):
+    t = Tables(spark, SF_MID)
+    design = _design(t, _encoder(t))
+    whole, log = model.train_mlp(design, epochs=6, patience=3)
+    folder = scratch_path(spark, "checkpoints")
+
+    def cut(so_far):
+        if len(so_far.history) == 3:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        model.train_mlp(design, epochs=6, patience=3, checkpoint=folder, after_epoch=cut)
+    versions = params.committed_versions(spark, folder)
+    assert versions and versions == sorted({h[0] for h in log.history[:3] if h[3] == min(x[3] for x in log.history[:h[0]])})
+    # a version without its marker was not finished
+    params.save_checkpoint(spark, folder, 9, {"theta": np.zeros(3)}, {"epoch": 9})
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits/{9:08d}/_SUCCESS")
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, False)
+    assert params.committed_versions(spark, folder) == versions
+    again, log2 = model.train_mlp(design, epochs=6, patience=3, checkpoint=folder, resume=True)
+    assert np.array_equal(whole.flat(), again.flat()) and log2.history == log.history and log2.best_epoch == log.best_epoch
+    assert params.load_checkpoint(spark, scratch_path(spark, "none")) is None
+    with pytest.raises(ValueError):
+        params.load_checkpoint(spark, folder, 9)
+
+
+@pytest.mark.parametrize("losses,patience,want", [([3, 2, 1], 2, (3, 1, 3)), ([1, 2, 3, 0], 2, (1, 1, 3)), ([2, 1, 1, 1, 0], 3, (5, 0, 5)), ([2, 1, 1, 1, 1, 0], 3, (2, 1, 5)),
+                                                  ([2, 1, 1, 0.5, 1, 1], 3, (4, 0.5, 6)), ([5], 1, (1, 5, 1))])
+def test_early_stopping(spark, losses, patience, want):
+    h = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "epoch INT, val_loss DOUBLE")
+    assert tuple(model.early_stopping(h, patience).first()) == want
+
+
+def test_logit_against_a_plain_solver(spark):
+    """Newton's method on the class-weighted likelihood."""
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(X @ [1.0, -0.5, 0.2] - 1)))).astype(int)
+    design = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(X, y)], "y INT, features ARRAY<DOUBLE>")
+    m = model.train_logit(design)
+    w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    A, beta = np.column_stack([X, np.ones(400)]), np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-A @ beta))
+        beta += np.linalg.solve((A * (w * p * (1 - p))[:, None]).T @ A, A.T @ (w * (y - p)))
+    assert np.allclose([*m.weights, m.intercept], beta, atol=1e-4)
+
+
 def test_every_scorer_serves_whatif_drivers_and_scoring(spark):
     """Fixed, linear and neural scorers share one contract: ``transform`` adds ``p_raw``."""
     from keepwise.functions.scoring import fixed_scorer
@@ -90,10 +148,7 @@ def test_every_scorer_serves_whatif_drivers_and_scoring(spark):
 
 def test_importance_takes_any_scorer(spark):
     """One result from a linear scorer, a NumPy model, a ``pandas_udf`` and a Column function of the array."""
-    import numpy as np
     import pandas as pd
-    import pytest
-    from pyspark.sql import functions as F
 
     from keepwise.functions.scoring import sigmoid
     from keepwise.operators import importance
@@ -122,3 +177,26 @@ def test_importance_takes_any_scorer(spark):
         assert all(other[j] == pytest.approx(results[0][j], abs=1e-12) for j in range(d))
     with pytest.raises(TypeError):
         importance.as_scorer(3, d)
+
+
+def test_hash_rank_splits_a_hot_id(spark):
+    """A third of all rows under one id, another part under NULL: every row ranked, no bucket above its bound."""
+    from keepwise.operators import rank
+    from keepwise.operators.split import stratified_split
+
+    rows = [("hot", i) for i in range(4000)] + [(None, i) for i in range(2000)] + [(f"c{i}", i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "customerID STRING, k INT").withColumn("Churn", F.col("k") % 2)
+    h = F.md5(F.concat(F.lit("42|"), "customerID"))
+    out = rank.hash_rank(df.withColumn("_h", h), "_h", "customerID", partition_by=["Churn"], size_col="n", digits=1, bucket_rows=300)
+    got = out.collect()
+    assert len(got) == len(rows)
+    for y in (0, 1):
+        mine = sorted(got, key=lambda r: r.rn)
+        mine = [r for r in mine if r.Churn == y]
+        assert [r.rn for r in mine] == list(range(1, len(mine) + 1)) and {r.n for r in mine} == {len(mine)}
+        digests = [r._h or "" for r in mine]
+        assert digests == sorted(digests)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window")[0]
+    sizes = {r.split: r["count"] for r in stratified_split(df.withColumn("k", F.col("k"))).groupBy("split").count().collect()}
+    assert sizes == {"train": 8400, "validation": 1800, "test": 1800}
