@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.functions.scoring import label_name
+from keepwise.operators.encode import numbered_within
 from keepwise.operators.rank import exact_quantiles
 from keepwise.schema import CATEGORICAL_FEATURES, TARGET_COL
 
@@ -100,11 +101,8 @@ def column_mode(clean: DataFrame, columns=tuple(CATEGORICAL_FEATURES)) -> DataFr
 
 def distinct_options(clean: DataFrame, columns=tuple(CATEGORICAL_FEATURES)) -> DataFrame:
     """Sorted distinct non-NULL values per column with their position."""
-    from pyspark.sql import Window
-
     vals = _long_values(clean, columns).filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return vals.withColumn("position", F.row_number().over(w).cast("int"))
+    return numbered_within(vals, "column", "value", "position", first=1)
 
 
 def global_median(df: DataFrame, column: str) -> float | None:

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -232,17 +233,64 @@ def test_exact_quantiles_many_groups(spark):
         assert np.allclose([got[g].a, got[g].b], np.percentile(vals[groups == g], [30, 50]), atol=1e-12)
 
 
-def test_encoder_rejects_huge_cardinality(spark, monkeypatch):
+def _wide(spark, n, values):
+    """A customer table of n rows whose gender column holds values(i)."""
+    rows = spark.range(n).select(F.col("id").cast("string").alias("customerID"), F.col("id"))
+    return rows.select("customerID", (F.col("id") % 7).cast("int").alias("tenure"), F.when(F.col("id") % 5 > 0, (F.col("id") % 11).cast("double")).alias("MonthlyCharges"),
+                       F.lit(1.0).alias("TotalCharges"), (F.col("id") % 2).cast("int").alias("SeniorCitizen"),
+                       *[values(F.col("id")).alias(c) if c == "gender" else F.when(F.col("id") % 3 > 0, (F.col("id") % 4).cast("string")).alias(c)
+                         for c in CATEGORICAL_FEATURES])
+
+
+def test_sparse_encoder_of_100_000_categories(spark):
+    from keepwise.operators.encode import SparseEncoder, sparse_dot
+
+    train = _wide(spark, 100_000, lambda i: F.concat(F.lit("v"), F.reverse(i.cast("string"))))
+    test = _wide(spark, 3000, lambda i: F.when(i % 10 == 0, F.lit("unseen")).otherwise(F.concat(F.lit("v"), F.reverse((i * 31 % 100_000).cast("string")))))
+    enc = SparseEncoder.fit(train)
+    out = enc.transform(test)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "v4321" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    con = duckdb.connect()
+    con.execute("CREATE TABLE train AS SELECT 'v' || reverse(CAST(i AS VARCHAR)) AS g FROM range(100000) t(i)")
+    place = dict(con.execute("SELECT g, row_number() OVER (ORDER BY g) - 1 FROM train").fetchall())
+    assert enc.width == 4 + 100_000 + 5 * (len(CATEGORICAL_FEATURES) - 1)
+    names = {r.idx: r.name for r in enc.names().where("idx < 6 or idx % 9999 = 0").collect()}
+    shift = enc.offsets["gender"]
+    assert names[0] == "tenure" and all(names[i] == f"gender_{g}" for g, p in place.items() if (i := p + shift) in names)
+    rows = {r.customerID: r for r in out.collect()}
+    assert len(rows) == 3000
+    for k, r in rows.items():
+        i = int(k)
+        g = [x - shift for x in r.indices if shift <= x < shift + 100_000]
+        assert g == ([] if i % 10 == 0 else [place["v" + str(i * 31 % 100_000)[::-1]]])
+        assert list(r.indices) == sorted(r.indices) and len(r.indices) == len(r["values"]) == 4 + len(g) + len(CATEGORICAL_FEATURES) - 1
+    w = [0.0] * enc.width
+    w[0], w[shift + 5] = 2.0, 3.0
+    z = out.select("customerID", sparse_dot(w, F.col("indices"), F.col("values")).alias("z")).where("customerID = '1'").first().z
+    r = rows["1"]
+    assert z == 2.0 * r["values"][0] + (3.0 if shift + 5 in r.indices else 0.0)
+
+
+def test_dense_encoder_beyond_its_literals(spark, monkeypatch):
     from keepwise.operators import encode
 
-    monkeypatch.setattr(encode, "MAX_CATEGORIES", 3)
-    cols = NUMERIC_FEATURES + CATEGORICAL_FEATURES
-    rows = [tuple([1, 1.0, 1.0, 0] + [f"v{i}" if c == "gender" else "x" for c in CATEGORICAL_FEATURES])
-            for i in range(5)]
-    schema = ", ".join(f"{c} {'INT' if c in ('tenure', 'SeniorCitizen') else 'DOUBLE' if c in NUMERIC_FEATURES else 'STRING'}"
-                       for c in cols)
-    with pytest.raises(ValueError, match="gender"):
-        Encoder.fit(spark.createDataFrame(rows, schema))
+    df = _wide(spark, 200, lambda i: F.when(i % 6 > 0, (i % 20).cast("string")))
+    enc = Encoder.fit(df)
+    want = {r.customerID: r.features for r in enc.transform(df, keep=["tenure"]).collect()}
+    monkeypatch.setattr(encode, "LITERAL_CATEGORIES", 3)
+    got = enc.transform(df, keep=["tenure"])
+    assert got.columns == ["customerID", "tenure", "features"] and {r.customerID: r.features for r in got.collect()} == want
+
+
+def test_missing_numbers_scale_to_the_mean(spark):
+    from keepwise.operators.encode import fit_scaler, scale_numeric
+
+    df = _wide(spark, 50, lambda i: F.lit("x"))
+    out = scale_numeric(df.withColumn("TotalCharges", F.lit(float("nan"))), fit_scaler(df)).collect()
+    assert all(r.TotalCharges == 0.0 for r in out) and sum(r.MonthlyCharges == 0.0 for r in out) >= 10
+    empty = df.limit(0)
+    assert scale_numeric(empty, fit_scaler(empty)).count() == 0
 
 
 def test_auc_and_curve_are_exact_on_raw_scores(spark):
