@@ -7,10 +7,11 @@ one row into a long ``(column, n)`` table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from keepwise.functions.text import strip, to_number
+from keepwise.plans.materialize import materialize
 from keepwise.schema import (CATEGORICAL_FEATURES, ID_COL, NUMERIC_FEATURES,
                              TARGET_COL)
 
@@ -26,24 +27,20 @@ def _long_counts(df: DataFrame, exprs: dict, name: str) -> DataFrame:
 def missing_before(raw: DataFrame) -> DataFrame:
     """Per column: NULL cells plus text cells that are blank after strip;
     only columns with a count above zero."""
-    exprs = {}
-    for c, t in raw.dtypes:
-        cond = F.col(c).isNull()
-        if t == "string":
-            cond = cond | (strip(F.col(c)) == "")
-        exprs[c] = F.count_if(cond)
-    return _long_counts(raw, exprs, "n_missing").filter(F.col("n_missing") > 0)
+    return _long_counts(raw, _blank_cells(raw), "n_missing").filter(F.col("n_missing") > 0)
+
+
+def _blank_cells(raw: DataFrame) -> dict:
+    return {c: F.count_if(F.col(c).isNull() | (strip(F.col(c)) == "") if t == "string" else F.col(c).isNull()) for c, t in raw.dtypes}
+
+
+def _null_cells(clean: DataFrame) -> dict:
+    return {c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c)) if t in ("double", "float") else F.col(c).isNull()) for c, t in clean.dtypes}
 
 
 def missing_after(clean: DataFrame) -> DataFrame:
     """Per column NULL (or NaN) cells after cleaning, above zero only."""
-    exprs = {}
-    for c, t in clean.dtypes:
-        cond = F.col(c).isNull()
-        if t in ("double", "float"):
-            cond = cond | F.isnan(F.col(c))
-        exprs[c] = F.count_if(cond)
-    return _long_counts(clean, exprs, "n_missing").filter(F.col("n_missing") > 0)
+    return _long_counts(clean, _null_cells(clean), "n_missing").filter(F.col("n_missing") > 0)
 
 
 def coerce_total_charges(c, fill: float = 0.0):
@@ -126,15 +123,24 @@ def project_features(clean: DataFrame) -> DataFrame:
     return clean.select(ID_COL, *FEATURES)
 
 
-def cleaning_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Long table ``(section, column, n)``: missing before, missing after, rows,
-    rows dropped (always 0: cleaning never drops rows)."""
-    before = missing_before(raw).select(F.lit("missing_before").alias("section"), "column",
-                                        F.col("n_missing").alias("n"))
-    after = missing_after(clean).select(F.lit("missing_after").alias("section"), "column",
-                                        F.col("n_missing").alias("n"))
-    rows = clean.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("rows").alias("section"), F.lit("n_rows").alias("column"), F.col("n").cast("bigint"))
-    dropped = clean.sparkSession.range(1).select(
-        F.lit("rows").alias("section"), F.lit("rows_dropped").alias("column"), F.lit(0).cast("bigint").alias("n"))
-    return before.unionByName(after).unionByName(rows).unionByName(dropped)
+def clean_and_summarise(raw: DataFrame, fill: float = 0.0, with_target: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table, written, and a long table ``(section, column, n)``: missing before,
+    missing after, negative, rows, rows dropped (always 0: cleaning never drops rows).
+
+    All counts are observed while the table is written, so the input is read once."""
+    seen, done = Observation("before"), Observation("after")
+    rows = F.count(F.lit(1)).alias("n_rows")
+    clean = clean_customers(raw.observe(seen, rows, *[e.alias(f"c_{c}") for c, e in _blank_cells(raw).items()]), fill, with_target)
+    after = [e.alias(f"c_{c}") for c, e in _null_cells(clean).items()]
+    below = [F.count_if(F.col(c) < 0).alias(f"n_{c}") for c in NUMERIC_FEATURES]
+    written = materialize(clean.observe(done, rows, *after, *below), "customers")
+    one, two = seen.get, done.get
+    found = ([("missing_before", c, one[f"c_{c}"]) for c in raw.columns] + [("missing_after", c, two[f"c_{c}"]) for c in clean.columns]
+             + [("negative", c, two[f"n_{c}"]) for c in NUMERIC_FEATURES])
+    found = [x for x in found if x[2]] + [("rows", "n_rows", two["n_rows"]), ("rows", "rows_dropped", one["n_rows"] - two["n_rows"])]
+    return written, raw.sparkSession.createDataFrame(found, "section STRING, column STRING, n BIGINT")
+
+
+def cleaning_summary(raw: DataFrame, fill: float = 0.0) -> DataFrame:
+    """The summary alone."""
+    return clean_and_summarise(raw, fill)[1]

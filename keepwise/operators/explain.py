@@ -1,9 +1,10 @@
 """Explanations: readable feature labels, plain-language hints, per-customer
 risk drivers with playbook actions, what-if rescoring.
 
-All of it is per-row expressions over fixed small tables: the hint dictionary is
-a CASE chain (first contained key wins, in dictionary order), the driver rules
-an array of structs filtered per row, the playbook a 5-row broadcast.
+Per-row expressions over fixed small tables: the built-in hint dictionary is a
+CASE chain (first contained key wins, in dictionary order), the driver rules an
+array of structs filtered per row, the playbook a 5-row broadcast. A dictionary of
+any size is a table (``hint_lookup``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,42 @@ def hint_for(name: Column) -> Column:
     return out.otherwise(F.lit(fixed.DEFAULT_HINT))
 
 
+GRAM = 4      # a key is met by names that hold its first characters, so many at most
+
+
+def hint_table(spark) -> DataFrame:
+    """The built-in dictionary as a table ``(priority, key, hint)``."""
+    return spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(fixed.HINTS)], "priority INT, key STRING, hint STRING")
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """Every stretch of n characters."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
+def hint_lookup(names: DataFrame, hints: DataFrame, name_col: str = "name", default: str = fixed.DEFAULT_HINT) -> DataFrame:
+    """``names`` with ``hint``: that of the key with the lowest priority among those the normalised
+    name contains, or ``default``.
+
+    A name that contains a key contains the key's first characters: names are taken apart into
+    their distinct pieces of the lengths the dictionary has (1 to ``GRAM``), and pieces meet keys
+    in an equi-join; what meets is tested in full. An empty key fits every name."""
+    keys = hints.select("priority", "key", "hint", F.substring("key", 1, GRAM).alias("_gram"))
+    lengths = [r[0] for r in keys.select(F.length("_gram")).distinct().collect()]      # at most GRAM + 1
+    distinct = names.select(F.col(name_col).alias("_name")).distinct().where(F.col("_name").isNotNull())
+    norm = hint_key(F.col("_name"))
+    pieces = [F.array(F.lit(""))] if 0 in lengths else []
+    pieces += [_pieces(F.col("_norm"), n) for n in lengths if n]
+    if not pieces:
+        return names.withColumn("hint", F.lit(default))
+    cut = distinct.withColumn("_norm", norm).select("_name", "_norm", F.explode(F.array_distinct(F.concat(*pieces))).alias("_gram"))
+    met = cut.join(keys, "_gram").where(F.contains("_norm", "key"))
+    best = met.groupBy("_name").agg(F.min_by("hint", "priority").alias("_hint"))
+    return (names.join(best, F.col(name_col) == F.col("_name"), "left")
+            .withColumn("hint", F.coalesce("_hint", F.lit(default))).drop("_name", "_hint"))
+
+
 def label_and_hint(names: DataFrame, name_col: str = "name") -> DataFrame:
     return names.withColumn("label", humanize_feature(F.col(name_col))).withColumn("hint", hint_for(F.col(name_col)))
 

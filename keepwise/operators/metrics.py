@@ -5,8 +5,9 @@ Shapes used for scale:
 * threshold metrics: one aggregate pass; the sweep assigns each row the number
   of thresholds it clears (an expression), aggregates 14 groups, then takes
   suffix sums - no cross join with the threshold list;
-* AUC and ROC: the histogram of unrounded scores, with running sums carried
-  from range partition to range partition (one path at every size);
+* AUC, ROC and sweep read one ordered histogram of unrounded scores, with running
+  sums carried from range partition to range partition (one path at every size);
+  histograms of batches merge into that of the whole;
 * top-N, deciles: one aggregate of conditional sums over the global rank.
 
 Ratios that are reported rounded use half-even rounding (``bround``).
@@ -55,13 +56,38 @@ def binary_metrics(scores: DataFrame, threshold: float = fixed.DEFAULT_THRESHOLD
                      "tn", "fp", "fn", "tp")
 
 
+HISTOGRAM = ["index", "pos", "neg", "pos_before", "neg_before", "pos_next", "neg_next"]
+CHUNK = 100_000     # points numbered together
+
+
+def ordered_histogram(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
+    """The table that AUC, ROC curve and threshold sweep all read, written once: per distinct
+    score, highest first, ``pos`` and ``neg``, their sums over all higher scores (``_before``)
+    and their values at the next lower one (``_next``). A table that is one already is taken as it is."""
+    if set(HISTOGRAM) <= set(scores.columns):
+        return scores
+    return materialize(histogram_rows(scores, score, label), "histogram")
+
+
+def histogram_rows(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
+    """The rows of :func:`ordered_histogram`, for a caller that keeps them in a place of its own."""
+    return running_sums(score_histogram(scores, score, label), [F.col(score).desc()], ["pos", "neg"], ["pos", "neg"])
+
+
+def merge_histograms(a: DataFrame, b: DataFrame, score: str = "score") -> DataFrame:
+    """The ordered histogram of two batches together, from theirs: no score is read again."""
+    both = a.select(score, "pos", "neg").unionByName(b.select(score, "pos", "neg")).groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return materialize(running_sums(both, [F.col(score).desc()], ["pos", "neg"], ["pos", "neg"]), "histogram")
+
+
 def roc_auc(scores: DataFrame, score: str = "score", label: str = "y") -> DataFrame:
     """Exact AUC with ties counted half: sum over distinct scores of
-    ``pos * (neg below + neg/2)`` / (P * N). NULL when a class is absent; rows
-    without a score are left out, as in every threshold metric."""
-    h = running_sums(score_histogram(scores, score, label), [F.col(score).asc()], ["neg"])
-    term = (F.col("pos").cast("decimal(38,0)")
-            * (F.lit(2) * F.col("neg_before") + F.col("neg")).cast("decimal(38,0)"))
+    ``neg * (pos above + pos/2)`` / (P * N). NULL when a class is absent; rows
+    without a score are left out, as in every threshold metric. ``scores`` may be
+    an ordered histogram."""
+    h = ordered_histogram(scores, score, label)
+    term = (F.col("neg").cast("decimal(38,0)")
+            * (F.lit(2) * F.col("pos_before") + F.col("pos")).cast("decimal(38,0)"))
     agg = h.agg(F.sum(term).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     den = F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")
     return agg.select(F.when(den > 0, F.col("num").cast("double") / den).alias("roc_auc"),
@@ -72,17 +98,22 @@ def roc_curve(scores: DataFrame, score: str = "score", label: str = "y") -> Data
     """``(point, fpr, tpr, threshold)``: cumulative rates at each distinct score,
     highest first; points on a straight segment are dropped (kept are both ends
     and every score whose counts differ from the next one's); ``(0, 0)`` is
-    prepended with an infinite threshold. Exact and distributed at every size."""
-    h = running_sums(score_histogram(scores, score, label), [F.col(score).desc()], ["pos", "neg"], ["pos", "neg"])
-    h = materialize(h, "roc")
+    prepended with an infinite threshold. Exact and distributed at every size;
+    ``scores`` may be an ordered histogram."""
+    h = ordered_histogram(scores, score, label)
     totals = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = int(totals["P"] or 0), int(totals["N"] or 0)
     bend = (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
-    kept = h.filter((F.col("index") == 1) | F.col("pos_next").isNull() | bend)
+    kept = h.filter((F.col("index") == 1) | F.col("pos_next").isNull() | bend).withColumn("_c", F.floor((F.col("index") - 1) / CHUNK))
+    # the order is known: kept points are counted per stretch of the histogram and numbered inside it
+    counts = kept.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_c").orderBy("index")
     rate = lambda c, n: (F.col(f"{c}_before") + F.col(c)) / F.lit(n) if n else F.lit(None).cast("double")
-    body = running_sums(kept.select("index", score, "pos", "neg", "pos_before", "neg_before").withColumnRenamed("index", "_i"),
-                        ["_i"], []).select(F.col("index").cast("int").alias("point"), rate("neg", N).alias("fpr"),
-                                           rate("pos", P).alias("tpr"), F.col(score).cast("double").alias("threshold"))
+    body = (kept.withColumn("_at", F.row_number().over(inside)).join(base, "_c")
+            .select((F.col("_base") + F.col("_at")).cast("int").alias("point"), rate("neg", N).alias("fpr"),
+                    rate("pos", P).alias("tpr"), F.col(score).cast("double").alias("threshold")))
     origin = scores.sparkSession.range(1).select(F.lit(0).alias("point"), F.lit(0.0).alias("fpr"),
                                                  F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
     return origin.unionByName(body)
@@ -91,12 +122,14 @@ def roc_curve(scores: DataFrame, score: str = "score", label: str = "y") -> Data
 def threshold_sweep(scores: DataFrame, thresholds: list[float] | None = None,
                     score: str = "score", label: str = "y", dp: int = 4) -> DataFrame:
     """One row per threshold: ``threshold, precision, recall, f1_score`` (4 dp)
-    and ``tn, fp, fn, tp, n_pred_pos``; every threshold in one pass."""
+    and ``tn, fp, fn, tp, n_pred_pos``; every threshold in one pass over the rows, or
+    over their ordered histogram."""
     ts = sorted(thresholds if thresholds is not None else fixed.sweep_thresholds())
     spark = scores.sparkSession
     cleared = sum((F.col(score) >= F.lit(float(t))).cast("int") for t in ts)
-    y = F.col(label).cast("bigint")
-    per_k = scores.groupBy(cleared.alias("k")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    pos, neg = ((F.col("pos"), F.col("neg")) if set(HISTOGRAM) <= set(scores.columns)
+                else (F.col(label).cast("bigint"), 1 - F.col(label).cast("bigint")))
+    per_k = scores.groupBy(cleared.alias("k")).agg(F.sum(pos).alias("pos"), F.sum(neg).alias("neg"))
     # all 0..len(ts) levels present, then suffix sums over at most 14 rows
     levels = spark.range(len(ts) + 1).select(F.col("id").cast("int").alias("k"))
     full = levels.join(per_k, "k", "left").fillna(0, ["pos", "neg"])

@@ -72,6 +72,55 @@ def box_stats(labelled: DataFrame, columns=("tenure", "MonthlyCharges"), by: str
                            names=["min", "q1", "median", "q3", "max"])
 
 
+SKETCH_K = 400
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """By how much the rank of a sketched quantile may be off, as a share of the rows (99 % confidence):
+    the published error of KLL sketches for single quantiles."""
+    return 2.296 / k**0.9723
+
+
+def quantile_sketch(df: DataFrame, value: str, group_by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """``(*group_by, sketch)``: a KLL sketch per group, a few kilobytes whatever the number of rows.
+
+    The declared approximate operator beside ``exact_quantiles``; neither stands in for the other.
+    NULL and NaN are left out. Sketches of batches merge into that of all (``merge_sketches``)."""
+    v = F.col(value).cast("double")
+    return (df.select(*group_by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+            .groupBy(*group_by).agg(F.kll_sketch_agg_double("_v", k).alias("sketch")))
+
+
+def merge_sketches(sketches: DataFrame, group_by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """One sketch per group from those of several batches."""
+    return sketches.groupBy(*group_by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: list[float], group_by: list[str]) -> DataFrame:
+    """``(*group_by, n, prob, value)`` of every sketch."""
+    at = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs])
+    return sketches.select(*group_by, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(at).alias("q")).select(*group_by, "n", "q.*")
+
+
+def box_sketch(labelled: DataFrame, columns=("tenure", "MonthlyCharges"), by: str = "ChurnLabel", k: int = SKETCH_K) -> DataFrame:
+    """The sketches behind sketched box statistics: per label and column."""
+    return quantile_sketch(_long_numeric(labelled, columns, [by]), "value", [by, "column"], k)
+
+
+def sketch_ranks(labelled: DataFrame, quantiles: DataFrame, by: str = "ChurnLabel") -> DataFrame:
+    """``quantiles`` with ``off``: how far the asked rank lies outside the ranks its value has, as a share of
+    the rows. Counted in one pass: the few quantiles of a group are an array beside its rows."""
+    asked = quantiles.groupBy(by, "column").agg(F.collect_list(F.struct("prob", "value")).alias("_q"))      # as many as were asked for
+    columns = [r["column"] for r in quantiles.select("column").distinct().collect()]
+    rows = _long_numeric(labelled, columns, [by]).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    met = rows.join(F.broadcast(asked), [by, "column"]).select(by, "column", "value", F.explode("_q").alias("q"))
+    ranks = met.groupBy(by, "column", "q").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < F.col("q.value")).alias("low"),
+                                               F.count_if(F.col("value") <= F.col("q.value")).alias("high"))
+    want = F.col("q.prob")
+    off = F.greatest(F.col("low") / F.col("n") - want, want - F.col("high") / F.col("n"), F.lit(0.0))
+    return ranks.select(by, "column", F.col("q.prob").alias("prob"), F.col("q.value").alias("value"), "n", off.alias("off"))
+
+
 def column_profile(clean: DataFrame, columns=("tenure", "MonthlyCharges", "TotalCharges"),
                    lower_bounds: dict | None = None) -> DataFrame:
     """Per column: min, max, median (the form pins the TotalCharges minimum at 0);

@@ -88,6 +88,11 @@ class Tables:
     def test_scores(self) -> DataFrame:
         return score.scored_outcomes(self.split.filter(F.col("split") == "test"))
 
+    @cached_property
+    def histogram(self) -> DataFrame:
+        """The ordered histogram of the test scores that area, curve and sweep read."""
+        return self._reuse("test_histogram", lambda: metrics.histogram_rows(self.test_scores))
+
     @cached_property
     def ranked(self) -> DataFrame:
         return self._reuse("test_ranked_fixed", lambda: score.rank_by_risk(self.test_scores))
@@ -117,6 +122,31 @@ def q_scan_customers(spark, sf):
     return Tables(spark, sf).file
 
 
+@query("scan_quarantine", O.w(O.CLEAN, r"""SELECT 'record' AS part, customerID FROM clean WHERE customerID LIKE '%7'
+UNION ALL SELECT 'row', customerID || CASE WHEN customerID LIKE '%3' THEN chr(10) || 'second line' ELSE '' END FROM clean WHERE customerID NOT LIKE '%7'"""))
+def q_scan_quarantine(spark, sf):
+    """A file whose records with ids on 7 have a cell too many and whose ids on 3 hold a quoted line break."""
+    raw = Tables(spark, sf).raw
+    cells = [F.when(F.col(ID_COL).endswith("3"), F.concat(F.lit('"'), ID_COL, F.lit('\nsecond line"'))).otherwise(F.col(ID_COL)),
+             *[F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("")) for c in raw.columns if c != ID_COL]]
+    line = F.concat(F.concat_ws(",", *cells), F.when(F.col(ID_COL).endswith("7"), F.lit(",")).otherwise(F.lit("")))
+    path, aside = scratch_path(spark, "customers_wide"), scratch_path(spark, "quarantine")
+    header = ",".join([ID_COL, *[c for c in raw.columns if c != ID_COL]])
+
+    def with_header(batches):      # one file per task, each with its header line
+        import pyarrow as pa
+
+        for i, batch in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    raw.select(line.alias("value")).mapInArrow(with_header, "value STRING").write.text(path)
+    good = readers.scan_customers(spark, path, quarantine=aside)
+    bad = spark.read.parquet(aside).select(F.lit("record").alias("part"), F.split("record", ",")[0].alias(ID_COL))
+    return bad.unionByName(good.select(F.lit("row").alias("part"), ID_COL))
+
+
 @query("require_columns", O.w(O.FILE, "SELECT customerID FROM file"))
 def q_require_columns(spark, sf):
     """The check passes on the file and names what a narrower table lacks."""
@@ -214,8 +244,8 @@ SELECT 'missing_after', "column", n_missing FROM ({_missing_sql('clean', O.RAW_C
 UNION ALL SELECT 'rows', 'n_rows', CAST(count(*) AS BIGINT) FROM clean
 UNION ALL SELECT 'rows', 'rows_dropped', CAST(0 AS BIGINT)"""))
 def q_cleaning_summary(spark, sf):
-    t = Tables(spark, sf)
-    return clean.cleaning_summary(t.raw, t.clean)
+    _, summary = clean.clean_and_summarise(Tables(spark, sf).raw)
+    return summary
 
 
 @query("label_name", O.w(O.CLEAN, """
@@ -370,7 +400,7 @@ FROM (SELECT sum(CAST(a.y AS HUGEINT) * (2 * (SELECT count(*) FROM test b WHERE
                  + (SELECT count(*) FROM test b WHERE b.y = 0 AND b.score = a.score))) AS num,
              sum(a.y) AS P, sum(1 - a.y) AS N FROM test a)"""))
 def q_roc_auc(spark, sf):
-    return metrics.roc_auc(Tables(spark, sf).test_scores)
+    return metrics.roc_auc(Tables(spark, sf).histogram)
 
 
 @query("roc_curve", O.w(O.TEST, """,
@@ -386,7 +416,7 @@ u AS (SELECT 0 AS i, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr, 'inf'::DOUBLE AS th
       UNION ALL SELECT i, fps / N, tps / P, score FROM k, t)
 SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS point, fpr, tpr, threshold FROM u"""))
 def q_roc_curve(spark, sf):
-    return metrics.roc_curve(Tables(spark, sf).test_scores)
+    return metrics.roc_curve(Tables(spark, sf).histogram)
 
 
 def _sweep_sql() -> str:
@@ -405,7 +435,7 @@ sw AS (SELECT threshold, round_even({_rate('tp', 'tp + fp')}, 4) AS precision, r
 
 @query("threshold_sweep", O.w(O.TEST + _sweep_sql(), "SELECT * FROM sw"))
 def q_threshold_sweep(spark, sf):
-    return metrics.threshold_sweep(Tables(spark, sf).test_scores)
+    return metrics.threshold_sweep(Tables(spark, sf).histogram)
 
 
 @query("threshold_cross", O.w(O.TEST + _sweep_sql(), "SELECT threshold, tp, fp, n_pred_pos FROM sw"))

@@ -140,7 +140,7 @@ def q_humanize_feature(spark, sf):
 @query("hint_lookup", O.w(ENC, f"SELECT CAST(idx AS INTEGER) AS idx, name, {_hint_sql('name')} AS hint FROM names"))
 def q_hint_lookup(spark, sf):
     names = encode.feature_names_table(_encoder(Tables(spark, sf)), spark)
-    return names.select("idx", "name", explain.hint_for(F.col("name")).alias("hint"))
+    return explain.hint_lookup(names, explain.hint_table(spark)).select("idx", "name", "hint")
 
 
 # ---------------------------------------------------------------------------
@@ -326,6 +326,22 @@ def q_box_stats(spark, sf):
     return profile.box_stats(profile.with_label(Tables(spark, sf).clean))
 
 
+PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query("quantile_sketch", O.w(O.CLEAN, """SELECT ChurnLabel, "column", prob, n, true AS within_bound FROM (
+  SELECT CASE Churn WHEN 0 THEN 'Sem churn' WHEN 1 THEN 'Churn' END AS ChurnLabel, "column", CAST(count(*) AS BIGINT) AS n FROM (
+    UNPIVOT (SELECT Churn, CAST(tenure AS DOUBLE) AS tenure, CAST(MonthlyCharges AS DOUBLE) AS MonthlyCharges FROM clean)
+    ON tenure, MonthlyCharges INTO NAME "column" VALUE value) GROUP BY ALL), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS prob)"""))
+def q_quantile_sketch(spark, sf):
+    """Sketched box statistics, each held against the rank its value has in the data."""
+    labelled = profile.with_label(Tables(spark, sf).clean)
+    sketches = profile.box_sketch(labelled)
+    q = profile.sketch_quantiles(sketches, PROBS, ["ChurnLabel", "column"])
+    return profile.sketch_ranks(labelled, q).select(
+        "ChurnLabel", "column", "prob", "n", (F.abs(F.col("off")) <= profile.rank_error()).alias("within_bound"))
+
+
 @query("column_profile", O.w(O.CLEAN, " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min, {'0.0::DOUBLE' if c == 'TotalCharges' else f'CAST(min({c}) AS DOUBLE)'} AS slider_min,
   CAST(max({c}) AS DOUBLE) AS max, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median FROM clean"""

@@ -51,11 +51,11 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
 
 
-def metrics_document(scores: DataFrame, ranked: DataFrame, threshold: float = 0.5) -> DataFrame:
+def metrics_document(scores: DataFrame, ranked: DataFrame, threshold: float = 0.5, histogram: DataFrame | None = None) -> DataFrame:
     """One row: ``roc_auc, precision, recall, f1_score, confusion_matrix, threshold,
     accuracy, top_n_capture, decile_gain``: report tables of fixed length only."""
     bm = metrics.binary_metrics(scores, threshold)
-    auc = metrics.roc_auc(scores).select("roc_auc")
+    auc = metrics.roc_auc(scores if histogram is None else histogram).select("roc_auc")
     top = metrics.topn_capture(ranked).agg(
         F.sort_array(F.collect_list(F.struct("top_pct", "capture_pct", "n_captured"))).alias("top_n_capture"))
     dec = metrics.decile_gain(ranked).agg(
@@ -73,8 +73,9 @@ def metrics_document(scores: DataFrame, ranked: DataFrame, threshold: float = 0.
 def write_metrics(scores: DataFrame, ranked: DataFrame, path: str, threshold: float = 0.5) -> str:
     """The document as one JSON record under ``path/document``, the ROC points (as
     many as the scores need) as JSON Lines under ``path/roc``."""
-    metrics_document(scores, ranked, threshold).coalesce(1).write.mode("overwrite").json(f"{path}/document")
-    metrics.roc_curve(scores).select("point", "fpr", "tpr").write.mode("overwrite").json(f"{path}/roc")
+    histogram = metrics.ordered_histogram(scores)      # one sort for the area and the curve
+    metrics_document(scores, ranked, threshold, histogram).coalesce(1).write.mode("overwrite").json(f"{path}/document")
+    metrics.roc_curve(histogram).select("point", "fpr", "tpr").write.mode("overwrite").json(f"{path}/roc")
     return path
 
 

@@ -384,3 +384,123 @@ def test_missing_numbers_stand_at_the_training_mean(spark):
     assert all(v is not None and v == v for v in x)
     names = enc.feature_names
     assert x[names.index("tenure")] == 0.0 and x[names.index("MonthlyCharges")] == 0.0
+
+
+def test_histograms_of_two_halves_equal_the_whole(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i}", round(float(rng.random()), 2), int(rng.random() < 0.4)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "customerID STRING, score DOUBLE, y INT")
+    half = lambda k: df.where(F.col("customerID").endswith("1") == k)
+    whole = metrics.ordered_histogram(df)
+    merged = metrics.merge_histograms(metrics.ordered_histogram(half(True)), metrics.ordered_histogram(half(False)))
+    assert sorted(map(tuple, merged.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    for fn in (metrics.roc_auc, metrics.roc_curve, metrics.threshold_sweep):
+        assert sorted(map(tuple, fn(merged).collect())) == sorted(map(tuple, fn(df).collect()))
+
+
+def test_curve_points_are_numbered_over_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"c{i}", float(rng.random()), int(rng.random() < 0.4)) for i in range(900)], "customerID STRING, score DOUBLE, y INT")
+    want = sorted(map(tuple, metrics.roc_curve(df).collect()))
+    monkeypatch.setattr(metrics, "CHUNK", 37)
+    got = sorted(map(tuple, metrics.roc_curve(df).collect()))
+    assert got == want and [r[0] for r in got] == list(range(len(got)))
+
+
+def test_ten_thousand_scenarios_and_capacities(spark):
+    """Requests as tables: results equal DuckDB, and the plan has one size."""
+    from keepwise.operators.campaign import SCENARIO
+
+    rng = np.random.default_rng(6)
+    ranked = spark.createDataFrame([(f"c{i}", i + 1, 1 - i / 3000, int(rng.random() < 0.3), round(float(rng.random()) * 100, 2)) for i in range(3000)],
+                                   "customerID STRING, rn BIGINT, score DOUBLE, y INT, charge DOUBLE")
+    asked = [(i, float(rng.integers(0, 121)), float(rng.integers(0, 100)), float(rng.integers(0, 50)), float(rng.integers(0, 60))) for i in range(10_000)]
+    table = spark.createDataFrame(asked, SCENARIO)
+    out = campaign_roi(ranked, table)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(out) == size(campaign_roi(ranked, table.limit(3))) - size(table.limit(3)) + size(table)
+    con = duckdb.connect()
+    con.register("r", ranked.toPandas())
+    con.register("s", table.toPandas())
+    want = con.execute("""WITH c AS (SELECT rn, sum(y) OVER w AS churners, sum(CAST(charge * y AS DECIMAL(28,10))) OVER w AS money FROM r
+          WINDOW w AS (ORDER BY rn)), p AS (SELECT *, CAST(round_even(pct_contacted / 100 * 600, 0) AS BIGINT) AS k FROM s)
+        SELECT scenario, k, CAST(coalesce(churners, 0) AS BIGINT), coalesce(churners * (success_rate / 100)
+          * greatest(0, CAST(money AS DOUBLE) / greatest(1, churners) - avg_discount) * 12, 0) FROM p LEFT JOIN c ON rn = k""").fetchall()
+    got = {r.scenario: r for r in out.collect()}
+    assert len(got) == len(want) == 10_000
+    for i, k, churners, preserved in want:
+        assert (got[i].n_contacted, got[i].churners_contacted) == (k, churners) and math.isclose(got[i].revenue_preserved, preserved, rel_tol=1e-12, abs_tol=1e-9)
+    caps = spark.createDataFrame([(i, int(k)) for i, k in enumerate(rng.integers(-5, 4000, 10_000))], "request INT, requested BIGINT")
+    for r in capacity_topn(ranked, caps).collect():
+        assert r.capacity == max(0, min(r.requested, 3000)) and r.implied_threshold == (1 - (r.capacity - 1) / 3000 if r.capacity else 0.0)
+
+
+def test_cleaning_summary_reads_its_input_once(spark, tmp_path):
+    from keepwise.sources import fixture
+
+    raw = fixture.raw_customers(spark, "/root/testdata/sf0.001")
+    written, summary = clean.clean_and_summarise(raw.withColumn("TotalCharges", F.when(F.col("customerID") == "3", "-4").otherwise(F.col("TotalCharges"))))
+    got = {(r.section, r.column): r.n for r in summary.collect()}
+    n = raw.count()
+    assert written.count() == n == got["rows", "n_rows"] and got["rows", "rows_dropped"] == 0 and got["negative", "TotalCharges"] == 1
+    assert {(c, v) for (s, c), v in got.items() if s == "missing_before"} == {tuple(r) for r in clean.missing_before(raw).collect()}
+    assert "orders" not in summary._jdf.queryExecution().executedPlan().toString()     # counted while the table was written
+
+
+def test_csv_records_of_another_width_and_quoted_line_breaks(spark):
+    from keepwise.schema import RAW_COLUMNS
+    from keepwise.session import scratch_path
+    from keepwise.sources import readers
+
+    cells = lambda i, *more: ",".join([f"c{i}", "1", *["x"] * (len(RAW_COLUMNS) - 3), "Yes", *more])
+    lines = [",".join(RAW_COLUMNS), cells(1), cells(2, ""), cells(3, "more", "cells"), cells(4).replace("x", '"a, ""b""\nc"', 1),
+             "c5,2,short", cells(6).replace("x", '"quoted, comma"'), cells(7, '"a, b"')]
+    path, aside = scratch_path(spark, "csv"), scratch_path(spark, "aside")
+    spark.createDataFrame([("\n".join(lines),)], "value STRING").coalesce(1).write.text(path)
+    with pytest.raises(ValueError, match="3 records"):
+        readers.scan_customers(spark, path)
+    got = {r.customerID: r for r in readers.scan_customers(spark, path, quarantine=aside).collect()}
+    assert set(got) == {"c1", "c4", "c5", "c6"} and got["c4"][2] == 'a, "b"\nc' and got["c5"][2] == "short" and got["c5"].Churn is None
+    assert got["c6"][2] == "quoted, comma"
+    assert {r.record.split(",")[0] for r in spark.read.parquet(aside).collect()} == {"c2", "c3", "c7"}
+
+
+def test_sketches_merge_and_keep_their_bound(spark):
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([rng.normal(size=40_000), np.full(20_000, 0.25)])
+    rng.shuffle(vals)
+    df = spark.createDataFrame([(int(i % 2), int(i % 5), float(v)) for i, v in enumerate(vals)] + [(0, 1, None), (1, 1, float("nan"))], "g INT, batch INT, v DOUBLE")
+    parts = [profile.quantile_sketch(df.where(F.col("batch") == b), "v", ["g"]) for b in range(5)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    merged = profile.merge_sketches(every, ["g"])
+    probs = [0.0, 0.01, 0.3, 0.5, 0.9, 1.0]
+    for r in profile.sketch_quantiles(merged, probs, ["g"]).collect():
+        mine = np.sort(vals[r.g::2])
+        low, high = np.searchsorted(mine, r.value, "left") / len(mine), np.searchsorted(mine, r.value, "right") / len(mine)
+        assert r.n == len(mine) and max(low - r.prob, r.prob - high, 0) <= profile.rank_error()
+    assert merged.selectExpr("max(length(sketch)) AS n").first().n < 20_000
+
+
+def test_hints_from_a_table_of_50_000_keys(spark):
+    from keepwise.operators import explain
+
+    rng = np.random.default_rng(2)
+    letters = list("abcde")
+    word = lambda a, b: "".join(rng.choice(letters, rng.integers(a, b)))
+    keys = list({word(5, 10) for _ in range(60_000)})[:49_990] + ["ab", "c", "zzz", "xyxy", "q" * 30]
+    hints = spark.createDataFrame([(i, k, f"hint {k}") for i, k in enumerate(keys)], "priority INT, key STRING, hint STRING")
+    names = [word(3, 25) for _ in range(400)] + ["Cat_ab-c d", "X Y_xy", "", "none", None, "Z-z_Z", "zzz", "zzz"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id INT, name STRING")
+    out = explain.hint_lookup(df, hints)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    con = duckdb.connect()
+    con.register("k", hints.toPandas())
+    con.register("n", df.toPandas())
+    want = dict(con.execute("""SELECT id, coalesce(arg_min(hint, priority), '') FROM n LEFT JOIN k
+        ON contains(replace(replace(replace(lower(name), ' ', ''), '-', ''), '_', ''), key) GROUP BY id""").fetchall())
+    got = {r.id: r.hint for r in out.collect()}
+    assert len(got) == len(names) and all(got[i] == (want[i] or fixed.DEFAULT_HINT) for i in got)
+    assert {r.hint for r in explain.hint_lookup(df, hints.limit(0)).collect()} == {fixed.DEFAULT_HINT}
