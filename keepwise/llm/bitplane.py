@@ -165,7 +165,7 @@ def write_planes(docs: DataFrame, folder: str, vocabulary: str | None = None, bl
                                           pa.array([n_tokens], pa.int64())], ["file_no", "file", "n_docs", "n_tokens"])
 
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))   # rows of a hot id go to many files
     return materialize(ordered.mapInArrow(run, "file_no int, file string, n_docs long, n_tokens long"), "plane-manifest")
 
 

@@ -52,14 +52,15 @@ class ChunkIds(dict):
     def _encode(self, chunk: bytes) -> bytes:
         if chunk.isalpha():   # ASCII letters only
             return _pack([t.id for t in self.tools.model.tokenize(chunk.decode().lower())])
+        if chunk[:-1].isalpha() and chunk[-1] in _MARKS:     # the commonest of the next kind
+            return self[chunk[:-1]] + self[chunk[-1:]]
+        text = chunk.decode("utf-8", "replace")
+        if _LATIN_WORD.fullmatch(text):
+            return _pack([t.id for t in self.tools.model.tokenize(text.lower().translate(self.tools.spelled))])
         if b"<|" not in chunk:
             core = chunk.rstrip(_MARKS)
             if core and len(core) < len(chunk) and _LATIN_WORD.fullmatch(core[-2:].decode("utf-8", "ignore")):
                 return self[core] + self[chunk[len(core):]]
-            text = chunk.decode("utf-8", "replace")
-            if _LATIN_WORD.fullmatch(text):
-                return _pack([t.id for t in self.tools.model.tokenize(text.lower().translate(self.tools.spelled))])
-        text = chunk.decode("utf-8", "replace")
         return _pack(self.tools.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
@@ -82,7 +83,10 @@ class Tokens:
         if len(self.young) >= MEMO_CHUNKS:
             previous, self.young.older = self.young, {}
             self.young = ChunkIds(self, previous)
-        return b"".join(map(self.young.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        raw = (text or "").encode("utf-8", "replace")
+        if b"<|" not in raw:      # the tokenizer lower-cases everything but its special tokens: one entry for all cases
+            raw = raw.lower()
+        return b"".join(map(self.young.__getitem__, raw.split()))
 
 
 @functools.lru_cache(maxsize=1)
