@@ -1,14 +1,14 @@
 """Toxicity by a linear classifier over character n-grams with naive Bayes scaling.
 
 A text (A-Z lower-cased, runs of space made one, framed by spaces) is the set of its
-byte n-grams, hashed to ``2**BITS`` features. On labelled rows every feature gets the
+n-grams of characters (code points), hashed to ``2**BITS`` features. On labelled rows every feature gets the
 log ratio of its smoothed frequencies in toxic and other texts; the features with the
 most certain ratios are kept, each is worth its ratio where present, and a logistic
 regression with L2 penalty weighs them.
 
-The model is fitted on at most ``MAX_TRAIN`` labelled rows, those with the smallest
-hash of their doc_id, never on held-out ones (crc32(doc_id) mod 4 = 2). That bound
-also bounds what reaches the driver: per training row the indices of its kept
+The model is fitted on at most ``MAX_TRAIN`` labelled rows, one per doc_id (of several
+texts the one with the smallest hash), for the doc_ids with the smallest hashes, never on
+held-out ones (crc32(doc_id) mod 4 = 2). That bound also bounds what reaches the driver: per training row the indices of its kept
 features. Every document is then scored over its whole text where it lies, with no
 shuffle; the model is a few thousand numbers.
 
@@ -34,9 +34,6 @@ from keepwise.llm.common import materialize
 GRAMS, BITS, FEATURES = (3, 4, 5, 6), 18, 4096
 MAX_TRAIN, L2, STEPS, THRESHOLD = 20_000, 1.0, 300, 0.3
 WINDOW = 1 << 20
-TRAIN_TASKS = 32      # the sample is bounded, so is what it is worth spreading over
-_RNG = np.random.Generator(np.random.PCG64(6_281))
-_BYTE = _RNG.integers(1, 2**32 - 1, 256, dtype=np.uint32)
 _BASE = 2654435769
 
 
@@ -44,12 +41,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def character_values(code: np.ndarray) -> np.ndarray:
+    """A well-spread 32-bit number per code point."""
+    v = (code.astype(np.uint32) + np.uint32(1)) * np.uint32(_BASE)
+    v = (v ^ (v >> np.uint32(16))) * np.uint32(0x45D9F3B5)
+    return v ^ (v >> np.uint32(13))
+
+
 def features(text: str | None, chosen: np.ndarray | None = None) -> np.ndarray:
     """The distinct features of a text; with ``chosen`` (feature -> place or -1) the places of those chosen."""
-    flat = b" " + b" ".join((text or "").encode("utf-8", "replace").lower().split()) + b" "
+    spaced = b" " + b" ".join((text or "").encode("utf-8", "replace").lower().split()) + b" "
+    flat = np.frombuffer(spaced.decode("utf-8").encode("utf-32-le"), dtype="<u4")
     found = [np.zeros(0, dtype=np.int64)]
     for at in range(0, len(flat), WINDOW):   # long texts in windows that overlap by the longest n-gram
-        value = _BYTE[np.frombuffer(flat[at:at + WINDOW + GRAMS[-1] - 1], dtype=np.uint8)]
+        value = character_values(flat[at:at + WINDOW + GRAMS[-1] - 1])
         h, power = value, 1
         for n in range(2, GRAMS[-1] + 1):
             if len(value) < n:
@@ -85,9 +90,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
     named = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("label_id"), "label_id").limit(limit))
-    return (docs.select("doc_id", F.col("text").cast("string"))
-            .join(F.broadcast(named), F.col("doc_id") == F.col("label_id"))   # at most ``limit`` ids
-            .select("doc_id", "toxic", "text").coalesce(TRAIN_TASKS))
+    found = (docs.select("doc_id", F.col("text").cast("string"))
+             .join(F.broadcast(named), F.col("doc_id") == F.col("label_id")))     # at most ``limit`` ids
+    # one text per id, taken map-side: an id that very many rows share is a row per task
+    return (found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+            .select("doc_id", "toxic", F.col("t.text").alias("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, l2: float = L2, steps: int = STEPS) -> Model:

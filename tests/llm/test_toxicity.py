@@ -32,9 +32,9 @@ def test_features_do_not_depend_on_windows(monkeypatch):
     table[whole[::3]] = np.arange(len(whole[::3]))
     assert np.array_equal(T.features(text, table), np.arange(len(whole[::3])))
     assert np.array_equal(T.features("  A\tb\n"), T.features("a b"))
-    flat = b" a b "
-    grams = {flat[i:i + n] for n in T.GRAMS for i in range(len(flat) - n + 1)}
-    assert len(T.features("a b")) == len(grams)
+    for flat in (" a b ", " hé 日本語😀 "):       # characters, not bytes
+        grams = {flat[i:i + n] for n in T.GRAMS for i in range(len(flat) - n + 1)}
+        assert len(T.features(flat)) == len(grams)
 
 
 def test_edge_rows(spark, make_docs):
@@ -57,3 +57,57 @@ def test_sample_is_bounded_and_never_held_out(spark, make_docs):
     assert len(ids) == 50 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
     a, b = (T.fit(docs.repartition(k), labels) for k in (1, 5))
     assert np.array_equal(a.feature, b.feature) and a.intercept == pytest.approx(b.intercept)
+
+
+def plain_feature(gram):
+    """The feature of one n-gram, number by number."""
+    h = 0
+    for k, c in enumerate(gram):
+        v = (ord(c) + 1) * 2654435769 % 2**32
+        v = (v ^ v >> 16) * 0x45D9F3B5 % 2**32
+        v ^= v >> 13
+        h += v * pow(2654435769, k, 2**32)
+    h %= 2**32
+    return ((h ^ h >> 15) + len(gram)) * 0x85EBCA6B % 2**32 >> (32 - T.BITS)
+
+
+def plain_features(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    flat = " " + " ".join(w for w in low.replace("\t", " ").replace("\n", " ").split(" ") if w) + " "
+    return {plain_feature(flat[i:i + n]) for n in T.GRAMS for i in range(len(flat) - n + 1)}
+
+
+def test_whole_model_against_plain_python(spark, make_docs):
+    rng = np.random.default_rng(3)
+    words = ["kind", "calm", "Tree", "río", "naïve", "stone"], ["vile", "scum", "hate", "río", "stone"]
+    texts = [(i, " ".join(rng.choice(words[i % 3 == 0], 6)) + ("\tEND" if i % 5 else "")) for i in range(90)] + [(500, None), (501, "")]
+    docs = make_docs([(i, t, "en", "s") for i, t in texts])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(80)], LABELS)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(i, int(i % 3 == 0), plain_features(t)) for i, t in texts if i < 80 and not held(i)]
+    n = [sum(y == k for _, y, _ in train) for k in (0, 1)]
+    count = {}
+    for _, y, f in train:
+        for x in f:
+            count.setdefault(x, [0, 0])[y] += 1
+    ratio = {x: np.log((p + 1) / (n[1] + 2)) - np.log((q + 1) / (n[0] + 2)) for x, (q, p) in count.items() if p + q > 1}
+    sure = {x: abs(r) / np.sqrt(1 / (count[x][1] + 1) + 1 / (count[x][0] + 1)) for x, r in ratio.items()}
+    kept = sorted(sorted(ratio, key=lambda x: (-round(sure[x], 12), x))[:T.FEATURES])
+    place, value = {x: k for k, x in enumerate(kept)}, np.array([ratio[x] for x in kept])
+    rows = sorted((i, sorted(place[x] for x in f if x in place), y) for i, y, f in train)
+    w, b = T._logistic([np.array(r, dtype=np.int32) for _, r, _ in rows], np.array([y for *_, y in rows], dtype=float), value, T.L2, T.STEPS)
+    for r in T.toxicity(docs, labels).collect():
+        f = [place[x] for x in plain_features(dict(texts)[r.doc_id]) if x in place]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(b + (w * value)[f].sum()))), rel=1e-9)
+
+
+def test_sample_is_bounded_in_rows(spark, make_docs):
+    """One labelled id over very many rows is one training row, and the scan keeps its own parallelism."""
+    docs = make_docs([(1, f"same id, text {i} " * 3, "en", "s") for i in range(3000)] + [(i, f"other text {i}", "en", "s") for i in range(2, 40)]).repartition(6)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 40)], LABELS)
+    rows = T.training_rows(docs, labels, limit=10)
+    assert rows.count() <= 10 and len({r.doc_id for r in rows.collect()}) == rows.count()
+    assert "Coalesce 32" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert T.toxicity(docs, labels).count() == 3038
+    long = make_docs([(1, "plain words " * 150_000, "en", "s"), (2, "x", "en", "s"), (3, "vile " * 10, "en", "s")])
+    assert T.toxicity(long, labels).count() == 3
