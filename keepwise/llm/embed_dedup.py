@@ -13,7 +13,8 @@ nearest one. A pair at or above the threshold lies within a chord of
 than that from the plane between the two centres; every pair then meets at least
 once, in the lower of the two cells. Cells with more than ``TILE`` vectors are dealt
 into several tiles that visit each other. A task holds one tile and streams its
-visitors.
+visitors; the visitors of a tile that has many are dealt over several tasks, each with
+a copy of the tile, whose own pairs the first of them counts.
 
 Equal vectors are one class first, so copies cost nothing. A tile gives back a link
 count per vector and enough links to join what is joined, never all pairs.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import materialize
@@ -38,11 +39,16 @@ from keepwise.llm.graph import components, tile_labels
 
 THRESHOLD = 0.9
 CELL, TILE, MAX_CENTRES = 2048, 4096, 2048
+VISITORS = 1.0    # a task streams about this many times ``TILE`` visitors
 BATCH = 1024
 _SLACK = 1e-6     # over every rounding of the float32 geometry of cells
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two first brings the largest component near 1, which
+    rounds nothing and keeps the squares of very large and very small ones in range."""
+    if v.size:
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -96,14 +102,14 @@ def _visits(classes: DataFrame, centres: np.ndarray, chord: float) -> DataFrame:
 class _Tile:
     """One tile's home vectors, their link counts and what is joined so far."""
 
-    def __init__(self, pdf: pd.DataFrame, threshold: float):
+    def __init__(self, pdf: pd.DataFrame, threshold: float, own_pairs: bool = True):
         self.cls, self.n, self.dim = (pdf[c].to_numpy() for c in ("cls", "n", "dim"))
         self.t, self.width = threshold, int(self.dim.max())
         self.u = unit(_matrix(pdf["v"], self.width))
         self.q = quantise(self.u)
         self.links = np.zeros(len(pdf), dtype=np.int64)
         self.label = np.arange(len(pdf))
-        for at in range(0, len(pdf), BATCH):
+        for at in range(0, len(pdf) if own_pairs else 0, BATCH):
             i, j = self._linked(self.u[at:at + BATCH], self.dim[at:at + BATCH], at)
             self.links += np.bincount(i, self.n[j], len(pdf)).astype(np.int64) + np.bincount(j, self.n[i], len(pdf)).astype(np.int64)
             self._join(i, j, 0)
@@ -156,27 +162,29 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
     """Link counts and joining links of every tile: its home rows come first, its visitors are streamed."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, home, tile = None, [], None
+        opened = lambda: tile or _Tile(pd.concat(home, ignore_index=True), threshold, key[2] == 0)
         for pdf in frames:
-            for k, part in pdf.groupby(["cell", "tile"], sort=False):
+            for k, part in pdf.groupby(["cell", "tile", "part"], sort=False):
                 if k != key:
                     if home:
-                        yield (tile or _Tile(pd.concat(home, ignore_index=True), threshold)).close()
+                        yield opened().close()
                     key, home, tile = k, [], None
                 if (part["visitor"] == 0).any():
                     home.append(part[part["visitor"] == 0])
                 guests = part[part["visitor"] == 1]
                 if len(guests) and home:
-                    tile = tile or _Tile(pd.concat(home, ignore_index=True), threshold)
+                    tile = opened()
                     for at in range(0, len(guests), BATCH):
                         yield tile.visit(guests.iloc[at:at + BATCH])
         if home:
-            yield (tile or _Tile(pd.concat(home, ignore_index=True), threshold)).close()
+            yield opened().close()
 
-    dealt = rows.repartition("cell", "tile").sortWithinPartitions("cell", "tile", "visitor", "cls")
+    dealt = rows.repartition("cell", "tile", "part").sortWithinPartitions("cell", "tile", "part", "visitor", "cls")
     return dealt.mapInPandas(run, "a long, b long, links long")
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, tile: int = TILE) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, tile: int = TILE,
+                           visitors: float = VISITORS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``."""
     classes = materialize(classes_of(vectors), "vec-classes")
     count = classes.count()
@@ -188,16 +196,27 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, cel
     wide = classes.agg(F.max("dim")).first()[0] or 1
     centres = np.pad(centres, ((0, 0), (0, max(0, wide - width))))
     placed = materialize(_visits(classes, centres, float(np.sqrt(2 - 2 * threshold))), "vec-cells")
-    # a cell of more than ``tile`` vectors is dealt into several tiles
-    tiles = (placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).collect())  # one row per centre
-    many = F.create_map(*[F.lit(int(x)) for t in tiles for x in (t.cell, t.tiles)]) if tiles else F.create_map(F.lit(0), F.lit(1))
+    # a cell of more than ``tile`` vectors is dealt into several tiles; a row per centre from here to the driver
+    guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("g"))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(guests, "cell", "left").collect()
+    facts = {int(r.cell): (-(-r.n // tile), r.n, r.g or 0) for r in cells} or {0: (1, 0, 0)}
+    known = lambda k: F.create_map(*[F.lit(x) for c, f in facts.items() for x in (c, int(f[k]))])
+    many, size, came = known(0), known(1), known(2)
     own = F.pmod(F.xxhash64("cls"), many[F.col("cell")]).cast("int")
     placed = placed.withColumn("own", own)
-    home = placed.select("cls", "n", "dim", "v", "cell", F.col("own").alias("tile"), F.lit(0).alias("visitor"))
-    within = (placed.where("own > 0").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
-              .select("cls", "n", "dim", "v", "cell", "tile", F.lit(1).alias("visitor")))
-    across = (placed.withColumn("to", F.explode("visits")).withColumn("tile", F.explode(F.sequence(F.lit(0), many[F.col("to")] - 1)))
-              .select("cls", "n", "dim", "v", F.col("to").alias("cell"), "tile", F.lit(1).alias("visitor")))
+
+    def parts(cell: Column, k: Column) -> Column:
+        """Tasks for a tile: its visitors are those of the cell and the cell's later tiles."""
+        within = size[cell] * (many[cell] - 1 - k) / many[cell]
+        return F.greatest(F.lit(1), F.ceil((came[cell] + within) / (visitors * tile))).cast("int")
+
+    take = lambda rows, cell, visitor, part: rows.select("cls", "n", "dim", "v", cell.alias("cell"), "tile", F.lit(visitor).alias("visitor"), part.alias("part"))
+    in_part = lambda cell: F.pmod(F.xxhash64("cls", F.lit(1)), parts(cell, F.col("tile"))).cast("int")
+    here, there = F.col("cell"), F.col("to")
+    home = take(placed.withColumn("tile", F.col("own")).withColumn("part", F.explode(F.sequence(F.lit(0), parts(here, F.col("own")) - 1))), here, 0, F.col("part"))
+    within = take(placed.where("own > 0").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("own") - 1))), here, 1, in_part(here))
+    across = take(placed.withColumn("to", F.explode("visits")).withColumn("tile", F.explode(F.sequence(F.lit(0), many[F.col("to")] - 1))),
+                  there, 1, in_part(there))
     found = materialize(_tiles(home.unionByName(within).unionByName(across), threshold), "vec-links")
     comp = components(found.where("b is not null").select("a", "b"))
     links = found.where("links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("linked"))

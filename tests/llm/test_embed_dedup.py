@@ -42,6 +42,25 @@ def run(spark, rows, **k):
     return sorted((r.vec_id, r.n_links, r.component_id) for r in out)
 
 
+DOUBLES = T.StructType([SCHEMA["vec_id"], T.StructField("embedding", T.ArrayType(T.DoubleType())), *SCHEMA.fields[2:]])
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1e308, -1e308]), (6, [1.0, -1.0]), (7, [1e300, 1e-300])]
+    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], DOUBLES).selectExpr("*", "vec_id AS cls", "label AS cell", "label AS tile", "v AS low")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicate_vectors(df).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+@pytest.mark.parametrize("visitors", [0.1, 1.0])
+def test_visitors_of_a_tile_are_dealt_over_tasks(spark, visitors):
+    """A dense cell: most vectors visit its tiles, several tasks hold each of them."""
+    rng = np.random.default_rng(12)
+    vecs = [np.ones(8) + rng.normal(size=8) * 0.35 for _ in range(260)] + list(rng.normal(size=(40, 8)))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vecs)]
+    assert run(spark, rows, cell=60, tile=30, visitors=visitors) == brute(rows)
+
+
 @pytest.mark.parametrize("cell,tile", [(2048, 4096), (40, 25), (10**6, 50)])
 def test_clusters_copies_and_odd_vectors(spark, cell, tile):
     rng = np.random.default_rng(5)
