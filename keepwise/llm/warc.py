@@ -36,6 +36,7 @@ from keepwise.llm.common import materialize
 FRAME = 1 << 20
 LEVEL = 3
 MIN_REVISIT = 100
+TASK_BYTES = 16 << 20     # packed bytes of frames that a task reads
 #: Fixed values of the skippable frame that holds the seek table.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -197,6 +198,11 @@ def read_archive(index: DataFrame) -> DataFrame:
     """
     work = (index.groupBy("file", "frame", "frame_start", "frame_bytes")
             .agg(F.collect_list(F.struct("offset", "length")).alias("places")))   # bounded by the frame size
+    # dealt by what the frames hold: a shuffle sees only the few bytes of their index rows
+    total = work.agg(F.sum("frame_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(total["n"], max(cores, -(-int(total["b"] or 0) // TASK_BYTES))))
+    work = work.repartition(tasks, "file", "frame")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
