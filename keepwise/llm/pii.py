@@ -24,6 +24,10 @@ aggregated to distinct (pattern, instance) edges before anything is joined to it
 the joined tables are written ones, so that a pattern like a frequent word is split
 by AQE.
 
+A long text is searched in pieces, cut before a blank whose neighbour no mention can
+contain, each with a margin of ``REACH`` characters for contexts, so that the work grows
+with the length of a text (but for stretches without such a blank).
+
 Edge cases: null or empty text has no spans; rows repeated are judged one by one,
 and a null doc_id like any other; an empty table gives an empty result; extra
 columns are not read by ``personal_data`` and are kept by ``masked``.
@@ -51,7 +55,12 @@ WORD = (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*(?:@|\(at\)|[A-Za-z0-9]\.[A-Z
         r"[^\x20\x09-\x0D]+")
 #: Mentions that are no seeds: digit runs; what is left of runs cut at base spans or blanks; words.
 RUN, CUT, TOKEN = -1, -2, -3
-MIN_DIGITS, REACH = 7, 64
+MIN_DIGITS = 7
+#: Characters looked at on either side of a mention for its context: a longer word counts by its nearer part.
+REACH = 64
+#: Texts are taken apart into pieces of about so many characters, at blanks that no mention can contain.
+PIECE = 16_384
+_PIECES = rf"(?s).{{{PIECE}}}.*?[^0-9().\x20+-](?=[\x20\x09-\x0D])|.+"
 ROUNDS, MIN_SEEDS, SMOOTH, MIN_PATTERN, ACCEPT = 3, 5, 2.0, 0.6, 0.9
 _FOUND = "array<struct<m:string,s:int,e:int>>"
 
@@ -119,10 +128,23 @@ def _context(text: Column, s: Column, e: Column) -> tuple[Column, Column]:
             same(F.regexp_extract(after, rf"^[\x20\x09-\x0D]*({word})", 1)))
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """row, doc_id, key and per piece of the text: piece (its number), at (where it starts), t, left and right margin."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = F.when(F.length(text) > PIECE, F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))).otherwise(F.array(text))
+    each = lambda p: F.transform(p, lambda x, i: F.struct(
+        x.alias("t"), F.when(i > 0, F.right(F.get(p, i - 1), F.lit(REACH))).otherwise("").alias("before"),
+        F.coalesce(F.left(F.get(p, i + 1), F.lit(REACH)), F.lit("")).alias("after"),
+        F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)).alias("at")))
+    # numbered before the pieces are rows of their own
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"),
+                           F.xxhash64(F.col("text").cast("string")).alias("key"), let(cut, each).alias("pieces"))
+    return numbered.select("row", "doc_id", "key", F.posexplode("pieces").alias("piece", "p")).select("row", "doc_id", "key", "piece", "p.*")
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """row, doc_id, key, base spans and the other digit runs, each with its context; no texts."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    start = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("key"), text.alias("t"))
+    start = _pieces(docs)
 
     def others(base: Column) -> Column:
         runs = F.when(F.col("t").rlike(NUMBER), find(F.col("t"), NUMBER)).otherwise(F.array().cast(_FOUND))
@@ -155,13 +177,17 @@ def mentions(docs: DataFrame) -> DataFrame:
         return let(hidden, among)
 
     def in_context(x: Column) -> Column:
-        left, right = _context(F.col("t"), x["s"], x["e"])
-        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["instance"].alias("instance"),
+        edge = F.length("before")
+        left, right = _context(F.concat("before", "t", "after"), x["s"] + edge, x["e"] + edge)
+        return F.struct(x["kind"].alias("kind"), (x["s"] + F.col("at")).alias("s"), (x["e"] + F.col("at")).alias("e"), x["instance"].alias("instance"),
                         left.alias("left"), right.alias("right"))
 
     found = let(base_spans(F.col("t")), lambda b: let(others(b), lambda o: F.concat(b, o, cuts(b, o))))
-    return (start.select("doc_id", "key", F.transform(found, in_context).alias("mentions"))
-            .withColumn("row", F.monotonically_increasing_id()))
+    parts = start.select("row", "doc_id", "key", "piece", F.transform(found, in_context).alias("mentions"))
+    # pieces of one text come together again; as many as its length needs
+    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"),
+                                     F.sort_array(F.collect_list(F.struct("piece", "mentions"))).alias("all"))
+    return whole.select("row", "doc_id", "key", F.flatten("all.mentions").alias("mentions"))
 
 
 def accepted_instances(each: DataFrame) -> DataFrame:
@@ -178,11 +204,11 @@ def accepted_instances(each: DataFrame) -> DataFrame:
         weight = (edges.join(score, "instance").groupBy("pattern", "k")
                   .agg(F.sum("score").alias("w"), F.sum(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("borne")))
         patterns = materialize(weight.join(size, "pattern").where(F.col("borne") >= MIN_SEEDS)
-                               .select("pattern", "k", (F.col("w") / (F.col("n") + SMOOTH)).alias("p"))
+                               .select("pattern", "k", F.round(F.col("w") / (F.col("n") + SMOOTH), 9).alias("p"))
                                .where(F.col("p") >= MIN_PATTERN), "pii-patterns")
         unseen = edges.join(seeds.where("seed < 0").select("instance"), "instance").select("pattern", "instance")
         guessed = (unseen.join(patterns, "pattern").groupBy("instance", "k")
-                   .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12)))))).alias("score")))
+                   .agg(F.round(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-12))))), 9).alias("score")))
         known = seeds.where("seed >= 0").select("instance", F.col("seed").alias("k"), F.lit(1.0).alias("score"))
         score = materialize(known.unionByName(guessed), "pii-scores")
     top = score.groupBy("instance").agg(F.max(F.struct("score", "k")).alias("b")).select("instance", "b.score", F.col("b.k").alias("kind"))
@@ -207,7 +233,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
     keyed = F.struct("late", "s", (-F.col("e")).alias("till"), "kind")
     more = (runs.unionByName(late).groupBy("row").agg(F.collect_list(keyed).alias("more"))   # spans of one text
             .select("row", chosen.alias("more")))
-    base = F.transform(F.filter("mentions", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    base = F.sort_array(F.transform(F.filter("mentions", lambda x: x["kind"] >= 0),       # pieces each have theirs in order
+                                    lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
     return (rows.select("row", "doc_id", "key", base.alias("base")).join(materialize(more, "pii-more"), "row", "left")
             .select("row", "doc_id", "key", "base", F.sort_array(F.concat("base", F.coalesce(
                 "more", F.array().cast("array<struct<kind:int,s:int,e:int>>")))).alias("spans")))

@@ -164,3 +164,29 @@ def test_masking_and_odd_rows(spark, make_docs):
     assert got == sorted([(1, "write [EMAIL] or [CARD]!", 24), (1, "write [EMAIL] or [CARD]!", 24), (-1, "x [IP]", 6), (2, "", None),
                           (3, "nothing here", 12), (4, "[PHONE]", 7)])
     assert P.personal_data(make_docs([])).count() == 0 and P.masked(make_docs([])).count() == 0
+
+
+def test_pieces_of_long_texts(spark, make_docs, monkeypatch):
+    """Cut into short pieces, texts give what they give whole."""
+    rng = random.Random(4)
+    bits = ["mail jane.doe@site.org now", "call +44 (0) 20 7946-0958", "from 10.0.0.1, 212 555 0003", "card 4111 1111 1111 1111 ok", "plain words here\n", "a.b c1 d(at)e",
+            "x" * 90, "1 2 3 4 5 6 7 8 9", "tel. +1-202-555-0172"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))), "en", "s") for i in range(40)] + [(90, None, "en", "s"), (91, "", "en", "s")]
+    docs = make_docs(rows)
+    whole = sorted(map(tuple, P.personal_data(docs).collect()))
+    monkeypatch.setattr(P, "PIECE", 90)
+    monkeypatch.setattr(P, "_PIECES", P._PIECES.replace("{16384}", "{90}"))
+    assert sorted(map(tuple, P.personal_data(docs).collect())) == whole
+
+
+def test_time_grows_with_the_spans_of_a_text(spark, make_docs):
+    import time
+
+    def took(n):
+        docs = make_docs([(1, " ".join(f"user{i}@site{i % 7}.org wrote" for i in range(n)), "en", "s")])
+        t = time.perf_counter()
+        assert P.personal_data(docs).first().n_email == n
+        return time.perf_counter() - t
+
+    fixed = min(took(10) for _ in range(2))
+    assert took(16_000) - fixed < 4 * max(2.5, took(8_000) - fixed)      # four times for twice the text would be quadratic
