@@ -88,6 +88,6 @@ def op12(spark, sf_dir):
     return rendezvous.sharded(read_table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
 
 
-@query("op13_deepening_repair")
+@query("op13_deepening_repair", sql.CONVERSATION_REPAIR)
 def op13(spark, sf_dir):
     return conversation_repair.repair_conversations(read_table(spark, sf_dir, "conversations"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from keepwise.llm import conversation_edits as E
 from keepwise.llm import quality_rules as Q
 from keepwise.llm import rendezvous as R
 from keepwise.llm import url_reputation as U
@@ -157,3 +158,57 @@ SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc32_sql('t')} AS text_c
 
 
 RENDEZVOUS = _rendezvous()
+
+
+def _conversation_repair() -> str:
+    """The cheapest edits from the end of a conversation backwards: per row and state the best of up to two
+    inserted turns and the row's edit before what is best after it. Nothing is searched, so it says what the
+    search has to find."""
+    step, states = [], range(4)
+    for s in states:
+        at, lines = s, []
+        for k in range(3):
+            head = f"({s}, '{'I' * k}', {k * E.INSERT}, [{', '.join(repr(x) for x in lines)}]::VARCHAR[]"
+            step.append(f"{head}, 'D', '', '', {at})")
+            step += [f"{head}, 'K', '{i}', '', {to})" for i, to in E.NEXT[at].items()]
+            step.append(f"{head}, 'R', '', '{E.ROLE[at]}', {E.TURN[at]})")
+            lines, at = [*lines, E.ROLE[at] + ":"], E.TURN[at]
+    key = crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    pairs = ", ".join(f"'{x}'" for x in sorted(E.LEGAL_PAIRS))
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} % 20 AS d,
+                  dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM conversations),
+    hurt AS (SELECT c, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                    unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw WHERE d <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+                      right(rtrim(text, {space}), 1) AS e, left(role, 1) AS init FROM hurt),
+    told AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                            WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                    lag(init) OVER (PARTITION BY c ORDER BY pos) AS prior FROM placed),
+    facts AS (SELECT c, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+                     count_if(prior IS NOT NULL AND prior || init NOT IN ({pairs})) AS illegal FROM told GROUP BY c),
+    step(s, ins, ins_cost, ins_lines, edit, init, role, s2) AS (VALUES {', '.join(step)}),
+    best AS (
+        SELECT c, n AS pos, s, x AS b FROM facts, (VALUES ({E.START}, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}}),
+            ({E.SYSTEM}, {{'cost': 4, 'audit': 'II', 'lines': ['user:', 'assistant:']}}), ({E.USER}, {{'cost': 2, 'audit': 'I', 'lines': ['assistant:']}}),
+            ({E.ASSISTANT}, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}})) v(s, x)
+        UNION ALL
+        SELECT c, pos - 1, s, min(b) FROM (
+            SELECT best.c, best.pos, t.s, {{'cost': t.ins_cost + CASE t.edit WHEN 'D' THEN {E.DELETE} WHEN 'R' THEN {E.REROLE} ELSE 0 END
+                                             + CASE WHEN t.edit <> 'D' AND r.fault = 'truncated' THEN {E.SHORT} ELSE 0 END + best.b.cost,
+                                           'audit': t.ins || t.edit || best.b.audit,
+                                           'lines': list_concat(list_concat(t.ins_lines, CASE t.edit WHEN 'D' THEN []::VARCHAR[]
+                                               WHEN 'K' THEN [r.role || ':' || r.text] ELSE [t.role || ':' || r.text] END), best.b.lines)}} AS b
+            FROM best JOIN told r ON r.c = best.c AND r.pos = best.pos JOIN step t ON t.s2 = best.s
+                 AND (t.edit = 'D' OR (r.fault NOT IN ('blank', 'duplicate') AND (t.edit = 'R' OR t.init = r.init)))) GROUP BY c, pos, s),
+    found AS (SELECT c, b FROM best WHERE pos = 0 AND s = {E.START})
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(found.b.cost, 0) AS BIGINT) AS cost,
+       coalesce(found.b.audit, '') AS audit, sha256(coalesce(array_to_string(found.b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM raw) k LEFT JOIN facts ON facts.c = k.c LEFT JOIN found ON found.c = k.c"""
+
+
+CONVERSATION_REPAIR = _conversation_repair()

@@ -87,6 +87,71 @@ def test_slots_use_every_block_before_any_again(spark, make_docs):
         assert sum(counts) == p.n_slots and max(counts) - min(counts) <= 1 and set(use[p.sid]) <= set(range(p.n_blocks))
 
 
+def plain_permuted(pos, n, key):
+    """One place of the permutation, number by number."""
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    while True:
+        a, b = pos >> half, pos % 2**half
+        for k in range(4):
+            a, b = b, a ^ mix((b + mix((key + k + 1) % 2**64)) % 2**64) % 2**half
+        pos = a * 2**half + b
+        if pos < n:
+            return pos
+
+
+def test_taken_words_against_plain_python(spark):
+    """Blocks, slots and permutations recomputed one by one; how slots fall into shards does not change what is taken."""
+    docs = sorted((r.doc_id, r.source, len((r.text or "").encode().split())) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect())
+    size = Counter()
+    for _, s, n in docs:
+        size[s] += n
+    want = targets(size)
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    taken = {}
+    for sid, s in enumerate(sorted(size, key=lambda s: [ord(c) for c in s])):
+        n = -(-size[s] // M.BLOCK)
+        use = Counter(plain_permuted(j % n, n, mix((sid * 1_000_003 + j // n + M.SEED) % 2**64)) for j in range(round(want[s] * n / size[s])))
+        at = 0
+        for i, source, words in docs:
+            if source == s:
+                taken[i] = sum(use[w // M.BLOCK] for w in range(at, at + words))
+                at += words
+    assert {r.doc_id: r.taken for r in M.mix_documents(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()} == taken
+
+
+def test_draws_of_ranges_fit_together(monkeypatch):
+    """Every range of shards is drawn on its own, and together they hold every slot once."""
+    monkeypatch.setattr(M, "RANGE", 4)
+    for n_shards, slots in ((1, 100), (4, 0), (37, 5000), (64, 123_457)):
+        at = 0
+        per = []
+        for first in range(0, n_shards, 4):
+            before, counts = M._range_counts(7, 3, slots, n_shards, first)
+            assert before == at and len(counts) == min(4, n_shards - first)
+            at += int(counts.sum())
+            per += counts.tolist()
+        assert at == slots
+    mean = slots / n_shards
+    assert all(abs(c - mean) < 7 * mean**0.5 for c in per)
+
+
+def test_a_very_long_document(spark, make_docs):
+    docs = make_docs([(1, "long " * 400_000, "en", "a"), (2, "x y z", "en", "a"), (3, "p " * 70, "en", "b")])
+    out = {r.doc_id: r for r in M.mix_documents(docs).collect()}
+    assert out[1].size == 400_000 and 0 < out[1].taken <= 800_000 and sum(r.taken for r in out.values()) > 500_000
+    assert sum(len(r.text.split()) for r in M.mixed_rows(docs).collect()) == sum(r.taken for r in out.values())
+
+
 def test_empty(spark, make_docs):
     assert M.mix_documents(make_docs([])).count() == 0
     assert M.mixed_rows(make_docs([])).count() == 0

@@ -10,7 +10,9 @@ import pytest
 import corpus_pipeline
 from keepwise.llm import mixing, sql
 from keepwise.llm.common import materialize
+from keepwise.session import scratch_path
 from tests.conftest import SF_SMALL
+from tests.llm.conftest import LABELS
 from tests.llm.test_minhash_cps import brute
 from tests.llm.test_pii import extended
 from tests.llm.test_tokens import whole
@@ -102,3 +104,20 @@ def test_run_is_the_stages_in_order(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF_SMALL), "t")
     assert sum(r[2] for r in got) == sum(r.length for r in docs.collect()) > 0
+
+
+def test_nulls_extra_columns_and_empty_tables(spark, make_docs):
+    text = " ".join(f"word{i} of a plain clean document" for i in range(40))
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (None, text + " more of it", "fr", None), (2, None, None, None), (3, "", "en", "a"),
+            (4, " ".join(f"other{i} words for the second text" for i in range(60)), None, "b"), (None, None, None, None)]
+    folder = scratch_path(spark, "sf")
+    spark.createDataFrame([], LABELS).write.parquet(f"{folder}/labels.parquet")
+    docs = make_docs(rows).selectExpr("*", "doc_id AS row", "text AS key", "lang AS shard", "source AS doc", "n_chars AS id", "lang AS new_text")
+    for name, stage in corpus_pipeline.STAGES:
+        last, docs = docs, materialize(stage(spark, docs, folder), "t")
+        assert name == "packing" or docs.columns == last.columns
+    assert docs.count() > 0
+    empty = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, empty, folder), "t")
+        assert empty.count() == 0
