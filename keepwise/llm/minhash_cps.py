@@ -56,6 +56,7 @@ _RNG = np.random.Generator(np.random.PCG64(40_1729))
 _KEY = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64)
 _ODD = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64) | np.uint64(1)
 BATCH = 512
+SIEVE = 1 << 27       # bits
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -66,6 +67,12 @@ def sketch_of(s: np.ndarray) -> bytes:
     return (low >> np.uint64(32)).astype("<u4").tobytes()
 
 
+def low_bytes(sketch: bytes) -> bytes:
+    """A byte of every coordinate: what members of a node are compared by. Equal coordinates
+    have equal bytes, so no resembling pair shows less agreement than by the whole values."""
+    return sketch[::4]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, fp_a, fp_b, sketch; the last three null without words."""
     def run(frames: Iterator[dict]) -> Iterator[dict]:
@@ -85,6 +92,19 @@ def _sketch_matrix(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u4").reshape(-1, COORDS)
 
 
+def _short_matrix(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, COORDS)
+
+
+def _shortened(classes: DataFrame) -> DataFrame:
+    """(cls, short): the classes' sketches as :func:`low_bytes`."""
+    def run(frames):
+        for rows in frames:
+            yield {"cls": rows["cls"], "short": [low_bytes(x) for x in rows["sketch"]]}
+
+    return materialize(map_columns(classes.select("cls", "sketch"), run, "cls long, short binary"), "cps-short")
+
+
 def _child(pick: np.ndarray, sketch: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Key of the child for the picked coordinates' values under a node hash."""
     value = sketch[np.arange(len(sketch)), pick].astype(np.uint64)
@@ -176,7 +196,7 @@ def _resembling(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     """Row pairs (i < j, every row at most once on each side) of the same block whose
     sketches agree often enough, and how often. The rows are sorted by block, so
     partners are compared at distance 1, 2, ..."""
-    group, m = _blocks(rows), _sketch_matrix(rows["sketch"])
+    group, m = _blocks(rows), _short_matrix(rows["short"])
     i = np.arange(len(m))
     for d in range(1, len(m)):
         i = i[i + d < len(m)]
@@ -207,9 +227,9 @@ class _Best:
         self.agree[rows[better]], self.cls[rows[better]] = agree[better], cls[better]
 
 
-def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """With sketches, blocks of one node next to each other, whole, in one task each."""
-    return (members.join(classes.select("cls", "sketch"), "cls")
+def _dealt(members: DataFrame, short: DataFrame) -> DataFrame:
+    """With short sketches, blocks of one node next to each other, whole, in one task each."""
+    return (members.join(short, "cls")
             .repartition("node", "block").sortWithinPartitions("node", "block", "cls"))
 
 
@@ -217,7 +237,7 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _closest(leaf: DataFrame, classes: DataFrame) -> DataFrame:
+def _closest(leaf: DataFrame, short: DataFrame) -> DataFrame:
     """(a, b): each class with the one it resembles most in any node, and with the
     smallest class of a large node it is in if it resembles that."""
     blocks = F.ceil(F.col("size") / NODE).cast("int")
@@ -242,7 +262,7 @@ def _closest(leaf: DataFrame, classes: DataFrame) -> DataFrame:
             hit = best.agree > 0
             yield {"a": cls[hit], "b": best.cls[hit], "agree": best.agree[hit]}
 
-    found = map_columns(_dealt(rows, classes), run, "a long, b long, agree long")
+    found = map_columns(_dealt(rows, short), run, "a long, b long, agree long")
     top = found.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("best"),
                                  F.min(F.when(F.col("agree") == 0, F.col("b"))).alias("lead"))
     both = top.select("a", F.explode(F.array("best", "lead")).alias("b")).where("b is not null")
@@ -302,7 +322,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _meeting(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs across components whose sketches agree often enough, each in the one pair of blocks it meets in."""
-    c, m, own = rows["component"], _sketch_matrix(rows["sketch"]), rows["own"]
+    c, m, own = rows["component"], _short_matrix(rows["short"]), rows["own"]
     if own.any():
         at = np.flatnonzero(own)
         for i, j, _ in _resembling(rows_of(rows, own)):
@@ -319,7 +339,7 @@ def _meeting(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield some[i], right[j]
 
 
-def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+def _closest_across(leaf: DataFrame, short: DataFrame, comp: DataFrame) -> DataFrame:
     """(a, b): per node, each class with the class of another component it resembles most."""
     def run(frames):
         for rows in whole_groups(frames, ["node", "block"]):
@@ -334,10 +354,10 @@ def _closest_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame) -> Dat
     blocks = F.ceil(F.col("size") / NODE).cast("int")   # the blocks of round 1
     rows = (_mixed(_placed(leaf, comp)).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
             .select("cls", "node", "block", "component"))
-    return materialize(_pairs(map_columns(_dealt(rows, classes), run, "a long, b long")), "cps-across")
+    return materialize(_pairs(map_columns(_dealt(rows, short), run, "a long, b long")), "cps-across")
 
 
-def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for) -> DataFrame:
+def _links_across(leaf: DataFrame, classes: DataFrame, short: DataFrame, comp: DataFrame, sets_for) -> DataFrame:
     """(a, b): links across components that meet in a node, as many as join them;
     ``sets_for`` gives the full sets of at least the classes (cls) it is asked for."""
     members = _block_pairs(_narrowed(_mixed(_placed(leaf, comp)), classes))
@@ -370,8 +390,8 @@ def _links_across(leaf: DataFrame, classes: DataFrame, comp: DataFrame, sets_for
             if links:
                 yield dict(zip(("a", "b"), zip(*links)))
 
-    schema = "cls long, node long, block long, component long, right boolean, own boolean, sketch binary"
-    rows = materialize(map_columns(_dealt(members, classes), needed, schema), "cps-needed")
+    schema = "cls long, node long, block long, component long, right boolean, own boolean, short binary"
+    rows = materialize(map_columns(_dealt(members, short), needed, schema), "cps-needed")
     dealt = rows.join(sets_for(rows.select("cls")), "cls").repartition("node", "block").sortWithinPartitions("node", "block", "cls")
     return materialize(_pairs(map_columns(dealt, confirm, "a long, b long")), "cps-links")
 
@@ -383,14 +403,31 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def _sifted(rows: DataFrame, wanted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``keys`` are not among ``names`` of ``wanted``.
+
+    One bit per hash of a wanted key, ``SIEVE`` bits in all: a broadcast of at most SIEVE / 8 bytes
+    however many are wanted (very many just leave little to sift). No wanted row is lost; the
+    join that follows takes out the rest. So texts nobody asked for are not shuffled."""
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
+    bits = wanted.select(place(names).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    at = F.bitmap_bit_position(place(keys))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(materialize(bits, "cps-sieve")), F.bitmap_bucket_number(place(keys)) == F.col("_bucket"))
+    return met.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, hashes): the full shingle sets of the wanted classes (cls, lead)."""
     def run(frames):
         for rows in frames:
             yield {"cls": rows["cls"], "hashes": [s.tobytes() for s in shingle_sets(rows["text"])]}
 
-    lead = wanted.select("cls", F.col("lead.doc_id").alias("lead_id"), F.col("lead.key").alias("lead_key"))
-    rows = _keyed(docs).join(lead, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key")))
+    lead = wanted.select("cls", F.coalesce("lead.doc_id", F.lit(0)).alias("lead_id"), F.col("lead.no_id").alias("lead_none"), F.col("lead.key").alias("lead_key"))
+    rows = _keyed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "key", "text")
+    rows = _sifted(rows, lead, ["id", "none", "key"], ["lead_id", "lead_none", "lead_key"])
+    rows = rows.join(lead, (F.col("id") == F.col("lead_id")) & (F.col("none") == F.col("lead_none")) & (F.col("key") == F.col("lead_key")))
     found = map_columns(rows.select("cls", "text"), run, "cls long, hashes binary", BATCH)
     return found.groupBy("cls").agg(F.first("hashes").alias("hashes"))   # a row may stand there more than once
 
@@ -427,16 +464,16 @@ def labelled(docs: DataFrame) -> DataFrame:
     classes = materialize(every.where("n_shingles > 0").withColumn("row", F.monotonically_increasing_id())
                           .groupBy("fp_a", "fp_b")
                           .agg(F.min("row").alias("cls"), F.min(lead).alias("lead"), F.min("sketch").alias("sketch")), "cps-classes")
-    leaf = leaves(classes)
-    pairs = _closest(leaf, classes)
+    leaf, short = leaves(classes), _shortened(classes)
+    pairs = _closest(leaf, short)
     # full sets of what resembled a class in round 1; a class whose partners are all in other
     # blocks of its nodes comes up only later, so every round adds the sets it asks for
     sets = materialize(_sets(docs, classes.join(_ends(pairs), "cls", "left_semi")), "cps-sets")
     comp = components(_confirm(pairs, sets))
-    across = _closest_across(leaf, classes, comp)
+    across = _closest_across(leaf, short, comp)
     sets = _with_sets(sets, docs, classes, _ends(across))
     comp = joined(comp, _confirm(across, sets))
-    comp = joined(comp, _links_across(leaf, classes, comp, lambda wanted: _with_sets(sets, docs, classes, wanted)))
+    comp = joined(comp, _links_across(leaf, classes, short, comp, lambda wanted: _with_sets(sets, docs, classes, wanted)))
     rooted = materialize(classes.drop("sketch").join(comp, F.col("cls") == F.col("id"), "left")
                          .select("fp_a", "fp_b", "lead", F.coalesce("component", "cls").alias("root")), "cps-rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "cps-heads")
@@ -454,9 +491,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of ``docs``."""
-    keep = labelled(docs).select(F.col("lead.doc_id").alias("lead_id"), F.col("lead.key").alias("lead_key")).distinct()
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
-                        F.xxhash64(F.col("text").cast("string")).alias("key"))
-    kept = whole.join(keep, F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key")), "left_semi")
-    return kept.dropDuplicates(["id", "key"]).select("row.*")
+    """One row of each component, with the columns of ``docs``.
+
+    Rows alike in id and text are reduced before the shuffle, and by the very columns that
+    meet the kept ones, none of them null: the texts move once."""
+    names = ["_id", "_none", "_key"]
+    key = lambda i, k: [F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_none"), k.alias("_key")]
+    keep = materialize(labelled(docs).select(*key(F.col("lead.doc_id"), F.col("lead.key"))).distinct(), "cps-keep")
+    whole = docs.select(F.struct("*").alias("row"), *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return whole.dropDuplicates(names).join(keep, names, "left_semi").select("row.*")
