@@ -107,9 +107,9 @@ def test_run_is_the_stages_in_order(spark, stages):
 
 
 def test_nulls_extra_columns_and_empty_tables(spark, make_docs):
-    text = " ".join(f"word{i} of a plain clean document" for i in range(40))
+    text = " ".join(f"word{i} stays{i} alone{i}" for i in range(40))
     rows = [(1, text, "en", "a"), (1, text, "en", "a"), (None, text + " more of it", "fr", None), (2, None, None, None), (3, "", "en", "a"),
-            (4, " ".join(f"other{i} words for the second text" for i in range(60)), None, "b"), (None, None, None, None)]
+            (4, " ".join(f"other{i} words{i} second{i}" for i in range(60)), None, "b"), (None, None, None, None)]
     folder = scratch_path(spark, "sf")
     spark.createDataFrame([], LABELS).write.parquet(f"{folder}/labels.parquet")
     docs = make_docs(rows).selectExpr("*", "doc_id AS row", "text AS key", "lang AS shard", "source AS doc", "n_chars AS id", "lang AS new_text")
