@@ -217,15 +217,13 @@ def scale_numeric(df: DataFrame, scaler: DataFrame, numeric: list[str] | None =
 
 
 def encode_onehot_long(df: DataFrame, onehot: DataFrame) -> DataFrame:
-    """``(id, feature, category, position)``: the cells of the encoded table that are 1.
-    A row has one per feature, none where its value was not seen at fit."""
+    """``(id, feature, category, value)`` for every fitted category, 1 or 0: an unseen
+    value gives 0.0 in every column of its feature."""
     feats = [r["feature"] for r in onehot.select("feature").distinct().collect()]
     long = df.select(ID_COL, *[F.col(c).cast("string").alias(c) for c in feats]).unpivot(
-        [ID_COL], feats, "feature", "category")
-    keyed = lambda t: t.withColumn("_none", F.col("category").isNull()).withColumn("_key", F.coalesce("category", F.lit("")))
-    seen = keyed(onehot).select("feature", "_key", "_none", "position")
-    return (keyed(long).join(seen, ["feature", "_key", "_none"])   # AQE broadcasts the fitted categories when small
-            .select(ID_COL, "feature", "category", "position"))
+        [ID_COL], feats, "feature", "_v")
+    return (long.join(onehot, "feature")   # AQE broadcasts the fitted categories when small
+            .select(ID_COL, "feature", "category", F.col("_v").eqNullSafe(F.col("category")).cast("double").alias("value")))
 
 
 def feature_names_table(enc: Encoder, spark) -> DataFrame:
