@@ -94,16 +94,16 @@ def q_encode_onehot(spark, sf):
 @query("assemble_features", O.w(ENC, " UNION ALL ".join(
     f"SELECT customerID, CAST({i} AS INTEGER) AS idx, round_even({_scaled(c)}, {DP}) AS value FROM tst" for i, c in enumerate(NUMERIC_FEATURES))
     + f""" UNION ALL
-SELECT lv.customerID, CAST(nm.idx AS INTEGER) AS idx, CAST(1 AS DOUBLE) AS value FROM (
+SELECT lv.customerID, CAST(nm.idx AS INTEGER) AS idx, CAST(coalesce(lv.val = nm.category, false) AS DOUBLE) AS value FROM (
   UNPIVOT (SELECT customerID, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in CATEGORICAL_FEATURES)} FROM tst)
   ON {', '.join(CATEGORICAL_FEATURES)} INTO NAME src VALUE val) lv
-JOIN (SELECT idx, src, category FROM names WHERE category IS NOT NULL) nm ON lv.src = nm.src AND lv.val = nm.category"""))
+JOIN (SELECT idx, src, category FROM names WHERE category IS NOT NULL) nm ON lv.src = nm.src"""))
 def q_assemble_features(spark, sf):
-    """The sparse rows, one line per index."""
+    """Every cell of the encoded table, zeros included, one line per index."""
     t = Tables(spark, sf)
     x = encode.SparseEncoder.fit(_train(t)).transform(_test(t))
-    cells = x.select(ID_COL, F.explode(F.arrays_zip("indices", "values")).alias("c"))
-    return cells.select(ID_COL, F.col("c.indices").alias("idx"), F.bround("c.values", DP).alias("value"))
+    cells = x.select(ID_COL, F.posexplode(encode.dense("size", "indices", "values")).alias("idx", "value"))
+    return cells.select(ID_COL, F.col("idx").cast("int").alias("idx"), F.bround("value", DP).alias("value"))
 
 
 @query("feature_names", O.w(ENC, "SELECT CAST(idx AS INTEGER) AS idx, name FROM names"))
