@@ -147,6 +147,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     return agg.select(*group_by, *[F.when(d(nm) == 0, lo(nm)).otherwise(lo(nm) + (hi(nm) - lo(nm)) * d(nm)).alias(nm) for nm in names])
 
 
+MAX_COUNT_ROWS = 1_000_000   # bucket counts that every task may hold
+
+
 def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str] | None = None,
               rank_col: str = "rn", size_col: str | None = None, digits: int = 4,
               then: list[str] | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
@@ -162,6 +165,10 @@ def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str]
     and, where one digest alone is that frequent, by row position: rows of one
     digest are a tie, so any order of its parts is exact. NULL groups and NULL ids
     are ranked too (all joins are NULL-safe).
+
+    The rows are ranked in their buckets before they meet the counts, which come from
+    one window without a group: rows broadcast to that side would all be sorted by its
+    one task.
     """
     partition_by = list(partition_by or [])
     keys = [*partition_by, "_b", "_part"]
@@ -173,16 +180,17 @@ def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str]
     def beside(rows: DataFrame, table: DataFrame, columns: list[str], how: str = "inner", small: bool = False) -> DataFrame:
         table = table.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], *columns)
         same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
-        return rows.join(F.broadcast(table) if small else table, same, how).drop(*[f"_o{i}" for i in range(len(keys))])
+        return rows.join(F.broadcast(table) if small else table.hint("merge"), same, how).drop(*[f"_o{i}" for i in range(len(keys))])
 
+    counts = materialize(sizes(b), "hash-sizes")      # a row per bucket
     for step, length in enumerate((2 * digits, 32, None)):
-        over = sizes(b).where(F.col("_c") > bucket_rows)
+        over = counts.where(F.col("_c") > bucket_rows)
         if over.isEmpty():
             break
         if step == 0:       # row positions have to stay the same from here on
             b = materialize(b.withColumn("_row", F.monotonically_increasing_id()), "hash-rank")
         # a row per bucket_rows rows at most
-        b = beside(b, materialize(over, "overfull"), ["_c"], "left", small=True)
+        b = beside(b, over, ["_c"], "left", small=True)
         full = F.col("_c").isNotNull()
         if length:
             b = b.withColumn("_b", F.when(full, F.substring(F.col(hash_col), 1, length)).otherwise(F.col("_b")))
@@ -190,14 +198,15 @@ def hash_rank(df: DataFrame, hash_col: str, id_col: str, partition_by: list[str]
             share = F.pmod(F.xxhash64("_row"), F.ceil(F.col("_c") / bucket_rows)).cast("int")
             b = b.withColumn("_part", F.when(full, share).otherwise(F.col("_part")))
         b = b.drop("_c")
+        counts = materialize(sizes(b), "hash-sizes")
 
-    counts = sizes(b)
     before = Window.partitionBy(*partition_by).orderBy("_b", "_part").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*partition_by)).alias("_gn"))
     within = Window.partitionBy(*keys).orderBy(F.col(hash_col).asc(), F.col(id_col).asc(), *[F.col(c).asc() for c in then or []])
-    out = (beside(b, offs, ["_off", "_gn"])   # AQE broadcasts the count table when small
-           .withColumn(rank_col, F.col("_off") + F.row_number().over(within)))
+    ranked = b.withColumn("_in", F.row_number().over(within))
+    out = (beside(ranked, offs, ["_off", "_gn"], small=counts.count() <= MAX_COUNT_ROWS)
+           .withColumn(rank_col, F.col("_off") + F.col("_in")))
     if size_col:
         out = out.withColumnRenamed("_gn", size_col)
-    return out.drop("_b", "_part", "_row", "_off", "_gn")
+    return out.drop("_b", "_part", "_row", "_in", "_off", "_gn")

@@ -200,3 +200,23 @@ def test_hash_rank_splits_a_hot_id(spark):
     assert "SinglePartition" not in plan.split("Window")[0]
     sizes = {r.split: r["count"] for r in stratified_split(df.withColumn("k", F.col("k"))).groupBy("split").count().collect()}
     assert sizes == {"train": 8400, "validation": 1800, "test": 1800}
+
+
+@pytest.mark.parametrize("group", [[], ["y"]])
+def test_hash_rank_never_broadcasts_its_rows(spark, group):
+    """The written design is small enough to be broadcast to its bucket counts, which lie in one task:
+    there all rows were sorted."""
+    from keepwise.operators import rank
+
+    t = Tables(spark, SF_MID)
+    rows = _design(t, _encoder(t)).withColumn("_h", F.md5(F.concat(F.lit("42|"), F.col("customerID"))))
+    out = rank.hash_rank(rows, "_h", "customerID", partition_by=group, size_col="_n")
+    got = out.select("y", "_h", "rn", "_n", "features").collect()
+    for y in ((0, 1) if group else (None,)):
+        mine = [r for r in sorted(got, key=lambda r: r.rn) if y in (None, r.y)]
+        assert [r.rn for r in mine] == list(range(1, len(mine) + 1)) and {r._n for r in mine} == {len(mine)}
+        assert [r._h for r in mine] == sorted(r._h for r in mine)
+    shown = out.select("y", "_h", "rn", "_n", "features")
+    shown.collect()
+    final = shown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BuildLeft" not in final
