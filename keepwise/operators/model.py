@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,7 +234,8 @@ def _numbered(design: DataFrame, label: str, split_col: str, seed: int, worker_r
         raise ValueError("no rows to train on")
     workers = max(1, -(-int(first["_n"]) // worker_rows))
     dealt = ranked.select((F.col("i") % workers).alias("worker"), "i", "x", "y", "w", "is_train")
-    return dealt.repartition(workers, "worker"), workers, int(first["d"])
+    # a worker is a task of its own: hashed numbers would put several behind one another
+    return dealt.repartitionById(workers, F.col("worker").cast("int")), workers, int(first["d"])
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -246,10 +248,9 @@ def _in_order(parts: DataFrame, workers: int) -> np.ndarray:
         return np.array(parts.first()["part"])
     each = parts.select("worker", F.posexplode("part").alias("k", "v")).groupBy("k").agg(
         F.sort_array(F.collect_list(F.struct("worker", "v"))).alias("vs"))      # a value per worker
-    rows = each.select("k", F.aggregate("vs", F.lit(0.0), lambda a, x: a + x["v"]).alias("v")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["k"]] = r["v"]
+    rows = each.select("k", F.aggregate("vs", F.lit(0.0), lambda a, x: a + x["v"]).alias("v")).toArrow()
+    out = np.zeros(rows.num_rows)
+    out[rows.column("k").to_numpy()] = rows.column("v").to_numpy()
     return out
 
 
@@ -296,8 +297,13 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
     for job in range(first, epochs + 2):
         theta0, m0, v0, t0 = theta, m, v, steps
 
-        def run(table):       # shipped at once, so that it sees this epoch's state
-            worker = table.column("worker")[0].as_py()
+        def run(batches):     # shipped at once, so that it sees this epoch's state
+            here = list(batches)
+            table = pa.Table.from_batches(here) if here else None
+            for worker in sorted(table.column("worker").unique().to_pylist()) if here else []:      # one, as they are dealt
+                yield from train(worker, table.filter(pc.equal(table.column("worker"), worker))).to_batches()
+
+        def train(worker, table):
             order = np.argsort(table.column("i").to_numpy(), kind="stable")
             X, y, w, tr, i = (c[order] for c in (_matrix(table.column("x"), d), *(table.column(n).to_numpy() for n in ("y", "w", "is_train", "i"))))
             here = MLPParams.unflat(theta0, shapes, dropout)
@@ -311,11 +317,13 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
             else:
                 th, mm, vv, t = theta0, m0, v0, t0
                 shuffle = np.argsort(_mix(i.astype(np.uint64) + _mix(np.array([seed * 1_000_003 + job], dtype=np.uint64))), kind="stable")
+                th = th.copy()
+                net = MLPParams.unflat(th, shapes, dropout)      # views of the weights
                 for b in range(0, len(y), batch_size):
                     sel = shuffle[b:b + batch_size]
-                    g, loss, right = _grad_sums(MLPParams.unflat(th, shapes, dropout), X[sel], y[sel], w[sel], rng)
+                    g, loss, right = _grad_sums(net, X[sel], y[sel], w[sel], rng)
                     t += 1
-                    th, mm, vv = _adam(th, mm, vv, g / len(sel), t, lr, beta1, beta2)
+                    th[:], mm, vv = _adam(th, mm, vv, g / len(sel), t, lr, beta1, beta2)
                     tail[0] += loss
                     tail[4] += right
                 tail[3] = float(t - t0) * len(y)
@@ -323,7 +331,7 @@ def train_mlp(design: DataFrame, label: str = "y", split_col: str = "split", hid
             return pa.table({"worker": pa.array([worker], pa.int64()),
                              "part": pa.array([np.concatenate([body, tail])], pa.list_(pa.float64()))})
 
-        vec = _in_order(data.groupBy("worker").applyInArrow(run, "worker LONG, part ARRAY<DOUBLE>"), workers)
+        vec = _in_order(data.mapInArrow(run, "worker LONG, part ARRAY<DOUBLE>"), workers)
         loss_sum, val_sum, rows, stepped, right, val_right = vec[-6:]
         loss, val_loss = loss_sum / max(1, n_train), val_sum / max(1, n_val)
         if not np.isfinite(loss) or not np.isfinite(val_loss):

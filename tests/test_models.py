@@ -220,3 +220,11 @@ def test_hash_rank_never_broadcasts_its_rows(spark, group):
     shown.collect()
     final = shown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BuildLeft" not in final
+
+
+def test_every_worker_is_a_task_of_its_own(spark):
+    t = Tables(spark, SF_MID)
+    dealt, workers, _ = model._numbered(_design(t, _encoder(t)), "y", "split", 42, worker_rows=160)
+    where = dealt.groupBy("worker", F.spark_partition_id().alias("p")).count().collect()
+    assert workers == 8 and len(where) == 8
+    assert len({r["p"] for r in where}) == 8 and max(r["count"] for r in where) <= 160
