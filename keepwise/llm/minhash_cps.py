@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from keepwise.llm.common import map_columns, materialize, rows_of, whole_groups
 from keepwise.llm.graph import components, joined
 from keepwise.llm.shingles import fingerprint, intersection, mix, shingle_sets
+from keepwise.llm.sieve import SIEVE, Sieve
 
 COORDS = 64
 TREES, NODE = 6, 128
@@ -56,7 +57,6 @@ _RNG = np.random.Generator(np.random.PCG64(40_1729))
 _KEY = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64)
 _ODD = _RNG.integers(1, 2**64 - 1, COORDS, dtype=np.uint64) | np.uint64(1)
 BATCH = 512
-SIEVE = 1 << 27       # bits
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -404,18 +404,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sifted(rows: DataFrame, wanted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """``rows`` without most of those whose ``keys`` are not among ``names`` of ``wanted``.
-
-    One bit per hash of a wanted key, ``SIEVE`` bits in all: a broadcast of at most SIEVE / 8 bytes
-    however many are wanted (very many just leave little to sift). No wanted row is lost; the
-    join that follows takes out the rest. So texts nobody asked for are not shuffled."""
-    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(SIEVE))
-    bits = wanted.select(place(names).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    at = F.bitmap_bit_position(place(keys))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = rows.join(F.broadcast(materialize(bits, "cps-sieve")), F.bitmap_bucket_number(place(keys)) == F.col("_bucket"))
-    return met.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(*rows.columns)
+    """``rows`` without most of those whose ``keys`` are not among ``names`` of ``wanted``: no wanted
+    row is lost, and the join that follows takes out the rest. So texts nobody asked for are not shuffled."""
+    return Sieve(wanted, names, SIEVE).marked(rows, keys, "_hit").where("_hit").drop("_hit")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -493,10 +484,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``.
 
-    Rows alike in id and text are reduced before the shuffle, and by the very columns that
-    meet the kept ones, none of them null: the texts move once."""
+    Texts do not move for it: a row that stays and has no other alike in id and text is told by
+    a sieve of all other keys. What that holds back and the kept keys may have is settled exactly:
+    rows alike are reduced before the shuffle, by the very columns that meet the kept ones, none null."""
     names = ["_id", "_none", "_key"]
     key = lambda i, k: [F.coalesce(i, F.lit(0)).alias("_id"), i.isNull().alias("_none"), k.alias("_key")]
-    keep = materialize(labelled(docs).select(*key(F.col("lead.doc_id"), F.col("lead.key"))).distinct(), "cps-keep")
+    stays = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.key") == F.col("key"))
+    keys = materialize(labelled(docs).select(*key(F.col("doc_id"), F.col("key")), stays.alias("stays")).groupBy(*names)
+                       .agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "cps-keep")
+    keep, others = keys.where("stays").select(*names), keys.where("NOT stays OR n > 1")
     whole = docs.select(F.struct("*").alias("row"), *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    return whole.dropDuplicates(names).join(keep, names, "left_semi").select("row.*")
+    marked = Sieve(others, names).marked(whole, names, "_other")
+    held = Sieve(keep, names).marked(marked.where("_other"), names, "_kept").where("_kept")
+    one = held.select("row", *names).dropDuplicates(names).join(keep, names, "left_semi")
+    return marked.where("NOT _other").select("row.*").unionByName(one.select("row.*"))

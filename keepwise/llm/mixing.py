@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from keepwise.llm.common import let, map_columns, materialize, words
 from keepwise.llm.shingles import mix
+from keepwise.llm.sieve import Sieve
 
 BLOCK, SHARD_SLOTS, SEED = 64, 4096, 20_24
 #: shards drawn together, and slots that a task fills
@@ -169,15 +170,14 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
                     F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("word_to")))
 
 
-def _prepared(docs: DataFrame, block: int, seed: int, targets: dict, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sizes = materialize(document_sizes(docs, row), "mix-sizes")
+def _prepared(sizes: DataFrame, block: int, seed: int, targets: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     plan = materialize(source_targets(sizes, block=block, **targets), "mix-plan")
     return plan, materialize(positions(sizes, plan), "mix-places"), drawn_slots(plan, seed=seed)
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **targets) -> DataFrame:
     """Per document: doc_id, size, source_size, target and the words the mix takes of it."""
-    plan, placed, slots = _prepared(docs, block, seed, targets)
+    plan, placed, slots = _prepared(materialize(document_sizes(docs), "mix-sizes"), block, seed, targets)
     # how often each block is used: all the join needs to know about the slots
     used = materialize(slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")), "mix-used")
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
@@ -194,15 +194,25 @@ def mixed_rows(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **targets)
     with the columns of ``docs``; ``text`` holds the words taken (the text as it
     was where all are), ``n_chars`` their length.
 
-    The documents are written once with a row number, so that texts and runs meet by
-    a unique key: the texts are shuffled once, and no repeated row makes a hot key."""
-    whole = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
-    kept = whole.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source"))
-    _, placed, slots = _prepared(kept, block, seed, targets, "row")
-    runs = (pieces(placed, slots, block).groupBy("row", "turn")
+    Texts and runs meet by id, hash of the text and a row number, so the texts are shuffled
+    once. The number is 0 where id and text name a single row; rows that a sieve of the repeated
+    ones holds back are written once with numbers, and no repeated row makes a hot key."""
+    names = ["doc_id", "key"]
+    sizes = materialize(document_sizes(docs), "mix-sizes")
+    repeated = Sieve(materialize(sizes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "mix-repeated"), names)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    marked = repeated.marked(rows, names, "many")
+    many = materialize(marked.where("many").withColumn("row", F.monotonically_increasing_id() + 1).drop("many"), "mix-rows")
+    whole = marked.where("NOT many").drop("many").withColumn("row", F.lit(0).cast("long")).unionByName(many)
+    numbered = document_sizes(many.select("row", "doc_id", F.col("doc.text").alias("text"), F.col("doc.source").alias("source")), "row")
+    single = repeated.marked(sizes, names, "many").where("NOT many").drop("many").withColumn("row", F.lit(0).cast("long"))
+    _, placed, slots = _prepared(materialize(single.unionByName(numbered), "mix-numbered"), block, seed, targets)
+    runs = (pieces(placed, slots, block).groupBy(*names, "row", "turn")
             .agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"),   # at most words / block + 2
                  F.sum(F.col("word_to") - F.col("word_from")).alias("taken")))
-    met = whole.join(runs.hint("merge"), "row")
+    by = lambda x: [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("key").alias("_key"),
+                    F.col("row").alias("_row"), *x]
+    met = whole.select(by(["doc"])).join(runs.select(by(["turn", "runs", "taken"])).hint("merge"), ["_id", "_none", "_key", "_row"])
     cut = let(words(F.col("doc.text").cast("string")), lambda w: F.when(F.col("taken") < F.size(w), F.array_join(F.transform(
         "runs", lambda x: F.array_join(F.slice(w, x["word_from"].cast("int") + 1, (x["word_to"] - x["word_from"]).cast("int")), " ")), " ")))
     new = met.withColumn("new_text", F.coalesce(cut, F.col("doc.text").cast("string")))

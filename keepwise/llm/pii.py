@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepwise.llm.common import LOWER, SPACE_RUN, UPPER, let, materialize
+from keepwise.llm.sieve import Sieve
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A private character stands for a separator that lies inside a value.
@@ -266,9 +267,13 @@ def masked(docs: DataFrame) -> DataFrame:
         lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(
             a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.get(kinds, x["kind"]))).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    whole = docs.select(F.struct("*").alias("doc"))
-    met = whole.join(materialize(marks, "pii-marks"), F.col("doc.doc_id").cast("long").eqNullSafe(F.col("mark_id"))
-                     & (F.xxhash64(text) == F.col("mark_key")), "left")
+    marks = materialize(marks, "pii-marks")
+    # texts without a span stay where they are
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_key"))
+    sifted = Sieve(marks, ["mark_id", "mark_key"]).marked(whole, ["_id", "_key"], "_marked")
+    found = sifted.where("_marked").join(marks, F.col("_id").eqNullSafe(F.col("mark_id")) & (F.col("_key") == F.col("mark_key")), "left")
+    clear = sifted.where("NOT _marked").select("doc", F.lit(None).cast(marks.schema["spans"].dataType).alias("spans"))
+    met = clear.unionByName(found.select("doc", "spans"))
     new = met.withColumn("new_text", F.when(F.col("spans").isNull(), text).otherwise(cut))
     changed = F.col("spans").isNotNull()
     swap = {"text": F.col("new_text")}
