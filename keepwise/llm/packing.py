@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwise.llm import tokens
-from keepwise.llm.common import materialize, small_batches
+from keepwise.llm.common import give_back, lean_batches, materialize, small_batches
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -46,19 +46,21 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         from pyspark import TaskContext
 
         part, at, memo = TaskContext.get().partitionId(), 0, tokens.tokens_of(path)
-        for batch in small_batches(batches):
-            starts, counts, packed = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(tokens.text_ids(text, memo), dtype="<u4").astype("<u2")
-                starts.append(at)
-                counts.append(len(ids))
-                packed.append(ids.tobytes())
-                at += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * batch.num_rows, pa.int32()), batch.column("doc_id"), pa.array(starts, pa.int64()),
-                 pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["part", "doc_id", "local_start", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, IDS_SCHEMA)
+        for whole in batches:
+            for batch in small_batches([whole]):
+                starts, counts, packed = [], [], []
+                for text in batch.column("text").to_pylist():
+                    ids = np.frombuffer(tokens.text_ids(text, memo), dtype="<u4").astype("<u2")
+                    starts.append(at)
+                    counts.append(len(ids))
+                    packed.append(ids.tobytes())
+                    at += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * batch.num_rows, pa.int32()), batch.column("doc_id"), pa.array(starts, pa.int64()),
+                     pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["part", "doc_id", "local_start", "n_tokens", "ids"])
+            give_back()
+
+    return lean_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, IDS_SCHEMA)
 
 
 def partition_offsets(ids: DataFrame) -> DataFrame:
@@ -81,6 +83,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None) -
         import numpy as np
         import pyarrow as pa
 
+        tokens.forget()     # every text is tokenized by now
         for batch in small_batches(batches):
             rows = []
             for doc_id, n, raw, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "global_start"))):
@@ -94,5 +97,6 @@ def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str | None = None) -
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             types = [pa.int64()] * 7 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        give_back()
 
-    return placed.mapInArrow(cut, PIECE_SCHEMA)
+    return lean_batches(placed).mapInArrow(cut, PIECE_SCHEMA)

@@ -94,6 +94,11 @@ def tokens_of(path: str) -> Tokens:
     return Tokens(path)
 
 
+def forget() -> None:
+    """Let go of the tokenizer and its memo: a worker lives on, and stages without tokens need its memory."""
+    tokens_of.cache_clear()
+
+
 def text_ids(text: str | None, tokens: Tokens, end_id: int = END_ID) -> bytes:
     """Ids of a whole text and the end id, as <u4 bytes."""
     return tokens.encode(text) + end_id.to_bytes(4, "little")
